@@ -14,7 +14,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BLANKS, saved, words
+from marginalia.llm.common import BLANKS, saved, small, words
 
 SYMBOLS = "#*$%&|<>"
 DIMS = range(4)
@@ -29,6 +29,8 @@ GRAIN = 4096
 HALF, CHI2_HALF = 0.75, 5.385
 #: Squared distances in bins of equal ratio.
 BINS_PER_E, MAX_BIN = 32, 1023
+#: Estimates of up to so many groups (200 bytes each) are broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def text_stats(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -152,7 +154,7 @@ def _starts(points: DataFrame) -> DataFrame:
 def _c_step(points: DataFrame, estimates: DataFrame) -> DataFrame:
     """Moments of the HALF of each group that lies nearest by the estimates, and that half's distance."""
     bins = (
-        _with_distance(points.join(estimates, "g"))
+        _with_distance(points.join(small(estimates, BROADCAST_GROUPS), "g"))
         .withColumn("bin", F.least(F.floor(F.log1p("d2") * BINS_PER_E), F.lit(MAX_BIN)))
         .groupBy("g", "start", "bin")
         .agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in DIMS), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS))
@@ -183,7 +185,7 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_wor
     )
     fine = stats.filter(~F.col("base_failed"))
     sizes = saved(fine.groupBy("own").agg(F.count("*").alias("n")).select("own", F.when(F.col("n") >= min_group, F.col("own")).otherwise("*").alias("g")), "groups")
-    points = fine.join(sizes, "own").select("g", *(f"x{i}" for i in DIMS))
+    points = fine.join(small(sizes, BROADCAST_GROUPS), "own").select("g", *(f"x{i}" for i in DIMS))
     estimates = saved(_starts(points), "start")
     for k in range(steps):
         moments = _c_step(points, estimates)
@@ -191,7 +193,7 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_wor
     reach = _c_step(points, estimates).select("g", "start", "n", ((F.exp((F.col("bin") + 1) / BINS_PER_E) - 1) / CHI2_HALF).alias("scale"))
     best = F.row_number().over(Window.partitionBy("g").orderBy("log_det", "start"))
     final = saved(estimates.join(reach, ["g", "start"]).filter("n >= 8").withColumn("best", best).filter("best = 1").drop("best", "n"), "final")
-    judged = stats.join(sizes, "own", "left").join(final, "g", "left")
+    judged = stats.join(small(sizes, BROADCAST_GROUPS), "own", "left").join(small(final, BROADCAST_GROUPS), "g", "left")
     distance = F.when(~F.col("base_failed"), F.col("d2") / F.greatest(F.col("scale"), F.lit(1.0)))
     return (
         _with_distance(judged)
