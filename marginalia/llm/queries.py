@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import table
+from marginalia.llm import warc
+from marginalia.llm.common import new_path, table
 from marginalia.llm.mixing import mix_sources
+from marginalia.llm.ngram_join import ngram_join
 from marginalia.llm.quality import quality_rules
 from marginalia.llm.sharding import ring_shards
+from marginalia.llm.substring_dedup import substring_dedup
+from marginalia.llm.token_counts import token_counts
+from marginalia.llm.toxicity import fit, toxicity
+
+#: The public vocabulary that op7 counts with, by its name in the tokenizers package.
+TOKENIZER = "byte_bpe_50k.json"
+TOKEN_LIMIT = 1024
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +35,44 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_bundles(table(spark, sf_dir, "pages"), path)
+    return warc.read_bundles(spark.read.schema(warc.FRAMES_SCHEMA).parquet(path))
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return joined.select("row.doc_id", "n_shingles", "component_id")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts(table(spark, sf_dir, "documents"), new_path(spark, "token-cache"), public_tokenizers.path(TOKENIZER))
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents"), length=35)
+    return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    weights = fit(docs, labels.filter(fold != 0))
+    scored = toxicity(docs, weights).select("row.doc_id", "score")
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
+    "op5_warc": op5_warc,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_token_counts": op7_token_counts,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
