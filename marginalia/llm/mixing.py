@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import n_words, saved
+from marginalia.llm.common import n_words, saved, small
 
 #: Slices of each source's key range.
 SLICES = 512
+#: Decisions on up to so many slices (80 bytes each) are broadcast.
+BROADCAST_SLICES = 200_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -67,26 +69,33 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weight: C
     empty result. Keys depend on id and ``seed`` only, so that reruns agree.
     """
     unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    draws = docs.select(
-        F.struct(*carry).alias("row"),
-        F.col("doc_id").alias("_id"),
-        "source",
-        n_words(F.col("text")).alias("size"),
-        (-F.log(unit) / (quality_weight() if weight is None else weight)).alias("key"),
-    ).withColumn("slice", F.floor((1.0 - F.exp(-F.col("key"))) * SLICES).cast("int"))
+    draws = saved(
+        docs.select(
+            F.struct(*carry).alias("row"),
+            F.col("doc_id").alias("_id"),
+            "source",
+            n_words(F.col("text")).alias("size"),
+            (-F.log(unit) / (quality_weight() if weight is None else weight)).alias("key"),
+        ).withColumn("slice", F.floor((1.0 - F.exp(-F.col("key"))) * SLICES).cast("int")),
+        "draws",
+    )
     slices = saved(draws.groupBy("source", "slice").agg(F.sum("size").alias("n")), "slices")
     targets = source_targets(slices.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs)
     along = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    budget = F.col("target") - F.col("epochs") * F.col("source_size")
     plan = saved(
         slices.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
         .join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long"))
-        .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-        .select(F.col("source").alias("_s"), F.col("slice").alias("_c"), "n", "before", "source_size", "target", "epochs", "budget"),
+        .withColumn("budget", budget)
+        .withColumn("extra", F.when((F.col("budget") <= 0) | (F.col("before") > F.col("budget")), 0).when(F.col("before") + F.col("n") <= F.col("budget"), 1))
+        .select(F.col("source").alias("_s"), F.col("slice").alias("_c"), "before", "source_size", "target", "epochs", "budget", "extra"),
         "plan",
     )
-    planned = draws.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("slice") == F.col("_c"))).drop("_s", "_c")
+    planned = draws.join(small(plan, BROADCAST_SLICES), F.col("source").eqNullSafe(F.col("_s")) & (F.col("slice") == F.col("_c"))).drop("_s", "_c")
+    # Only the slice in which a source's budget ends needs an order.
     inner = Window.partitionBy("source", "slice").orderBy("key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
-    extra = (F.col("budget") > 0) & (reach + F.col("size") / 2 <= F.col("budget"))
-    return planned.withColumn("copies", F.col("epochs") + extra.cast("long")).select("row", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    last = planned.filter("extra is null").withColumn("extra", (reach + F.col("size") / 2 <= F.col("budget")).cast("int"))
+    mixed = planned.filter("extra is not null").unionByName(last)
+    return mixed.withColumn("copies", F.col("epochs") + F.col("extra")).select("row", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

@@ -21,7 +21,7 @@ from math import comb, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import grams
@@ -211,6 +211,20 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int) -> tuple[Data
     return edges, components(edges)
 
 
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5, percent: int = 80) -> DataFrame:
+    """(row, text_hash, n, first) of every row: ``first`` is the (last, doc_id, text_hash) of its class's smallest row."""
+    ship(docs.sparkSession)
+    with_id = tuple(dict.fromkeys((*carry, "doc_id")))
+    keyed = saved(ngram_sets(docs, with_id, n, percent), "sets")
+    _, parts = links(docs, keyed, n, percent)
+    own = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("doc_id"), "text_hash")
+    least = keyed.filter("n > 0").groupBy("set_id").agg(F.min(own).alias("first"))
+    named = least.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    classes = saved(named.join(named.groupBy("root").agg(F.min("first").alias("f")), "root").select("set_id", F.col("f").alias("first")), "classes")
+    row = F.struct(*(F.col("row")[c].alias(c) for c in carry)).alias("row")
+    return keyed.select("row", "text_hash", "n", "set_id").join(classes, "set_id", "left").select(row, "text_hash", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(own).alias("first"))
+
+
 def ngram_join(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate classes of all rows of ``docs`` (doc_id, text and the columns of ``carry``).
 
@@ -223,14 +237,25 @@ def ngram_join(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5
     rows with equal sets are linked; null ids join components but never name one unless all of its ids are null; an
     empty table gives an empty result.
     """
-    ship(docs.sparkSession)
-    with_id = tuple(dict.fromkeys((*carry, "doc_id")))
-    keyed = saved(ngram_sets(docs, with_id, n, percent), "sets")
-    _, parts = links(docs, keyed, n, percent)
-    least = keyed.filter("n > 0").groupBy("set_id").agg(F.min("row.doc_id").alias("first"))
-    named = least.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    classes = saved(named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("set_id", "component_id"), "classes")
-    return (
-        keyed.join(classes, "set_id", "left")
-        .select(F.struct(*(F.col("row")[c].alias(c) for c in carry)).alias("row"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("row.doc_id")).alias("component_id"))
-    )
+    return near_duplicates(docs, carry, n, percent).select("row", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: that of the smallest doc_id, then text hash.
+
+    Texts without words all stay; of rows that repeat id and text, the first in the order of their other columns stays.
+    """
+    judged = saved(near_duplicates(docs, ("doc_id",), n, percent).select("row.doc_id", "text_hash", "n", "first"), "judged")
+    chosen = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
+    key = [F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")]
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    dropped = saved(judged.filter(~chosen).select(*key).distinct(), "dropped")
+    repeated = saved(judged.filter(chosen & (F.col("n") > 0)).groupBy(*key).agg(F.count("*").alias("c")).filter("c > 1").select("_d", "_t"), "repeated")
+    left = docs.join(small(dropped, BROADCAST_ROWS), same, "left_anti")
+    if repeated.isEmpty():
+        return left
+    again = left.join(small(repeated, BROADCAST_ROWS), same, "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rank = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*others) if others else Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    firsts = again.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return left.join(small(repeated, BROADCAST_ROWS), same, "left_anti").unionByName(firsts)

@@ -24,7 +24,7 @@ TOKEN_LIMIT = 1024
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = ring_shards(table(spark, sf_dir, "documents"), shards=40)
-    return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shards.select("row.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

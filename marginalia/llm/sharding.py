@@ -122,13 +122,13 @@ def _segments(arcs: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def ring_shards(docs: DataFrame, shards: int = 40, vnodes: int = 64, slack: float = 0.0) -> DataFrame:
-    """Put every row of ``docs`` (doc_id, text) into a shard.
+def ring_shards(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), shards: int = 40, vnodes: int = 64, slack: float = 0.0) -> DataFrame:
+    """Put every row of ``docs`` (doc_id, text and the columns of ``carry``) into a shard.
 
     ``slack``: a shard's capacity is ``(1 + slack)`` times the mean, rounded up; with 0
     the capacities are the mean rounded up or down, so that counts differ by one at most.
 
-    Returns doc_id, size (UTF-8 bytes of the text plus 16), text_crc32, home (the shard
+    Returns row (a struct of ``carry``), size (UTF-8 bytes of the text plus 16), text_crc32, home (the shard
     without bounds), shard and slot (0, 1, ... within the shard).
 
     A null text counts as no bytes; null and repeated ids and repeated rows are rows as
@@ -138,7 +138,7 @@ def ring_shards(docs: DataFrame, shards: int = 40, vnodes: int = 64, slack: floa
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     keys = (
-        docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+        docs.select(F.struct(*carry).alias("row"), "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
         .withColumn("at", F.xxhash64("doc_id", "text_crc32"))
         .withColumn("cell", F.shiftrightunsigned("at", 64 - CELL_BITS).cast("int"))
     )
@@ -151,5 +151,5 @@ def ring_shards(docs: DataFrame, shards: int = 40, vnodes: int = 64, slack: floa
         placed.withColumn("rank", (F.row_number().over(in_arc) - 1).cast("long"))
         .join(F.broadcast(_segments(arcs, shards)), "arc")  # shards * vnodes rows at most
         .withColumn("s", segment)
-        .select("doc_id", "size", "text_crc32", "home", "s.shard", (F.col("s.slot") + F.col("rank") - F.col("s.lo")).alias("slot"))
+        .select("row", "size", "text_crc32", "home", "s.shard", (F.col("s.slot") + F.col("rank") - F.col("s.lo")).alias("slot"))
     )
