@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import ship
+from marginalia.llm.common import saved, ship
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -136,5 +136,6 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, carry: tuple[str,
     texts = docs.select(digest, "doc_id", content_of.alias("text")).join(misses.hint("shuffle_hash"), F.col("digest").eqNullSafe(F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     counted = texts.select("digest", "text").mapInArrow(_encode(spark.sparkContext.broadcast(content), tokenizer), "digest binary, n_tokens bigint")
     counted.dropDuplicates(["digest"]).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    known = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written out, so that the join below stands alone and Spark can split the digest of a large group of copies.
+    known = saved(read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "known")
     return docs.select(F.struct(*carry).alias("row"), digest, F.octet_length(content_of).cast("long").alias("n_bytes")).join(known, "digest").select("row", "n_bytes", "n_tokens")
