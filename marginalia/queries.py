@@ -1,4 +1,230 @@
-"""The registered queries of the annotation operators and their oracles."""
+"""The registered queries of the annotation operators, over the shared tables. Their oracles are in ``oracles``."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.functions.text import lines
+from marginalia.operators import books, enrich, metrics, order, render
+from marginalia.oracles import ORACLES
+from marginalia.plans import fixtures
+from marginalia.sources import clippings, corpus, page_index, sidecar, typed
+
+#: An annotation's columns as the decoding queries return them.
+DECODED = ("book_title", "clip_type", "location_start", "location_end", "added_date", "content")
+
+
+def resolved_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.annotations(spark, sf_dir)
+    done = enrich.enrich(rows, fixtures.chunks(spark, sf_dir), fixtures.page_map(spark, sf_dir), fixtures.location_map(spark, sf_dir), salts=4)
+    return done.select("event_id", "book_title", "author", "clip_type", "page", "location_start", "location_end", "added_date", "content")
+
+
+def span_text_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.resolve_text_simple(fixtures.annotations(spark, sf_dir), fixtures.books(spark, sf_dir)).select("event_id", "content")
+
+
+def span_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.resolve_text(fixtures.annotations(spark, sf_dir), fixtures.chunks(spark, sf_dir)).select("event_id", "content")
+
+
+def assembled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books.assemble_text(fixtures.chunks(spark, sf_dir))
+
+
+def chunk_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books.chunk_gaps(fixtures.chunks(spark, sf_dir)).select("book_id", "ordinal", "gap", "start", "end")
+
+
+def page_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.assign_places(fixtures.annotations(spark, sf_dir), fixtures.page_map(spark, sf_dir), None).select("event_id", "page")
+
+
+def location_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.assign_places(fixtures.annotations(spark, sf_dir), None, fixtures.location_map(spark, sf_dir)).select("event_id", "location_start", "location_end")
+
+
+def page_map_from_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books.page_map_from_nav(*fixtures.navigation(spark, sf_dir))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.clippings_entries(fixtures.annotations(spark, sf_dir))
+
+
+def clippings_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = clippings.parse_entries(_entries(spark, sf_dir))
+    return parsed.select(F.col("rec_ord").alias("event_id"), "book_title", "author", "clip_type", "page", "location_start", "location_end", "content", "source_file")
+
+
+def title_author_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clippings.parse_entries(_entries(spark, sf_dir)).groupBy("book_title", "author").agg(F.count("*").alias("n"))
+
+
+def metadata_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = clippings.parse_entries(_entries(spark, sf_dir))
+    return parsed.select(F.col("rec_ord").alias("event_id"), "page", "location_start", "location_end", "added_ts")
+
+
+def entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clippings.entry_lines(_entries(spark, sf_dir)).select(F.col("rec_ord").alias("event_id"), F.size("lines").alias("n_lines"), F.get("lines", F.lit(0)).alias("first_line"))
+
+
+def sidecar_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sidecar.decode_annotations(fixtures.sidecar_files(fixtures.annotations(spark, sf_dir)))
+    return found.select(*DECODED, "source_file")
+
+
+def last_position_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sidecar.decode_last_positions(fixtures.position_files(fixtures.annotations(spark, sf_dir))).select(*DECODED, "source_file")
+
+
+def typed_record_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixtures.configure(spark)
+    return typed.decode_records(fixtures.typed_files(fixtures.annotations(spark, sf_dir))).select(*DECODED, "source_file")
+
+
+def _indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_index.decode_page_indexes(fixtures.index_files(fixtures.page_map(spark, sf_dir)))
+
+
+def page_index_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexes(spark, sf_dir).select("asin", "content_guid", "page_count", F.size("page_offsets").alias("n_offsets"), "source_file")
+
+
+def page_index_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_index.page_offsets(_indexes(spark, sf_dir))
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fixtures.typed_files(fixtures.annotations(spark, sf_dir)).unionByName(fixtures.index_files(fixtures.page_map(spark, sf_dir)))
+    return corpus.quarantine(files)
+
+
+def corpus_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.files(spark, sf_dir).select("path", corpus.route(F.col("path")).alias("format"))
+
+
+def book_title_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.titles(fixtures.files(spark, sf_dir))
+
+
+def nearest_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.files(spark, sf_dir).select("path", corpus.sidecar_dir(F.col("path")).alias("sidecar_dir"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fixtures.files(spark, sf_dir)
+    return enrich.pair_books(corpus.sidecar_folders(files), files)
+
+
+def book_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir)
+
+
+def book_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.annotations(spark, sf_dir).withColumn("sidecar_dir", F.when(F.col("event_id") % 3 != 0, F.col("sidecar_dir")))
+    return enrich.with_book(rows, _pairs(spark, sf_dir), "/library/one.kfx").select("event_id", "book_file")
+
+
+def paired_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.with_book(fixtures.annotations(spark, sf_dir), _pairs(spark, sf_dir)).select("event_id", "sidecar_dir", "book_file")
+
+
+def union_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixtures.configure(spark)
+    rows = fixtures.annotations(spark, sf_dir)
+    files = fixtures.sidecar_files(rows).unionByName(fixtures.position_files(rows)).unionByName(fixtures.typed_files(rows))
+    return corpus.decode_all(files).groupBy("clip_type", corpus.route(F.col("source_file")).alias("format")).agg(F.count("*").alias("n"), F.sum("location_start").alias("starts"))
+
+
+def ordered_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.annotations(spark, sf_dir)
+    return order.order_annotations(rows).select("event_id", "added_date", "file_ord", "kind_ord", "rec_ord")
+
+
+def fill_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.annotations(spark, sf_dir)
+    return metrics.fill_metrics(rows, enrich.resolve_text(rows, fixtures.chunks(spark, sf_dir)))
+
+
+def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = fixtures.page_map(spark, sf_dir)
+    return metrics.page_coverage(enrich.assign_places(fixtures.annotations(spark, sf_dir), pages, None), pages, fixtures.location_map(spark, sf_dir))
+
+
+def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ingest_totals(fixtures.annotations(spark, sf_dir), _indexes(spark, sf_dir))
+
+
+def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.assign_places(fixtures.annotations(spark, sf_dir), fixtures.page_map(spark, sf_dir), fixtures.location_map(spark, sf_dir))
+
+
+def json_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.json_rows(_export(spark, sf_dir))
+
+
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.csv_rows(_export(spark, sf_dir))
+
+
+def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render_markdown(_export(spark, sf_dir)).select("book_title", F.col("first_seen.date").alias("first_date"), "document")
+
+
+def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.text_runs(_export(spark, sf_dir)).select("event_id", "run", "opens_run", "run_author")
+
+
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render_text(_export(spark, sf_dir)).select(F.col("at.rec_ord").alias("event_id"), F.size(lines(F.col("block"))).alias("n_lines"), "block")
+
+
+def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.manifest(_export(spark, sf_dir), _indexes(spark, sf_dir)).select("total_clippings", "page_indexes")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        resolved_annotations,
+        span_text_simple,
+        span_text_chunks,
+        assembled_text,
+        chunk_gaps,
+        page_asof,
+        location_rank,
+        page_map_from_nav,
+        clippings_text_parse,
+        title_author_split,
+        metadata_parse,
+        entry_lines,
+        sidecar_decode,
+        last_position_decode,
+        typed_record_decode,
+        page_index_decode,
+        page_index_offsets,
+        quarantine,
+        corpus_routing,
+        book_title_from_path,
+        nearest_sidecar,
+        book_pairing,
+        book_override,
+        paired_annotations,
+        union_formats,
+        ordered_annotations,
+        fill_metrics,
+        page_coverage,
+        ingest_totals,
+        json_pruned,
+        csv_rows,
+        markdown_docs,
+        text_runs,
+        text_blocks,
+        export_manifest,
+    )
+}
+
+__all__ = ["ORACLES", "QUERIES"]
