@@ -19,7 +19,9 @@ def decode_page_indexes(files: DataFrame) -> DataFrame:
     json_bytes = F.expr(f"case when version in (1, 2) and data_at < length(content) and data_at > 8 then substring(content, cast(8 + greatest({brace}, 1) as int), cast(data_at - 7 - greatest({brace}, 1) as int)) end")
     head = F.from_json(F.regexp_replace(utf8(json_bytes), "\\x00+\\z", ""), "asin string, contentGuid string, pageCount bigint")
     first = f"case when data_at + 4 <= length(content) then {uint_le('content', 'cast(data_at + 1 as int)', 4)} end"
-    offsets = bound("content", "c", f"transform(case when n > 0 then sequence(0, cast(n - 1 as int)) else cast(array() as array<int>) end, i -> {uint_le('c', 'cast(at + 1 as int) + 4 * i', 4)})")
+    # One struct is bound, so that neither the bytes nor the offset are computed again for every page.
+    numbers = f"transform(case when s.n > 0 then sequence(0, cast(s.n - 1 as int)) else cast(array() as array<int>) end, i -> {uint_le('s.c', 's.at + 1 + 4 * i', 4)})"
+    offsets = bound("named_struct('c', content, 'at', cast(at as int), 'n', n)", "s", numbers)
     return (
         files.filter(F.length("content") >= SHORTEST)
         .select("path", "content", F.expr(uint_le("content", "1", 4)).alias("version"), F.expr(uint_le("content", "5", 4)).alias("data_at"))
