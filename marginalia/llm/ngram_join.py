@@ -9,9 +9,11 @@ some spare ones), and sets that link agree in whole pieces. The boundary between
 and large is the last size at which enumeration costs less than the lists.
 
 Sets that share a key are candidates. First every list is joined with two pivots of its
-own only; components of those links are contracted, and then all remaining pairs that
+own only; components of those links are contracted, and then the remaining pairs that
 stand in different components are verified, so that a group of n near copies costs about
-n comparisons and no link between components is lost.
+n comparisons and no link between components is lost. Before two sets are brought together, the
+parities of their members in 512 cells are compared: these differ in at most as many cells as the sets
+have members of one only, so pairs beyond the allowed difference are out for certain.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from marginalia.llm.graph import components
 
 #: A table of up to so many keys of at most 24 bytes is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: 64-bit words of the parity sketch.
+SKETCH = 8
+SKETCH_COLUMNS = [f"p{i}" for i in range(SKETCH)]
 
 
 class Plan:
@@ -114,6 +119,12 @@ def _sums(values: np.ndarray, j: int) -> np.ndarray:
     return np.concatenate([values[i] + _sums(values[i + 1 :], j - 1) for i in range(len(values) - j + 1)])
 
 
+def _sketch(members: np.ndarray) -> np.ndarray:
+    """The parities of the counts of members in SKETCH * 64 cells, as bits."""
+    cell = (grams.mix(members) >> np.uint64(64 - 9)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
 def _identity(members: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
     a = grams.mix(members).sum(dtype=np.uint64)
@@ -137,11 +148,12 @@ def _keys_of(percent: int, n: int):
     def run(batches):
         plan = Plan(percent)
         for batch in batches:
-            for lo, hi, made in _rows(batch, n, lambda m: (_identity(m), len(m), plan.keys(m) if len(m) else m)):
-                ids, sizes, keys = zip(*made, strict=True)
+            for lo, hi, made in _rows(batch, n, lambda m: (_identity(m), len(m), plan.keys(m) if len(m) else m, _sketch(m))):
+                ids, sizes, keys, sketches = zip(*made, strict=True)
+                parity = np.stack(sketches, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), _lists(list(keys))],
-                    names=["row", "text_hash", "set_id", "n", "keys"],
+                    [batch.column("row").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), _lists(list(keys)), *(pa.array(p) for p in parity)],
+                    names=["row", "text_hash", "set_id", "n", "keys", *SKETCH_COLUMNS],
                 )
 
     return run
@@ -166,48 +178,60 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def ngram_sets(docs: DataFrame, carry: tuple[str, ...], n: int, percent: int) -> DataFrame:
-    """(row, text_hash, set_id, n, keys) of every row: its shingle set's identity, size and join keys."""
+    """(row, text_hash, set_id, n, keys, p0..) of every row: its shingle set's identity, size, join keys and parity sketch."""
     row = F.struct(*carry)
     slim = docs.select(row.alias("row"), F.xxhash64("text").alias("text_hash"), "text")
     kind = slim.schema["row"].dataType.simpleString()
-    return slim.mapInArrow(_keys_of(percent, n), f"row {kind}, text_hash bigint, set_id binary, n bigint, keys array<bigint>")
+    return slim.mapInArrow(_keys_of(percent, n), f"row {kind}, text_hash bigint, set_id binary, n bigint, keys array<bigint>, " + ", ".join(f"{p} bigint" for p in SKETCH_COLUMNS))
+
+
+def _may_link(percent: int) -> str:
+    """SQL condition on n_a, n_b and both sketches that every pair of linked sets fulfils."""
+    differ = f"(n_a + n_b - 2 * (({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}))"
+    parity = " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in SKETCH_COLUMNS)
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {parity} <= {differ}"
+
+
+def _as(df: DataFrame, side: str, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
 def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(edges between sets: a, b; components: node, root) of the sets in ``keyed``."""
     posted = keyed.filter("n > 0").select(F.explode("keys").alias("key"), "set_id")
-    shared = saved(
-        posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"),
-        "shared",
-    )
-    sized = saved(posted.join(small(shared, BROADCAST_ROWS), "key").distinct(), "postings")
-    ends = sized.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo <> hi")
-    ends = saved(ends, "pivots")
+    shared = saved(posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "shared")
+    met = saved(posted.join(small(shared, BROADCAST_ROWS), "key").distinct(), "postings")
+    ends = saved(met.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo <> hi"), "pivots")
+    sized = saved(met.join(small(ends.select("key"), BROADCAST_ROWS), "key"), "met")
+    about = ["set_id", "n", *SKETCH_COLUMNS]
+    ids = saved(sized.select("set_id").distinct(), "wanted")
+    nodes = saved(keyed.select(*about, "text_hash").join(small(ids, BROADCAST_ROWS), "set_id").groupBy(*about).agg(F.min("text_hash").alias("text_hash")), "nodes")
+    side_a, side_b = (_as(nodes, x, *about).withColumnRenamed(f"set_id_{x}", x) for x in "ab")
+
     stars = sized.join(ends, "key")
-    pairs = saved(
-        stars.select(F.col("lo").alias("a"), F.col("set_id").alias("b")).unionByName(stars.select(F.col("set_id").alias("a"), F.col("hi").alias("b"))).filter("a <> b").distinct(),
-        "pairs",
-    )
-    wanted = saved(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), "wanted")
-    hashes = saved(keyed.select("set_id", "text_hash").join(small(wanted, BROADCAST_ROWS), "set_id").groupBy("set_id").agg(F.min("text_hash").alias("text_hash")), "texts")
-    chosen = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(small(hashes.select("text_hash").distinct(), BROADCAST_ROWS), "text_hash", "left_semi")
+    tried = stars.select(F.col("lo").alias("a"), F.col("set_id").alias("b")).unionByName(stars.select(F.col("set_id").alias("a"), F.col("hi").alias("b"))).filter("a <> b").distinct()
+    pairs = saved(tried.join(side_a, "a").join(side_b, "b").filter(_may_link(percent)).select("a", "b"), "pairs")
+    chosen = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(small(nodes.select("text_hash").distinct(), BROADCAST_ROWS), "text_hash", "left_semi")
     sets = saved(chosen.select("text").mapInArrow(_sets_of(n), "set_id binary, members array<bigint>").dropDuplicates(["set_id"]), "sets")
     first = saved(_verify(pairs, sets, percent), "links")
+
     labels = components(first)
-    found = F.coalesce("root", "set_id")
-    labelled = sized.join(ends.select("key"), "key").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", found.alias("root"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    left = saved(labelled.join(open_keys, "key").join(sets.select("set_id", F.size("members").alias("s")), "set_id"), "open")
-    a, b = (left.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "root", "s"))) for x in "ab")
-    rest = (
+    labelled = sized.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
+    keys_left = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    left = labelled.join(keys_left, "key")
+    lists = left.groupBy("set_id", "root").agg(F.collect_list("key").alias("keys")).join(nodes, "set_id")
+    left = saved(lists.select(*about, "root", "keys", F.explode("keys").alias("key")), "open")
+    a, b = (left.select("key", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "root", "keys"))) for x in "ab")
+    # A pair counts at the smallest key that it shares.
+    rest = saved(
         a.join(b, "key")
-        .filter(f"set_id_a < set_id_b and root_a <> root_b and 100 * least(s_a, s_b) >= {percent} * greatest(s_a, s_b)")
+        .filter(f"set_id_a < set_id_b and root_a <> root_b and {_may_link(percent)}")
+        .filter("key = array_min(array_intersect(keys_a, keys_b))")
         .select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
+        .join(pairs, ["a", "b"], "left_anti"),
+        "rest",
     )
-    second = saved(_verify(rest, sets, percent), "more-links")
-    edges = first.unionByName(second)
+    edges = first.unionByName(saved(_verify(rest, sets, percent), "more-links"))
     return edges, components(edges)
 
 
