@@ -19,7 +19,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _has_word(line: Column) -> Column:
-    return F.trim(F.translate(line, BLANKS[1:], " " * 5)) != ""
+    return F.ltrim(line, F.lit(BLANKS)) != ""
 
 
 def _hashes(line: str) -> tuple[Column, Column]:
@@ -39,23 +39,23 @@ def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_chars
     return the same result; an empty table gives an empty result.
     """
     slim = docs.select(F.struct(*carry).alias("row"), "doc_id", F.xxhash64("text").alias("th"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    each = slim.select("doc_id", "th", F.posexplode_outer("lines").alias("pos", "line")).filter(_has_word(F.col("line")))
+    found = slim.select("doc_id", "th", F.posexplode_outer("lines").alias("pos", "line")).filter(_has_word(F.col("line"))).withColumn("len", F.length("line"))
+    keys = F.when(F.col("len") >= min_chars - 1, _part_keys(2)).otherwise(F.array().cast("array<bigint>"))
+    each = saved(found.select("doc_id", "th", "pos", *_hashes("line"), (F.col("len") >= min_chars).alias("long"), keys.alias("keys")), "each")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "pos")
-    lines = saved(
-        each.select("doc_id", "th", "pos", *_hashes("line"), (F.length("line") >= min_chars).alias("long")).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")),
-        "lines",
-    )
-    halves = each.filter(F.length("line") >= min_chars - 1).select("line", F.xxhash64("line").alias("h1"), F.length("line").alias("len"))
-    keyed = halves.select("h1", F.explode_outer(_half_keys()).alias("key"))
-    shared = saved(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key"), "halves")
+    lines = saved(each.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("long").alias("long")), "lines")
+    keyed = each.select("h1", F.explode("keys").alias("key"))
+    shared = saved(_met(keyed, "key"), "halves")
     near = saved(keyed.join(small(shared, BROADCAST_ROWS), "key").select("h1").distinct(), "near")
-    texts = saved(
-        each.filter(F.length("line") >= min_chars).select(*_hashes("line"), "line").join(small(near, BROADCAST_ROWS), "h1").groupBy("h1", "h2").agg(F.min("line").alias("line")),
-        "candidates",
-    )
+    # The text of a line is taken from the document in which it stands first.
+    wanted = saved(lines.filter("long").join(small(near, BROADCAST_ROWS), "h1").select("h1", "h2", F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t"), F.col("first.pos").alias("_p")), "wanted")
+    there = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(small(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+    candidates = saved(there.select("h1", "h2", F.get(F.split("text", "\n"), F.col("_p")).alias("line")).dropDuplicates(["h1", "h2"]).withColumn("len", F.length("line")), "candidates")
+    parts = candidates.select("h1", "h2", F.explode_outer(_part_keys(16)).alias("key"))
+    nearer = saved(parts.join(_met(parts, "key"), "key").select("h1", "h2").distinct(), "nearer")
+    texts = saved(candidates.join(small(nearer, BROADCAST_ROWS), ["h1", "h2"]).select("h1", "h2", "line"), "texts")
     variants = texts.select("h1", "h2", F.explode_outer(_variants()).alias("variant"))
-    met = variants.groupBy("variant").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("variant")
-    posted = saved(variants.join(met, "variant"), "variants")
+    posted = saved(variants.join(_met(variants, "variant"), "variant"), "variants")
     a, b = (posted.select("variant", F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2")) for x in "ab")
     pairs = a.join(b, "variant").filter("a1 < b1 or a1 = b1 and a2 < b2").select("a1", "a2", "b1", "b2").distinct()
     ta, tb = (texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"l{x}")) for x in "ab")
@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_chars
     losers = saved(verified.join(fa, ["a1", "a2"]).join(fb, ["b1", "b2"]).select(later.alias("l")).select("l.*").distinct().withColumn("loses", F.lit(True)), "losers")
     # Lines that occur more than once, or lose: all their occurrences but, at most, the first are dropped.
     hit = saved(lines.join(losers, ["h1", "h2"], "left").filter("n > 1 or loses").select("h1", "h2", F.when(F.col("loses"), F.lit(None)).otherwise(F.col("first")).alias("stays")), "repeated")
-    occurrences = each.select("doc_id", "th", "pos", *_hashes("line")).join(small(hit, BROADCAST_ROWS), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("stays")))
+    occurrences = each.select("doc_id", "th", "pos", "h1", "h2").join(small(hit, BROADCAST_ROWS), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("stays")))
     dropped = saved(occurrences.select("doc_id", "th", "pos").distinct(), "dropped")
     by_text = dropped.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list("pos").alias("dropped"))
     if dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -79,13 +79,15 @@ def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_chars
     )
 
 
-def _half_keys() -> Column:
-    """For this line as the shorter and as the longer of two: keys of the halves that one edit leaves whole."""
-    return F.expr(
-        "flatten(transform(array(len, len - 1), s -> array("
-        "xxhash64('first', s, left(line, cast(s div 2 as int))),"
-        "xxhash64('second', s, right(line, cast(s - s div 2 as int))))))"
-    )
+def _met(keyed: DataFrame, key: str) -> DataFrame:
+    """Those of the keys that different lines have."""
+    return keyed.groupBy(key).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select(key)
+
+
+def _part_keys(parts: int) -> Column:
+    """For ``line`` as the shorter and as the longer of two: keys of what stands before and after each part of the shorter."""
+    lo, hi = f"cast(s * j div {parts} as int)", f"cast(s * (j + 1) div {parts} as int)"
+    return F.expr(f"flatten(transform(array(len, len - 1), s -> transform(sequence(0, {parts - 1}), j -> xxhash64(j, s, left(line, {lo}), right(line, s - {hi})))))")
 
 
 def _variants() -> Column:
