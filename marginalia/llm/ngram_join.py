@@ -169,8 +169,12 @@ def _sets_of(n: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets (set_id, members) link."""
+def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets link. Only texts of sets in ``pairs`` are read again, one for each set."""
+    ids = saved(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), "paired")
+    hashes = saved(nodes.join(small(ids, BROADCAST_ROWS), "set_id").select("text_hash").distinct(), "texts")
+    chosen = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(small(hashes, BROADCAST_ROWS), "text_hash", "left_semi")
+    sets = saved(chosen.select("text").mapInArrow(_sets_of(n), "set_id binary, members array<bigint>").dropDuplicates(["set_id"]), "sets")
     left = sets.select(F.col("set_id").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("set_id").alias("b"), F.col("members").alias("mb"))
     both = F.size(F.array_intersect("ma", "mb"))
@@ -211,9 +215,7 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int) -> tuple[Data
     stars = sized.join(ends, "key")
     tried = stars.select(F.col("lo").alias("a"), F.col("set_id").alias("b")).unionByName(stars.select(F.col("set_id").alias("a"), F.col("hi").alias("b"))).filter("a <> b").distinct()
     pairs = saved(tried.join(side_a, "a").join(side_b, "b").filter(_may_link(percent)).select("a", "b"), "pairs")
-    chosen = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(small(nodes.select("text_hash").distinct(), BROADCAST_ROWS), "text_hash", "left_semi")
-    sets = saved(chosen.select("text").mapInArrow(_sets_of(n), "set_id binary, members array<bigint>").dropDuplicates(["set_id"]), "sets")
-    first = saved(_verify(pairs, sets, percent), "links")
+    first = saved(_verify(pairs, docs, nodes, n, percent), "links")
 
     labels = components(first)
     labelled = sized.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
@@ -231,7 +233,7 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int) -> tuple[Data
         .join(pairs, ["a", "b"], "left_anti"),
         "rest",
     )
-    edges = first.unionByName(saved(_verify(rest, sets, percent), "more-links"))
+    edges = first.unionByName(saved(_verify(rest, docs, nodes, n, percent), "more-links"))
     return edges, components(edges)
 
 
