@@ -151,7 +151,7 @@ class TestTyped:
         assert r.location_end == 2
 
     def test_unpaired_surrogate_is_replaced(self, spark):
-        (r,) = decode(spark, typed.decode_records, self.record(2, be(1, 4) + be(1, 2) + b"\x00\xd8"))
+        (r,) = decode(spark, typed.decode_records, b"\x00\x01" + self.record(2, be(1, 4) + be(1, 2) + b"\x00\xd8"))
         assert r.content == "�"
 
     def test_container_and_many_records(self, spark):
