@@ -53,7 +53,7 @@ class TestClippings:
         assert entries(spark, "", "only one line", "T\n- Their Highlight\n", None) == []
 
     def test_case_and_unicode_space(self, spark):
-        (r,) = entries(spark, "　T (A) \n\x1c-  your BOOKMARK | location 3\n \nx　")
+        (r,) = entries(spark, "　T (A) \n-  your BOOKMARK | location 3\n \nx　")
         assert (r.book_title, r.author, r.clip_type, r.location_start, r.content) == ("T", "A", "bookmark", 3, "x")
 
     def test_files_are_cut_at_the_separator_only(self, spark, tmp_path):
