@@ -1,3 +1,77 @@
 """DuckDB SQL for those of the ten queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_MIXING = f"""
+WITH sized AS (
+    SELECT doc_id, source, len({_WORDS}) AS size, length(coalesce(text, '')) AS n,
+        length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) AS symbols FROM documents),
+draws AS (
+    SELECT doc_id, source, size,
+        -ln((CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))
+        / (CASE WHEN n > 0 THEN CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + CAST(20 AS DOUBLE) * symbols / n) ELSE CAST(1 AS DOUBLE) END) AS key FROM sized),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM draws GROUP BY source),
+placed AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM sources),
+weighed AS (SELECT source, source_size, CAST(place % 3 + 1 AS DOUBLE) AS weight, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / CAST(place % 3 + 1 AS DOUBLE) AS full_at FROM placed),
+levels AS (
+    SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0) AS DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+    FROM weighed WINDOW f AS (ORDER BY full_at, weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rest AS (SELECT arg_min(level, full_at) AS level, min(full_at) AS full_at FROM levels WHERE level < full_at),
+targets AS (SELECT l.source, l.source_size, CASE WHEN r.full_at IS NULL OR l.full_at < r.full_at THEN CAST(l.cap AS DOUBLE) ELSE l.weight * r.level END AS target FROM levels l LEFT JOIN rest r ON true),
+summed AS (
+    SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 1 END AS epochs,
+        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM draws d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+    CAST(size * (epochs + CASE WHEN target - epochs * source_size > 0 AND before + CAST(size AS DOUBLE) / 2 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM summed"""
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT) >> {shift}) & 31) + 1 AS BIGINT), 1)"
+_WARC = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+    array_to_string([{" || ".join(_DIGIT.format(shift=s) for s in (15, 10, 5, 0))} FOR i IN range(8)], '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f"""
+
+_NGRAM_JOIN = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN [array_to_string(ws[i + 1:i + 3], ' ') FOR i IN range(len(ws) - 2)]
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_sides AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_sides JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id FROM documents d
+LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id"""
+
+_LINE_DEDUP = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+marked AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word FROM l),
+first AS (SELECT line, min((doc_id, pos)) AS at, length(line) AS n FROM marked WHERE has_word GROUP BY line),
+losers AS (SELECT DISTINCT b.line FROM first a JOIN first b ON a.n >= 12 AND b.n >= 12 AND b.n BETWEEN a.n - 1 AND a.n + 1 AND a.at < b.at AND levenshtein(a.line, b.line) = 1),
+judged AS (SELECT m.*, NOT has_word OR (f.at = (m.doc_id, m.pos) AND o.line IS NULL) AS stays FROM marked m LEFT JOIN first f ON f.line = m.line LEFT JOIN losers o ON o.line = m.line)
+SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
+
+_SUBSTRING_DEDUP = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 35], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)),
+repeated AS (SELECT run FROM windows GROUP BY run HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM windows WHERE run IN (SELECT run FROM repeated)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.pos) AS text, count(*) AS n FROM each e ANTI JOIN covered c ON c.doc_id = e.doc_id AND c.pos = e.pos GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id"""
+
+ORACLES: dict[str, str] = {
+    "op3_mixing": _MIXING,
+    "op5_warc": _WARC,
+    "op6_ngram_jaccard_join": _NGRAM_JOIN,
+    "op8_line_dedup": _LINE_DEDUP,
+    "op9_substring_dedup": _SUBSTRING_DEDUP,
+}
