@@ -32,6 +32,8 @@ from marginalia.llm.graph import components
 
 #: A table of up to so many keys of at most 24 bytes is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: A table of up to so many sets with their sketches (100 bytes each) is broadcast.
+BROADCAST_NODES = 400_000
 #: 64-bit words of the parity sketch.
 SKETCH = 8
 SKETCH_COLUMNS = [f"p{i}" for i in range(SKETCH)]
@@ -66,14 +68,19 @@ class Plan:
         return sum(comb(s, j) for j in self.removals(s, 2 * s))
 
     def _heavy(self, s: int) -> float:
-        pieces = self._pieces(s)[0]
+        pieces = self._pieces(s, s)[0]
         return pieces * (1 + 16 * 2.0 ** (-s / pieces))  # pieces of few shingles have long lists
 
-    def _pieces(self, largest: int) -> tuple[int, int]:
-        """(pieces, how many of them may be weak) for pairs whose larger set has that size at most."""
+    def _pieces(self, largest: int, smallest: int) -> tuple[int, int]:
+        """(pieces, how many of them may be empty) for pairs of sets within these sizes.
+
+        The spare pieces make up for the empty ones that even the smallest set is likely to have.
+        """
         differ = 2 * largest * (100 - self.percent) // (100 + self.percent)
-        each = max(1.0, largest / (differ + 1))
-        spare = 2 + int(3 * (differ + 1) * exp(-each) * (1 + each))
+        spare = 2
+        for _ in range(10):
+            pieces = differ + 1 + spare
+            spare = min(differ + 3, 2 + int(1.3 * pieces * exp(-smallest / pieces)))
         return differ + 1 + spare, spare
 
     @lru_cache(maxsize=None)
@@ -86,7 +93,7 @@ class Plan:
         while a <= hi:
             b = a * 7 // 5 + 2
             if b > lo:
-                out.append(self._pieces(b - 1))
+                out.append(self._pieces(b - 1, a * self.percent // 100))
             a = b
         return tuple(out)
 
@@ -103,10 +110,10 @@ class Plan:
         for m, spare in self.size_classes(s):
             piece = ((members >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             cut = np.searchsorted(piece, np.arange(m + 1, dtype=np.uint64))
-            weak = np.diff(cut) <= 1
+            empty = np.diff(cut) == 0
             key = grams.mix((sums[cut[1:]] - sums[cut[:-1]]) * np.uint64(3) + np.uint64(m << 32) + np.arange(m, dtype=np.uint64))
-            # Linked sets agree in more than ``spare`` pieces: in a strong one, or both have too many weak ones.
-            found.append(key if weak.sum() > spare else key[~weak])
+            # Linked sets agree in more than ``spare`` pieces: in one with members, or both have too many empty ones.
+            found.append(key if empty.sum() > spare else key[~empty])
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
@@ -210,7 +217,7 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int) -> tuple[Data
     about = ["set_id", "n", *SKETCH_COLUMNS]
     ids = saved(sized.select("set_id").distinct(), "wanted")
     nodes = saved(keyed.select(*about, "text_hash").join(small(ids, BROADCAST_ROWS), "set_id").groupBy(*about).agg(F.min("text_hash").alias("text_hash")), "nodes")
-    side_a, side_b = (_as(nodes, x, *about).withColumnRenamed(f"set_id_{x}", x) for x in "ab")
+    side_a, side_b = (small(_as(nodes, x, *about).withColumnRenamed(f"set_id_{x}", x), BROADCAST_NODES) for x in "ab")
 
     stars = sized.join(ends, "key")
     tried = stars.select(F.col("lo").alias("a"), F.col("set_id").alias("b")).unionByName(stars.select(F.col("set_id").alias("a"), F.col("hi").alias("b"))).filter("a <> b").distinct()
@@ -220,16 +227,18 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int) -> tuple[Data
     labels = components(first)
     labelled = sized.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
     keys_left = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    left = labelled.join(keys_left, "key")
-    lists = left.groupBy("set_id", "root").agg(F.collect_list("key").alias("keys")).join(nodes, "set_id")
-    left = saved(lists.select(*about, "root", "keys", F.explode("keys").alias("key")), "open")
-    a, b = (left.select("key", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "root", "keys"))) for x in "ab")
-    # A pair counts at the smallest key that it shares.
+    in_order = Window.partitionBy("set_id").orderBy("key")
+    earlier = [f"k{i}" for i in range(1, 4)]
+    left = labelled.join(keys_left, "key").select("key", "set_id", "root", *(F.lag("key", i).over(in_order).alias(f"k{i}") for i in range(1, 4)))
+    left = saved(left.join(small(nodes.select(*about), BROADCAST_NODES), "set_id"), "open")
+    a, b = (left.select("key", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "root", *earlier))) for x in "ab")
+    # A pair is left to a smaller key where one of the few keys before this one is shared too.
+    seen = " or ".join(f"coalesce({k}_a in ({', '.join(f'{x}_b' for x in earlier)}), false)" for k in earlier)
     rest = saved(
         a.join(b, "key")
-        .filter(f"set_id_a < set_id_b and root_a <> root_b and {_may_link(percent)}")
-        .filter("key = array_min(array_intersect(keys_a, keys_b))")
+        .filter(f"set_id_a < set_id_b and root_a <> root_b and {_may_link(percent)} and not ({seen})")
         .select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
+        .distinct()
         .join(pairs, ["a", "b"], "left_anti"),
         "rest",
     )
