@@ -40,8 +40,11 @@ def decode_page_indexes(files: DataFrame) -> DataFrame:
 
 
 def page_offsets(indexes: DataFrame) -> DataFrame:
-    """One row per printed page: (source_file, asin, page, char_offset), pages counted from 1."""
-    return indexes.select("source_file", "asin", F.posexplode("page_offsets").alias("i", "char_offset")).select("source_file", "asin", (F.col("i") + 1).alias("page"), "char_offset")
+    """One row per printed page: (source_file, asin, page, char_offset), pages counted from 1.
+
+    The outer form of explode: before the inner one Spark filters by the array's size, and so decodes every file twice.
+    """
+    return indexes.select("source_file", "asin", F.posexplode_outer("page_offsets").alias("i", "char_offset")).filter("i is not null").select("source_file", "asin", (F.col("i") + 1).alias("page"), "char_offset")
 
 
 def read_page_indexes(spark: SparkSession, path: str | list[str]) -> DataFrame:
