@@ -27,6 +27,9 @@ GRAIN = 4096
 #: The share of a group that the estimates rest on, and the chi-square quantile (4 degrees
 #: of freedom) at that share.
 HALF, CHI2_HALF = 0.75, 5.385
+#: The share of normally distributed documents that the default cutoff rejects, and the chi-square quantile
+#: (4 degrees of freedom) that leaves this share above it: exp(-x / 2) * (1 + x / 2) = FALSE_REJECTIONS.
+FALSE_REJECTIONS, CUTOFF = 0.001, 18.467
 #: Squared distances in bins of equal ratio.
 BINS_PER_E, MAX_BIN = 32, 1023
 #: Estimates of up to so many groups (200 bytes each) are broadcast.
@@ -165,14 +168,15 @@ def _c_step(points: DataFrame, estimates: DataFrame) -> DataFrame:
     return near.groupBy("g", "start").agg(F.max("bin").alias("bin"), *(F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in DIMS), *(f"q{i}{j}" for i, j in PAIRS)]))
 
 
-def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_words: int = 50, max_repeat_pct: int = 50, cutoff: float = 80.0, min_group: int = 200, steps: int = 4) -> DataFrame:
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_words: int = 50, max_repeat_pct: int = 50, cutoff: float = CUTOFF, min_group: int = 200, steps: int = 4) -> DataFrame:
     """Judge every row of ``docs`` (text, lang, source and the columns of ``carry``).
 
     Returns row (a struct of ``carry``), the five counts, base_failed, distance (the squared
     Mahalanobis distance; null if base_failed or too few documents are left to estimate from) and kept.
 
     ``cutoff`` is in units of the chi-square distribution with four degrees of freedom; the
-    default is far out, as text statistics have heavy tails. Groups of fewer than ``min_group``
+    default rejects one of a thousand documents where the statistics are normal, and more where their
+    tails are heavier. Groups of fewer than ``min_group``
     documents are judged together; if those are fewer than 10, the rule rejects none of them.
     A null text has no words (so it fails the base rule); null languages and sources are groups
     of their own; an empty table gives an empty result; repeated rows are judged alike.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -18,7 +19,7 @@ from marginalia.llm.decontaminate import decontaminate, leaks
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources, source_targets
 from marginalia.llm.ngram_join import Plan, ngram_join, one_of_each
-from marginalia.llm.quality import quality_rules
+from marginalia.llm.quality import CUTOFF, FALSE_REJECTIONS, quality_rules
 from marginalia.llm.sharding import ring_shards
 from marginalia.llm.substring_dedup import substring_dedup
 from marginalia.llm.token_counts import counter, read_cache, token_counts
@@ -125,6 +126,17 @@ class TestQuality:
         assert all(got[i] for i in range(300))
         assert not any(got[1000 + i] for i in range(20))
 
+    def test_cutoff_is_the_stated_quantile(self, spark):
+        """A document that is far out for a chi-square variable goes, though it is no extreme."""
+        assert math.exp(-CUTOFF / 2) * (1 + CUTOFF / 2) == pytest.approx(FALSE_REJECTIONS, rel=1e-3)
+        r = random.Random(6)
+        prose = lambda: ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(r.randint(60, 200))]
+        rows = [(i, " ".join(prose()), "en", "s1", 0, 0, "", "", 0) for i in range(300)]
+        rows += [(1000 + i, " ".join(w + "%" * (k % 4 == 0) for k, w in enumerate(prose())), "en", "s1", 0, 0, "", "", 0) for i in range(10)]
+        got = {x.doc_id: x for x in quality_rules(corpus.frame(spark, rows)).select("row.doc_id", "distance", "kept").collect()}
+        assert all(got[i].kept for i in range(300))
+        assert all(CUTOFF < got[1000 + i].distance < 60 and not got[1000 + i].kept for i in range(10))
+
     def test_empty(self, empty):
         assert quality_rules(empty).count() == 0
 
