@@ -1,15 +1,16 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Windows of a document are looked at where it shares a word shingle with an item: two texts
-of similarity over 0 share one, so no window that could pass is left out. Each such window, as
-long as the item, gets a SimHash of its weighted shingles; fingerprints are cut into one block
+Windows as long as an item may start at every word of a document, as the similarity is of bags and
+blind to order. Of all these, a window is looked at if the shingles that it shares with items of its size weigh
+enough: what it has in common with an item weighs no more than those, and no less than ``percent`` of the item
+if it passes, so no window that could pass is left out. Each window looked at gets a SimHash of its weighted shingles; fingerprints are cut into one block
 more than the radius, so that two within the radius agree in a whole block, and are joined by
 (size, block, value). Candidates within the radius are verified by their exact weighted Jaccard similarity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import lower_ascii, saved, small, words
@@ -47,6 +48,24 @@ def _blocks(radius: int) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for i, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False))))
 
 
+def _windows(seeds: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, th, m, start) of all windows of m words whose shared shingles weigh ``percent`` of the lightest item of m words.
+
+    ``seeds`` (doc_id, th, n, m, pos, idf, least): the shared shingles of texts of n words. A window whose first shared
+    shingle is at pos starts after the seed before it, and holds the seeds of the m - n shingles from there on.
+    """
+    own = Window.partitionBy("doc_id", "th", "m")
+    # Places in units of a window's shingles, so that one range serves all sizes; halves keep the comparison off rounding.
+    within = own.orderBy(F.col("pos") * 2 / (2 * (F.col("m") - n) + 1)).rangeBetween(0, 1)
+    near = seeds.select("*", F.lag("pos").over(own.orderBy("pos")).alias("prev"), F.sum("idf").over(within).alias("ahead"), F.collect_list(F.struct("pos", "idf")).over(within).alias("shared"))
+    near = near.filter(100 * F.col("ahead") >= percent * F.col("least"))
+    lo = F.greatest(F.lit(0), F.coalesce(F.col("prev") + 1, F.lit(0)), F.col("pos") - (F.col("m") - n))
+    hi = F.least(F.col("pos"), F.greatest(F.lit(0), F.col("n") - F.col("m")))
+    starts = near.select("*", lo.alias("lo"), hi.alias("hi")).filter("lo <= hi").select("doc_id", "th", "m", "least", "shared", F.explode(F.sequence("lo", "hi")).alias("start"))
+    inside = F.expr(f"aggregate(shared, 0L, (a, x) -> a + if(x.pos <= start + m - {n}, x.idf, 0L))")
+    return starts.filter(100 * inside >= percent * F.col("least")).select("doc_id", "th", "m", "start")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80, radius: int = 19) -> DataFrame:
     """(doc_id, th, item_id, n_words, start, hamming, similarity): every item found in a document, by its best window.
 
@@ -67,10 +86,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80,
 
     parsed = docs.select("doc_id", F.xxhash64("text").alias("th"), words(lower_ascii(F.col("text"))).alias("w"))
     grams = parsed.select("doc_id", "th", F.size("w").alias("n"), _grams(n).alias("grams"))
+    held = where.join(weights, "sh").groupBy("sh", "m").agg(F.first("idf").alias("idf"))
+    least = where.join(weights, "sh").groupBy("item_id", "m").agg(F.sum("idf").alias("total")).groupBy("m").agg(F.min("total").alias("least"))
+    held = saved(held.join(least, "m"), "held")
     # explode_outer: for the inner form Spark adds a filter on the array's size, and so computes it twice, word by word
-    seeds = grams.select("doc_id", "th", "n", F.posexplode_outer("grams").alias("pos", "sh")).join(small(where.select("sh", "m", "ipos").distinct(), BROADCAST_ROWS), "sh")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("ipos"), F.col("n") - F.col("m")))
-    windows = saved(seeds.select("doc_id", "th", "m", start.alias("start")).distinct(), "windows")
+    seeds = grams.select("doc_id", "th", "n", F.posexplode_outer("grams").alias("pos", "sh")).join(small(held, BROADCAST_ROWS), "sh")
+    windows = saved(_windows(seeds.select("doc_id", "th", "n", "m", "pos", "idf", "least").distinct(), n, percent), "windows")
 
     by_text = windows.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("m", "start")).alias("windows"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))

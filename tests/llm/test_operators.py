@@ -202,6 +202,37 @@ class TestDecontamination:
         left = decontaminate(docs, self.items(spark, item)).collect()
         assert ordered(x.doc_id for x in left) == [0, 3, 5, 6]
 
+    def test_best_window_of_all(self, spark):
+        """Passages in another order, with gaps and at the ends, against all windows of the item's size."""
+        r = random.Random(4)
+        word = lambda: "".join(r.choice("lmnopq") for _ in range(4))
+        items = [[word() for _ in range(m)] for m in (60, 60, 80)]
+        items[1][:30] = items[0][30:]  # items share a passage
+        texts = []
+        for x in items:
+            for cut in (len(x) // 2, len(x) // 3):
+                turned = x[cut:] + x[:cut]
+                for before, after in ((0, 0), (7, 9), (0, 30), (30, 0)):
+                    texts.append([word() for _ in range(before)] + turned + [word() for _ in range(after)])
+            texts.append(x[:-3])
+            texts.append(x[:20] + [word()] + x[20:] + x[:20])
+            texts.append(x[: len(x) // 2])
+        docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id bigint, text string")
+        grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        df = Counter(g for x in items for g in grams(x))
+        weight = lambda g: round(math.log(1 + len(items) / df.get(g, 1)) * 1000)
+        want = {}
+        for d, text in enumerate(texts):
+            for k, x in enumerate(items):
+                for start in range(max(1, len(text) - len(x) + 1)):
+                    a, b = grams(text[start : start + len(x)]), grams(x)
+                    both, total = (sum(weight(g) * c for g, c in bag.items()) for bag in (a & b, a | b))
+                    if 100 * both >= 80 * total and (both / total, -start) > want.get((d, k), (0, 0)):
+                        want[d, k] = (both / total, -start)
+        assert set(range(8)) <= {d for d, _ in want}, "both parts lie in one window"
+        got = leaks(docs, self.items(spark, [" ".join(x) for x in items])).collect()
+        assert {(f.doc_id, f.item_id): (round(f.similarity, 9), -f.start) for f in got} == {k: (round(s, 9), at) for k, (s, at) in want.items()}
+
     def test_empty_tables(self, spark, empty, docs):
         assert leaks(empty, self.items(spark, ["a b c d e f"])).count() == 0
         assert leaks(docs, self.items(spark, [None])).count() == 0
