@@ -207,8 +207,12 @@ def _as(df: DataFrame, side: str, *columns: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
-def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(edges between sets: a, b; components: node, root) of the sets in ``keyed``."""
+def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(edges between sets: a, b; components: node, root) of the sets in ``keyed``.
+
+    The edges are those that join the components, or with ``every`` (then without components) all pairs of
+    different sets that link, once each with a < b.
+    """
     posted = keyed.filter("n > 0").select(F.explode("keys").alias("key"), "set_id")
     shared = saved(posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "shared")
     met = saved(posted.join(small(shared, BROADCAST_ROWS), "key").distinct(), "postings")
@@ -224,8 +228,11 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int) -> tuple[Data
     pairs = saved(tried.join(side_a, "a").join(side_b, "b").filter(_may_link(percent)).select("a", "b"), "pairs")
     first = saved(_verify(pairs, docs, nodes, n, percent), "links")
 
-    labels = components(first)
-    labelled = sized.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
+    if every:
+        labelled = sized.select("key", "set_id", F.col("set_id").alias("root"))
+    else:
+        labels = components(first)
+        labelled = sized.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
     keys_left = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     in_order = Window.partitionBy("set_id").orderBy("key")
     earlier = [f"k{i}" for i in range(1, 4)]
@@ -243,7 +250,7 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int) -> tuple[Data
         "rest",
     )
     edges = first.unionByName(saved(_verify(rest, docs, nodes, n, percent), "more-links"))
-    return edges, components(edges)
+    return edges, None if every else components(edges)
 
 
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5, percent: int = 80) -> DataFrame:
@@ -275,6 +282,21 @@ def ngram_join(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5
     return near_duplicates(docs, carry, n, percent).select("row", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
 
 
+def ngram_links(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5, percent: int = 80) -> DataFrame:
+    """(row, n_shingles, n_links): with how many other rows each row of ``docs`` links directly, by the rules of ``ngram_join``.
+
+    Every pair of different sets that link is verified; rows of equal sets are counted by the size of their class, not paired.
+    """
+    ship(docs.sparkSession)
+    keyed = saved(ngram_sets(docs, carry, n, percent), "sets")
+    edges = saved(links(docs, keyed, n, percent, every=True)[0], "edges")
+    sizes = saved(keyed.filter("n > 0").groupBy("set_id").agg(F.count("*").alias("c")), "sizes")
+    ends = edges.select(F.col("a").alias("own"), F.col("b").alias("set_id")).unionByName(edges.select(F.col("b").alias("own"), F.col("a").alias("set_id")))
+    others = ends.join(sizes, "set_id").groupBy(F.col("own").alias("set_id")).agg(F.sum("c").alias("others"))
+    counts = saved(sizes.join(others, "set_id", "left").select("set_id", (F.col("c") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counts")
+    return keyed.select("row", "n", "set_id").join(counts, "set_id", "left").select("row", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of the smallest doc_id, then text hash.
 

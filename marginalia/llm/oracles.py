@@ -50,6 +50,13 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id FROM documents d
 LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id"""
 
+_NGRAM_LINKS = (
+    _NGRAM_JOIN.partition(",\nreach(a, b)")[0]
+    + """
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(l.c, 0) AS BIGINT) AS n_links FROM documents d
+LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, count(*) AS c FROM links GROUP BY a) l ON l.a = d.doc_id"""
+)
+
 _LINE_DEDUP = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
 marked AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word FROM l),
@@ -72,6 +79,7 @@ ORACLES: dict[str, str] = {
     "op3_mixing": _MIXING,
     "op5_warc": _WARC,
     "op6_ngram_jaccard_join": _NGRAM_JOIN,
+    "op6_ngram_links": _NGRAM_LINKS,
     "op8_line_dedup": _LINE_DEDUP,
     "op9_substring_dedup": _SUBSTRING_DEDUP,
 }

@@ -10,7 +10,7 @@ from marginalia.llm.common import new_path, table
 from marginalia.llm.decontaminate import leaks
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources
-from marginalia.llm.ngram_join import ngram_join
+from marginalia.llm.ngram_join import ngram_join, ngram_links
 from marginalia.llm.quality import quality_rules
 from marginalia.llm.sharding import ring_shards
 from marginalia.llm.substring_dedup import substring_dedup
@@ -53,6 +53,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("row.doc_id", "n_shingles", "component_id")
 
 
+def op6_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = ngram_links(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return linked.select("row.doc_id", "n_shingles", "n_links")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op6_ngram_links": op6_ngram_links,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,

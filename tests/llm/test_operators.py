@@ -18,7 +18,7 @@ from marginalia.llm.common import new_path, words as word_column
 from marginalia.llm.decontaminate import decontaminate, leaks
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources, source_targets
-from marginalia.llm.ngram_join import Plan, ngram_join, one_of_each
+from marginalia.llm.ngram_join import Plan, ngram_join, ngram_links, one_of_each
 from marginalia.llm.quality import CUTOFF, FALSE_REJECTIONS, quality_rules
 from marginalia.llm.sharding import ring_shards
 from marginalia.llm.substring_dedup import substring_dedup
@@ -292,6 +292,18 @@ class TestNgramJoin:
         got = ngram_join(docs, n=n, percent=percent).select("row.doc_id", "n_shingles", "component_id").collect()
         assert ordered(map(tuple, got)) == ordered(corpus.components(rows, n, percent))
 
+    def test_all_links(self, spark):
+        """A group of near copies that all link, with equal rows and empty ones among them: none of its pairs is left out."""
+        base = [f"w{i}" for i in range(200)]
+        texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 200, 10)]
+        texts += [texts[3]] * 3 + [" ".join(base[:40]), "", None]
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(corpus.words, texts)]
+        linked = lambda a, b: bool(a) and 100 * len(a & b) >= 90 * len(a | b)
+        want = [(i, len(a), sum(i != j and linked(a, b) for j, b in enumerate(sets))) for i, a in enumerate(sets)]
+        assert max(x[2] for x in want) == 22
+        assert ordered(map(tuple, ngram_links(frame, n=3, percent=90).select("row.doc_id", "n_shingles", "n_links").collect())) == ordered(want)
+
     def test_keys_meet_for_every_pair_of_linked_sets(self):
         r = np.random.default_rng(7)
         for percent in (80, 90):
