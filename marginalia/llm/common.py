@@ -62,6 +62,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until ``df`` has no such column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, for functions that run in Python there."""
     app = spark.sparkContext.applicationId

@@ -2,15 +2,16 @@
 
 Two sets link when their Jaccard similarity reaches ``percent``. Small sets enumerate
 the hashes of all their subsets of the sizes that a link needs; two of them share such a
-subset exactly when they link. Large sets go to inverted lists. A list per shingle would
-be as long as the most repeated passage, so the lists stand for pieces: the hash range
-is cut into one piece more than the largest symmetric difference that a link allows (and
-some spare ones), and sets that link agree in whole pieces. The boundary between small
-and large is the last size at which enumeration costs less than the lists.
-
-Sets that share a key are candidates. First every list is joined with two pivots of its
-own only; components of those links are contracted, and then the remaining pairs that
-stand in different components are verified, so that a group of n near copies costs about
+subset exactly when they link. Large sets go to inverted lists, one for each shingle, which are
+scanned. Sets that link have so much in common that one of the rarest shingles of each is among them:
+with all shingles in one order, the first ``n - ceil(percent * n / 100) + 1`` of a set suffice. The order
+puts shingles of few documents first, so that a passage of many documents makes no long list unless
+nearly the whole text consists of such passages. The boundary between small and large is the last
+size at which enumeration costs less than the lists.
+
+Sets that share a key are candidates. Each list is first scanned for two pivots only, and every set is compared
+with the nearest pivot it met; components of those links are contracted, and then the pairs
+of each list that stand in different components are verified, so that a group of n near copies costs about
 n comparisons and no link between components is lost. Before two sets are brought together, the
 parities of their members in 512 cells are compared: these differ in at most as many cells as the sets
 have members of one only, so pairs beyond the allowed difference are out for certain.
@@ -18,8 +19,7 @@ have members of one only, so pairs beyond the allowed difference are out for cer
 
 from __future__ import annotations
 
-from functools import lru_cache
-from math import comb, exp
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +27,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import grams
-from marginalia.llm.common import saved, ship, small
+from marginalia.llm.common import fresh, saved, ship, small
 from marginalia.llm.graph import components
 
-#: A table of up to so many keys of at most 24 bytes is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: A table of up to so many rows of at most 24 bytes is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 250_000
 #: A table of up to so many sets with their sketches (100 bytes each) is broadcast.
-BROADCAST_NODES = 400_000
+BROADCAST_NODES = 100_000
 #: 64-bit words of the parity sketch.
 SKETCH = 8
 SKETCH_COLUMNS = [f"p{i}" for i in range(SKETCH)]
+#: What scanning a list costs for each set in it, in keys of a small set.
+SCAN = 4
+#: The order of shingles tells apart documents' counts under 16, under 64, under 256, ... by a table of 2**CELL_BITS cells.
+CELL_BITS = 24
+STEPS = [16 * 4**i for i in range(8)]
+#: Bits of a shingle's hash that are counted; shingles that agree in them share a place in the order.
+COUNT_BITS = 40
 
 
 class Plan:
@@ -46,9 +53,8 @@ class Plan:
         if not 50 < percent <= 100:
             raise ValueError("percent must be over 50 and at most 100")
         self.percent = percent
-        self.classes: list[tuple[int, int, int, int]] = []
         self.boundary = 0
-        while self.boundary < 64 and self._light(self.boundary + 1) <= self._heavy(self.boundary + 1):
+        while self.boundary < 64 and self._light(self.boundary + 1) <= self.first(self.boundary + 1) * (1 + SCAN):
             self.boundary += 1
 
     def overlap(self, s: int, t: int) -> int:
@@ -58,63 +64,32 @@ class Plan:
     def largest(self, s: int) -> int:
         return 100 * s // self.percent
 
+    def first(self, s: int) -> int:
+        """How many of a set's rarest shingles meet one of any set that it links with."""
+        return s - -(-self.percent * s // 100) + 1
+
     def removals(self, s: int, most: int) -> list[int]:
         """How many shingles the subsets leave out, over all partner sizes up to ``most``."""
         least = -(-self.percent * s // 100)
         sizes = {self.overlap(s, t) for t in range(max(1, least), min(most, self.largest(s)) + 1)}
         return sorted({s - c for c in sizes if c <= s})
 
-    def _light(self, s: int) -> float:
+    def _light(self, s: int) -> int:
         return sum(comb(s, j) for j in self.removals(s, 2 * s))
 
-    def _heavy(self, s: int) -> float:
-        pieces = self._pieces(s, s)[0]
-        return pieces * (1 + 16 * 2.0 ** (-s / pieces))  # pieces of few shingles have long lists
-
-    def _pieces(self, largest: int, smallest: int) -> tuple[int, int]:
-        """(pieces, how many of them may be empty) for pairs of sets within these sizes.
-
-        The spare pieces make up for the empty ones that even the smallest set is likely to have.
-        """
-        differ = 2 * largest * (100 - self.percent) // (100 + self.percent)
-        spare = 2
-        for _ in range(10):
-            pieces = differ + 1 + spare
-            spare = min(differ + 3, 2 + int(1.3 * pieces * exp(-smallest / pieces)))
-        return differ + 1 + spare, spare
-
-    @lru_cache(maxsize=None)
-    def size_classes(self, s: int) -> tuple[tuple[int, int], ...]:
-        """(pieces, spare) of each size class in which a set of size s may meet a large partner."""
-        lo, hi = max(s, self.boundary + 1), self.largest(s)
-        if hi < lo:
-            return ()
-        a, out = self.boundary + 1, []
-        while a <= hi:
-            b = a * 7 // 5 + 2
-            if b > lo:
-                out.append(self._pieces(b - 1, a * self.percent // 100))
-            a = b
-        return tuple(out)
-
-    def keys(self, members: np.ndarray) -> np.ndarray:
-        """The keys of a sorted set of 64-bit shingle hashes."""
+    def keys(self, members: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """The keys of a sorted set of 64-bit shingle hashes; ``levels`` is the table of ``frequency_levels``."""
         s, found = len(members), []
-        mixed = grams.mix(members)
         if s <= self.boundary:
+            mixed = grams.mix(members)
             total = mixed.sum(dtype=np.uint64)
             for j in self.removals(s, self.boundary):
                 left = np.array([total]) - _sums(mixed, j)
                 found.append(grams.mix(left * np.uint64(3) + np.uint64(s - j)))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
-        for m, spare in self.size_classes(s):
-            piece = ((members >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            cut = np.searchsorted(piece, np.arange(m + 1, dtype=np.uint64))
-            empty = np.diff(cut) == 0
-            key = grams.mix((sums[cut[1:]] - sums[cut[:-1]]) * np.uint64(3) + np.uint64(m << 32) + np.arange(m, dtype=np.uint64))
-            # Linked sets agree in more than ``spare`` pieces: in one with members, or both have too many empty ones.
-            found.append(key if empty.sum() > spare else key[~empty])
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+        if self.largest(s) > self.boundary:
+            level = levels[members >> np.uint64(64 - CELL_BITS)]
+            found.append(members[np.argsort(level, kind="stable")[: self.first(s)]])
+        return np.unique(np.concatenate(found))
 
 
 def _sums(values: np.ndarray, j: int) -> np.ndarray:
@@ -132,11 +107,9 @@ def _sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(cell, minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
 
 
-def _identity(members: np.ndarray) -> bytes:
-    """128 bits that stand for a set."""
-    a = grams.mix(members).sum(dtype=np.uint64)
-    b = grams.mix(members + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-    return np.array([a, b]).tobytes()
+def _node(members: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return int(grams.mix(grams.mix(members).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(members))).view(np.int64)[0])
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -151,16 +124,43 @@ def _rows(batch: pa.RecordBatch, n: int, of):
         yield lo, hi, [of(grams.shingle_set(words[offsets[i] : offsets[i + 1]], n)) for i in range(hi - lo)]
 
 
-def _keys_of(percent: int, n: int):
+def _counted(n: int):
+    def run(batches):
+        for batch in batches:
+            for _, _, sets in _rows(batch, n, lambda m: m >> np.uint64(64 - COUNT_BITS)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
+
+    return run
+
+
+def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
+    """For each cell of shingle hashes, how many of STEPS the most frequent shingle of the cell reaches, counted over all documents.
+
+    A table of 2**CELL_BITS bytes, whatever the input. It decides the order of a set's shingles and so the cost, not the result.
+    """
+    cell = F.shiftright("shingle", COUNT_BITS - CELL_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(shingle, {COUNT_BITS - CELL_BITS}) & 63 as int))")
+    frequent = docs.select("text").mapInArrow(_counted(n), "shingle bigint").groupBy("shingle").agg(F.count("*").alias("c")).filter(F.col("c") >= STEPS[0])
+    steps = [F.bit_or(F.when(F.col("c") >= step, bit)).alias(f"s{i}") for i, step in enumerate(STEPS)]
+    found = frequent.groupBy(F.shiftright(cell, 6).alias("word")).agg(*steps).toArrow()  # 2**(CELL_BITS - 6) rows at most
+    levels = np.zeros((1 << (CELL_BITS - 6), 64), np.uint8)
+    at = found.column("word").to_numpy()
+    for i in range(len(STEPS)):
+        bits = found.column(f"s{i}").fill_null(0).to_numpy()
+        levels[at] += (bits[:, None] >> np.arange(64) & 1).astype(np.uint8)
+    return levels.reshape(-1)
+
+
+def _keys_of(percent: int, n: int, shared):
     def run(batches):
-        plan = Plan(percent)
+        plan, levels = Plan(percent), shared.value
         for batch in batches:
-            for lo, hi, made in _rows(batch, n, lambda m: (_identity(m), len(m), plan.keys(m) if len(m) else m, _sketch(m))):
-                ids, sizes, keys, sketches = zip(*made, strict=True)
+            for lo, hi, made in _rows(batch, n, lambda m: (_node(m), len(m), plan.keys(m, levels) if len(m) else m, _sketch(m))):
+                nodes, sizes, keys, sketches = zip(*made, strict=True)
                 parity = np.stack(sketches, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), _lists(list(keys)), *(pa.array(p) for p in parity)],
-                    names=["row", "text_hash", "set_id", "n", "keys", *SKETCH_COLUMNS],
+                    [batch.column("row").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(list(keys)), *(pa.array(p) for p in parity)],
+                    names=["row", "text_hash", "node", "n", "keys", *SKETCH_COLUMNS],
                 )
 
     return run
@@ -169,42 +169,45 @@ def _keys_of(percent: int, n: int):
 def _sets_of(n: int):
     def run(batches):
         for batch in batches:
-            for _, _, made in _rows(batch, n, lambda m: (_identity(m), m)):
-                ids, sets = zip(*made, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), _lists(list(sets))], names=["set_id", "members"])
+            for _, _, made in _rows(batch, n, lambda m: (_node(m), m)):
+                nodes, sets = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(list(sets))], names=["node", "members"])
 
     return run
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets link. Only texts of sets in ``pairs`` are read again, one for each set."""
-    ids = saved(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), "paired")
-    hashes = saved(nodes.join(small(ids, BROADCAST_ROWS), "set_id").select("text_hash").distinct(), "texts")
-    chosen = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(small(hashes, BROADCAST_ROWS), "text_hash", "left_semi")
-    sets = saved(chosen.select("text").mapInArrow(_sets_of(n), "set_id binary, members array<bigint>").dropDuplicates(["set_id"]), "sets")
-    left = sets.select(F.col("set_id").alias("a"), F.col("members").alias("ma"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("members").alias("mb"))
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    hashes = saved(nodes.join(ids, "node").select("text_hash").distinct(), "texts")
+    chosen = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(small(hashes, BROADCAST_ROWS), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    sets = saved(chosen.select("text").mapInArrow(_sets_of(n), "node bigint, members array<bigint>").dropDuplicates(["node"]), "sets")
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
     both = F.size(F.array_intersect("ma", "mb"))
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("ma") + F.size("mb") - both)).select("a", "b")
 
 
 def ngram_sets(docs: DataFrame, carry: tuple[str, ...], n: int, percent: int) -> DataFrame:
-    """(row, text_hash, set_id, n, keys, p0..) of every row: its shingle set's identity, size, join keys and parity sketch."""
+    """(row, text_hash, node, n, keys, p0..) of every row: its shingle set's identity, size, join keys and parity sketch."""
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))
     row = F.struct(*carry)
     slim = docs.select(row.alias("row"), F.xxhash64("text").alias("text_hash"), "text")
     kind = slim.schema["row"].dataType.simpleString()
-    return slim.mapInArrow(_keys_of(percent, n), f"row {kind}, text_hash bigint, set_id binary, n bigint, keys array<bigint>, " + ", ".join(f"{p} bigint" for p in SKETCH_COLUMNS))
+    return slim.mapInArrow(_keys_of(percent, n, levels), f"row {kind}, text_hash bigint, node bigint, n bigint, keys array<bigint>, " + ", ".join(f"{p} bigint" for p in SKETCH_COLUMNS))
+
+
+_DISTANCE = " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in SKETCH_COLUMNS)
 
 
 def _may_link(percent: int) -> str:
     """SQL condition on n_a, n_b and both sketches that every pair of linked sets fulfils."""
     differ = f"(n_a + n_b - 2 * (({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}))"
-    parity = " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in SKETCH_COLUMNS)
-    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {parity} <= {differ}"
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {_DISTANCE} <= {differ}"
 
 
-def _as(df: DataFrame, side: str, *columns: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"{c}_{side}") for c in columns))
+def _side(nodes: DataFrame, x: str) -> DataFrame:
+    return small(nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *SKETCH_COLUMNS))), BROADCAST_NODES)
 
 
 def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -213,44 +216,38 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int, every: bool =
     The edges are those that join the components, or with ``every`` (then without components) all pairs of
     different sets that link, once each with a < b.
     """
-    posted = keyed.filter("n > 0").select(F.explode("keys").alias("key"), "set_id")
-    shared = saved(posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "shared")
-    met = saved(posted.join(small(shared, BROADCAST_ROWS), "key").distinct(), "postings")
-    ends = saved(met.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo <> hi"), "pivots")
-    sized = saved(met.join(small(ends.select("key"), BROADCAST_ROWS), "key"), "met")
-    about = ["set_id", "n", *SKETCH_COLUMNS]
-    ids = saved(sized.select("set_id").distinct(), "wanted")
-    nodes = saved(keyed.select(*about, "text_hash").join(small(ids, BROADCAST_ROWS), "set_id").groupBy(*about).agg(F.min("text_hash").alias("text_hash")), "nodes")
-    side_a, side_b = (small(_as(nodes, x, *about).withColumnRenamed(f"set_id_{x}", x), BROADCAST_NODES) for x in "ab")
-
-    stars = sized.join(ends, "key")
-    tried = stars.select(F.col("lo").alias("a"), F.col("set_id").alias("b")).unionByName(stars.select(F.col("set_id").alias("a"), F.col("hi").alias("b"))).filter("a <> b").distinct()
-    pairs = saved(tried.join(side_a, "a").join(side_b, "b").filter(_may_link(percent)).select("a", "b"), "pairs")
-    first = saved(_verify(pairs, docs, nodes, n, percent), "links")
-
+    posted = keyed.filter("n > 0").select(F.explode("keys").alias("key"), "node")
+    pivots = saved(posted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"), "pivots")
+    met = saved(posted.join(small(pivots, BROADCAST_ROWS), "key").distinct(), "met")
+    about = ["node", "n", *SKETCH_COLUMNS]
+    nodes = saved(keyed.select(*about, "text_hash").join(small(saved(met.select("node").distinct(), "wanted"), BROADCAST_ROWS), "node").groupBy(*about).agg(F.min("text_hash").alias("text_hash")), "nodes")
     if every:
-        labelled = sized.select("key", "set_id", F.col("set_id").alias("root"))
-    else:
-        labels = components(first)
-        labelled = sized.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
-    keys_left = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    in_order = Window.partitionBy("set_id").orderBy("key")
-    earlier = [f"k{i}" for i in range(1, 4)]
-    left = labelled.join(keys_left, "key").select("key", "set_id", "root", *(F.lag("key", i).over(in_order).alias(f"k{i}") for i in range(1, 4)))
-    left = saved(left.join(small(nodes.select(*about), BROADCAST_NODES), "set_id"), "open")
-    a, b = (left.select("key", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "root", *earlier))) for x in "ab")
-    # A pair is left to a smaller key where one of the few keys before this one is shared too.
-    seen = " or ".join(f"coalesce({k}_a in ({', '.join(f'{x}_b' for x in earlier)}), false)" for k in earlier)
-    rest = saved(
-        a.join(b, "key")
-        .filter(f"set_id_a < set_id_b and root_a <> root_b and {_may_link(percent)} and not ({seen})")
-        .select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
+        sized = saved(met.select("key", "node").join(small(nodes.select(*about), BROADCAST_NODES), "node"), "open")
+        a, b = (sized.select("key", *(F.col(c).alias(f"{c}_{x}") for c in about)) for x in "ab")
+        pairs = a.join(b, "key").filter(f"node_a < node_b and {_may_link(percent)}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        return _verify(saved(pairs, "pairs"), docs, nodes, n, percent), None
+
+    stars = met.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(met.select(F.col("node").alias("a"), F.col("hi").alias("b"))).filter("a <> b").distinct()
+    near = stars.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").filter(_may_link(percent)).select("a", "b", F.expr(_DISTANCE).alias("d"))
+    tried = saved(near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select("best.a", "b"), "tried")
+    first = saved(_verify(tried, docs, nodes, n, percent), "links")
+
+    labelled = saved(met.select("key", "node").join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "labelled")
+    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = saved(sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("main")), "main")
+    left = saved(labelled.join(small(main, BROADCAST_ROWS), "key").join(small(nodes.select(*about), BROADCAST_NODES), "node"), "open")
+    a, b = (left.select("key", "main", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "root"))) for x in "ab")
+    # Of each list, the sets outside its most frequent component are compared with all others.
+    rest = (
+        a.filter("root_a <> main")
+        .join(b.drop("main"), "key")
+        .filter(f"(root_b = main or node_a < node_b) and root_a <> root_b and {_may_link(percent)}")
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         .distinct()
-        .join(pairs, ["a", "b"], "left_anti"),
-        "rest",
     )
+    rest = saved(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     edges = first.unionByName(saved(_verify(rest, docs, nodes, n, percent), "more-links"))
-    return edges, None if every else components(edges)
+    return edges, components(edges)
 
 
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5, percent: int = 80) -> DataFrame:
@@ -260,11 +257,11 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: in
     keyed = saved(ngram_sets(docs, with_id, n, percent), "sets")
     _, parts = links(docs, keyed, n, percent)
     own = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("doc_id"), "text_hash")
-    least = keyed.filter("n > 0").groupBy("set_id").agg(F.min(own).alias("first"))
-    named = least.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    classes = saved(named.join(named.groupBy("root").agg(F.min("first").alias("f")), "root").select("set_id", F.col("f").alias("first")), "classes")
+    least = keyed.filter("n > 0").groupBy("node").agg(F.min(own).alias("first"))
+    named = least.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = saved(named.join(named.groupBy("root").agg(F.min("first").alias("f")), "root").select("node", F.col("f").alias("first")), "classes")
     row = F.struct(*(F.col("row")[c].alias(c) for c in carry)).alias("row")
-    return keyed.select("row", "text_hash", "n", "set_id").join(classes, "set_id", "left").select(row, "text_hash", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(own).alias("first"))
+    return keyed.select("row", "text_hash", "n", "node").join(classes, "node", "left").select(row, "text_hash", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(own).alias("first"))
 
 
 def ngram_join(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5, percent: int = 80) -> DataFrame:
@@ -290,29 +287,30 @@ def ngram_links(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int =
     ship(docs.sparkSession)
     keyed = saved(ngram_sets(docs, carry, n, percent), "sets")
     edges = saved(links(docs, keyed, n, percent, every=True)[0], "edges")
-    sizes = saved(keyed.filter("n > 0").groupBy("set_id").agg(F.count("*").alias("c")), "sizes")
-    ends = edges.select(F.col("a").alias("own"), F.col("b").alias("set_id")).unionByName(edges.select(F.col("b").alias("own"), F.col("a").alias("set_id")))
-    others = ends.join(sizes, "set_id").groupBy(F.col("own").alias("set_id")).agg(F.sum("c").alias("others"))
-    counts = saved(sizes.join(others, "set_id", "left").select("set_id", (F.col("c") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counts")
-    return keyed.select("row", "n", "set_id").join(counts, "set_id", "left").select("row", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    sizes = saved(keyed.filter("n > 0").groupBy("node").agg(F.count("*").alias("c")), "sizes")
+    ends = edges.select(F.col("a").alias("own"), F.col("b").alias("node")).unionByName(edges.select(F.col("b").alias("own"), F.col("a").alias("node")))
+    others = ends.join(sizes, "node").groupBy(F.col("own").alias("node")).agg(F.sum("c").alias("others"))
+    counts = saved(sizes.join(others, "node", "left").select("node", (F.col("c") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counts")
+    return keyed.select("row", "n", "node").join(counts, "node", "left").select("row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of the smallest doc_id, then text hash.
 
-    Texts without words all stay; of rows that repeat id and text, the first in the order of their other columns stays.
+    Texts without words (null ones too) all stay; null ids come last; of rows that repeat id and text, the first in the
+    order of their other columns stays; columns may have any names; an empty table gives an empty result.
     """
     judged = saved(near_duplicates(docs, ("doc_id",), n, percent).select("row.doc_id", "text_hash", "n", "first"), "judged")
     chosen = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
-    key = [F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")]
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    own_id, own_text, rank = fresh(docs, "own_id", "own_text", "rank")
+    key = [F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_text)]
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_text))
     dropped = saved(judged.filter(~chosen).select(*key).distinct(), "dropped")
-    repeated = saved(judged.filter(chosen & (F.col("n") > 0)).groupBy(*key).agg(F.count("*").alias("c")).filter("c > 1").select("_d", "_t"), "repeated")
+    repeated = saved(judged.filter(chosen & (F.col("n") > 0)).groupBy(*key).agg(F.count("*").alias("c")).filter("c > 1").select(own_id, own_text), "repeated")
     left = docs.join(small(dropped, BROADCAST_ROWS), same, "left_anti")
     if repeated.isEmpty():
         return left
     again = left.join(small(repeated, BROADCAST_ROWS), same, "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rank = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*others) if others else Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    firsts = again.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"]
+    firsts = again.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*others))).filter(F.col(rank) == 1).drop(rank)
     return left.join(small(repeated, BROADCAST_ROWS), same, "left_anti").unionByName(firsts)

@@ -79,7 +79,7 @@ ORACLES: dict[str, str] = {
     "op3_mixing": _MIXING,
     "op5_warc": _WARC,
     "op6_ngram_jaccard_join": _NGRAM_JOIN,
-    "op6_ngram_links": _NGRAM_LINKS,
+    "ngram_links": _NGRAM_LINKS,
     "op8_line_dedup": _LINE_DEDUP,
     "op9_substring_dedup": _SUBSTRING_DEDUP,
 }

@@ -53,7 +53,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("row.doc_id", "n_shingles", "component_id")
 
 
-def op6_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ngram_links_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = ngram_links(table(spark, sf_dir, "documents"), n=3, percent=90)
     return linked.select("row.doc_id", "n_shingles", "n_links")
 
@@ -90,7 +90,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
-    "op6_ngram_links": op6_ngram_links,
+    "ngram_links": ngram_links_of_documents,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,

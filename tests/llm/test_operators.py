@@ -18,7 +18,7 @@ from marginalia.llm.common import new_path, words as word_column
 from marginalia.llm.decontaminate import decontaminate, leaks
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources, source_targets
-from marginalia.llm.ngram_join import Plan, ngram_join, ngram_links, one_of_each
+from marginalia.llm.ngram_join import CELL_BITS, Plan, ngram_join, ngram_links, one_of_each
 from marginalia.llm.quality import CUTOFF, FALSE_REJECTIONS, quality_rules
 from marginalia.llm.sharding import ring_shards
 from marginalia.llm.substring_dedup import substring_dedup
@@ -306,6 +306,7 @@ class TestNgramJoin:
 
     def test_keys_meet_for_every_pair_of_linked_sets(self):
         r = np.random.default_rng(7)
+        levels = r.integers(0, 9, 1 << CELL_BITS, dtype=np.uint8)
         for percent in (80, 90):
             plan = Plan(percent)
             for _ in range(1500):
@@ -315,7 +316,7 @@ class TestNgramJoin:
                 b = np.unique(np.concatenate((a[shrink:], r.integers(0, 2**63, grow, dtype=np.uint64))))
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                    assert len(np.intersect1d(plan.keys(a), plan.keys(b))), (percent, len(a), len(b))
+                    assert len(np.intersect1d(plan.keys(a, levels), plan.keys(b, levels))), (percent, len(a), len(b))
 
     def test_one_of_each(self, docs, rows):
         left = one_of_each(docs).select(*corpus.DOCUMENT_COLUMNS).collect()
