@@ -3,9 +3,10 @@
 Each document draws an exponential key, scaled by its quality weight; within its source
 the smallest keys come first, and sizes are summed along them up to the token budget.
 A source whose target exceeds its size is repeated whole first (complete epochs), and
-only the rest of the target is selected by keys. The key range of every source is cut
-into slices; slices wholly below or above the budget need no order, so that no task ever
-sorts a source, however large its share of the rows.
+only the rest of the target is selected by keys. The keys of every source are cut
+into slices by their logarithm; slices wholly below or above the budget need no order, so that no task ever
+sorts a source, however large its share of the rows. As exponential keys of any scale spread over
+a few octaves, a slice holds some 1/10,000 of its source's rows, whatever the weights.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import n_words, saved, small
 
-#: Slices of each source's key range.
-SLICES = 512
-#: Decisions on up to so many slices (80 bytes each) are broadcast.
-BROADCAST_SLICES = 200_000
+#: Slices of each octave of keys.
+SLICES = 4096
+#: Plans of up to so many sources (100 bytes each) are broadcast.
+BROADCAST_SOURCES = 100_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -65,10 +66,10 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weight: C
     part, the choice is what comes nearer to the target.
 
     A null text has size 0 and is taken with its epoch; null sources are one source; rows with equal ids
-    draw equal keys and are ordered by size (rows repeated in full are exchangeable); an empty table gives an
-    empty result. Keys depend on id and ``seed`` only, so that reruns agree.
+    draw equal keys and are ordered by size (rows repeated in full are exchangeable); rows without an id draw by their
+    text; an empty table gives an empty result. Keys depend on these and ``seed`` only, so that reruns agree.
     """
-    unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     draws = saved(
         docs.select(
             F.struct(*carry).alias("row"),
@@ -76,23 +77,29 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weight: C
             "source",
             n_words(F.col("text")).alias("size"),
             (-F.log(unit) / (quality_weight() if weight is None else weight)).alias("key"),
-        ).withColumn("slice", F.floor((1.0 - F.exp(-F.col("key"))) * SLICES).cast("int")),
+        ).withColumn("slice", F.floor(F.log2("key") * SLICES)),
         "draws",
     )
     slices = saved(draws.groupBy("source", "slice").agg(F.sum("size").alias("n")), "slices")
     targets = source_targets(slices.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs)
     along = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
+    ended = F.col("before") + F.col("n") > F.col("budget")
     plan = saved(
         slices.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
         .join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long"))
         .withColumn("budget", budget)
-        .withColumn("extra", F.when((F.col("budget") <= 0) | (F.col("before") > F.col("budget")), 0).when(F.col("before") + F.col("n") <= F.col("budget"), 1))
-        .select(F.col("source").alias("_s"), F.col("slice").alias("_c"), "before", "source_size", "target", "epochs", "budget", "extra"),
+        .groupBy("_s", "source_size", "target", "epochs", "budget")
+        .agg(F.min(F.when(ended, F.struct("slice", "before"))).alias("edge")),
         "plan",
     )
-    planned = draws.join(small(plan, BROADCAST_SLICES), F.col("source").eqNullSafe(F.col("_s")) & (F.col("slice") == F.col("_c"))).drop("_s", "_c")
+    planned = (
+        draws.join(small(plan, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_s")))
+        .withColumn("extra", F.when(F.col("budget") <= 0, 0).when(F.col("edge").isNull() | (F.col("slice") < F.col("edge.slice")), 1).when(F.col("slice") > F.col("edge.slice"), 0))
+        .withColumn("before", F.col("edge.before"))
+        .drop("_s", "edge")
+    )
     # Only the slice in which a source's budget ends needs an order.
     inner = Window.partitionBy("source", "slice").orderBy("key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0))

@@ -7,11 +7,11 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 _MIXING = f"""
 WITH sized AS (
-    SELECT doc_id, source, len({_WORDS}) AS size, length(coalesce(text, '')) AS n,
+    SELECT doc_id, text, source, len({_WORDS}) AS size, length(coalesce(text, '')) AS n,
         length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) AS symbols FROM documents),
 draws AS (
     SELECT doc_id, source, size,
-        -ln((CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))
+        -ln((CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))
         / (CASE WHEN n > 0 THEN CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + CAST(20 AS DOUBLE) * symbols / n) ELSE CAST(1 AS DOUBLE) END) AS key FROM sized),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM draws GROUP BY source),
 placed AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM sources),
