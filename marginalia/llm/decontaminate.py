@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import lower_ascii, saved, small, words
+from marginalia.llm.common import fresh, lower_ascii, saved, small, words
 
 BITS = 64
 #: A table of up to so many rows of at most 40 bytes is broadcast; a larger one is joined by shuffle.
@@ -22,9 +22,16 @@ SCALE = 1000
 
 
 def _grams(n: int) -> Column:
-    """Hashes of all n-word shingles of ``w``."""
+    """Hashes of all n-word shingles of ``w``; of a shorter text, of its whole sequence."""
     run = ", ".join(f"w[i + {k}]" for k in range(n))
-    return F.expr(f"case when size(w) >= {n} then transform(sequence(0, size(w) - {n}), i -> xxhash64({run})) else cast(array() as array<bigint>) end")
+    short = " ".join(f"when {m} then array(xxhash64({', '.join(f'w[{k}]' for k in range(m))}))" for m in range(1, n))
+    return F.expr(f"case when size(w) >= {n} then transform(sequence(0, size(w) - {n}), i -> xxhash64({run})) else case size(w) {short} else cast(array() as array<bigint>) end end")
+
+
+def _runs(m: int) -> Column:
+    """Hashes of all runs of m words of ``w``."""
+    run = ", ".join(f"w[i + {k}]" for k in range(m))
+    return F.expr(f"case when size(w) >= {m} then transform(sequence(0, size(w) - {m}), i -> xxhash64({run})) else cast(array() as array<bigint>) end")
 
 
 def _bag(df: DataFrame, keys: list[str], weights: DataFrame, unseen: Column) -> DataFrame:
@@ -52,17 +59,19 @@ def _windows(seeds: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, th, m, start) of all windows of m words whose shared shingles weigh ``percent`` of the lightest item of m words.
 
     ``seeds`` (doc_id, th, n, m, pos, idf, least): the shared shingles of texts of n words. A window whose first shared
-    shingle is at pos starts after the seed before it, and holds the seeds of the m - n shingles from there on.
+    shingle is at pos starts after the seed before it, and holds the seeds of the m - n shingles from there on (a window of
+    fewer than n words is one shingle).
     """
     own = Window.partitionBy("doc_id", "th", "m")
+    more = F.greatest(F.col("m") - n, F.lit(0))
     # Places in units of a window's shingles, so that one range serves all sizes; halves keep the comparison off rounding.
-    within = own.orderBy(F.col("pos") * 2 / (2 * (F.col("m") - n) + 1)).rangeBetween(0, 1)
+    within = own.orderBy(F.col("pos") * 2 / (2 * more + 1)).rangeBetween(0, 1)
     near = seeds.select("*", F.lag("pos").over(own.orderBy("pos")).alias("prev"), F.sum("idf").over(within).alias("ahead"), F.collect_list(F.struct("pos", "idf")).over(within).alias("shared"))
     near = near.filter(100 * F.col("ahead") >= percent * F.col("least"))
-    lo = F.greatest(F.lit(0), F.coalesce(F.col("prev") + 1, F.lit(0)), F.col("pos") - (F.col("m") - n))
+    lo = F.greatest(F.lit(0), F.coalesce(F.col("prev") + 1, F.lit(0)), F.col("pos") - more)
     hi = F.least(F.col("pos"), F.greatest(F.lit(0), F.col("n") - F.col("m")))
     starts = near.select("*", lo.alias("lo"), hi.alias("hi")).filter("lo <= hi").select("doc_id", "th", "m", "least", "shared", F.explode(F.sequence("lo", "hi")).alias("start"))
-    inside = F.expr(f"aggregate(shared, 0L, (a, x) -> a + if(x.pos <= start + m - {n}, x.idf, 0L))")
+    inside = F.expr(f"aggregate(shared, 0L, (a, x) -> a + if(x.pos <= start + greatest(m - {n}, 0), x.idf, 0L))")
     return starts.filter(100 * inside >= percent * F.col("least")).select("doc_id", "th", "m", "start")
 
 
@@ -73,10 +82,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80,
     space, with A-Z lowered; th is the text's hash. A window has as many words as the item (or all of a
     shorter document) and starts at word ``start``. Shingles weigh their count times their inverse item frequency.
 
-    Documents and items of fewer than ``n`` words, and null ones, have no shingles and never match; items
-    with equal texts are all reported; rows that repeat id and text are reported once; either table may be empty.
+    An item of fewer than ``n`` words is one shingle, its whole sequence, and so is found where that stands as it is. Texts
+    without words, and null ones, never match; items with equal texts are all reported; rows that repeat id and text
+    are reported once; other columns are ignored; either table may be empty.
     """
-    items = benchmark.select("item_id", words(lower_ascii(F.col("text"))).alias("w")).select("item_id", F.size("w").alias("m"), _grams(n).alias("grams")).filter(F.col("m") >= n)
+    items = benchmark.select("item_id", words(lower_ascii(F.col("text"))).alias("w")).select("item_id", F.size("w").alias("m"), _grams(n).alias("grams")).filter("m > 0")
     items = saved(items.distinct(), "items")
     where = saved(items.select("item_id", "m", F.posexplode("grams").alias("ipos", "sh")), "item-grams")
     n_items = items.count()
@@ -90,7 +100,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80,
     least = where.join(weights, "sh").groupBy("item_id", "m").agg(F.sum("idf").alias("total")).groupBy("m").agg(F.min("total").alias("least"))
     held = saved(held.join(least, "m"), "held")
     # explode_outer: for the inner form Spark adds a filter on the array's size, and so computes it twice, word by word
-    seeds = grams.select("doc_id", "th", "n", F.posexplode_outer("grams").alias("pos", "sh")).join(small(held, BROADCAST_ROWS), "sh")
+    places = grams.select("doc_id", "th", "n", F.posexplode_outer("grams").alias("pos", "sh"))
+    for m in sorted(r["m"] for r in items.filter(F.col("m") < n).select("m").distinct().collect()):  # n - 1 sizes at most
+        places = places.unionByName(parsed.select("doc_id", "th", F.size("w").alias("n"), F.posexplode_outer(_runs(m)).alias("pos", "sh")))
+    seeds = places.join(small(held, BROADCAST_ROWS), "sh")
     windows = saved(_windows(seeds.select("doc_id", "th", "n", "m", "pos", "idf", "least").distinct(), n, percent), "windows")
 
     by_text = windows.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("m", "start")).alias("windows"))
@@ -101,9 +114,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80,
         docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
         .join(by_text, same)
         .select("doc_id", "th", words(lower_ascii(F.col("text"))).alias("w"), "windows")
-        .select("doc_id", "th", "windows", _grams(n).alias("all"))
-        .select("doc_id", "th", "all", F.explode("windows").alias("x"))
-        .select("doc_id", "th", "x.m", "x.start", F.expr(f"slice(all, x.start + 1, x.m - {n - 1})").alias("grams"))
+        .select("doc_id", "th", "w", F.explode("windows").alias("x"))
+        .select("doc_id", "th", "x.m", "x.start", F.expr("slice(w, x.start + 1, x.m)").alias("w"))
+        .select("doc_id", "th", "m", "start", _grams(n).alias("grams"))
         .dropDuplicates(["doc_id", "th", "m", "start"])
     )
     key = ["doc_id", "th", "m", "start"]
@@ -140,6 +153,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80, radius: int = 19) -> DataFrame:
-    """``docs`` without the documents in which an item of ``benchmark`` is found."""
-    found = saved(leaks(docs, benchmark, n, percent, radius).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "leaks")
-    return docs.join(small(found, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    """The rows of ``docs`` (doc_id, text and any others) in which no item of ``benchmark`` is found, with all their columns.
+
+    Nulls, empty, short and very long texts, repeated rows and empty tables as in ``leaks``; columns may have any names.
+    """
+    own_id, own_text = fresh(docs, "own_id", "own_text")
+    found = saved(leaks(docs, benchmark, n, percent, radius).select(F.col("doc_id").alias(own_id), F.col("th").alias(own_text)).distinct(), "leaks")
+    return docs.join(small(found, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_text)), "left_anti")
