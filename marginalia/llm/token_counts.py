@@ -1,8 +1,8 @@
 """Token counts with a digest cache.
 
 The cache is a Parquet table of (tokenizer, digest, n_tokens). Contents are joined to it
-by digest; only distinct misses are encoded, and their counts are appended. One row
-is chosen for every missing digest before texts are shuffled, so a group of copies never
+by digest; only distinct misses are encoded, and their counts are appended. Of every
+missing digest one text is taken where its rows lie, and again after the shuffle, so a group of copies never
 meets in one task.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import importlib.metadata
 import json
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -48,6 +49,9 @@ def _plain_byte_bpe(spec: dict) -> bool:
     )
 
 
+#: Runs of so many blanks go to the library: the faster one gives up on them.
+LONG_RUN = 100_000
+_BLANKS = re.compile(rf"\s{{{LONG_RUN}}}")
 #: The split of byte-level BPE before its merges (fixed by the vocabulary).
 BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -79,8 +83,8 @@ def counter(content: bytes, name: str):
     fast = tiktoken.Encoding("ranks", pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def count(texts: list[str]) -> list[int]:
-        """Texts that hold an added token's string go to the library itself."""
-        out = [-1 if any(s in t for s in special) else len(fast.encode_ordinary(t)) for t in texts]
+        """Texts that hold an added token's string or a long run of blanks go to the library itself."""
+        out = [-1 if any(s in t for s in special) or len(t) >= LONG_RUN and _BLANKS.search(t) else len(fast.encode_ordinary(t)) for t in texts]
         rest = [i for i, n in enumerate(out) if n < 0]
         for i, n in zip(rest, exact([texts[i] for i in rest]) if rest else [], strict=True):
             out[i] = n
@@ -131,11 +135,10 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, carry: tuple[str,
     content_of = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(content_of, 256)).alias("digest")
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == version).select("digest", "n_tokens")
-    one_of_each = docs.select(digest, "doc_id").groupBy("digest").agg(F.min("doc_id").alias("_id"))
-    misses = one_of_each.join(stored, "digest", "left_anti").withColumnRenamed("digest", "_digest")
-    texts = docs.select(digest, "doc_id", content_of.alias("text")).join(misses.hint("shuffle_hash"), F.col("digest").eqNullSafe(F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    misses = docs.select(digest, content_of.alias("text")).join(stored.select("digest"), "digest", "left_anti")
+    texts = misses.groupBy("digest").agg(F.first("text").alias("text"))
     counted = texts.select("digest", "text").mapInArrow(_encode(spark.sparkContext.broadcast(content), tokenizer), "digest binary, n_tokens bigint")
-    counted.dropDuplicates(["digest"]).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     # Written out, so that the join below stands alone and Spark can split the digest of a large group of copies.
     known = saved(read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "known")
     return docs.select(F.struct(*carry).alias("row"), digest, F.octet_length(content_of).cast("long").alias("n_bytes")).join(known, "digest").select("row", "n_bytes", "n_tokens")
