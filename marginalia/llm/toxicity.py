@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import grams
@@ -19,6 +19,8 @@ from marginalia.llm.common import saved, ship
 BITS = 20
 #: Bound of the labelled rows that a model is fitted on; rows are chosen by the hash of their id.
 MAX_ROWS = 24_000
+#: Bound of their distinct slots together (4 bytes each), as rows are taken in that order.
+MAX_SLOTS = 48_000_000
 #: FTRL-proximal: rate and smoothing of each coordinate, L1 and L2 strength, passes.
 ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 4.0, 0.0, 5
 _SALT = np.arange(1, 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -68,14 +70,26 @@ def _fit(table: pa.Table) -> pa.Table:
     return pa.table({"slot": pa.array(kept, pa.int32()), "weight": pa.array(w[kept], pa.float64())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> np.ndarray:
-    """Weights learnt from at most ``max_rows`` rows of ``labels`` (doc_id and ``label``, 0 or 1) and their texts."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_slots: int = MAX_SLOTS) -> np.ndarray:
+    """Weights learnt from a bounded sample of ``labels`` (doc_id and ``label``, 0 or 1) and their texts in ``docs`` (doc_id, text).
+
+    The sample takes labelled ids in the order of their hashes: at most ``max_rows`` of them, and texts as long as their
+    slots are ``max_slots`` together at most.
+
+    Labels other than 0 and 1, null ids and ids without a document are left out; an id labelled twice has the larger label; rows
+    that repeat an id are an example each, within the bound on slots; null and empty texts have the bias alone; without
+    examples all weights are 0. Other columns are ignored.
+    """
     ship(docs.sparkSession)
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = saved(chosen.withColumn("key", F.xxhash64("doc_id")).orderBy("key", "doc_id").limit(max_rows), "labelled")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("key", "label", "text")
     examples = saved(rows.mapInArrow(_slots, "key bigint, label int, slots array<int>"), "examples")
-    fitted = examples.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fit, "slot int, weight double").toArrow()  # 2**BITS rows at most
+    # max_rows sums, one for each id
+    sizes = examples.groupBy("key").agg(F.sum(F.size("slots")).alias("n"))
+    within = sizes.select("key", F.sum("n").over(Window.orderBy("key")).alias("until")).filter(F.col("until") <= max_slots).select("key")
+    bounded = examples.join(F.broadcast(within), "key")
+    fitted = bounded.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fit, "slot int, weight double").toArrow()  # 2**BITS rows at most
     w = np.zeros(1 << BITS, np.float32)
     w[fitted.column("slot").to_numpy()] = fitted.column("weight").to_numpy()
     return w
