@@ -14,16 +14,19 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import BLANKS, saved, small, words
+from marginalia.llm.common import BLANKS, fresh, saved, small, words
 
 SYMBOLS = "#*$%&|<>"
+#: Texts of up to 2**PLACE_BITS words keep a window's place and hash in one long.
+PLACE_BITS = 12
 DIMS = range(4)
 PAIRS = list(combinations_with_replacement(DIMS, 2))
 #: Added to each statistic's own standard deviation, so that a statistic which hardly
 #: varies in a group doesn't reject every other value.
 RIDGE = (0.10, 0.50, 0.50, 0.50)
-#: Statistics are rounded to 1/4096: their sums are then whole numbers, the same in any order.
-GRAIN = 4096
+#: Statistics are rounded to 1/1024: their sums are then whole numbers, the same in any order. Sums of squares fit a long
+#: up to some 10**10 documents of a group.
+GRAIN = 1024
 #: The share of a group that the estimates rest on, and the chi-square quantile (4 degrees
 #: of freedom) at that share.
 HALF, CHI2_HALF = 0.75, 5.385
@@ -39,7 +42,14 @@ BROADCAST_GROUPS = 100_000
 def text_stats(docs: DataFrame, carry: list[str]) -> DataFrame:
     """(row: struct of ``carry``, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.trim(F.translate(x, BLANKS[1:], " " * 5)) != "")
-    # Window hashes and their places share a long: the low bits hold the place.
+    # Places of repeated windows, in order. A long holds a place and 52 bits of a window's hash; texts too long for that
+    # sort structs of the place and the whole hash, which takes several times as long.
+    window = "xxhash64(_w[i], _w[i + 1], _w[i + 2])"
+    packed = f"sort_array(transform(sequence(0, size(_w) - 3), i -> shiftleft({window}, {PLACE_BITS}) | i))"
+    whole = f"sort_array(transform(sequence(0, size(_w) - 3), i -> struct({window} as h, i as i)))"
+    met = "sort_array(transform(filter({s}, (x, i) -> {h} <=> {before} or {h} <=> {after}), x -> {place}))"
+    of_packed = met.format(s="_s", h=f"shiftright(x, {PLACE_BITS})", before=f"shiftright(get(_s, i - 1), {PLACE_BITS})", after=f"shiftright(get(_s, i + 1), {PLACE_BITS})", place=f"x & {(1 << PLACE_BITS) - 1}L")
+    of_whole = met.format(s="_l", h="x.h", before="get(_l, i - 1).h", after="get(_l, i + 1).h", place="cast(x.i as bigint)")
     return (
         docs.select(F.struct(*carry).alias("row"), "lang", "source", F.coalesce("text", F.lit("")).alias("_text"))
         .select(
@@ -59,26 +69,10 @@ def text_stats(docs: DataFrame, carry: list[str]) -> DataFrame:
             "n_symbols",
             F.size("_w").cast("long").alias("n_words"),
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            F.length(F.bin(F.size("_w").cast("long"))).alias("_bits"),
-            F.expr(
-                "case when size(_w) >= 3 then sort_array(transform(sequence(0, size(_w) - 3),"
-                " i -> (shiftleft(xxhash64(_w[i], _w[i + 1], _w[i + 2]), length(bin(size(_w)))) | i)))"
-                " else cast(array() as array<bigint>) end"
-            ).alias("_s"),
-        )
-        .select(
-            "row",
-            "lang",
-            "source",
-            "word_chars",
-            "n_symbols",
-            "n_words",
-            "n_dup_lines",
-            F.expr(
-                "sort_array(transform(filter(_s, (x, i) -> shiftright(x, _bits) <=> shiftright(get(_s, i - 1), _bits)"
-                " or shiftright(x, _bits) <=> shiftright(get(_s, i + 1), _bits)), x -> x & (shiftleft(1L, _bits) - 1)))"
-            ).alias("_p"),
+            F.expr(f"case when size(_w) between 3 and {1 << PLACE_BITS} then {packed} end").alias("_s"),
+            F.expr(f"case when size(_w) > {1 << PLACE_BITS} then {whole} end").alias("_l"),
         )
+        .select("row", "lang", "source", "word_chars", "n_symbols", "n_words", "n_dup_lines", F.expr(f"case when _s is not null then {of_packed} when _l is not null then {of_whole} else cast(array() as array<bigint>) end").alias("_p"))
         .withColumn(
             "n_repeat_words",
             F.expr("aggregate(_p, named_struct('last', -3L, 'n', 0L), (a, x) -> named_struct('last', x, 'n', a.n + least(3L, x - a.last)), a -> a.n)"),
@@ -95,7 +89,7 @@ def _transformed() -> list[Column]:
         F.log1p(100.0 * F.col("n_dup_lines") / n),
         F.log1p(100.0 * F.col("n_repeat_words") / n),
     )
-    return [F.round(x * GRAIN).alias(f"x{i}") for i, x in enumerate(raw)]
+    return [F.round(x * GRAIN).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
 
 
 def _factors(moments: DataFrame) -> DataFrame:
@@ -168,7 +162,7 @@ def _c_step(points: DataFrame, estimates: DataFrame) -> DataFrame:
     return near.groupBy("g", "start").agg(F.max("bin").alias("bin"), *(F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in DIMS), *(f"q{i}{j}" for i, j in PAIRS)]))
 
 
-def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_words: int = 50, max_repeat_pct: int = 50, cutoff: float = CUTOFF, min_group: int = 200, steps: int = 4) -> DataFrame:
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_words: int = 50, max_repeat_pct: int = 50, cutoff: float = CUTOFF, min_group: int = 40, steps: int = 4) -> DataFrame:
     """Judge every row of ``docs`` (text, lang, source and the columns of ``carry``).
 
     Returns row (a struct of ``carry``), the five counts, base_failed, distance (the squared
@@ -176,19 +170,25 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_wor
 
     ``cutoff`` is in units of the chi-square distribution with four degrees of freedom; the
     default rejects one of a thousand documents where the statistics are normal, and more where their
-    tails are heavier. Groups of fewer than ``min_group``
-    documents are judged together; if those are fewer than 10, the rule rejects none of them.
+    tails are heavier. The documents of a language's groups of fewer than ``min_group`` (ten for each dimension) are
+    judged together; where even those are fewer, together with those of other such languages; if there are fewer
+    than 8 documents near their centre, the rule rejects none of them.
     A null text has no words (so it fails the base rule); null languages and sources are groups
     of their own; an empty table gives an empty result; repeated rows are judged alike.
     """
     n, repeat = F.col("n_words"), F.col("n_repeat_words")
     base = (n < min_words) | (100 * repeat > max_repeat_pct * n)
     stats = saved(
-        text_stats(docs, list(carry)).select("row", F.to_json(F.struct("lang", "source")).alias("own"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), *_transformed()),
+        text_stats(docs, list(carry)).select("row", F.to_json(F.struct("lang", "source")).alias("own"), F.to_json(F.struct("lang")).alias("language"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), *_transformed()),
         "stats",
     )
     fine = stats.filter(~F.col("base_failed"))
-    sizes = saved(fine.groupBy("own").agg(F.count("*").alias("n")).select("own", F.when(F.col("n") >= min_group, F.col("own")).otherwise("*").alias("g")), "groups")
+    # Of each language, its groups are counted; no more rows than there are pairs of language and source.
+    groups = fine.groupBy("own", "language").agg(F.count("*").alias("n"))
+    own = groups.withColumn("pool", F.when(F.col("n") < min_group, F.col("language")))
+    pools = own.filter("pool is not null").groupBy("pool").agg(F.sum("n").alias("pooled"))
+    group = F.when(F.col("pool").isNull(), F.col("own")).when(F.col("pooled") >= min_group, F.concat(F.lit("language "), F.col("pool"))).otherwise("*")
+    sizes = saved(own.join(pools, "pool", "left").select("own", group.alias("g")), "groups")
     points = fine.join(small(sizes, BROADCAST_GROUPS), "own").select("g", *(f"x{i}" for i in DIMS))
     estimates = saved(_starts(points), "start")
     for k in range(steps):
@@ -214,3 +214,17 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_wor
             (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"),
         )
     )
+
+
+def reject_outliers(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (text, lang, source and any others) that ``quality_rules`` keeps, with all their columns.
+
+    A verdict depends on text, language and source alone, so that rows equal in these share it. Nulls, empty and very long
+    texts, repeated rows and empty tables as in ``quality_rules``; columns may have any names.
+    """
+    h1, h2 = fresh(docs, "h1", "h2")
+    what = [F.col("text"), F.to_json(F.struct("lang", "source"))]
+    a, b = F.xxhash64(*what), F.xxhash64(F.lit("verdict"), *what)
+    judged = quality_rules(docs.select("text", "lang", "source", a.alias("h1"), b.alias("h2")), ("h1", "h2"), **options)
+    rejected = saved(judged.filter("not kept").select(F.col("row.h1").alias(h1), F.col("row.h2").alias(h2)).distinct(), "rejected")
+    return docs.join(small(rejected, BROADCAST_GROUPS), (a == F.col(h1)) & (b == F.col(h2)), "left_anti")
