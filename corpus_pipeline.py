@@ -13,7 +13,7 @@ from marginalia.llm.common import saved, table
 from marginalia.llm.decontaminate import decontaminate
 from marginalia.llm.mixing import mix_sources
 from marginalia.llm.ngram_join import one_of_each
-from marginalia.llm.quality import quality_rules
+from marginalia.llm.quality import reject_outliers
 from marginalia.llm.sharding import ring_shards
 
 SHARDS = 40
@@ -21,7 +21,7 @@ SHARDS = 40
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and lie within the outlier cutoff of their language and source."""
-    return quality_rules(docs, tuple(docs.columns)).filter("kept").select("row.*")
+    return reject_outliers(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
