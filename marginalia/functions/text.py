@@ -40,11 +40,6 @@ def absent_if_empty(s: Column) -> Column:
     return F.nullif(s, F.lit(""))
 
 
-def group(s: Column, pattern: str, i: int) -> Column:
-    """Group ``i`` of the first match, null where it took no part."""
-    return absent_if_empty(F.regexp_extract(s, pattern, i))
-
-
 def parsed_time(date: Column) -> Column:
     """The instant of an annotation's date text, in either of its formats; null for others."""
     spelled = F.regexp_replace(date, r"\A[^,]+, ", "")

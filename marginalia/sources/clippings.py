@@ -2,21 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.paths import local_path, sidecar_dir
-from marginalia.functions.text import LINE_BREAK, absent_if_empty, group, is_blank, parsed_time, rstrip, strip
+from marginalia.functions.text import LINE_BREAK, SPACE, absent_if_empty, is_blank, parsed_time, rstrip, strip
 from marginalia.schema import conform
 
-#: Fixed values of the format: the separator, the metadata line, the title line.
+#: Fixed values of the format: the separator, and the kinds that follow "- Your".
 SEPARATOR = "=========="
-KIND = r"-\s+Your\s+(Highlight|Note|Bookmark)"
-PLACE = r"(?:\s+on\s+(?:page\s+(\d+)|[^|]+))?"
-LOCATION = r"(?:\s*\|\s*Location\s+(\d+)(?:-(\d+))?)?"
-ADDED = r"(?:\s*\|\s*Added\s+on\s+(.+))?"
-METADATA = f"(?iU){KIND}{PLACE}{LOCATION}{ADDED}"
-TITLE = r"(?U)\A(.+?)\s+\(([^)]+)\)\s*\z"
+KINDS = ("highlight", "note", "bookmark")
+_OPENING = rf"(?iU)-\s+your\s+({'|'.join(KINDS)})"
+
+
+def _words(field: Column, most: int = -1) -> Column:
+    """The words of a field; the last of ``most`` holds the rest. A blank field has one empty word."""
+    return F.split(strip(field), rf"(?U){SPACE}+", most)
+
+
+def _word(words: Column, i: int) -> Column:
+    return F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+
+
+def _is(words: Column, i: int, label: str) -> Column:
+    return F.lower(_word(words, i)) == label
+
+
+def _digits(word: Column) -> Column:
+    """The digits that a word begins with; null for none."""
+    return absent_if_empty(F.regexp_extract(word, r"(?U)\A\d+", 0))
+
+
+def metadata(meta: Column) -> dict[str, Column]:
+    """The fields of a metadata line: kind (empty without an opening), page, start, end and date.
+
+    The line is cut at its bars. The first field holds the kind and where it stands, the next one the location, the last one, with
+    all bars in it, the date. A field with anything left over hides those after it; a place other than a page number hides none.
+    """
+    fields = F.split(F.get(F.split(meta, _OPENING, 2), F.lit(1)), r"\|")
+    place = F.get(fields, F.lit(0))
+    where = _words(place)
+    apart = place.rlike(rf"(?U)\A{SPACE}")
+    number = F.when(apart & _is(where, 0, "on") & _is(where, 1, "page"), _digits(_word(where, 2)))
+    only_page = (F.size(where) == 3) & (_word(where, 2) == number)
+    somewhere = apart & _is(where, 0, "on") & ((F.size(where) > 1) | place.rlike(rf"(?U){SPACE}{{2}}\z"))
+    goes_on = is_blank(place) | F.when(number.isNotNull(), only_page).otherwise(somewhere)
+
+    located = _words(F.get(fields, F.lit(1)))
+    span = _word(located, 1)
+    first = F.when(goes_on & _is(located, 0, "location"), _digits(span))
+    after = F.substring(span, F.length(first) + 1, F.length(span))
+    last = F.when(F.startswith(after, F.lit("-")), _digits(F.substring(after, F.lit(2), F.length(after))))
+    used_up = (F.size(located) == 2) & (after == F.coalesce(F.concat(F.lit("-"), last), F.lit("")))
+
+    rest = F.when(first.isNull(), F.slice(fields, F.lit(2), F.size(fields))).when(used_up, F.slice(fields, F.lit(3), F.size(fields)))
+    added = _words(F.array_join(rest, "|"), 3)
+    date = F.when(goes_on & _is(added, 0, "added") & _is(added, 1, "on"), absent_if_empty(_word(added, 2)))
+    return {"kind": F.lower(F.regexp_extract(meta, _OPENING, 1)), "page": number, "start": first, "end": last, "date": date}
+
+
+def title_and_author(line: Column) -> tuple[Column, Column]:
+    """(title, author) of a title line: the author stands in brackets at the end, after a blank and without a closing bracket in it."""
+    inside = F.when(F.endswith(line, F.lit(")")), F.left(line, F.length(line) - 1))
+    tail = F.substring_index(inside, ")", -1)
+    cut = F.split(tail, rf"(?U){SPACE}\(", 2)
+    title = F.concat(F.left(inside, F.length(inside) - F.length(tail)), F.get(cut, F.lit(0)))
+    named = (_word(cut, 1) != "") & ~is_blank(title)
+    return F.when(named, strip(title)).otherwise(line), F.when(named, strip(F.get(cut, F.lit(1)))).otherwise("")
 
 
 def entry_lines(entries: DataFrame) -> DataFrame:
@@ -32,18 +84,19 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     """
     title_line, meta = strip(F.regexp_replace(F.get("lines", F.lit(0)), "\\A\ufeff+", "")), strip(F.get("lines", F.lit(1)))
     text = F.array_join(F.filter(F.slice("lines", F.lit(3), F.size("lines")), lambda x: ~is_blank(x)), " ")
-    found = entry_lines(entries).withColumns({"title_line": title_line, "meta": meta}).filter(F.col("meta").rlike(METADATA))
-    named = F.col("title_line").rlike(TITLE)
-    date = strip(group(F.col("meta"), METADATA, 5))
+    found = entry_lines(entries).withColumns({"title_line": title_line, "meta": meta}).filter(F.col("meta").rlike(_OPENING))
+    found = found.withColumn("m", F.struct(*(c.alias(name) for name, c in metadata(F.col("meta")).items())))
+    title, author = title_and_author(F.col("title_line"))
+    date = F.col("m.date")
     return conform(
         found.select(
-            F.when(named, strip(F.regexp_extract("title_line", TITLE, 1))).otherwise(F.col("title_line")).alias("book_title"),
-            F.when(named, strip(F.regexp_extract("title_line", TITLE, 2))).otherwise("").alias("author"),
-            F.lower(F.regexp_extract("meta", METADATA, 1)).alias("clip_type"),
-            group(F.col("meta"), METADATA, 2).try_cast("int").alias("page"),
-            group(F.col("meta"), METADATA, 3).try_cast("bigint").alias("location_start"),
-            group(F.col("meta"), METADATA, 4).try_cast("bigint").alias("location_end"),
-            absent_if_empty(date).alias("added_date"),
+            title.alias("book_title"),
+            author.alias("author"),
+            F.col("m.kind").alias("clip_type"),
+            F.col("m.page").try_cast("int").alias("page"),
+            F.col("m.start").try_cast("bigint").alias("location_start"),
+            F.col("m.end").try_cast("bigint").alias("location_end"),
+            date.alias("added_date"),
             strip(text).alias("content"),
             "source_file",
             parsed_time(date).alias("added_ts"),
