@@ -49,6 +49,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marginalia-{uuid.uuid4().hex}/{name}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI with its file system, for readers and writers other than Spark's."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

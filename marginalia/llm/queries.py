@@ -45,7 +45,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_bundles(table(spark, sf_dir, "pages"), path)
-    return warc.read_bundles(spark.read.schema(warc.FRAMES_SCHEMA).parquet(path))
+    return warc.read_bundles(spark, path)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

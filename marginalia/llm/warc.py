@@ -1,12 +1,12 @@
 """WARC archives in seekable Zstandard bundles.
 
-Records are grouped into independent Zstandard frames; a bundle is a run of frames and a
-skippable frame with the seek table (sizes of all frames, in the public seekable format).
-The index maps a record's id to its bundle, its frame and its place in the frame.
+Records are grouped into independent Zstandard frames; a bundle is a .warc.zst file of frames and, as its footer, a
+skippable frame with the seek table (sizes of all frames, in the public seekable format). The index, a Parquet table, maps
+each record's id to its bundle, its frame and its place in the frame; a reader takes the frame's place
+from the seek table.
 
-Bundles are kept as a table of frames, (bundle, frame, data, records): Spark's own commit
-makes them whole when executors are lost, and any store that Spark reads will do.
-``export_files`` joins them to .warc.zst files, ``SeekableBundle`` reads such a file.
+Tasks write bundles to the shared store under names of their own, and Spark commits the index rows of one attempt
+for each task: a bundle that a lost or repeated attempt has left is in no index and never read.
 """
 
 from __future__ import annotations
@@ -14,20 +14,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import ship
+from marginalia.llm.common import qualified, saved, ship, small
 
 #: Uncompressed bytes after which a frame ends, and compressed bytes after which a bundle ends.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 26
+#: Up to so many repeated payloads (60 bytes each) are broadcast.
+BROADCAST_ROWS = 200_000
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
-FRAMES_SCHEMA = "bundle string, frame int, data binary, records array<struct<record_id:string,offset:bigint,length:bigint>>"
+INDEX_SCHEMA = "bundle string, frame int, records array<struct<record_id:string,offset:bigint,length:bigint>>"
 
 
 def record_id(page_id: int | None) -> str:
@@ -82,124 +85,132 @@ def seek_table(sizes: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(entries) + len(footer)) + entries + footer
 
 
-def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, number = TaskContext.get().partitionId(), 0
-    pack = zstandard.ZstdCompressor(level=3)
-    sizes: list[tuple[int, int]] = []
-    raw, index = bytearray(), []
-
-    def row(frame: int, data: bytes, records: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([f"{part:06d}-{number:06d}"]),
-                pa.array([frame], pa.int32()),
-                pa.array([data], pa.binary()),
-                pa.array([records], pa.list_(pa.struct([("record_id", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))),
-            ],
-            names=["bundle", "frame", "data", "records"],
-        )
-
-    def close_frame() -> pa.RecordBatch:
-        data = pack.compress(bytes(raw))
-        sizes.append((len(data), len(raw)))
-        out = row(len(sizes) - 1, data, list(index))
-        raw.clear()
-        index.clear()
-        return out
-
-    for batch in batches:
-        for page_id, url, payload, first, is_first in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "first", "is_first")), strict=True):
-            record = make_record(page_id.as_py(), url.as_py(), payload.as_py(), first.as_py(), is_first.as_py())
-            index.append({"record_id": record_id(page_id.as_py()), "offset": len(raw), "length": len(record)})
-            raw += record
-            if len(raw) >= FRAME_BYTES:
-                yield close_frame()
-                if sum(x for x, _ in sizes) >= BUNDLE_BYTES:
-                    yield row(len(sizes), seek_table(sizes), [])
-                    sizes, number = [], number + 1
-    if raw:
-        yield close_frame()
-    if sizes:
-        yield row(len(sizes), seek_table(sizes), [])
+class _Bundle:
+    """A bundle that is being written."""
+
+    def __init__(self, store, path: str) -> None:
+        self.path, self.sizes, self.packed = path, [], 0
+        self.out = store.open_output_stream(path)
+
+    def add(self, data: bytes, raw_size: int) -> int:
+        """Append a frame; returns its number."""
+        self.out.write(data)
+        self.sizes.append((len(data), raw_size))
+        self.packed += len(data)
+        return len(self.sizes) - 1
+
+    def close(self) -> None:
+        self.out.write(seek_table(self.sizes))
+        self.out.close()
+
+
+def _store(uri: str):
+    """The file system of ``uri`` and the path in it, as the executors open it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def _bundles(uri: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        store, folder = _store(uri)
+        store.create_dir(folder, recursive=True)
+        pack = zstandard.ZstdCompressor(level=3)
+        bundle: _Bundle | None = None
+        raw, index = bytearray(), []
+
+        def close_frame() -> pa.RecordBatch:
+            nonlocal bundle
+            bundle = bundle or _Bundle(store, f"{folder}/{part:06d}-{uuid.uuid4().hex}.warc.zst")
+            frame = bundle.add(pack.compress(bytes(raw)), len(raw))
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([bundle.path.rpartition("/")[2]]),
+                    pa.array([frame], pa.int32()),
+                    pa.array([list(index)], pa.list_(pa.struct([("record_id", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))),
+                ],
+                names=["bundle", "frame", "records"],
+            )
+            raw.clear()
+            index.clear()
+            if bundle.packed >= BUNDLE_BYTES:
+                bundle.close()
+                bundle = None
+            return out
+
+        for batch in batches:
+            for page_id, url, payload, first, is_first in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "first", "is_first")), strict=True):
+                record = make_record(page_id.as_py(), url.as_py(), payload.as_py(), first.as_py(), is_first.as_py())
+                index.append({"record_id": record_id(page_id.as_py()), "offset": len(raw), "length": len(record)})
+                raw += record
+                if len(raw) >= FRAME_BYTES:
+                    yield close_frame()
+        if raw:
+            yield close_frame()
+        if bundle:
+            bundle.close()
+
+    return run
 
 
 def write_bundles(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write a record for every row of ``pages`` (page_id, url, html) to bundles at ``path``.
+    """Write a record for every row of ``pages`` (page_id, url, html) to ``path``: bundles/ and index/.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes, that with the smallest page_id becomes a
     response and the others revisit it; smaller ones are all responses. A null html is an
     empty payload, a null url leaves its header out, a null page_id comes after all others and names no
-    record; rows that repeat page_id and payload of a response are responses too; an empty table writes no bundle.
+    record; rows that repeat page_id and payload of a response are responses too; payloads of any length are one record;
+    other columns are ignored; an empty table writes no bundle and an empty index.
     """
-    ship(pages.sparkSession)
+    spark = pages.sparkSession
+    ship(spark)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     rank: Column = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("first"))
-    firsts = rows.select("page_id", "digest").groupBy("digest").agg(F.min(rank).alias("f")).select("digest", "f.first")
-    same = F.col("page_id").eqNullSafe(F.col("first")) | (F.octet_length("payload") < min_bytes)
-    rows.join(firsts, "digest").select("page_id", "url", "payload", "first", same.alias("is_first")).mapInArrow(_bundles, FRAMES_SCHEMA).write.parquet(path)
+    # Only payloads that come more than once; written, so that Spark can split the rows of a frequent one in the join.
+    repeated = rows.select("page_id", "digest").groupBy("digest").agg(F.min(rank).alias("f"), F.count("*").alias("c")).filter("c > 1")
+    firsts = small(saved(repeated.select("digest", F.col("f.first").alias("first"), F.lit(True).alias("again")), "repeated"), BROADCAST_ROWS)
+    same = F.col("again").isNull() | F.col("page_id").eqNullSafe(F.col("first")) | (F.octet_length("payload") < min_bytes)
+    records = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "first", same.alias("is_first"))
+    records.mapInArrow(_bundles(f"{qualified(spark, path)}/bundles"), INDEX_SCHEMA).write.parquet(f"{path}/index")
 
 
-def index(frames: DataFrame) -> DataFrame:
-    """(record_id, bundle, frame, offset, length): where every record lies."""
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, bundle, frame, offset, length): where every record of the archive at ``path`` lies."""
+    frames = spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/index")
     return frames.select("bundle", "frame", F.explode("records").alias("r")).select("r.record_id", "bundle", "frame", "r.offset", "r.length")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    for batch in batches:
-        for data, records in zip(batch.column("data"), batch.column("records"), strict=True):
-            places = records.as_py()
-            if not places:
-                continue
-            raw = unpack.decompress(data.as_py())
-            rows = [parse_record(raw[x["offset"] : x["offset"] + x["length"]]) for x in places]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
-
-
-def read_bundles(frames: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record; payloads are checked against their digests."""
-    ship(frames.sparkSession)
-    return frames.select("data", "records").mapInArrow(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+_FIELDS = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
 
 
-def export_files(frames: DataFrame, uri: str) -> DataFrame:
-    """Write one ``<bundle>.warc.zst`` per bundle to ``uri`` (any store that Arrow opens on the executors); returns (file, bytes)."""
-    ship(frames.sparkSession)
-
-    def write(batches):
-        import uuid
+def _read(uri: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(uri)
+        name, bundle = None, None
+        for batch in batches:
+            for wanted, frame, records in zip(batch.column("bundle"), batch.column("frame"), batch.column("records"), strict=True):
+                if wanted.as_py() != name:
+                    name = wanted.as_py()
+                    bundle = SeekableBundle(store.open_input_file(f"{folder}/{name}"))
+                raw = bundle.frame(frame.as_py())
+                rows = [parse_record(raw[x["offset"] : x["offset"] + x["length"]]) for x in records.as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in _FIELDS.items()], names=list(_FIELDS))
 
-        from pyarrow import fs
+    return run
 
-        store, folder = fs.FileSystem.from_uri(uri)
-        store.create_dir(folder, recursive=True)
-        at, out, size, draft = None, None, 0, ""
 
-        def finish():
-            out.close()
-            store.move(draft, f"{folder}/{at}.warc.zst")
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{at}.warc.zst"]), pa.array([size], pa.int64())], names=["file", "bytes"])
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the archive at ``path``.
 
-        for batch in batches:
-            for bundle, data in zip(batch.column("bundle"), batch.column("data"), strict=True):
-                if bundle.as_py() != at:
-                    if out:
-                        yield finish()
-                    at, size = bundle.as_py(), 0
-                    draft = f"{folder}/.{at}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(draft)
-                out.write(data.as_py())
-                size += len(data.as_py())
-        if out:
-            yield finish()
-
-    ordered = frames.select("bundle", "frame", "data").repartition("bundle").sortWithinPartitions("bundle", "frame")
-    return ordered.select("bundle", "data").mapInArrow(write, "file string, bytes bigint")
+    Each frame is found by its bundle's seek table, each record by the index; payloads are checked against their digests.
+    """
+    ship(spark)
+    frames = spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/index")
+    return frames.mapInArrow(_read(f"{qualified(spark, path)}/bundles"), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 class SeekableBundle:

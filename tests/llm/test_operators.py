@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from marginalia.llm import grams, warc
@@ -248,8 +249,7 @@ class TestWarc:
         rows, pages = self.pages(spark)
         path = new_path(spark, "warc")
         warc.write_bundles(pages, path)
-        frames = spark.read.schema(warc.FRAMES_SCHEMA).parquet(path)
-        got = {r.page_id: r for r in warc.read_bundles(frames).collect()}
+        got = {r.page_id: r for r in warc.read_bundles(spark, path).collect()}
         least = {}
         for p, _, h in rows:
             if p is not None:
@@ -262,28 +262,39 @@ class TestWarc:
             first = least.get(h or "", p)
             assert (g.record_type, g.refers_to) == (("response", None) if p == first else ("revisit", first))
 
-    def test_seek_table_of_a_file(self, spark, tmp_path):
+    def test_seek_table_of_a_file(self, spark, monkeypatch):
+        monkeypatch.setattr(warc, "FRAME_BYTES", 500)
         rows, pages = self.pages(spark)
         path = new_path(spark, "warc")
         warc.write_bundles(pages.repartition(1), path)
-        frames = spark.read.schema(warc.FRAMES_SCHEMA).parquet(path)
-        files = warc.export_files(frames, f"file://{tmp_path}").collect()
-        places = {r.record_id: r for r in warc.index(frames).collect()}
-        by = {f.file.rsplit("/", 1)[-1].removesuffix(".warc.zst"): warc.SeekableBundle(io.BytesIO(open(f.file, "rb").read())) for f in files}
+        folder = Path(path.removeprefix("file://")) / "bundles"
+        places = {r.record_id: r for r in warc.index(spark, path).collect()}
+        bundles = {f.name: warc.SeekableBundle(f.open("rb")) for f in folder.iterdir()}
+        assert {r.bundle for r in places.values()} == set(bundles)
         for p, url, h in rows:
             at = places[warc.record_id(p)]
-            record = by[at.bundle].record(at.frame, at.offset, at.length)
+            record = bundles[at.bundle].record(at.frame, at.offset, at.length)
             assert record["page_id"] == p and record["payload"] in (None, (h or "").encode())
+        for f in folder.iterdir():  # a reader that knows no seek tables gets all records too
+            whole = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(f.read_bytes())
+            assert whole.count(b"WARC/1.1\r\nWARC-Type") == sum(r.bundle == f.name for r in places.values())
 
     def test_small_payloads_and_no_pages(self, spark):
         _, pages = self.pages(spark)
         path = new_path(spark, "warc")
         warc.write_bundles(pages, path, min_bytes=100)
-        read = warc.read_bundles(spark.read.schema(warc.FRAMES_SCHEMA).parquet(path))
-        assert read.filter("record_type = 'revisit'").count() == 0
+        assert warc.read_bundles(spark, path).filter("record_type = 'revisit'").count() == 0
         path = new_path(spark, "warc")
         warc.write_bundles(pages.limit(0), path)
-        assert warc.read_bundles(spark.read.schema(warc.FRAMES_SCHEMA).parquet(path)).count() == 0
+        assert warc.read_bundles(spark, path).count() == 0
+
+    def test_repeated_rows_other_columns_and_a_long_payload(self, spark):
+        rows = [(1, "u", "x", 1, "p")] * 3 + [(2, "u", "x", 2, "q"), (None, None, "x", 3, None), (3, "u", "long " * 1_000_000, 4, "r")]
+        pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest int, first string")
+        path = new_path(spark, "warc")
+        warc.write_bundles(pages, path)
+        got = warc.read_bundles(spark, path).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+        assert ordered(map(tuple, got)) == ordered([(1, 1, "response", None)] * 3 + [(2, 1, "revisit", 1), (None, 1, "revisit", 1), (3, 5_000_000, "response", None)])
 
 
 class TestNgramJoin:
