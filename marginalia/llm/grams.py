@@ -14,7 +14,7 @@ _LOWER[0x41:0x5B] += 0x20
 _LETTER = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE, _GRAM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Texts are worked on in slices of about so many bytes: the working arrays take some 60 times that.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:

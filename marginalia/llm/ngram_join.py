@@ -42,6 +42,9 @@ SCAN = 4
 #: The order of shingles tells apart documents' counts under 16, under 64, under 256, ... by a table of 2**CELL_BITS cells.
 CELL_BITS = 24
 STEPS = [16 * 4**i for i in range(8)]
+#: Documents are counted for the shingles in the lowest part of the hash range, COUNTED times as large as the part of a set that
+#: is looked up. Others come after those of fewer than 1,024 documents; only texts made of frequent passages get to them.
+COUNTED, UNCOUNTED_STEP = 2.5, 3
 #: Bits of a shingle's hash that are counted; shingles that agree in them share a place in the order.
 COUNT_BITS = 40
 
@@ -124,31 +127,36 @@ def _rows(batch: pa.RecordBatch, n: int, of):
         yield lo, hi, [of(grams.shingle_set(words[offsets[i] : offsets[i + 1]], n)) for i in range(hi - lo)]
 
 
-def _counted(n: int):
+def _counted(n: int, cells: int):
+    end = np.uint64(cells << (64 - CELL_BITS))
+
     def run(batches):
         for batch in batches:
-            for _, _, sets in _rows(batch, n, lambda m: m >> np.uint64(64 - COUNT_BITS)):
+            for _, _, sets in _rows(batch, n, lambda m: m[: np.searchsorted(m, end)] >> np.uint64(64 - COUNT_BITS)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
 
     return run
 
 
-def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """For each cell of shingle hashes, how many of STEPS the most frequent shingle of the cell reaches, counted over all documents.
+def frequency_levels(docs: DataFrame, n: int, percent: int) -> np.ndarray:
+    """The place in the order of each cell of shingle hashes: twice the number of STEPS that its most frequent shingle reaches.
 
-    A table of 2**CELL_BITS bytes, whatever the input. It decides the order of a set's shingles and so the cost, not the result.
+    All documents are counted. A table of 2**CELL_BITS bytes, whatever the input. It decides the cost, not the result.
     """
+    cells = int((1 << CELL_BITS) * COUNTED * (100 - percent) / 100) + 64
     cell = F.shiftright("shingle", COUNT_BITS - CELL_BITS)
     bit = F.expr(f"shiftleft(1L, cast(shiftright(shingle, {COUNT_BITS - CELL_BITS}) & 63 as int))")
-    frequent = docs.select("text").mapInArrow(_counted(n), "shingle bigint").groupBy("shingle").agg(F.count("*").alias("c")).filter(F.col("c") >= STEPS[0])
+    frequent = docs.select("text").mapInArrow(_counted(n, cells), "shingle bigint").groupBy("shingle").agg(F.count("*").alias("c")).filter(F.col("c") >= STEPS[0])
     steps = [F.bit_or(F.when(F.col("c") >= step, bit)).alias(f"s{i}") for i, step in enumerate(STEPS)]
     found = frequent.groupBy(F.shiftright(cell, 6).alias("word")).agg(*steps).toArrow()  # 2**(CELL_BITS - 6) rows at most
     levels = np.zeros((1 << (CELL_BITS - 6), 64), np.uint8)
     at = found.column("word").to_numpy()
     for i in range(len(STEPS)):
         bits = found.column(f"s{i}").fill_null(0).to_numpy()
-        levels[at] += (bits[:, None] >> np.arange(64) & 1).astype(np.uint8)
-    return levels.reshape(-1)
+        levels[at] += (bits[:, None] >> np.arange(64) & 1).astype(np.uint8) * np.uint8(2)
+    levels = levels.reshape(-1)
+    levels[cells:] = 2 * UNCOUNTED_STEP + 1
+    return levels
 
 
 def _keys_of(percent: int, n: int, shared):
@@ -190,7 +198,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent
 
 def ngram_sets(docs: DataFrame, carry: tuple[str, ...], n: int, percent: int) -> DataFrame:
     """(row, text_hash, node, n, keys, p0..) of every row: its shingle set's identity, size, join keys and parity sketch."""
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n))
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, n, percent))
     row = F.struct(*carry)
     slim = docs.select(row.alias("row"), F.xxhash64("text").alias("text_hash"), "text")
     kind = slim.schema["row"].dataType.simpleString()
