@@ -90,7 +90,7 @@ class _Bundle:
 
     def __init__(self, store, path: str) -> None:
         self.path, self.sizes, self.packed = path, [], 0
-        self.out = store.open_output_stream(path)
+        self.out = store.open_output_stream(path, compression=None)
 
     def add(self, data: bytes, raw_size: int) -> int:
         """Append a frame; returns its number."""
