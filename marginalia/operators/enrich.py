@@ -19,6 +19,8 @@ from marginalia.operators.books import chunk_gaps
 BOOK_SUFFIXES = (".kfx", ".azw3", ".mobi", ".epub", ".azw", ".prc")
 #: Characters in a bin of the interval join.
 BIN = 256
+#: Spans of more characters are cut at their book's end before they are dealt to bins.
+LONG_SPAN = 1 << 20
 
 
 def pair_books(folders: DataFrame, files: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def _end() -> Column:
 def resolve_text_simple(annotations: DataFrame, books: DataFrame) -> DataFrame:
     """``annotations`` with content filled from ``books`` (book_id, text): for books that fit in a row."""
     joined = annotations.join(books.select("book_id", F.col("text").alias("_text")), "book_id", "left")
-    cut = F.when(needs_text() & (F.col("char_start") < F.length("_text")), F.substring("_text", (F.col("char_start") + 1).cast("int"), F.greatest(F.lit(0), _end() - F.col("char_start")).cast("int")))
+    cut = F.when(needs_text() & (F.col("char_start") < F.length("_text")), F.substring("_text", (F.col("char_start") + 1).cast("int"), F.greatest(F.lit(0), F.least(_end(), F.length("_text")) - F.col("char_start")).cast("int")))
     return joined.withColumn("content", filled(collapse(cut))).drop("_text")
 
 
@@ -68,9 +70,13 @@ def resolve_text(annotations: DataFrame, chunks: DataFrame, key: str = "event_id
     """As ``resolve_text_simple``, from chunks and without ever assembling a book.
 
     An interval join: spans and chunks meet by (book, bin of ``width`` characters), so only the chunks that a span touches
-    are moved, and a popular book is dealt over its bins. ``key`` identifies an annotation.
+    are moved, and a popular book is dealt over its bins. ``key`` identifies an annotation. Spans may end anywhere
+    beyond their book.
     """
     spans = annotations.filter(needs_text() & (_end() > F.col("char_start"))).select(F.col(key).alias("_key"), "book_id", F.col("char_start").alias("_s"), _end().alias("_e"))
+    bound = chunks.groupBy("book_id").agg((F.coalesce(F.max(F.col("pid") + F.col("length")), F.lit(0)) + F.coalesce(F.sum(F.length("text")), F.lit(0))).alias("_bound"))
+    long = spans.filter(F.col("_e") - F.col("_s") > LONG_SPAN).join(bound, "book_id").withColumn("_e", F.least("_e", "_bound")).drop("_bound").filter("_e > _s")
+    spans = spans.filter(F.col("_e") - F.col("_s") <= LONG_SPAN).unionByName(long)
     bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor((hi - 1) / width))).alias("_bin")
     at = chunk_gaps(chunks).select("book_id", "ordinal", "gap", "text", (F.col("start") - F.col("gap")).alias("_from"), F.col("start").alias("_at"), F.col("end").alias("_to"))
     left = spans.select("*", bins(F.col("_s"), F.col("_e")))
@@ -85,50 +91,55 @@ def resolve_text(annotations: DataFrame, chunks: DataFrame, key: str = "event_id
     return joined.withColumn("content", F.when(needs_text(), filled(collapse(F.col("_snippet")))).otherwise(F.col("content"))).select(*annotations.columns)
 
 
-def assign_places(annotations: DataFrame, page_map: DataFrame | None, location_map: DataFrame | None, key: str = "event_id", salts: int = 1) -> DataFrame:
+def assign_places(annotations: DataFrame, page_map: DataFrame | None, location_map: DataFrame | None, key: str = "event_id", salts: int = 1, sparse: bool = False) -> DataFrame:
     """``annotations`` with page (as-of lookup) and location_start, location_end (rank lookup).
 
     ``page_map`` (book_id, ordinal, label, char_offset): the last page at or before the start, if page is null; a label that
     is no whole number, or a start before the first page, leaves it null. ``location_map`` (book_id, location,
     char_offset): how many locations begin at or before an offset, at least 1; an end equal to the start becomes null. With
-    no location map the offsets themselves are returned.
+    no location map the offsets themselves are returned, and with ``sparse`` also for books that have no entry in it.
 
     Map entries and the annotations' starts and ends are one stream per book, sorted once; a running last value and a
     running count answer both lookups. ``salts`` deals the annotations of each book to so many streams, each with its copy of the maps.
     """
     salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
-    blank = {"kind": F.lit(0), "ordinal": F.lit(0).cast("bigint"), "label": F.lit(None).cast("string"), "id": F.lit(None).cast(annotations.schema[key].dataType), "side": F.lit(None).cast("string")}
-    row = lambda df, **own: df.select("book_id", "salt", *(own.get(c, blank.get(c)).alias(c) for c in ("pos", "kind", "ordinal", "label", "id", "side")))
+    blank = {"kind": F.lit(0), "ordinal": F.lit(0).cast("bigint"), "label": F.lit(None).cast("string"), "_id": F.lit(None).cast(annotations.schema[key].dataType), "side": F.lit(None).cast("string"), "located": F.lit(None).cast("boolean")}
+    row = lambda df, **own: df.select("book_id", "salt", *(own.get(c, blank.get(c)).alias(c) for c in ("pos", "kind", "ordinal", "label", "_id", "side", "located")))
     every = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     parts = []
     if page_map is not None:
         parts.append(row(every(page_map), pos=F.col("char_offset").cast("bigint"), ordinal=F.col("ordinal").cast("bigint"), label=F.col("label")))
     if location_map is not None:
         parts.append(row(every(location_map), pos=F.col("char_offset").cast("bigint"), kind=F.lit(1), ordinal=F.col("location").cast("bigint")))
+        if sparse:
+            parts.append(row(every(location_map.select("book_id").distinct()), pos=F.lit(-(2**63)), located=F.lit(True)))
     probes = annotations.withColumn("salt", salt)
     for side in ("start", "end"):
-        parts.append(row(probes.filter(f"char_{side} is not null"), pos=F.col(f"char_{side}").cast("bigint"), kind=F.lit(2), id=F.col(key), side=F.lit(side)))
+        parts.append(row(probes.filter(f"char_{side} is not null"), pos=F.col(f"char_{side}").cast("bigint"), kind=F.lit(2), _id=F.col(key), side=F.lit(side)))
     along = Window.partitionBy("book_id", "salt").orderBy("pos", "kind", "ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
         reduce(DataFrame.unionByName, parts)
         .withColumn("label", F.last("label", ignorenulls=True).over(along))
         .withColumn("rank", F.count(F.when(F.col("kind") == 1, 1)).over(along))
+        .withColumn("located", F.max("located").over(along))
         .filter("kind = 2")
-        .groupBy("id")
+        .groupBy("_id")
         .agg(
             F.max(F.when(F.col("side") == "start", F.col("label"))).alias("_label"),
             F.max(F.when(F.col("side") == "start", F.greatest("rank", F.lit(1)))).alias("_start"),
             F.max(F.when(F.col("side") == "end", F.greatest("rank", F.lit(1)))).alias("_end"),
+            F.max("located").alias("_located"),
         )
     )
     number = F.when(F.trim("_label").rlike(r"\A[+-]?[0-9]+\z"), F.trim("_label").try_cast("int"))
     page = F.coalesce(F.col("page"), number) if "page" in annotations.columns else number
-    out = annotations.join(found, annotations[key] == found["id"], "left").withColumn("page", page)
+    out = annotations.join(found, annotations[key] == found["_id"], "left").withColumn("page", page)
     if location_map is None:
         out = out.withColumns({"location_start": F.col("char_start"), "location_end": F.col("char_end")})
     else:
-        out = out.withColumns({"location_start": F.col("_start"), "location_end": F.nullif("_end", "_start")})
-    return out.drop("id", "_label", "_start", "_end")
+        known = F.coalesce("_located", F.lit(False)) if sparse else F.lit(True)
+        out = out.withColumns({"location_start": F.when(known, F.col("_start")).otherwise(F.col("char_start")), "location_end": F.when(known, F.nullif("_end", "_start")).otherwise(F.col("char_end"))})
+    return out.drop("_id", "_label", "_start", "_end", "_located")
 
 
 def enrich(annotations: DataFrame, chunks: DataFrame, page_map: DataFrame, location_map: DataFrame, key: str = "event_id", text: bool = True, pages: bool = True, salts: int = 1) -> DataFrame:

@@ -202,5 +202,17 @@ ORACLES = {
     ),
     "text_runs": over("run_rows", select="SELECT event_id, CAST(run AS BIGINT) AS run, opens_run, run_author FROM run_rows"),
     "text_blocks": over("run_rows", select=f"SELECT event_id, CAST(len(string_split({_BLOCK}, chr(10))) AS INTEGER) AS n_lines, {_BLOCK} AS block FROM run_rows"),
+    "corpus_flow": over(
+        "filled",
+        select="""SELECT book_title, '' AS author, clip_type, CASE WHEN book_id % 3 = 1 THEN page END AS page, CASE WHEN book_id % 3 = 1 THEN location_start ELSE char_start END AS location_start,
+        CASE WHEN book_id % 3 = 1 THEN location_end ELSE nullif(char_end, char_start) END AS location_end, added_date, CASE WHEN book_id % 3 = 0 THEN was ELSE content END AS content,
+        book_title || '.sdr/a.' || CASE WHEN clip_type = 'last_position' THEN 'yjf' ELSE 'yjr' END AS source_file FROM filled
+        UNION ALL SELECT book_title, CASE WHEN event_id % 6 = 0 THEN '' ELSE author END, clip_type,
+        CASE WHEN event_id % 4 = 0 THEN CAST(char_start % 900 + 1 AS INTEGER) WHEN book_id % 10 = 0 AND book_id % 3 = 1 THEN page END,
+        CASE WHEN book_id % 10 = 0 AND book_id % 3 = 1 THEN location_start ELSE char_start END, CASE WHEN book_id % 10 = 0 AND book_id % 3 = 1 THEN location_end ELSE char_end END,
+        'Monday, ' || strftime(CAST(added_date AS TIMESTAMP), '%B %-d, %Y %-I:%M:%S %p'),
+        CASE WHEN book_id % 10 = 0 AND book_id % 3 <> 0 AND coalesce(cut, '') <> '' THEN content ELSE was || ' line ' || event_id END,
+        CASE WHEN book_id % 10 = 0 THEN book_title || '.sdr/My Clippings.txt' ELSE 'clippings ' || book_id || '.txt' END FROM filled WHERE clip_type = 'highlight' AND book_id % 10 < 2""",
+    ),
     "export_manifest": over("ann", "pages", select="SELECT (SELECT count(*) FROM ann) AS total_clippings, (SELECT count(DISTINCT book_id) FROM pages WHERE book_id % 11 <> 5) AS page_indexes"),
 }

@@ -196,3 +196,37 @@ def navigation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     entries = pages.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", entry.alias("e")))), lambda x: x["e"]).alias("entries"))
     nav = entries.select("book_id", F.array(F.struct(F.lit("toc").alias("type"), "entries"), F.struct(F.lit("page_list").alias("type"), "entries")).alias("containers"))
     return nav, pages.select("book_id", F.col("ordinal").cast("bigint").alias("element_id"), (F.col("char_offset") - F.col("char_offset") % 3).alias("base"))
+
+
+def clippings_files(rows: DataFrame) -> DataFrame:
+    """(path, content): clippings text of the highlights of some books: of every tenth in its sidecar folder, of others beside all folders."""
+    marks = rows.filter("clip_type = 'highlight' and book_id % 10 < 2")
+    entry = F.hex(_bytes(F.concat("value", F.lit("=========="))))
+    entries = clippings_entries(marks).select(F.col("rec_ord").alias("event_id"), entry.alias("h")).join(marks.select("event_id", "book_id"), "event_id")
+    joined = entries.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "h"))).alias("r"))
+    path = F.when(F.col("book_id") % 10 == 0, _path("My Clippings.txt")).otherwise(F.concat(F.lit("/library/clippings "), F.col("book_id").cast("string"), F.lit(".txt")))
+    return joined.select(path.alias("path"), F.unhex(F.array_join(F.transform("r", lambda x: x["h"]), "")).alias("content"))
+
+
+def book_files(rows: DataFrame) -> DataFrame:
+    """(book_id, path, content): a book file (of one byte) for two of three books, .kfx or .azw3."""
+    suffix = F.when(F.col("book_id") % 3 == 1, ".kfx").otherwise(".azw3")
+    path = F.concat(F.lit("/library/Book "), F.col("book_id").cast("string"), suffix)
+    return rows.select("book_id").distinct().filter("book_id % 3 <> 0").select("book_id", path.alias("path"), F.lit(b"\x00").alias("content"))
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write ``files`` (path, content) below ``root``, a URI that the executors can open."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                store.create_dir(f"{folder}{path.as_py()}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{folder}{path.as_py()}", compression=None) as out:
+                    out.write(content.as_py())
+            yield batch.select(["path"])
+
+    files.select("path", "content").mapInArrow(write, "path string").count()

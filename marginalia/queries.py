@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import lines
-from marginalia.operators import books, enrich, metrics, order, render
+from marginalia.operators import books, enrich, flow, metrics, order, render
 from marginalia.oracles import ORACLES
 from marginalia.plans import fixtures
+from marginalia.schema import EXPORT_COLUMNS
 from marginalia.sources import clippings, corpus, page_index, sidecar, typed
+from marginalia.sources.sidecar import list_files
+from marginalia.sources.storage import new_path, qualified
 
 #: An annotation's columns as the decoding queries return them.
 DECODED = ("book_title", "clip_type", "location_start", "location_end", "added_date", "content")
@@ -162,6 +165,22 @@ def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.assign_places(fixtures.annotations(spark, sf_dir), fixtures.page_map(spark, sf_dir), fixtures.location_map(spark, sf_dir))
 
 
+def corpus_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all formats written to the shared folder, scanned, paired with their books and enriched."""
+    rows, root = fixtures.annotations(spark, sf_dir), new_path(spark, "corpus")
+    books = fixtures.book_files(rows)
+    files = [fixtures.sidecar_files(rows), fixtures.position_files(rows), fixtures.clippings_files(rows), books.select("path", "content")]
+    for each in files:
+        fixtures.write_files(each, qualified(spark, root))
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+    where = list_files(spark, root).withColumn("name", F.substring_index("path", "/library/", -1))
+    named = books.select("book_id", F.substring_index("path", "/library/", -1).alias("name")).join(where, "name").select("book_id", F.col("path").alias("book_file"))
+    keyed = lambda df, only: df.filter(only).join(named, "book_id").withColumn("book_id", F.col("book_file")).drop("book_file")
+    tables = keyed(fixtures.chunks(spark, sf_dir), "true"), keyed(fixtures.page_map(spark, sf_dir), "book_id % 3 = 1"), keyed(fixtures.location_map(spark, sf_dir), "book_id % 3 = 1")
+    found, _, _ = flow.annotate_corpus(spark, root, *tables)
+    return found.select(*EXPORT_COLUMNS).withColumn("source_file", F.substring_index("source_file", "/library/", -1))
+
+
 def json_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.json_rows(_export(spark, sf_dir))
 
@@ -224,6 +243,7 @@ QUERIES = {
         text_runs,
         text_blocks,
         export_manifest,
+        corpus_flow,
     )
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.paths import ancestors, name, sidecar_dir, stem, suffix
 from marginalia.sources.clippings import read_clippings_text
 from marginalia.sources.page_index import SHORTEST, decode_page_indexes
-from marginalia.sources.sidecar import decode_annotations, decode_last_positions, read_files
+from marginalia.sources.sidecar import decode_annotations, decode_last_positions, list_files, read_files
 from marginalia.sources.typed import decode_records, is_container
 
 #: The binary formats and their suffixes (fixed values).
@@ -56,15 +56,26 @@ def quarantine(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("source_file"), kind.alias("format"), reason.alias("reason")).filter("reason is not null")
 
 
+def unreadable(listed: DataFrame, read: DataFrame) -> DataFrame:
+    """(source_file, format, reason) of the files in ``listed`` (path) that are not in ``read`` (path)."""
+    left = listed.select("path").join(read.select("path"), "path", "left_anti")
+    return left.select(F.col("path").alias("source_file"), route(F.col("path")).alias("format"), F.lit("unreadable").alias("reason"))
+
+
 def decode_all(files: DataFrame) -> DataFrame:
     """The annotations of all binary formats in ``files`` (path, content); duplicates stay."""
     of = lambda kind: files.filter(route(F.col("path")) == kind)
     return decode_annotations(of("yjr")).unionByName(decode_last_positions(of("yjf"))).unionByName(decode_records(of("mbp")))
 
 
+BINARY = "*.{[yY][jJ][rR],[yY][jJ][fF],[mM][bB][pP],[aA][pP][nN][xX]}"
+
+
 def scan_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(annotations, page indexes, quarantine) of all files below ``path``."""
-    binary = read_files(spark, path, "*.{[yY][jJ][rR],[yY][jJ][fF],[mM][bB][pP],[aA][pP][nN][xX]}")
+    """(annotations, page indexes, quarantine) of all files below ``path``; files that can't be read or decoded are in the quarantine."""
+    binary = read_files(spark, path, BINARY)
     text = read_clippings_text(spark, path, "*.[tT][xX][tT]").filter(route(F.col("source_file")) == "clippings")
     annotations = with_titles(decode_all(binary).unionByName(text), binary.select("path"))
-    return annotations, decode_page_indexes(binary.filter(route(F.col("path")) == "apnx")), quarantine(binary)
+    opened = binary.filter(F.length("content") >= 0)
+    failed = quarantine(binary).unionByName(unreadable(list_files(spark, path, BINARY), opened))
+    return annotations, decode_page_indexes(binary.filter(route(F.col("path")) == "apnx")), failed

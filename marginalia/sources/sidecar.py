@@ -146,6 +146,12 @@ def read_files(spark: SparkSession, path: str | list[str], glob: str) -> DataFra
     return reader.load(path).select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), "content")
 
 
+def list_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """(path) of the files below ``path`` that are not empty; none of them is opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"))
+
+
 def read_sidecar_annotations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return decode_annotations(read_files(spark, path, "*.[yY][jJ][rR]"))
 
