@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators.order import order_key, order_keys
 from marginalia.schema import EXPORT_COLUMNS
+from marginalia.sources.storage import saved
 
 #: Fixed values of the text export.
 RULE = "=" * 60
@@ -60,8 +61,12 @@ def markdown_lines() -> Column:
     return F.when(F.col("clip_type") == "highlight", quoted).when(F.col("clip_type") == "note", note).when(F.col("clip_type") == "bookmark", mark).otherwise("")
 
 
+def _heading() -> Column:
+    return F.concat(F.lit("## "), "book_title", F.when(F.coalesce("author", F.lit("")) != "", F.concat(F.lit("  \n*"), "author", F.lit("*"))).otherwise(""), F.lit("\n"))
+
+
 def render_markdown(annotations: DataFrame) -> DataFrame:
-    """(book_title, first_seen, document): one Markdown section per book, its annotations in export order.
+    """(book_title, first_seen, document): one Markdown section per book, for books whose annotations fit in a row.
 
     The author is that of the book's first row; a book with last positions only still has its heading.
     """
@@ -71,42 +76,41 @@ def render_markdown(annotations: DataFrame) -> DataFrame:
         annotations.withColumn("_line", line)
         .groupBy("book_title")
         .agg(F.min(order_key()).alias("first_seen"), author.alias("author"), F.array_sort(F.collect_list(F.when(F.col("_line").isNotNull(), F.struct(order_key().alias("at"), F.col("_line").alias("line"))))).alias("rows"))
-        .select(
-            "book_title",
-            "first_seen",
-            F.concat(
-                F.lit("## "),
-                "book_title",
-                F.when(F.coalesce("author", F.lit("")) != "", F.concat(F.lit("  \n*"), "author", F.lit("*"))).otherwise(""),
-                F.lit("\n"),
-                F.when(F.size("rows") > 0, F.concat(F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))).otherwise(""),
-            ).alias("document"),
-        )
+        .select("book_title", "first_seen", F.concat(_heading(), F.when(F.size("rows") > 0, F.concat(F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))).otherwise("")).alias("document"))
     )
 
 
+def markdown_rows(annotations: DataFrame) -> DataFrame:
+    """(first_seen, book_title, at, block): the same sections as one row for each heading and each annotation, in the order of the first three.
+
+    Every block ends with a blank line once it is a line of a text file. No book is put together.
+    """
+    heads = saved(annotations.groupBy("book_title").agg(F.min(order_key()).alias("first_seen"), F.min_by("author", order_key()).alias("author")), "headings")
+    lines = annotations.filter(shown()).select(F.col("book_title").alias("_title"), order_key().alias("at"), markdown_lines().alias("block"))
+    placed = lines.join(heads, F.col("_title").eqNullSafe(F.col("book_title"))).select("first_seen", "book_title", "at", "block")
+    return heads.select("first_seen", "book_title", F.lit(None).cast(placed.schema["at"].dataType).alias("at"), _heading().alias("block")).unionByName(placed)
+
+
 def text_runs(annotations: DataFrame) -> DataFrame:
     """Shown annotations with run (1, 2, ... along the export order, a new one whenever the title changes), run_author and opens_run.
 
-    The order runs over all books, so it is cut into slices that follow each other in it: one per hour of the date text, and
-    one per file for rows without a date. Changes are found within the slices; only one row per slice (its first and
-    last title and its number of changes) is put in a global order.
+    The order runs over all books, so the rows are sorted once, by ranges of equal size, and written. Changes are found
+    within the ranges; only one row per range (its first and last title and its number of changes) is put in a global order.
     """
-    date = F.coalesce("added_date", F.lit(""))
-    rows = annotations.filter(shown()).withColumns({"_a": F.substring(date, 1, 13), "_b": F.when(date == "", F.coalesce("file_ord", F.lit(""))).otherwise("")})
-    inside = Window.partitionBy("_a", "_b").orderBy(*order_keys())
+    rows = saved(annotations.filter(shown()).orderBy(*order_keys()).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range").orderBy(*order_keys())
     until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = F.row_number().over(inside) == 1
     rows = rows.withColumns({"_first": first, "_new": F.when(first, F.lit(False)).otherwise(~F.col("book_title").eqNullSafe(F.lag("book_title").over(inside)))})
     rows = rows.withColumn("_n", F.sum(F.col("_new").cast("bigint")).over(until))
-    slices = rows.groupBy("_a", "_b").agg(F.min_by("book_title", order_key()).alias("head"), F.max_by("book_title", order_key()).alias("tail"), F.max("_n").alias("n"))
-    whole = Window.partitionBy(F.lit(0)).orderBy("_a", "_b")
+    ranges = rows.groupBy("_range").agg(F.min_by("book_title", order_key()).alias("head"), F.max_by("book_title", order_key()).alias("tail"), F.max("_n").alias("n"))
+    whole = Window.partitionBy(F.lit(0)).orderBy("_range")
     opens = F.lag(F.lit(1)).over(whole).isNull() | ~F.col("head").eqNullSafe(F.lag("tail").over(whole))
-    slices = slices.withColumn("_opens", opens)
-    slices = slices.withColumn("_base", F.sum(F.col("_opens").cast("bigint") + F.col("n")).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).select("_a", "_b", "_opens", "_base")
-    runs = rows.join(slices, ["_a", "_b"]).withColumns({"run": F.col("_base") + F.col("_n"), "opens_run": F.col("_new") | (F.col("_first") & F.col("_opens"))})
+    ranges = ranges.withColumn("_opens", opens)
+    ranges = ranges.withColumn("_base", F.sum(F.col("_opens").cast("bigint") + F.col("n")).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).select("_range", "_opens", "_base")
+    runs = rows.join(F.broadcast(ranges), "_range").withColumns({"run": F.col("_base") + F.col("_n"), "opens_run": F.col("_new") | (F.col("_first") & F.col("_opens"))})  # a row per range
     authors = runs.groupBy("run").agg(F.min_by("author", order_key()).alias("run_author"))
-    return runs.drop("_a", "_b", "_first", "_new", "_n", "_opens", "_base").join(authors, "run")
+    return runs.drop("_range", "_first", "_new", "_n", "_opens", "_base").join(authors, "run")
 
 
 def text_block() -> Column:

@@ -216,3 +216,14 @@ ORACLES = {
     ),
     "export_manifest": over("ann", "pages", select="SELECT (SELECT count(*) FROM ann) AS total_clippings, (SELECT count(DISTINCT book_id) FROM pages WHERE book_id % 11 <> 5) AS page_indexes"),
 }
+
+
+def _lines(query: str, column: str) -> str:
+    """How often each line stands in the texts of a query, each ended by a line break."""
+    return f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split({column}, chr(10))) AS line FROM ({query})) GROUP BY line"
+
+
+ORACLES["json_sink"] = ORACLES["json_pruned"]
+ORACLES["csv_sink"] = f"SELECT * REPLACE (nullif(author, '') AS author, nullif(content, '') AS content) FROM ({ORACLES['csv_rows']})"
+ORACLES["markdown_sink"] = _lines(ORACLES["markdown_docs"], "document")
+ORACLES["text_sink"] = _lines(ORACLES["text_blocks"], "block")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia import sinks
 from marginalia.functions.text import lines
 from marginalia.operators import books, enrich, flow, metrics, order, render
 from marginalia.oracles import ORACLES
@@ -205,6 +206,34 @@ def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.manifest(_export(spark, sf_dir), _indexes(spark, sf_dir)).select("total_clippings", "page_indexes")
 
 
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "json")
+    sinks.write_json(_export(spark, sf_dir), _indexes(spark, sf_dir), path)
+    return spark.read.text(f"{path}/annotations").select(F.col("value").alias("json"))
+
+
+def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = _export(spark, sf_dir), new_path(spark, "csv")
+    sinks.write_csv(rows, path)
+    return spark.read.schema(rows.select(*EXPORT_COLUMNS).schema).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def _lines_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def markdown_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "markdown")
+    sinks.write_markdown(_export(spark, sf_dir), path)
+    return _lines_of(spark, path)
+
+
+def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "text")
+    sinks.write_text(_export(spark, sf_dir), path)
+    return _lines_of(spark, path)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -244,6 +273,10 @@ QUERIES = {
         text_blocks,
         export_manifest,
         corpus_flow,
+        json_sink,
+        csv_sink,
+        markdown_sink,
+        text_sink,
     )
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.order import order_annotations, order_keys
-from marginalia.operators.render import csv_rows, manifest, pruned, render_markdown, render_text
+from marginalia.operators.render import csv_rows, manifest, markdown_rows, pruned, render_text
 
 
 def write_json(annotations: DataFrame, indexes: DataFrame, path: str) -> None:
@@ -24,7 +24,7 @@ def write_csv(annotations: DataFrame, path: str) -> None:
 
 def write_markdown(annotations: DataFrame, path: str) -> None:
     """One section per book, in the order of first appearance."""
-    render_markdown(annotations).orderBy("first_seen").select(F.col("document").alias("value")).write.text(path)
+    markdown_rows(annotations).orderBy("first_seen", "book_title", "at").select(F.col("block").alias("value")).write.text(path)
 
 
 def write_text(annotations: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia import sinks
-from marginalia.operators import books, enrich, order, render
+from marginalia.operators import books, enrich, flow, order, render
 from marginalia.plans import fixtures
 from marginalia.schema import conform
 
@@ -50,7 +50,23 @@ class TestText:
         assert by_id(enrich.resolve_text(annotations(spark, *spans), chunks, width=4), "content") == simple
 
 
+    def test_an_end_far_beyond_the_book(self, spark):
+        far = annotations(spark, (1, 9, 10**15, ""), (2, 10**15, 10**15 + 9, ""), (3, 0, 2**62, "[x]"))
+        want = {1: "wide world", 2: "", 3: "[x] Hello wide world"}
+        text = spark.createDataFrame([(1, TEXT)], "book_id bigint, text string")
+        chunks = spark.createDataFrame([(1, 0, 0, 7, TEXT[:7]), (1, 1, 7, 12, TEXT[7:])], "book_id bigint, ordinal int, pid bigint, length bigint, text string")
+        assert by_id(enrich.resolve_text_simple(far, text), "content") == want
+        assert by_id(enrich.resolve_text(far, chunks), "content") == want
+
+
 class TestPlaces:
+    def test_books_without_locations_and_other_columns(self, spark):
+        places = spark.createDataFrame([(1, i + 1, i * 10 + 5) for i in range(4)], "book_id bigint, location int, char_offset bigint")
+        rows = annotations(spark, (1, 14, 15, ""), (2, 0, 30, "")).withColumn("id", F.lit("mine")).withColumn("kind", F.lit("k"))
+        both = rows.withColumn("book_id", F.when(F.col("event_id") == 1, 1).otherwise(2))
+        got = by_id(enrich.assign_places(both, None, places, sparse=True), "location_start", "location_end", "id", "kind")
+        assert got == {1: (1, 2, "mine", "k"), 2: (0, 30, "mine", "k")}
+
     def test_pages(self, spark):
         pages = spark.createDataFrame([(1, 0, "ix", 10), (1, 1, "1", 20), (1, 2, "2", 20), (1, 3, "3", 30)], "book_id bigint, ordinal int, label string, char_offset bigint")
         rows = annotations(spark, (1, 5, None, ""), (2, 10, None, ""), (3, 20, None, ""), (4, 29, 31, ""), (5, 999, None, ""), (6, None, None, ""))
@@ -143,6 +159,29 @@ class TestSinks:
         (line,) = [r for f in (tmp_path / "out").glob("part-*") for r in csv.DictReader(f.open())]
         assert (line["book_title"], line["content"], line["page"], line["added_date"]) == (' "T", x ', 'a "b"', "", "")
 
+    def test_a_corpus_from_files_to_markdown(self, spark, tmp_path):
+        """Paired and unpaired folders, clippings text in one of them, and a file that can't be read."""
+        for name in ("One.sdr", "Two.sdr"):
+            (tmp_path / "in" / name).mkdir(parents=True)
+        entry = lambda title, place: f"{title} (A)\n- Your Highlight | Location {place}\n\n[yellow]\n==========\n"
+        (tmp_path / "in" / "One.sdr" / "My Clippings.txt").write_text(entry("One", "5-9"))
+        (tmp_path / "in" / "Two.sdr" / "My Clippings.txt").write_text(entry("Two", "5-9"))
+        (tmp_path / "in" / "One.kfx").write_bytes(b"book")
+        (tmp_path / "in" / "One.sdr" / "a.mbp").write_bytes(b"\x00\x01\x00\x01\x00\x04\x00\x00\x00\x07")
+        (tmp_path / "in" / "Two.sdr" / "b.mbp").write_bytes(b"\x00\x01\x00\x01\x00\x04\x00\x00\x00\x07")
+        (tmp_path / "in" / "Two.sdr" / ".b.mbp.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x00\x00\x00\x00")  # a wrong checksum
+        book = f"{tmp_path}/in/One.kfx"
+        chunks = spark.createDataFrame([(book, 0, 0, 12, "some long te"), (book, 1, 12, 2, "xt")], "book_id string, ordinal int, pid bigint, length bigint, text string")
+        pages = spark.createDataFrame([(book, 0, "1", 0), (book, 1, "2", 6)], "book_id string, ordinal int, label string, char_offset bigint")
+        places = spark.createDataFrame([(book, 1, 0), (book, 2, 4), (book, 3, 8)], "book_id string, location int, char_offset bigint")
+        found, indexes, failed = flow.annotate_corpus(spark, f"{tmp_path}/in", chunks, pages, places)
+        got = sorted((r.book_title, r.clip_type, r.page, r.location_start, r.location_end, r.content) for r in found.collect())
+        assert got == [("One", "highlight", 1, 2, 3, "[yellow] long"), ("Two", "highlight", None, 5, 9, "[yellow]"), ("a", "last_position", 2, 2, None, "")]
+        assert [(r.source_file, r.format, r.reason) for r in failed.collect()] == [(f"{tmp_path}/in/Two.sdr/b.mbp", "mbp", "unreadable")]
+        assert indexes.count() == 0
+        sinks.write_markdown(found, f"{tmp_path}/md")
+        assert "".join(f.read_text() for f in sorted((tmp_path / "md").glob("part-*"))) == "## One  \n*A*\n\n> [yellow] long\n> *— p. 1 | loc. 2–3*\n\n## a\n\n## Two  \n*A*\n\n> [yellow]\n> *— loc. 5–9*\n\n"
+
     def test_text_and_markdown_files(self, spark, tmp_path):
         sinks.write_markdown(export(spark, *ROWS), f"{tmp_path}/md")
         sinks.write_text(export(spark, *ROWS), f"{tmp_path}/txt")
