@@ -10,10 +10,12 @@ nearly the whole text consists of such passages. The boundary between small and
 size at which enumeration costs less than the lists.
 
 Sets that share a key are candidates. Each list is first scanned for two pivots only, and every set is compared
-with the nearest pivot it met; components of those links are contracted, and then the pairs
+with the nearest pivot it met that is not of its own component; components of those links are contracted, and this is
+repeated with other pivots. Then the pairs
 of each list that stand in different components are verified, so that a group of n near copies costs about
 n comparisons and no link between components is lost. Before two sets are brought together, the
-parities of their members in 512 cells are compared: these differ in at most as many cells as the sets
+parities of their members in 512 cells are compared, and for large sets in twice as many cells as they have members: these
+differ in at most as many cells as the sets
 have members of one only, so pairs beyond the allowed difference are out for certain.
 """
 
@@ -37,6 +39,10 @@ BROADCAST_NODES = 100_000
 #: 64-bit words of the parity sketch.
 SKETCH = 8
 SKETCH_COLUMNS = [f"p{i}" for i in range(SKETCH)]
+#: Sets of more members have a second, wide sketch.
+NARROW = 512
+#: How often lists are scanned with two pivots before the rest is compared.
+ROUNDS = 3
 #: What scanning a list costs for each set in it, in keys of a small set.
 SCAN = 4
 #: The order of shingles tells apart documents' counts under 16, under 64, under 256, ... by a table of 2**CELL_BITS cells.
@@ -110,6 +116,15 @@ def _sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(cell, minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
 
 
+def _wide_sketch(members: np.ndarray) -> np.ndarray:
+    """The same in at least twice as many cells as there are members; none for small sets. Its halves, xored, are the sketch in half the cells."""
+    if len(members) <= NARROW:
+        return np.empty(0, np.uint64)
+    cells = 1 << int(2 * len(members) - 1).bit_length()
+    cell = (grams.mix(members) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=cells).astype(np.uint8) & 1).view(np.uint64)
+
+
 def _node(members: np.ndarray) -> int:
     """64 bits that stand for a set."""
     return int(grams.mix(grams.mix(members).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(members))).view(np.int64)[0])
@@ -163,12 +178,12 @@ def _keys_of(percent: int, n: int, shared):
     def run(batches):
         plan, levels = Plan(percent), shared.value
         for batch in batches:
-            for lo, hi, made in _rows(batch, n, lambda m: (_node(m), len(m), plan.keys(m, levels) if len(m) else m, _sketch(m))):
-                nodes, sizes, keys, sketches = zip(*made, strict=True)
+            for lo, hi, made in _rows(batch, n, lambda m: (_node(m), len(m), plan.keys(m, levels) if len(m) else m, _sketch(m), _wide_sketch(m))):
+                nodes, sizes, keys, sketches, wide = zip(*made, strict=True)
                 parity = np.stack(sketches, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(list(keys)), *(pa.array(p) for p in parity)],
-                    names=["row", "text_hash", "node", "n", "keys", *SKETCH_COLUMNS],
+                    [batch.column("row").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(list(keys)), *(pa.array(p) for p in parity), _lists(list(wide))],
+                    names=["row", "text_hash", "node", "n", "keys", *SKETCH_COLUMNS, "wide"],
                 )
 
     return run
@@ -186,6 +201,9 @@ def _sets_of(n: int):
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets link. Only texts of sets in ``pairs`` are read again, one for each set."""
+    large = nodes.filter(F.col("n") > NARROW)
+    wide_a, wide_b = (large.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"w_{x}")) for x in "ab")
+    pairs = saved(pairs.join(wide_a, "a", "left").join(wide_b, "b", "left").filter(_may_link_by_wide(percent)).select("a", "b"), "near")
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     hashes = saved(nodes.join(ids, "node").select("text_hash").distinct(), "texts")
     chosen = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(small(hashes, BROADCAST_ROWS), "text_hash", "left_semi").dropDuplicates(["text_hash"])
@@ -202,7 +220,7 @@ def ngram_sets(docs: DataFrame, carry: tuple[str, ...], n: int, percent: int) ->
     row = F.struct(*carry)
     slim = docs.select(row.alias("row"), F.xxhash64("text").alias("text_hash"), "text")
     kind = slim.schema["row"].dataType.simpleString()
-    return slim.mapInArrow(_keys_of(percent, n, levels), f"row {kind}, text_hash bigint, node bigint, n bigint, keys array<bigint>, " + ", ".join(f"{p} bigint" for p in SKETCH_COLUMNS))
+    return slim.mapInArrow(_keys_of(percent, n, levels), f"row {kind}, text_hash bigint, node bigint, n bigint, keys array<bigint>, " + ", ".join(f"{p} bigint" for p in SKETCH_COLUMNS) + ", wide array<bigint>")
 
 
 _DISTANCE = " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in SKETCH_COLUMNS)
@@ -210,8 +228,19 @@ _DISTANCE = " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in SKETCH_COLUMNS)
 
 def _may_link(percent: int) -> str:
     """SQL condition on n_a, n_b and both sketches that every pair of linked sets fulfils."""
-    differ = f"(n_a + n_b - 2 * (({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}))"
-    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {_DISTANCE} <= {differ}"
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {_DISTANCE} <= {_differ(percent)}"
+
+
+def _differ(percent: int) -> str:
+    """SQL for the most members that linked sets of n_a and n_b members have in one of them only."""
+    return f"(n_a + n_b - 2 * (({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}))"
+
+
+def _may_link_by_wide(percent: int) -> str:
+    """SQL condition on wide sketches, where both sets have one, that every pair of linked sets fulfils; sizes differ by less than half."""
+    folded = lambda x, y: f"if(size(w_{x}) > size(w_{y}), transform(sequence(0, size(w_{y}) - 1), i -> w_{x}[i] ^ w_{x}[i + size(w_{y})]), w_{x})"
+    distance = f"aggregate(zip_with({folded('a', 'b')}, {folded('b', 'a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return f"w_a is null or w_b is null or {distance} <= {_differ(percent)}"
 
 
 def _side(nodes: DataFrame, x: str) -> DataFrame:
@@ -225,22 +254,24 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int, every: bool =
     different sets that link, once each with a < b.
     """
     posted = keyed.filter("n > 0").select(F.explode("keys").alias("key"), "node")
-    pivots = saved(posted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"), "pivots")
-    met = saved(posted.join(small(pivots, BROADCAST_ROWS), "key").distinct(), "met")
+    shared = saved(posted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "shared")
+    met = saved(posted.join(small(shared, BROADCAST_ROWS), "key").distinct(), "met")
     about = ["node", "n", *SKETCH_COLUMNS]
-    nodes = saved(keyed.select(*about, "text_hash").join(small(saved(met.select("node").distinct(), "wanted"), BROADCAST_ROWS), "node").groupBy(*about).agg(F.min("text_hash").alias("text_hash")), "nodes")
+    nodes = saved(keyed.select(*about, "wide", "text_hash").join(small(saved(met.select("node").distinct(), "wanted"), BROADCAST_ROWS), "node").groupBy(*about).agg(F.first("wide").alias("wide"), F.min("text_hash").alias("text_hash")), "nodes")
     if every:
-        sized = saved(met.select("key", "node").join(small(nodes.select(*about), BROADCAST_NODES), "node"), "open")
+        sized = saved(met.join(small(nodes.select(*about), BROADCAST_NODES), "node"), "open")
         a, b = (sized.select("key", *(F.col(c).alias(f"{c}_{x}") for c in about)) for x in "ab")
         pairs = a.join(b, "key").filter(f"node_a < node_b and {_may_link(percent)}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        return _verify(saved(pairs, "pairs"), docs, nodes, n, percent), None
+        return saved(_verify(saved(pairs, "pairs"), docs, nodes, n, percent), "edges"), None
 
-    stars = met.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(met.select(F.col("node").alias("a"), F.col("hi").alias("b"))).filter("a <> b").distinct()
-    near = stars.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").filter(_may_link(percent)).select("a", "b", F.expr(_DISTANCE).alias("d"))
-    tried = saved(near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select("best.a", "b"), "tried")
-    first = saved(_verify(tried, docs, nodes, n, percent), "links")
+    labelled, tried, edges = met.withColumn("root", F.col("node")), None, None
+    for k in range(ROUNDS):
+        pairs = saved(_pairs_with_pivots(labelled, nodes, percent, k), "tried")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        linked = saved(_verify(pairs, docs, nodes, n, percent), "links")
+        edges = linked if edges is None else edges.unionByName(linked)
+        labelled = saved(met.join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "labelled")
 
-    labelled = saved(met.select("key", "node").join(components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "labelled")
     sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = saved(sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("main")), "main")
     left = saved(labelled.join(small(main, BROADCAST_ROWS), "key").join(small(nodes.select(*about), BROADCAST_NODES), "node"), "open")
@@ -254,10 +285,24 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int, every: bool =
         .distinct()
     )
     rest = saved(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    edges = first.unionByName(saved(_verify(rest, docs, nodes, n, percent), "more-links"))
+    edges = edges.unionByName(saved(_verify(rest, docs, nodes, n, percent), "more-links"))
     return edges, components(edges)
 
 
+def _pairs_with_pivots(labelled: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b): of every set in ``labelled`` (key, node, root) the nearest pivot of its lists, if that is of another component and may link.
+
+    The pivots of a list are the two ends of an order that differs with ``k``.
+    """
+    at = F.struct(F.xxhash64("node", F.lit(k)).alias("at"), "node", "root")
+    pivots = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(at).alias("first"), F.max(at).alias("last")).filter("lo <> hi")
+    pivots = saved(pivots.select("key", F.array("first", "last").alias("pivots")), "pivots")
+    met = labelled.join(small(pivots, BROADCAST_ROWS // 4), "key").select(F.col("node").alias("a"), "root", F.explode("pivots").alias("p")).filter("root <> p.root").select("a", F.col("p.node").alias("b")).distinct()
+    near = met.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").filter(_may_link(percent)).select("a", "b", F.expr(_DISTANCE).alias("d"))
+    best = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best"))
+    return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5, percent: int = 80) -> DataFrame:
     """(row, text_hash, n, first) of every row: ``first`` is the (last, doc_id, text_hash) of its class's smallest row."""
     ship(docs.sparkSession)
@@ -267,7 +312,8 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: in
     own = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("doc_id"), "text_hash")
     least = keyed.filter("n > 0").groupBy("node").agg(F.min(own).alias("first"))
     named = least.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = saved(named.join(named.groupBy("root").agg(F.min("first").alias("f")), "root").select("node", F.col("f").alias("first")), "classes")
+    firsts = saved(named.groupBy("root").agg(F.min("first").alias("f")), "firsts")
+    classes = saved(named.join(firsts, "root").select("node", F.col("f").alias("first")), "classes")
     row = F.struct(*(F.col("row")[c].alias(c) for c in carry)).alias("row")
     return keyed.select("row", "text_hash", "n", "node").join(classes, "node", "left").select(row, "text_hash", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(own).alias("first"))
 
@@ -294,7 +340,7 @@ def ngram_links(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int =
     """
     ship(docs.sparkSession)
     keyed = saved(ngram_sets(docs, carry, n, percent), "sets")
-    edges = saved(links(docs, keyed, n, percent, every=True)[0], "edges")
+    edges, _ = links(docs, keyed, n, percent, every=True)
     sizes = saved(keyed.filter("n > 0").groupBy("node").agg(F.count("*").alias("c")), "sizes")
     ends = edges.select(F.col("a").alias("own"), F.col("b").alias("node")).unionByName(edges.select(F.col("b").alias("own"), F.col("a").alias("node")))
     others = ends.join(sizes, "node").groupBy(F.col("own").alias("node")).agg(F.sum("c").alias("others"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 from pyspark.sql import types as T
 
+from marginalia.llm import quality
+
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -147,3 +150,21 @@ def lines_kept(rows, min_chars=12):
                 first.append(line)
         kept[doc_id] = "\n".join(out)
     return kept
+
+
+def robust_distances(texts):
+    """Squared distances of one group by concentration steps over whole arrays: ranks instead of bins of distances."""
+    counts = np.array([text_counts(t) for t in texts], float)
+    n = np.maximum(counts[:, :1], 1)
+    raw = np.hstack((np.log((counts[:, 1:2] + 1) / n), np.log1p(100 * counts[:, 2:] / n)))
+    x, ridge = np.round(raw * quality.GRAIN) / quality.GRAIN, np.diag(np.square(quality.RIDGE))
+    size, results = int(np.ceil(quality.HALF * len(x))), []
+    q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    for centre, scatter in ((x.mean(0), np.cov(x.T, bias=True) + ridge), (q2, np.diag(np.square((q3 - q1) / 1.349)) + ridge)):
+        for step in range(5):
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            near = x[np.argsort(d, kind="stable")[:size]]
+            if step < 4:
+                centre, scatter = near.mean(0), np.cov(near.T, bias=True) + ridge
+        results.append((np.linalg.slogdet(scatter)[1], d / max(1.0, np.sort(d)[size - 1] / quality.CHI2_HALF)))
+    return min(results, key=lambda r: r[0])[1]

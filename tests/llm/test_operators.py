@@ -14,13 +14,13 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from marginalia.llm import grams, warc
+from marginalia.llm import grams, toxicity as toxicity_module, warc
 from marginalia.llm.common import new_path, words as word_column
 from marginalia.llm.decontaminate import decontaminate, leaks
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources, source_targets
 from marginalia.llm.ngram_join import CELL_BITS, Plan, ngram_join, ngram_links, one_of_each
-from marginalia.llm.quality import CUTOFF, FALSE_REJECTIONS, quality_rules
+from marginalia.llm.quality import CUTOFF, FALSE_REJECTIONS, quality_rules, reject_outliers
 from marginalia.llm.sharding import ring_shards
 from marginalia.llm.substring_dedup import substring_dedup
 from marginalia.llm.token_counts import counter, read_cache, token_counts
@@ -142,6 +142,43 @@ class TestQuality:
         assert quality_rules(empty).count() == 0
 
 
+    @pytest.mark.parametrize("n", [4096, 4098, 4099, 30_000])
+    def test_repeats_in_long_texts(self, spark, n):
+        """On both sides of the length from which windows are sorted with their whole hashes."""
+        w = [f"w{i}" for i in range(n)]
+        w[n - 4 : n - 1] = w[7:10]
+        text = " ".join(w)
+        got = quality_rules(spark.createDataFrame([(1, text, "en", "s")], "doc_id bigint, text string, lang string, source string")).first()
+        assert (got.n_words, got.n_repeat_words) == (corpus.text_counts(text)[0], corpus.text_counts(text)[4]) == (n, 6)
+
+    def test_small_groups_are_judged_with_their_language(self, spark):
+        """Groups of 30 of one language form a pool: what is far out for that goes, though no group has an estimate of its own."""
+        r = random.Random(8)
+        prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(r.randint(60, 200)))
+        junk = lambda: " ".join(w + "%%%" for w in prose().split())
+        rows = [(100 * s + i, junk() if i == 0 else prose(), "en", f"s{s}", 0, 0, "", "", 0) for s in range(4) for i in range(30)]
+        rows += [(1000 + i, junk(), "de", "s0", 0, 0, "", "", 0) for i in range(5)]  # too few for any estimate
+        got = {x.doc_id: x.kept for x in quality_rules(corpus.frame(spark, rows)).select("row.doc_id", "kept").collect()}
+        assert {i for i, kept in got.items() if not kept} == {0, 100, 200, 300}
+
+    def test_estimates_against_concentration_steps_in_numpy(self, spark):
+        """Squared distances equal those of the same steps over whole arrays, up to the bins that cut the nearest part."""
+        r = random.Random(12)
+        texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) + "%" * (r.random() < 0.02) for _ in range(r.randint(60, 200))) for _ in range(400)]
+        texts += [" ".join(w + "#" * 3 for w in texts[i].split()) for i in range(40)]
+        rows = [(i, t, "en", "s", 0, 0, "", "", 0) for i, t in enumerate(texts)]
+        got = {x.doc_id: x.distance for x in quality_rules(corpus.frame(spark, rows)).select("row.doc_id", "distance").collect()}
+        want = corpus.robust_distances(texts)
+        assert np.allclose([got[i] for i in range(len(texts))], want, rtol=0.15, atol=0.2)
+        assert all((got[i] > CUTOFF) == (want[i] > CUTOFF) for i in range(len(texts)))
+
+    def test_rejected_rows_leave_with_all_columns(self, docs, rows):
+        left = reject_outliers(docs.withColumns({"h1": F.lit(1), "own": F.lit("x"), "g": F.lit("y")}))
+        judged = quality_rules(docs, ("doc_id", "text")).filter("kept").select("row.doc_id", "row.text")
+        assert left.columns == [*docs.columns, "h1", "own", "g"]
+        assert ordered(map(tuple, left.select("doc_id", "text").collect())) == ordered(map(tuple, judged.collect()))
+
+
 class TestMixing:
     def test_targets(self, spark):
         sizes = {"a": 1000, "b": 10, "c": 500, None: 90}
@@ -182,6 +219,17 @@ class TestMixing:
         assert mix_sources(empty).count() == 0
 
 
+    def test_low_weights_and_missing_ids(self, spark):
+        """Keys of any scale meet the target, and rows without ids are drawn one by one."""
+        rows = [(None if i % 2 else i, f"w{i} " * 10, "en", "a" if i < 300 else "b", 0, 0, "", "", 0) for i in range(600)]
+        for weight in (1e-9, 1.0, 1e9):
+            got = mix_sources(corpus.frame(spark, rows), weight=F.lit(weight), weights=(1, 3)).select("row.doc_id", "source", "taken", "target").collect()
+            for s in "ab":
+                own = [g for g in got if g.source == s]
+                assert abs(sum(g.taken for g in own) - own[0].target) <= 10
+            assert 30 < sum(g.source == "a" and g.doc_id is None and g.taken > 0 for g in got) < 120
+
+
 class TestDecontamination:
     def items(self, spark, texts):
         return spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
@@ -234,6 +282,26 @@ class TestDecontamination:
         got = leaks(docs, self.items(spark, [" ".join(x) for x in items])).collect()
         assert {(f.doc_id, f.item_id): (round(f.similarity, 9), -f.start) for f in got} == {k: (round(s, 9), at) for k, (s, at) in want.items()}
 
+    def test_items_of_few_words(self, spark):
+        items = self.items(spark, ["alone", "two words", "one more short item", "five words make a shingle"])
+        texts = ["nothing here", "it says TWO  words\there", "two other words", "alone", "one more short item", "x one more short item y", "five words make a", "so five words make a shingle too"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        found = leaks(docs, items).select("doc_id", "item_id", "n_words", "start", "similarity").collect()
+        assert ordered(map(tuple, found)) == ordered([(1, 1, 2, 2, 1.0), (3, 0, 1, 0, 1.0), (4, 2, 4, 0, 1.0), (5, 2, 4, 1, 1.0), (7, 3, 5, 1, 1.0)])
+
+    def test_very_long_texts_repeated_rows_and_other_columns(self, spark):
+        r = random.Random(14)
+        word = lambda: "".join(r.choice("lmnopq") for _ in range(5))
+        item = [word() for _ in range(40)]
+        long = [word() for _ in range(300_000)]
+        long[200_000:200_040] = item
+        rows = [(1, " ".join(long), "a", "b", "c", 1), (1, " ".join(long), "a", "b", "c", 1), (2, " ".join(long[:5000]), "a", "b", "c", 1), (None, " ".join(item), None, None, None, None)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, own_id string, own_text string, _d string, th int")
+        found = leaks(docs, self.items(spark, [" ".join(item)])).collect()
+        assert ordered((f.doc_id, f.start, f.similarity) for f in found) == ordered([(1, 200_000, 1.0), (None, 0, 1.0)])
+        left = decontaminate(docs, self.items(spark, [" ".join(item)]))
+        assert left.columns == docs.columns and [x.doc_id for x in left.collect()] == [2]
+
     def test_empty_tables(self, spark, empty, docs):
         assert leaks(empty, self.items(spark, ["a b c d e f"])).count() == 0
         assert leaks(docs, self.items(spark, [None])).count() == 0
@@ -329,6 +397,28 @@ class TestNgramJoin:
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
                     assert len(np.intersect1d(plan.keys(a, levels), plan.keys(b, levels))), (percent, len(a), len(b))
 
+    def test_lists_of_a_large_group_of_near_copies(self, spark):
+        """Near copies that share a frequent passage, some linked only through others, beside texts that only share the passage."""
+        r = random.Random(15)
+        prose = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+        passage, base, texts = prose(60), prose(120), []
+        for i in range(150):
+            w = base + passage
+            for _ in range(r.randrange(9)):
+                w[r.randrange(len(w))] = f"x{i}"
+            texts.append(" ".join(w))
+            texts.append(" ".join(prose(r.randint(20, 90)) + passage))
+        rows = list(enumerate(texts))
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+        for n, percent in ((3, 90), (5, 80)):
+            got = ngram_join(frame, n=n, percent=percent).select("row.doc_id", "n_shingles", "component_id").collect()
+            assert ordered(map(tuple, got)) == ordered(corpus.components(rows, n, percent))
+
+    def test_columns_of_any_name_stay(self, docs):
+        more = docs.withColumns({"_d": F.lit(1), "own_id": F.lit(2), "own_text": F.lit(3), "rank": F.lit(4), "text_hash": F.lit(5)})
+        left = one_of_each(more)
+        assert left.columns == more.columns and left.count() == one_of_each(docs).count()
+
     def test_one_of_each(self, docs, rows):
         left = one_of_each(docs).select(*corpus.DOCUMENT_COLUMNS).collect()
         want = {c for _, n, c in corpus.components(rows, 5, 80) if n}
@@ -356,10 +446,27 @@ class TestTokenCounts:
         assert token_counts(more, cache, self.path()).count() == len(rows) + 1
         assert read_cache(spark, cache).count() == len({r[1] or "" for r in rows}) + 1
 
+    def test_long_runs_of_blanks(self, spark):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path())
+        texts = [" " * 2_000_000, "\n" * 1_500_000, "a" + "\t" * 100_000 + "b", "\u00a0" * 150_000, "x" * 50_000, "word " * 100_000]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        got = dict(token_counts(docs, new_path(spark, "cache"), self.path()).select("row.doc_id", "n_tokens").collect())
+        assert got == {i: len(whole.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
     @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
-    def test_other_tokenizers(self, name):
-        content = open(self.path(name), "rb").read()
-        assert counter(content, name)(["", "two words"])[0] == 0
+    def test_other_tokenizers(self, name, rows):
+        content, texts = open(self.path(name), "rb").read(), [r[1] or "" for r in rows] + ["two words", "<|endoftext|> and <s> in a text", " " * 1000]
+        if name.endswith(".model"):
+            import sentencepiece
+
+            want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=self.path(name)).encode(texts, num_threads=1)]
+        else:
+            from tokenizers import Tokenizer
+
+            want = [len(Tokenizer.from_file(self.path(name)).encode(t, add_special_tokens=False).ids) for t in texts]
+        assert counter(content, name)(texts) == want and max(want) > 1000
 
     def test_empty(self, spark, empty):
         assert token_counts(empty, new_path(spark, "cache"), self.path()).count() == 0
@@ -386,6 +493,13 @@ class TestLineDedup:
         assert dedup_lines(docs).count() == len(rows)
         assert dedup_lines(empty).count() == 0
 
+    def test_nulls_ties_long_lines_and_other_columns(self, docs, spark):
+        long = "long line of text " * 20_000
+        rows = [(1, f"{long}\nsame line here", "h"), (2, f"{long}x\nsame line here\nshort", None), (2, None, "h"), (None, "same line hers\nshort", None), (3, "", "h"), (3, " \nshort", "h")]
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string, h1 string").withColumns({"pos": F.lit(1), "line": F.lit("l"), "first": F.lit(2)})
+        got = {(x.row.doc_id, x.row.text): x.kept for x in dedup_lines(frame, ("doc_id", "text")).collect()}
+        assert got == {(1, rows[0][1]): rows[0][1], (2, rows[1][1]): "short", (2, None): "", (None, rows[3][1]): "", (3, ""): "", (3, " \nshort"): " "}
+
 
 class TestSubstringDedup:
     @pytest.mark.parametrize("length", [35, 8, 5])
@@ -427,6 +541,38 @@ class TestToxicity:
         assert np.array_equal(weights, fit(docs.repartition(5), known))
         assert 0 < np.count_nonzero(weights) < 5000
 
+    def test_weights_against_a_plain_version(self):
+        """One coordinate at a time, in Python floats."""
+        r = random.Random(3)
+        examples = [(np.unique([0, *(r.randrange(1, 50) for _ in range(6))]).astype(np.int32), r.randrange(2)) for _ in range(300)]
+        z, n = defaultdict(float), defaultdict(float)
+
+        def weight(i):
+            strength = 0.0 if i == toxicity_module.BIAS else toxicity_module.L1
+            if abs(z[i]) <= strength:
+                return 0.0
+            return -(z[i] - math.copysign(strength, z[i])) / ((toxicity_module.BETA + math.sqrt(n[i])) / toxicity_module.ALPHA + toxicity_module.L2)
+
+        for _ in range(3):
+            for slots, label in examples:
+                w = {int(i): weight(int(i)) for i in slots}
+                g = 1 / (1 + math.exp(-sum(w.values()))) - label
+                for i in w:
+                    sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity_module.ALPHA
+                    z[i] += g - sigma * w[i]
+                    n[i] += g * g
+        got = toxicity_module.ftrl(examples, epochs=3)
+        assert np.allclose(got[:50], [weight(i) for i in range(50)]) and not got[50:].any()
+
+    def test_long_texts_repeated_rows_other_columns_and_bounds(self, spark):
+        texts = ["good plain words " * 5, "vile words " * 5, "good " * 300_000 + "vile", "good plain words " * 5]
+        docs = spark.createDataFrame([(i % 3, t, "k", 1) for i, t in enumerate(texts)] * 4, "doc_id bigint, text string, key string, label int")
+        known = spark.createDataFrame([(0, 0, "x"), (1, 1, "x"), (1, 0, "y"), (2, 2, "x")], "doc_id bigint, toxic int, slots string")
+        weights = fit(docs, known)
+        scored = toxicity(docs, weights, ("doc_id", "text", "key")).collect()
+        assert len(scored) == 16 and len({(x.row.doc_id, x.row.text, x.score) for x in scored}) == 3 and all(0 <= x.score <= 1 for x in scored)
+        assert not fit(docs, known, max_slots=3).any() and fit(docs, known, max_rows=1).any()
+
     def test_no_rows(self, spark, empty):
         weights = fit(empty, spark.createDataFrame([], "doc_id bigint, toxic int"))
         assert toxicity(empty, weights).count() == 0
