@@ -1,20 +1,22 @@
-"""What the corpus operators share: words, the shared folder, saved tables."""
+"""What the corpus operators share: words, names, broadcasts within a bound, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.sources.storage import new_path, qualified, saved, shared_dir
+
+__all__ = ["fresh", "lower_ascii", "n_words", "new_path", "qualified", "saved", "shared_dir", "ship", "small", "table", "words"]
+
 #: ASCII white space; everything else belongs to words.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_own_folders: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -32,38 +34,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(words(text)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _own_folders[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marginalia-{uuid.uuid4().hex}/{name}"
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """``path`` as a URI with its file system, for readers and writers other than Spark's."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
-    return f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has ``rows`` rows at most; larger tables are joined by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

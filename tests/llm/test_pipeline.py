@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import corpus
 
@@ -63,6 +64,25 @@ def test_stages_and_rows(spark, tmp_path):
     assert Counter(map(tuple, whole)) == Counter(map(tuple, last))
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, repeated rows, empty and very long texts, further columns with names of the operators' own, and no rows at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = corpus.make_rows(corpus.make_texts(count=30))
+    names = {"shard": 1, "slot": 2, "h1": 3, "own_id": 4, "own_text": 5, "rank": 6, "th": 7, "_d": 8, "g": 9, "edge": 10, "slice": 11, "text_hash": 12}
+    docs = corpus.frame(spark, rows).withColumns({name: F.lit(x) for name, x in names.items()}).cache()
+    spark.createDataFrame([(0, rows[4][1]), (1, None), (2, "zzz yyy")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    whole = Counter((r[0], r[1]) for r in rows)
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns + (["_shard", "_slot"] if k == 4 else []), name
+        kept = Counter((x.doc_id, x.text) for x in got.select("doc_id", "text").collect())
+        if k < 3:
+            assert kept <= whole and kept, name
+        assert set(kept) <= set(whole) and (kept == whole if k == 4 else kept != whole), name
+        assert got.select(*docs.columns).subtract(docs).count() == 0, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == got.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_entry_registers_ten_queries_and_the_pipeline():
     import __spark_entry__
 
