@@ -1,10 +1,11 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Lines within one edit of each other share a variant: the line itself, or the line less
-one character. All variants are hashed and joined, pairs are verified by edit distance,
+one character. All variants are hashed and joined, pairs are verified by comparing the variants themselves,
 and of equal or near lines the earliest stays. One edit leaves the first or the second half of
 the shorter line as it is, so only lines that share a half with another line can have a
-partner, and only those emit their variants; the halves cost four keys a line.
+partner; the halves cost four keys a line. These are cut into finer parts, and lines that share all but one part
+with another emit the variants of that part, so that a line of n characters costs about n to the power of 1.5.
 """
 
 from __future__ import annotations
@@ -51,15 +52,18 @@ def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_chars
     wanted = saved(lines.filter("long").join(small(near, BROADCAST_ROWS), "h1").select("h1", "h2", F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t"), F.col("first.pos").alias("_p")), "wanted")
     there = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(small(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
     candidates = saved(there.select("h1", "h2", F.get(F.split("text", "\n"), F.col("_p")).alias("line")).dropDuplicates(["h1", "h2"]).withColumn("len", F.length("line")), "candidates")
-    parts = candidates.select("h1", "h2", F.explode_outer(_part_keys(16)).alias("key"))
-    nearer = saved(parts.join(_met(parts, "key"), "key").select("h1", "h2").distinct(), "nearer")
-    texts = saved(candidates.join(small(nearer, BROADCAST_ROWS), ["h1", "h2"]).select("h1", "h2", "line"), "texts")
-    variants = texts.select("h1", "h2", F.explode_outer(_variants()).alias("variant"))
+    parts = candidates.select("h1", "h2", F.explode_outer(_fine_parts()).alias("p")).select("h1", "h2", "p.key", "p.lo", "p.hi")
+    nearer = saved(parts.join(_met(parts, "key"), "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "nearer")
+    texts = saved(candidates.join(small(nearer, BROADCAST_ROWS // 4), ["h1", "h2"]).select("h1", "h2", "line", "spans"), "texts")
+    variants = texts.select("h1", "h2", F.explode_outer(_variants()).alias("v")).select("h1", "h2", "v.variant", "v.at")
     posted = saved(variants.join(_met(variants, "variant"), "variant"), "variants")
-    a, b = (posted.select("variant", F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2")) for x in "ab")
-    pairs = a.join(b, "variant").filter("a1 < b1 or a1 = b1 and a2 < b2").select("a1", "a2", "b1", "b2").distinct()
+    a, b = (posted.select("variant", F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("at").alias(f"at_{x}")) for x in "ab")
+    # One edit: the same place is left out of both, or nothing (place 0) of one.
+    pairs = a.join(b, "variant").filter("(a1 < b1 or a1 = b1 and a2 < b2) and (at_a = at_b or at_a = 0 or at_b = 0)")
+    pairs = pairs.groupBy("a1", "a2", "b1", "b2").agg(F.min(F.struct("at_a", "at_b")).alias("at"))
     ta, tb = (texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"l{x}")) for x in "ab")
-    verified = pairs.join(ta, ["a1", "a2"]).join(tb, ["b1", "b2"]).filter(F.levenshtein("la", "lb", 1) == 1).select("a1", "a2", "b1", "b2")
+    less = lambda x: f"if(at.at_{x} = 0, l{x}, concat(left(l{x}, at.at_{x} - 1), substring(l{x}, at.at_{x} + 1)))"
+    verified = pairs.join(ta, ["a1", "a2"]).join(tb, ["b1", "b2"]).filter(f"{less('a')} = {less('b')}").select("a1", "a2", "b1", "b2")
     fa, fb = (lines.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("first").alias(f"f{x}")) for x in "ab")
     later = F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
     losers = saved(verified.join(fa, ["a1", "a2"]).join(fb, ["b1", "b2"]).select(later.alias("l")).select("l.*").distinct().withColumn("loses", F.lit(True)), "losers")
@@ -90,6 +94,15 @@ def _part_keys(parts: int) -> Column:
     return F.expr(f"flatten(transform(array(len, len - 1), s -> transform(sequence(0, {parts - 1}), j -> xxhash64(j, s, left(line, {lo}), right(line, s - {hi})))))")
 
 
+def _fine_parts() -> Column:
+    """As ``_part_keys`` with at least 16 parts, and the square root of the length: (key, lo, hi), where the line's own part is its characters from lo + 1 to hi."""
+    parts = "greatest(16, cast(sqrt(s) as int))"
+    lo, hi = f"cast(cast(s as bigint) * j div {parts} as int)", f"cast(cast(s as bigint) * (j + 1) div {parts} as int)"
+    own = f"named_struct('key', xxhash64(j, s, left(line, {lo}), right(line, s - {hi})), 'lo', {lo}, 'hi', {hi} + len - s)"
+    return F.expr(f"flatten(transform(array(len, len - 1), s -> transform(sequence(0, {parts} - 1), j -> {own})))")
+
+
 def _variants() -> Column:
-    """Hashes of the line and of the line less each of its characters."""
-    return F.expr("array_distinct(concat(array(xxhash64(line)), transform(sequence(1, length(line)), i -> xxhash64(concat(left(line, i - 1), substring(line, i + 1))))))")
+    """(variant, at): hashes of the line, and of the line less the character at each place of its ``spans``."""
+    less = "named_struct('variant', xxhash64(concat(left(line, i - 1), substring(line, i + 1))), 'at', i)"
+    return F.expr(f"concat(array(named_struct('variant', xxhash64(line), 'at', 0)), array_distinct(flatten(transform(spans, p -> transform(sequence(p.lo + 1, greatest(p.lo + 1, p.hi)), i -> {less})))))")
