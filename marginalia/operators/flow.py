@@ -9,6 +9,7 @@ from marginalia.operators.enrich import assign_places, pair_books, resolve_text,
 from marginalia.schema import conform
 from marginalia.sources.corpus import scan_corpus
 from marginalia.sources.sidecar import list_files
+from marginalia.sources.storage import saved
 
 
 def annotate(annotations: DataFrame, files: DataFrame, chunks: DataFrame, page_map: DataFrame, location_map: DataFrame, override: str | None = None, text: bool = True, pages: bool = True) -> DataFrame:
@@ -30,6 +31,10 @@ def annotate(annotations: DataFrame, files: DataFrame, chunks: DataFrame, page_m
 
 
 def annotate_corpus(spark: SparkSession, path: str, chunks: DataFrame, page_map: DataFrame, location_map: DataFrame, override: str | None = None, text: bool = True, pages: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(annotations, page indexes, quarantine) of all files below ``path``, with the annotations of ``annotate``."""
+    """(annotations, page indexes, quarantine) of all files below ``path``, with the annotations of ``annotate``.
+
+    Decoded annotations are written to the shared folder, so that files are decoded once, however often the rows are used.
+    """
     annotations, indexes, failed = scan_corpus(spark, path)
+    annotations = saved(annotations, "scanned")
     return annotate(annotations, list_files(spark, path), chunks, page_map, location_map, override, text, pages), indexes, failed
