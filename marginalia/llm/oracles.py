@@ -1,4 +1,4 @@
-"""DuckDB SQL for those of the ten queries that SQL can express."""
+"""DuckDB SQL for those of the queries that SQL can express."""
 
 from __future__ import annotations
 
@@ -75,6 +75,17 @@ each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w
 kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.pos) AS text, count(*) AS n FROM each e ANTI JOIN covered c ON c.doc_id = e.doc_id AND c.pos = e.pos GROUP BY e.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id"""
 
+_FILL_MIDDLE = """
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+h AS (SELECT *, len(units) AS n, [CAST('0x' || substr(hex, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h FROM cut),
+formed AS (
+    SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+parts AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM formed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256 FROM parts"""
+
 ORACLES: dict[str, str] = {
     "op3_mixing": _MIXING,
     "op5_warc": _WARC,
@@ -82,4 +93,5 @@ ORACLES: dict[str, str] = {
     "ngram_links": _NGRAM_LINKS,
     "op8_line_dedup": _LINE_DEDUP,
     "op9_substring_dedup": _SUBSTRING_DEDUP,
+    "op13_fill_middle": _FILL_MIDDLE,
 }

@@ -1,4 +1,4 @@
-"""The registered queries of the ten corpus operators, over whole tables."""
+"""The registered queries of the corpus operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import warc
 from marginalia.llm.common import new_path, table
 from marginalia.llm.decontaminate import leaks
+from marginalia.llm.fill_middle import fill_in_middle, restore
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources
 from marginalia.llm.ngram_join import ngram_join, ngram_links
@@ -83,6 +84,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    restored = restore(fill_in_middle(table(spark, sf_dir, "documents"), seed=1))
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return restored.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -95,4 +102,5 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_fill_middle": op13_fill_middle,
 }
