@@ -86,6 +86,49 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
     sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
     sha256(text) AS restored_sha256 FROM parts"""
 
+#: Per state and initial: the state after it; before a turn nothing, one or two turns may be inserted.
+_REPAIR = r"""
+WITH RECURSIVE raw AS (
+    SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+polynomial(i, v) AS (SELECT i, i FROM range(256) t(i)),
+crc_table AS (SELECT i, list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT)) AS v FROM polynomial),
+crcs AS (SELECT list(v ORDER BY i) AS t FROM crc_table),
+placed AS (
+    SELECT r.*, xor(list_reduce([CAST(ascii(x) AS BIGINT) FOR x IN string_split(conv || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS place FROM raw r, crcs),
+hurt AS (
+    SELECT conv, turn, CASE WHEN place = 4 THEN 'user' ELSE role END AS role, CASE place WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM (SELECT *, unnest(range(CASE WHEN place = 3 THEN 2 ELSE 1 END)) FROM placed WHERE place <> 0)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos, left(role, 1) AS initial FROM hurt),
+faulty AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv ORDER BY pos) || initial AS pair FROM numbered),
+moves(initial, a, b) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+names(initial, role) AS (VALUES ('u', 'user'), ('a', 'assistant')),
+inserts(a, b, cost, audit, lines) AS (
+    SELECT a, a, 0, '', '' FROM (VALUES (0), (1), (2), (3)) v(a)
+    UNION ALL SELECT a, b, 3, 'I', chr(10) || role || ':' FROM moves JOIN names USING (initial)
+    UNION ALL SELECT x.a, y.b, 6, 'II', chr(10) || n.role || ':' || chr(10) || o.role || ':' FROM moves x JOIN names n USING (initial) JOIN moves y ON y.a = x.b JOIN names o ON o.initial = y.initial),
+edits AS (
+    SELECT conv, pos, s.a, s.a AS b, 4 AS cost, 'D' AS audit, '' AS lines FROM faulty, (VALUES (0), (1), (2), (3)) s(a)
+    UNION ALL SELECT conv, pos, a, b, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', chr(10) || role || ':' || text FROM faulty JOIN moves USING (initial) WHERE fault IN ('', 'truncated')
+    UNION ALL SELECT conv, pos, a, b, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', chr(10) || n.role || ':' || text FROM faulty, moves m JOIN names n ON n.initial = m.initial WHERE fault IN ('', 'truncated')),
+steps AS (
+    SELECT e.conv, e.pos, i.a, e.b, min({'cost': i.cost + e.cost, 'audit': i.audit || e.audit, 'lines': i.lines || e.lines}) AS best FROM edits e JOIN inserts i ON i.b = e.a GROUP BY ALL),
+lengths AS (SELECT conv, max(pos) AS n FROM faulty GROUP BY conv),
+walk(conv, pos, state, best) AS (
+    SELECT conv, CAST(0 AS BIGINT), 0, {'cost': 0, 'audit': '', 'lines': ''} FROM lengths
+    UNION ALL SELECT w.conv, s.pos, s.b, min({'cost': w.best.cost + s.best.cost, 'audit': w.best.audit || s.best.audit, 'lines': w.best.lines || s.best.lines})
+    FROM walk w JOIN steps s ON s.conv = w.conv AND s.pos = w.pos + 1 AND s.a = w.state GROUP BY w.conv, s.pos, s.b),
+ended AS (
+    SELECT w.conv, min({'cost': w.best.cost + i.cost, 'audit': w.best.audit || i.audit, 'lines': w.best.lines || i.lines}) AS best
+    FROM walk w JOIN lengths l ON l.conv = w.conv AND l.n = w.pos JOIN inserts i ON i.a = w.state WHERE i.b IN (0, 3) GROUP BY w.conv),
+counted AS (
+    SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv)
+SELECT c.conv_id, CAST(coalesce(k.gaps, 0) AS BIGINT) AS gaps, coalesce(k.blank, 0) AS blank, coalesce(k.duplicate, 0) AS duplicate, coalesce(k.truncated, 0) AS truncated, coalesce(k.illegal, 0) AS illegal,
+    CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(substr(e.best.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted k ON k.conv = coalesce(CAST(c.conv_id AS VARCHAR), ' ') LEFT JOIN ended e ON e.conv = k.conv"""
+
 ORACLES: dict[str, str] = {
     "op3_mixing": _MIXING,
     "op5_warc": _WARC,
@@ -93,5 +136,6 @@ ORACLES: dict[str, str] = {
     "ngram_links": _NGRAM_LINKS,
     "op8_line_dedup": _LINE_DEDUP,
     "op9_substring_dedup": _SUBSTRING_DEDUP,
+    "op11_conversation_repair": _REPAIR,
     "op13_fill_middle": _FILL_MIDDLE,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import warc
 from marginalia.llm.common import new_path, table
+from marginalia.llm.conversations import conversation_key, damaged, repair, transcript_hashes
 from marginalia.llm.decontaminate import leaks
 from marginalia.llm.fill_middle import fill_in_middle, restore
 from marginalia.llm.line_dedup import dedup_lines
@@ -84,6 +85,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    turns, found = repair(damaged(given))
+    every = given.select("conv_id").distinct().withColumn("conv", conversation_key())
+    joined = every.join(found.drop("conv_id"), "conv", "left").join(transcript_hashes(turns), "conv", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     restored = restore(fill_in_middle(table(spark, sf_dir, "documents"), seed=1))
     digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
@@ -102,5 +112,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_fill_middle": op13_fill_middle,
 }

@@ -51,7 +51,7 @@ def test_restoring_gives_the_texts_back(spark):
 
 
 def test_restored_evades_a_column_of_its_name(spark):
-    made = fill_in_middle(frame(spark, make_rows(["one two three four"])), ("doc_id",)).selectExpr("output", "form", "n as restored")
+    made = fill_in_middle(frame(spark, make_rows(["one two three four"] * 9)), ("doc_id",)).selectExpr("output", "form", "n as restored")
     assert restore(made).columns == ["output", "form", "restored", "_restored"]
 
 
