@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.sources.storage import new_path, qualified, saved, shared_dir
 
-__all__ = ["fresh", "lower_ascii", "n_words", "new_path", "qualified", "saved", "shared_dir", "ship", "small", "table", "words"]
+__all__ = ["Scratch", "fresh", "lower_ascii", "n_words", "new_path", "qualified", "saved", "shared_dir", "ship", "small", "table", "words"]
 
 #: ASCII white space; everything else belongs to words.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -39,6 +39,26 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+class Scratch:
+    """Intermediate tables in the shared folder, deleted together at the end of a ``with`` block; its results are saved elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.count = spark, new_path(spark, name), 0
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count:03d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores before it until ``df`` has no such column (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

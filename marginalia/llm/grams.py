@@ -130,3 +130,8 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
             h = h * _GRAM + w
         return mix(h)
     return np.unique(ngrams(words, n))
+
+
+def set_id(members: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return int(mix(mix(members).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(members))).view(np.int64)[0])

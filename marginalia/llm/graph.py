@@ -1,11 +1,11 @@
-"""Connected components by contraction, with every round written to the shared folder."""
+"""Connected components, with every round written to the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import saved
+from marginalia.llm.common import Scratch, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,3 +37,38 @@ def components(edges: DataFrame) -> DataFrame:
     for step in rounds[1:]:
         labels = labels.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return saved(labels, "labels")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """The smaller neighbours of a node, and the node, are tied to the smallest of them; ``edges`` go from larger to smaller."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    others = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return others.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def star_components(edges: DataFrame, name: str = "labels") -> DataFrame:
+    """(node, root) for all nodes of ``edges`` (a, b) with edges to others: root is the smallest node of the component.
+
+    Large-star and small-star steps alternate until the edges stay as they are, which then form one star around each root. Minima
+    are taken before rows meet, and the joins on a node stand alone, so that Spark can split a node of many neighbours.
+    """
+    spark = edges.sparkSession
+    with Scratch(spark, "stars") as scratch:
+        state = scratch.saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+        mark = None
+        while True:
+            large = scratch.saved(_large_star(state), "large")
+            state = scratch.saved(_small_star(large), "small")
+            now = state.agg(F.count("*").alias("c"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("t")).first()
+            if now == mark:
+                break
+            mark = now
+        roots = state.select("b").distinct()
+        return saved(state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root"))), name)

@@ -50,6 +50,10 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id FROM documents d
 LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id"""
 
+_MINHASH = (
+    _NGRAM_JOIN.replace("len(ws) >= 3", "len(ws) >= 2").replace("ws[i + 1:i + 3]", "ws[i + 1:i + 2]").replace("len(ws) - 2)", "len(ws) - 1)").replace("100 * c >= 90", "100 * c >= 80").replace("r.component_id FROM", "r.component_id, d.doc_id = r.component_id AS kept FROM")
+)
+
 _NGRAM_LINKS = (
     _NGRAM_JOIN.partition(",\nreach(a, b)")[0]
     + """
@@ -137,5 +141,6 @@ ORACLES: dict[str, str] = {
     "op8_line_dedup": _LINE_DEDUP,
     "op9_substring_dedup": _SUBSTRING_DEDUP,
     "op11_conversation_repair": _REPAIR,
+    "op12_minhash": _MINHASH,
     "op13_fill_middle": _FILL_MIDDLE,
 }

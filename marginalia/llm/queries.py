@@ -11,6 +11,7 @@ from marginalia.llm.conversations import conversation_key, damaged, repair, tran
 from marginalia.llm.decontaminate import leaks
 from marginalia.llm.fill_middle import fill_in_middle, restore
 from marginalia.llm.line_dedup import dedup_lines
+from marginalia.llm.minhash import minhash_duplicates
 from marginalia.llm.mixing import mix_sources
 from marginalia.llm.ngram_join import ngram_join, ngram_links
 from marginalia.llm.quality import quality_rules
@@ -94,6 +95,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+    return found.select("row.doc_id", "n_shingles", "component_id", "kept")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     restored = restore(fill_in_middle(table(spark, sf_dir, "documents"), seed=1))
     digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
@@ -113,5 +119,6 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_minhash": op12_minhash,
     "op13_fill_middle": op13_fill_middle,
 }
