@@ -135,3 +135,13 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
 def set_id(members: np.ndarray) -> int:
     """64 bits that stand for a set."""
     return int(mix(mix(members).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(members))).view(np.int64)[0])
+
+
+#: 64-bit words of the parity sketch.
+PARITY_WORDS = 8
+
+
+def parity_sketch(members: np.ndarray) -> np.ndarray:
+    """The parities of the counts of members in PARITY_WORDS * 64 cells, as bits: two sets' sketches differ in as many as the sets do, at most."""
+    cell = (mix(members) >> np.uint64(64 - 9)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=64 * PARITY_WORDS).astype(np.uint8) & 1).view(np.int64)

@@ -4,8 +4,8 @@ A set's signature holds its least member under each of ``bands * rows`` function
 similarity s agree in a minimum with probability s, so they share the key of one band at least with probability
 ``1 - (1 - s ** rows) ** bands``: with 42 bands of 5, all but 6 of 100 million pairs of similarity 0.8, and more of the nearer ones.
 Pairs that share a key are compared by one bit of each minimum: half of the minima that differ differ in it. Those whose
-bits leave a similarity as asked for possible, within seven standard deviations, are confirmed on their full sets. Links are joined to
-components by alternating large-star and small-star steps.
+bits leave a similarity as asked for possible, within seven standard deviations, and whose sets don't differ in too many parities,
+are confirmed on their full sets. Links are joined to components by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import grams
 from marginalia.llm.common import saved, ship
-from marginalia.llm.near import Measure, classes, named
+from marginalia.llm.near import PARITY, Measure, classes, named, parity_bound
 
 BANDS, ROWS = 42, 5
 #: 64-bit words of the signature's bits.
 BIT_WORDS = 4
 BIT_COLUMNS = [f"s{i}" for i in range(BIT_WORDS)]
+SKETCH = [*BIT_COLUMNS, *PARITY]
 #: How many standard deviations the bits of a pair may be off.
 DEVIATIONS = 7
 #: Members that are hashed at once: the products stay in the processor's cache.
@@ -82,12 +83,12 @@ def _signed(n: int, bands: int, rows: int):
                     nodes.append(grams.set_id(members))
                     sizes.append(len(members))
                     keys.append(band_keys(minima, bands) if len(members) else members)
-                    marks.append(bits(minima))
+                    marks.append(np.concatenate((bits(minima), grams.parity_sketch(members))))
                 flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
                 ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(w) for w in np.stack(marks, axis=1))],
-                    names=["row", "text_hash", "node", "n", "keys", *BIT_COLUMNS],
+                    names=["row", "text_hash", "node", "n", "keys", *SKETCH],
                 )
 
     return run
@@ -98,7 +99,7 @@ def measure(n: int, percent: int, count: int) -> Measure:
     differ = count * (1 - percent / 100) / 2
     most = int(differ + DEVIATIONS * sqrt(differ * (1 - differ / count)) + 1)
     distance = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in BIT_COLUMNS)
-    return Measure(n, percent, BIT_COLUMNS, f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {distance} <= {most}", distance)
+    return Measure(n, percent, SKETCH, f"{parity_bound(percent)} and {distance} <= {most}", distance)
 
 
 def minhash_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -118,9 +119,9 @@ def minhash_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n:
     with_id = tuple(dict.fromkeys((*carry, "doc_id")))
     slim = docs.select(F.struct(*with_id).alias("row"), F.xxhash64("text").alias("text_hash"), "text")
     kind = slim.schema["row"].dataType.simpleString()
-    signed = f"row {kind}, text_hash bigint, node bigint, n bigint, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in BIT_COLUMNS)
+    signed = f"row {kind}, text_hash bigint, node bigint, n bigint, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCH)
     keyed = saved(slim.mapInArrow(_signed(n, bands, rows), signed), "signatures")
-    about = ["node", "n", *BIT_COLUMNS]
+    about = ["node", "n", *SKETCH]
     nodes = saved(keyed.filter("n > 0").groupBy(*about).agg(F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash")), "nodes")
     found = named(keyed, classes(docs, nodes, measure(n, percent, bands * rows)), with_id)
     row, component = F.struct(*(F.col("row")[c].alias(c) for c in carry)).alias("row"), F.col("first.doc_id")

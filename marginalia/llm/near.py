@@ -25,12 +25,20 @@ from marginalia.llm.graph import star_components
 BROADCAST_ROWS = 250_000
 #: A table of up to so many sets with their sketches (100 bytes each) is broadcast.
 BROADCAST_NODES = 100_000
-#: How often lists are scanned with two pivots before the rest is compared.
-ROUNDS = 2
+#: How often lists are scanned with two pivots, while that finds links, before the rest is compared.
+ROUNDS = 3
+#: Columns of the parity sketch.
+PARITY = [f"p{i}" for i in range(grams.PARITY_WORDS)]
 #: Pairs whose sets are built together.
 PAIRS = 128
 
 
+def parity_bound(percent: int) -> str:
+    """SQL on n_a, n_b and parity sketches that all pairs of linked sets fulfil: few enough members of one set only."""
+    most = f"(n_a + n_b - 2 * (({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}))"
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {' + '.join(f'bit_count({p}_a ^ {p}_b)' for p in PARITY)} <= {most}"
+
+
 @dataclass
 class Measure:
     """When two sets link: at ``percent`` of Jaccard similarity of sets of ``n``-word shingles.
@@ -117,6 +125,8 @@ def classes(docs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
             tried = pairs if tried is None else tried.unionByName(pairs)
             found = scratch.saved(verified(pairs, texts, measure), "links")
             links = found if links is None else links.unionByName(found)
+            if found.isEmpty():
+                break
             roots = star_components(links, "roots")
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")
             labelled = scratch.saved(met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "labelled")
