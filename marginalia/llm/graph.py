@@ -39,36 +39,41 @@ def components(edges: DataFrame) -> DataFrame:
     return saved(labels, "labels")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges up to so many are joined with a broadcast of their minima (at most twice as many rows of 16 bytes).
+BROADCAST_EDGES = 250_000
+
+
+def _large_star(edges: DataFrame, hinted) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.filter("b > a").join(hinted(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hinted) -> DataFrame:
     """The smaller neighbours of a node, and the node, are tied to the smallest of them; ``edges`` go from larger to smaller."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    others = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    others = edges.join(hinted(least), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, or only edges to larger ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def star_components(edges: DataFrame, name: str = "labels") -> DataFrame:
     """(node, root) for all nodes of ``edges`` (a, b) with edges to others: root is the smallest node of the component.
 
-    Large-star and small-star steps alternate until the edges stay as they are, which then form one star around each root. Minima
-    are taken before rows meet, and the joins on a node stand alone, so that Spark can split a node of many neighbours.
+    Large-star and small-star steps alternate until one star around each root is left. Minima are taken before rows
+    meet, and the joins on a node stand alone, so that Spark can split a node of many neighbours.
     """
     spark = edges.sparkSession
     with Scratch(spark, "stars") as scratch:
         state = scratch.saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-        mark = None
-        while True:
-            large = scratch.saved(_large_star(state), "large")
-            state = scratch.saved(_small_star(large), "small")
-            now = state.agg(F.count("*").alias("c"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("t")).first()
-            if now == mark:
-                break
-            mark = now
+        hinted = F.broadcast if state.count() <= BROADCAST_EDGES else lambda df: df
+        while not _stars(state):
+            state = scratch.saved(_small_star(_large_star(state, hinted), hinted), "stars")
         roots = state.select("b").distinct()
         return saved(state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root"))), name)

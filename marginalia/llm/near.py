@@ -26,7 +26,7 @@ BROADCAST_ROWS = 250_000
 #: A table of up to so many sets with their sketches (100 bytes each) is broadcast.
 BROADCAST_NODES = 100_000
 #: How often lists are scanned with two pivots, while that finds links, before the rest is compared.
-ROUNDS = 3
+ROUNDS = 2
 #: Columns of the parity sketch.
 PARITY = [f"p{i}" for i in range(grams.PARITY_WORDS)]
 #: Pairs whose sets are built together.
@@ -78,7 +78,7 @@ def _linked(n: int, percent: int):
 def verified(pairs: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets link, by the ``texts`` (node, text)."""
     left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(measure.n, measure.percent), "a bigint, b bigint")
+    return left.join(small(pairs, BROADCAST_ROWS), "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(measure.n, measure.percent), "a bigint, b bigint")
 
 
 def met_keys(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -129,7 +129,7 @@ def classes(docs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
                 break
             roots = star_components(links, "roots")
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")
-            labelled = scratch.saved(met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "labelled")
+            labelled = scratch.saved(met.join(small(roots, BROADCAST_ROWS), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "labelled")
 
         counts = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
         main = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("main"))
