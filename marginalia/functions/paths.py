@@ -38,3 +38,8 @@ def ancestors(path: Column) -> Column:
 def local_path(uri: Column) -> Column:
     """A file's URI without scheme and, for local files, without the doubled slashes."""
     return F.regexp_replace(uri, r"\Afile:/+", "/")
+
+
+def from_uri(uri: Column) -> Column:
+    """A percent-encoded URI as text; a plus sign stands for itself."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))

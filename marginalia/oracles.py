@@ -214,6 +214,17 @@ ORACLES = {
         CASE WHEN book_id % 10 = 0 AND book_id % 3 <> 0 AND coalesce(cut, '') <> '' THEN content ELSE was || ' line ' || event_id END,
         CASE WHEN book_id % 10 = 0 THEN book_title || '.sdr/My Clippings.txt' ELSE 'clippings ' || book_id || '.txt' END FROM filled WHERE clip_type = 'highlight' AND book_id % 10 < 2""",
     ),
+    "corpus_outcomes": over(
+        "ann",
+        "pages",
+        select="""SELECT file, format, CASE WHEN bad THEN 'unreadable' ELSE outcome END AS outcome, CASE WHEN bad OR outcome NOT IN ('annotations', 'page_indexes') THEN 0 ELSE n END AS n FROM (
+        SELECT book_title || '.sdr/a.yjr' AS file, 'yjr' AS format, book_id % 19 = 4 AS bad, 'annotations' AS outcome, count(*) AS n FROM ann WHERE clip_type <> 'last_position' GROUP BY book_title, book_id
+        UNION ALL SELECT book_title || '.sdr/a.yjf', 'yjf', book_id % 23 = 5, 'annotations', count(*) FROM ann WHERE clip_type = 'last_position' GROUP BY book_title, book_id
+        UNION ALL SELECT book_title || '.sdr/b.mbp', 'mbp', false, CASE WHEN book_id % 7 = 3 THEN 'container format' ELSE 'annotations' END, count(*) FROM ann GROUP BY book_title, book_id
+        UNION ALL SELECT 'Book ' || book_id || '.sdr/c.apnx', 'apnx', book_id % 29 = 3, CASE WHEN book_id % 11 = 5 THEN 'page index too short' ELSE 'page_indexes' END, count(*) FROM pages GROUP BY book_id
+        UNION ALL SELECT CASE WHEN book_id % 10 = 0 THEN book_title || '.sdr/My Clippings.txt' ELSE 'clippings ' || book_id || '.txt' END, 'clippings', book_id % 30 IN (10, 21), 'annotations', count(*)
+            FROM ann WHERE clip_type = 'highlight' AND book_id % 10 < 2 GROUP BY book_title, book_id)""",
+    ),
     "export_manifest": over("ann", "pages", select="SELECT (SELECT count(*) FROM ann) AS total_clippings, (SELECT count(DISTINCT book_id) FROM pages WHERE book_id % 11 <> 5) AS page_indexes"),
 }
 

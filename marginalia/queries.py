@@ -182,6 +182,20 @@ def corpus_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*EXPORT_COLUMNS).withColumn("source_file", F.substring_index("source_file", "/library/", -1))
 
 
+def corpus_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every file of a tree in all formats, some of them unreadable: one scan, by file."""
+    fixtures.configure(spark)
+    rows, root = fixtures.annotations(spark, sf_dir), new_path(spark, "corpus")
+    for files in (fixtures.sidecar_files(rows), fixtures.position_files(rows), fixtures.typed_files(rows), fixtures.index_files(fixtures.page_map(spark, sf_dir)), fixtures.clippings_files(rows)):
+        fixtures.write_files(files, qualified(spark, root))
+        fixtures.write_files(fixtures.wrong_sums(files), qualified(spark, root))
+    found, indexes, failed = corpus.scan_corpus(spark, root)
+    known = lambda df, outcome, n: df.select("source_file", corpus.route(F.col("source_file")).alias("format"), F.lit(outcome).alias("outcome"), n.cast("bigint").alias("n"))
+    each = known(found.groupBy("source_file").agg(F.count("*").alias("c")), "annotations", F.col("c")).unionByName(known(indexes, "page_indexes", F.size("page_offsets")))
+    every = each.unionByName(failed.select("source_file", "format", F.col("reason").alias("outcome"), F.lit(0).cast("bigint").alias("n")))
+    return every.select(F.substring_index("source_file", "/library/", -1).alias("file"), "format", "outcome", "n")
+
+
 def json_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.json_rows(_export(spark, sf_dir))
 
@@ -273,6 +287,7 @@ QUERIES = {
         text_blocks,
         export_manifest,
         corpus_flow,
+        corpus_outcomes,
         json_sink,
         csv_sink,
         markdown_sink,

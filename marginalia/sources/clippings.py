@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions.paths import local_path, sidecar_dir
+from marginalia.functions.paths import from_uri, local_path, sidecar_dir
 from marginalia.functions.text import LINE_BREAK, SPACE, absent_if_empty, is_blank, parsed_time, rstrip, strip
 from marginalia.schema import conform
 
@@ -109,16 +109,31 @@ def parse_entries(entries: DataFrame) -> DataFrame:
 
 
 def read_entries(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(value, source_file, file_ord, rec_ord) of text files or folders; a file is read in splits, never as a whole.
+    """(value, source_file, file_ord, rec_ord, n_bytes) of text files or folders; a file is read in splits, never as a whole.
 
-    file_ord is the path and the place of the split in its file, rec_ord grows within a split.
+    file_ord is the path and the place of the split in its file, rec_ord grows within a split, n_bytes is the entry's size with its separator.
+    A file that can't be read, or not to its end, gives what comes before; ``unread_files`` finds it.
     """
-    reader = spark.read.option("lineSep", SEPARATOR).option("recursiveFileLookup", True)
+    reader = spark.read.option("lineSep", SEPARATOR).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     place = F.lpad(F.col("_metadata.file_block_start").cast("string"), 16, "0")
-    source = local_path(F.url_decode("_metadata.file_path"))
-    return reader.text(path).select("value", source.alias("source_file"), F.concat_ws("#", source, place).alias("file_ord"), F.monotonically_increasing_id().alias("rec_ord"))
+    source = local_path(from_uri(F.col("_metadata.file_path")))
+    size = (F.octet_length("value") + len(SEPARATOR)).cast("bigint")
+    return reader.text(path).select("value", source.alias("source_file"), F.concat_ws("#", source, place).alias("file_ord"), F.monotonically_increasing_id().alias("rec_ord"), size.alias("n_bytes"))
+
+
+#: Bytes of a byte order mark, which the reader takes off; no entry is as short.
+MARK = 3
+
+
+def unread_files(listed: DataFrame, entries: DataFrame) -> DataFrame:
+    """(path) of those files in ``listed`` (path, length) of which fewer bytes are in ``entries`` than they have.
+
+    The splits of a file are read by different tasks, any of which may fail, so what was read is added up by file.
+    """
+    read = entries.groupBy(F.col("source_file").alias("path")).agg(F.sum("n_bytes").alias("n"))
+    return listed.join(read, "path", "left").filter(F.coalesce("n", F.lit(0)) < F.col("length") - MARK).select("path")
 
 
 def read_clippings_text(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:

@@ -6,10 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.paths import ancestors, name, sidecar_dir, stem, suffix
-from marginalia.sources.clippings import read_clippings_text
+from marginalia.sources.clippings import parse_entries, read_entries, unread_files
 from marginalia.sources.page_index import SHORTEST, decode_page_indexes
-from marginalia.sources.sidecar import decode_annotations, decode_last_positions, list_files, read_files
+from marginalia.sources.sidecar import (
+    ANNOTATION_KEYS,
+    POSITION_KEY,
+    SEGMENTS,
+    annotations_of,
+    decode_annotations,
+    decode_last_positions,
+    last_positions_of,
+    list_files,
+    read_files,
+    segments,
+)
+from marginalia.sources.storage import saved
+from marginalia.sources.typed import annotations_of as typed_annotations
 from marginalia.sources.typed import decode_records, is_container
+from marginalia.sources.typed import segments as typed_segments
 
 #: The binary formats and their suffixes (fixed values).
 FORMATS = {"yjr": ".yjr", "yjf": ".yjf", "mbp": ".mbp", "apnx": ".apnx"}
@@ -49,17 +63,24 @@ def with_titles(annotations: DataFrame, files: DataFrame) -> DataFrame:
     return joined.withColumn("book_title", F.coalesce("_title", "book_title")).select(annotations.columns)
 
 
+def _reason() -> Column:
+    """Why a file (path, content) can't be decoded; null if it can."""
+    kind = route(F.col("path"))
+    return F.when((kind == "apnx") & (F.length("content") < SHORTEST), "page index too short").when((kind == "mbp") & F.expr(f"coalesce({is_container()}, false)"), "container format")
+
+
 def quarantine(files: DataFrame) -> DataFrame:
     """(source_file, format, reason) of the ``files`` (path, content) that can't be decoded."""
-    kind = route(F.col("path"))
-    reason = F.when((kind == "apnx") & (F.length("content") < SHORTEST), "page index too short").when((kind == "mbp") & F.expr(f"coalesce({is_container()}, false)"), "container format")
-    return files.select(F.col("path").alias("source_file"), kind.alias("format"), reason.alias("reason")).filter("reason is not null")
+    return files.select(F.col("path").alias("source_file"), route(F.col("path")).alias("format"), _reason().alias("reason")).filter("reason is not null")
 
 
 def unreadable(listed: DataFrame, read: DataFrame) -> DataFrame:
     """(source_file, format, reason) of the files in ``listed`` (path) that are not in ``read`` (path)."""
-    left = listed.select("path").join(read.select("path"), "path", "left_anti")
-    return left.select(F.col("path").alias("source_file"), route(F.col("path")).alias("format"), F.lit("unreadable").alias("reason"))
+    return _failed(listed.select("path").join(read.select("path"), "path", "left_anti"))
+
+
+def _failed(files: DataFrame) -> DataFrame:
+    return files.select(F.col("path").alias("source_file"), route(F.col("path")).alias("format"), F.lit("unreadable").alias("reason"))
 
 
 def decode_all(files: DataFrame) -> DataFrame:
@@ -69,13 +90,42 @@ def decode_all(files: DataFrame) -> DataFrame:
 
 
 BINARY = "*.{[yY][jJ][rR],[yY][jJ][fF],[mM][bB][pP],[aA][pP][nN][xX]}"
+TEXT = "*.[tT][xX][tT]"
+#: What becomes of a binary file: its records belong to annotations or to page indexes, or it has none, or it can't be decoded.
+OUTCOMES = ("annotations", "page_indexes", "nothing", "failures")
+
+
+def cut_files(files: DataFrame) -> DataFrame:
+    """(path, format, reason, rec_ord, key, body, outcome) of binary ``files`` (path, content): one row for each record, one for a file without any.
+
+    Every format is cut in the same pass over the contents; records are decoded from the rows.
+    """
+    kind, reason = route(F.col("path")), _reason()
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("rec_ord"), F.lit("apnx").alias("key"), F.col("content").alias("body")))
+    cut = F.when(reason.isNotNull(), F.array().cast(SEGMENTS)).when(kind == "yjr", segments(list(ANNOTATION_KEYS))).when(kind == "yjf", segments([POSITION_KEY])).when(kind == "mbp", typed_segments()).when(kind == "apnx", whole)
+    rows = files.select("path", kind.alias("format"), reason.alias("reason"), F.explode_outer(cut).alias("r"))
+    outcome = F.when(F.col("reason").isNotNull(), "failures").when(F.col("r").isNull(), "nothing").when(F.col("format") == "apnx", "page_indexes").otherwise("annotations")
+    return rows.select("path", "format", "reason", "r.rec_ord", "r.key", "r.body", outcome.alias("outcome"))
+
+
+def annotations_of_records(found: DataFrame) -> DataFrame:
+    """The annotations of all formats in the rows of ``cut_files``."""
+    of = lambda kind: found.filter((F.col("outcome") == "annotations") & (F.col("format") == kind))
+    return annotations_of(of("yjr")).unionByName(last_positions_of(of("yjf"))).unionByName(typed_annotations(of("mbp")))
 
 
 def scan_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(annotations, page indexes, quarantine) of all files below ``path``; files that can't be read or decoded are in the quarantine."""
-    binary = read_files(spark, path, BINARY)
-    text = read_clippings_text(spark, path, "*.[tT][xX][tT]").filter(route(F.col("source_file")) == "clippings")
-    annotations = with_titles(decode_all(binary).unionByName(text), binary.select("path"))
-    opened = binary.filter(F.length("content") >= 0)
-    failed = quarantine(binary).unionByName(unreadable(list_files(spark, path, BINARY), opened))
-    return annotations, decode_page_indexes(binary.filter(route(F.col("path")) == "apnx")), failed
+    """(annotations, page indexes, quarantine) of all files below ``path``; files that can't be read or decoded are in the quarantine.
+
+    Each file's content is read once: binary files are cut into records, and texts into entries, which are written to the shared
+    folder by outcome. What was listed and didn't arrive, or not to its end, is unreadable: nothing of it is returned, and the scan goes on.
+    """
+    binary, texts = list_files(spark, path, BINARY), list_files(spark, path, TEXT).filter(route(F.col("path")) == "clippings")
+    records = saved(cut_files(read_files(spark, path, BINARY).filter(F.length("content") >= 0)), "records", "outcome")
+    entries = saved(read_entries(spark, path, TEXT).filter(route(F.col("source_file")) == "clippings"), "entries")
+    unread = saved(unread_files(texts, entries), "unread")
+    text = parse_entries(entries.join(unread, entries["source_file"] == unread["path"], "left_anti"))
+    annotations = with_titles(annotations_of_records(records).unionByName(text), binary)
+    indexes = decode_page_indexes(records.filter("outcome = 'page_indexes'").select("path", F.col("body").alias("content")))
+    failed = records.filter("outcome = 'failures'").select(F.col("path").alias("source_file"), "format", "reason")
+    return annotations, indexes, failed.unionByName(unreadable(binary, records.select("path").distinct())).unionByName(_failed(unread))

@@ -28,18 +28,22 @@ def _quoted(s: str) -> str:
     return "".join(c if c.isalnum() else f"\\x{ord(c):02x}" for c in s)
 
 
-def records(files: DataFrame, keys: list[str]) -> DataFrame:
-    """(path, key, rec_ord, body): what follows each of ``keys`` in ``files`` (path, content), up to the next of them."""
+#: What a binary file is cut into, whatever its format: the record's place, what it is, its bytes.
+SEGMENTS = "array<struct<rec_ord:bigint,key:string,body:binary>>"
+
+
+def segments(keys: list[str]) -> Column:
+    """What follows each of ``keys`` in ``content``, up to the next of them, as SEGMENTS."""
     ahead = "(?s)(?=" + "|".join(_quoted(_prefix(k)) for k in keys) + ")"
-    part = F.col("part")
-    which = F.coalesce(*(F.when(F.startswith(part, F.lit(_prefix(k))), F.lit(k)) for k in keys))
-    body = F.substr(part, F.length("key") + 5)
-    return (
-        files.select("path", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), ahead)).alias("rec_ord", "part"))
-        .select("path", which.alias("key"), F.col("rec_ord").cast("bigint").alias("rec_ord"), "part")
-        .filter("key is not null")
-        .select("path", "key", "rec_ord", F.encode(body, "ISO-8859-1").alias("body"))
-    )
+    parts = F.split(F.decode("content", "ISO-8859-1"), ahead)
+    which = lambda part: F.coalesce(*(F.when(F.startswith(part, F.lit(_prefix(k))), F.lit(k)) for k in keys))
+    found = F.filter(F.transform(parts, lambda p, i: F.struct(i.cast("bigint").alias("rec_ord"), which(p).alias("key"), p.alias("part"))), lambda r: r["key"].isNotNull())
+    return F.transform(found, lambda r: F.struct(r["rec_ord"].alias("rec_ord"), r["key"].alias("key"), F.encode(F.substr(r["part"], F.length(r["key"]) + 5), "ISO-8859-1").alias("body")))
+
+
+def records(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(path, rec_ord, key, body) of ``files`` (path, content)."""
+    return files.select("path", F.inline(segments(keys)))
 
 
 def _values() -> Column:
@@ -75,8 +79,8 @@ def _time(value: str) -> Column:
     return F.expr(epoch_ms(value))
 
 
-def decode_annotations(files: DataFrame) -> DataFrame:
-    """Annotations of sidecar ``files`` (path, content); records of fewer than two byte strings are dropped.
+def annotations_of(found: DataFrame) -> DataFrame:
+    """Annotations of the ``records`` of sidecar files; those of fewer than two byte strings are dropped.
 
     The title is the file's stem; ``corpus.with_titles`` puts the sidecar's in its place.
     """
@@ -91,8 +95,7 @@ def decode_annotations(files: DataFrame) -> DataFrame:
     start, end = _position(utf8(F.get("strings", F.lit(0)))), _position(utf8(F.get("strings", F.lit(1))))
     date = _time("v.time")
     return conform(
-        records(files, list(ANNOTATION_KEYS))
-        .select("path", "key", "rec_ord", _values().alias("v"))
+        found.select("path", "key", "rec_ord", _values().alias("v"))
         .select("path", "rec_ord", kinds[F.col("key")].alias("clip_type"), order[F.col("key")].alias("kind_ord"), F.col("v.strings").alias("strings"), date.alias("added_date"))
         .filter(n >= 2)
         .withColumns({"start": start, "end": end, "text": content, "color": color})
@@ -114,14 +117,18 @@ def decode_annotations(files: DataFrame) -> DataFrame:
     )
 
 
-def decode_last_positions(files: DataFrame) -> DataFrame:
-    """Last reading positions of ``files`` (path, content): the first valid UTF-8 string that ends in a colon and digits."""
+def decode_annotations(files: DataFrame) -> DataFrame:
+    """Annotations of sidecar ``files`` (path, content)."""
+    return annotations_of(records(files, list(ANNOTATION_KEYS)))
+
+
+def last_positions_of(found: DataFrame) -> DataFrame:
+    """Last reading positions of the ``records`` of position files: the first valid UTF-8 string that ends in a colon and digits."""
     ends_in_number = lambda b: F.is_valid_utf8(b.cast("string")) & b.cast("string").rlike(r":[0-9]+\n?\z")
-    found = F.get(F.filter("v.strings", ends_in_number), F.lit(0)).cast("string")
+    position = F.get(F.filter("v.strings", ends_in_number), F.lit(0)).cast("string")
     return conform(
-        records(files, [POSITION_KEY])
-        .select("path", "rec_ord", _values().alias("v"))
-        .select("path", "rec_ord", found.alias("position"), _time("v.time").alias("added_date"))
+        found.select("path", "rec_ord", _values().alias("v"))
+        .select("path", "rec_ord", position.alias("position"), _time("v.time").alias("added_date"))
         .filter("position is not null")
         .select(
             stem(F.col("path")).alias("book_title"),
@@ -140,16 +147,21 @@ def decode_last_positions(files: DataFrame) -> DataFrame:
     )
 
 
+def decode_last_positions(files: DataFrame) -> DataFrame:
+    """Last reading positions of ``files`` (path, content)."""
+    return last_positions_of(records(files, [POSITION_KEY]))
+
+
 def read_files(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
     """(path, content) of the files below ``path`` whose names match; unreadable files are left out."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     return reader.load(path).select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), "content")
 
 
 def list_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(path) of the files below ``path`` that are not empty; none of them is opened."""
+    """(path, length) of the files below ``path`` that are not empty; none of them is opened."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"))
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), "length")
 
 
 def read_sidecar_annotations(spark: SparkSession, path: str | list[str]) -> DataFrame:

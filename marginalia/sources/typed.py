@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.binary import bound, uint
@@ -44,17 +44,20 @@ def _string(at: int) -> str:
         else '' end"""
 
 
-def decode_records(files: DataFrame) -> DataFrame:
-    """Annotations of typed-record ``files`` (path, content); other types and payloads too short for theirs are skipped.
+def segments() -> Column:
+    """The records in ``content``, as the sidecar's SEGMENTS: their types as keys, their payloads as bodies."""
+    return F.transform(F.expr(_places()), lambda r, i: F.struct(i.cast("bigint").alias("rec_ord"), r["kind"].cast("string").alias("key"), r["payload"].alias("body")))
+
+
+def annotations_of(found: DataFrame) -> DataFrame:
+    """Annotations of the records (path, rec_ord, key, body) of typed-record files; other types and payloads too short for theirs are skipped.
 
     Unpaired surrogates need the session setting spark.sql.legacy.codingErrorAction=true to become U+FFFD.
     """
     known = " or ".join(f"kind = {k} and length(payload) >= {least}" for k, (_, least) in KINDS.items())
     clip_type = F.create_map(*(F.lit(x) for k, (name, _) in KINDS.items() for x in (k, name)))
     return conform(
-        files.filter(f"not coalesce({is_container()}, false)")
-        .select("path", F.posexplode(F.expr(_places())).alias("rec_ord", "r"))
-        .select("path", F.col("rec_ord").cast("bigint").alias("rec_ord"), "r.kind", "r.payload")
+        found.select("path", "rec_ord", F.col("key").cast("int").alias("kind"), F.col("body").alias("payload"))
         .filter(known)
         .select(
             stem(F.col("path")).alias("book_title"),
@@ -72,5 +75,10 @@ def decode_records(files: DataFrame) -> DataFrame:
     )
 
 
+def decode_records(files: DataFrame) -> DataFrame:
+    """Annotations of typed-record ``files`` (path, content); containers are left out."""
+    return annotations_of(files.filter(f"not coalesce({is_container()}, false)").select("path", F.inline(segments())))
+
+
 def read_typed_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return decode_records(read_files(spark, path, "*.[mM][bB][pP]"))

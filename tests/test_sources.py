@@ -217,3 +217,50 @@ class TestCorpus:
         assert sorted((r.book_title, r.location_start, r.sidecar_dir is not None) for r in annotations.collect()) == [("My Book", 1, True), ("My Book", 2, True), ("My Book", 3, True), ("T", 4, False)]
         assert indexes.count() == 0
         assert sorted((r.format, r.reason) for r in bad.collect()) == [("apnx", "page index too short"), ("mbp", "container format")]
+
+    def tree(self, tmp_path):
+        """Files of all formats, three of which fail: at once, or after some hundred kilobytes."""
+        import zlib
+
+        book = tmp_path / "A + B.sdr"
+        book.mkdir()
+        entry = lambda i: f"T {i} (A)\n- Your Bookmark | Location {i}\n==========\n"
+        long = "".join(entry(i) for i in range(9000)).encode()
+        (book / "My Clippings.txt").write_text("\ufeff" + entry(4) + entry(5))
+        (book / "old clippings.txt").write_bytes(long)
+        (tmp_path / "good clippings.txt").write_bytes(long[:-11])
+        sums = [zlib.crc32(long[i : i + 512]) for i in range(0, len(long), 512)]
+        sums[400:] = [0] * len(sums[400:])
+        (book / ".old clippings.txt.crc").write_bytes(b"crc\x00" + be(512, 4) + b"".join(be(x, 4) for x in sums))
+        bad = b"crc\x00" + be(512, 4) + be(0, 4)
+        for name, content in (("a.yjr", keyed("annotation.personal.note", text("a:1"), text("a:1"), text(b"12345"), text("hello"))), ("a.mbp", b"\0\1" + be(1, 2) + be(4, 2) + be(3, 4)), ("a.apnx", TestPageIndex().file(1, b'{"asin":"B"}', 7)), ("a.yjf", b"no record")):
+            (book / name).write_bytes(content)
+            (tmp_path / f"bad {name}").write_bytes(content)
+            (tmp_path / f".bad {name}.crc").write_bytes(bad)
+        return tmp_path
+
+    def test_files_that_fail_do_not_end_the_scan(self, spark, tmp_path):
+        root = self.tree(tmp_path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        try:
+            found, indexes, failed = corpus.scan_corpus(spark, str(root))
+            got = [(r.book_title, r.clip_type, r.location_start) for r in found.collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(x for x in got if x[1] != "bookmark") == [("A + B", "last_position", 3), ("A + B", "note", 1)]
+        assert sorted(x[2] for x in got if x[1] == "bookmark") == sorted([4, 5, *range(9000)])
+        assert [(r.asin, r.source_file) for r in indexes.collect()] == [("B", f"{root}/A + B.sdr/a.apnx")]
+        want = [(f"{root}/A + B.sdr/old clippings.txt", "clippings", "unreadable"), *((f"{root}/bad a.{k}", k, "unreadable") for k in ("apnx", "mbp", "yjf", "yjr"))]
+        assert sorted(map(tuple, failed.collect())) == want
+
+    def test_contents_are_read_once(self, spark, tmp_path):
+        """After the scan, nothing that it returns opens a file of the tree."""
+        for df in corpus.scan_corpus(spark, str(self.tree(tmp_path))):
+            scans = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan binaryFile" in x or "FileScan text" in x]
+            assert all("content#" not in x and "FileScan text" not in x for x in scans)
+
+    def test_cut_files_name_every_outcome(self, spark):
+        rows = [("/x.yjr", bytearray(b"nothing")), ("/x.mbp", bytearray(b"BOOKMOBI")), ("/x.apnx", bytearray(b"12345678")), ("/y.apnx", bytearray(b"1")), ("/y.yjf", bytearray(keyed("lpr", text("a:2"))))]
+        got = {r.path: (r.outcome, r.reason, r.key) for r in corpus.cut_files(spark.createDataFrame(rows, "path string, content binary")).collect()}
+        assert got == {"/x.yjr": ("nothing", None, None), "/x.mbp": ("failures", "container format", None), "/x.apnx": ("page_indexes", None, "apnx"), "/y.apnx": ("failures", "page index too short", None), "/y.yjf": ("annotations", None, "lpr")}
+        assert {x[0] for x in got.values()} == set(corpus.OUTCOMES)
