@@ -21,6 +21,8 @@ BOOK_SUFFIXES = (".kfx", ".azw3", ".mobi", ".epub", ".azw", ".prc")
 BIN = 256
 #: Spans of more characters are cut at their book's end before they are dealt to bins.
 LONG_SPAN = 1 << 20
+#: Starts and ends of a book in one stream of the page and location lookups; books with more are dealt to several.
+PER_STREAM = 100_000
 
 
 def pair_books(folders: DataFrame, files: DataFrame) -> DataFrame:
@@ -74,8 +76,11 @@ def resolve_text(annotations: DataFrame, chunks: DataFrame, key: str = "event_id
     beyond their book.
     """
     spans = annotations.filter(needs_text() & (_end() > F.col("char_start"))).select(F.col(key).alias("_key"), "book_id", F.col("char_start").alias("_s"), _end().alias("_e"))
-    bound = chunks.groupBy("book_id").agg((F.coalesce(F.max(F.col("pid") + F.col("length")), F.lit(0)) + F.coalesce(F.sum(F.length("text")), F.lit(0))).alias("_bound"))
-    long = spans.filter(F.col("_e") - F.col("_s") > LONG_SPAN).join(bound, "book_id").withColumn("_e", F.least("_e", "_bound")).drop("_bound").filter("_e > _s")
+    long = spans.filter(F.col("_e") - F.col("_s") > LONG_SPAN)
+    # Only the books of long spans are measured, by numbers: their texts stay where they are.
+    sizes = chunks.select("book_id", (F.col("pid") + F.col("length")).alias("_stop"), F.length("text").alias("_n")).join(long.select("book_id").distinct(), "book_id", "left_semi")
+    bound = sizes.groupBy("book_id").agg((F.coalesce(F.max("_stop"), F.lit(0)) + F.coalesce(F.sum("_n"), F.lit(0))).alias("_bound"))
+    long = long.join(bound, "book_id").withColumn("_e", F.least("_e", "_bound")).drop("_bound").filter("_e > _s")
     spans = spans.filter(F.col("_e") - F.col("_s") <= LONG_SPAN).unionByName(long)
     bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor((hi - 1) / width))).alias("_bin")
     at = chunk_gaps(chunks).select("book_id", "ordinal", "gap", "text", (F.col("start") - F.col("gap")).alias("_from"), F.col("start").alias("_at"), F.col("end").alias("_to"))
@@ -91,7 +96,17 @@ def resolve_text(annotations: DataFrame, chunks: DataFrame, key: str = "event_id
     return joined.withColumn("content", F.when(needs_text(), filled(collapse(F.col("_snippet")))).otherwise(F.col("content"))).select(*annotations.columns)
 
 
-def assign_places(annotations: DataFrame, page_map: DataFrame | None, location_map: DataFrame | None, key: str = "event_id", salts: int = 1, sparse: bool = False) -> DataFrame:
+def popular_books(annotations: DataFrame, per_stream: int = PER_STREAM) -> DataFrame:
+    """(book_id, streams) of the books with more than ``per_stream`` starts and ends in ``annotations``: how many streams they are dealt to.
+
+    One row at most for every ``per_stream`` of those.
+    """
+    ends = F.count("char_start") + F.count("char_end")
+    counts = annotations.groupBy("book_id").agg(F.ceil(ends / per_stream).cast("int").alias("streams"))
+    return counts.filter("book_id is not null and streams > 1")
+
+
+def assign_places(annotations: DataFrame, page_map: DataFrame | None, location_map: DataFrame | None, key: str = "event_id", salts: int = 1, sparse: bool = False, popular: DataFrame | None = None) -> DataFrame:
     """``annotations`` with page (as-of lookup) and location_start, location_end (rank lookup).
 
     ``page_map`` (book_id, ordinal, label, char_offset): the last page at or before the start, if page is null; a label that
@@ -100,12 +115,18 @@ def assign_places(annotations: DataFrame, page_map: DataFrame | None, location_m
     no location map the offsets themselves are returned, and with ``sparse`` also for books that have no entry in it.
 
     Map entries and the annotations' starts and ends are one stream per book, sorted once; a running last value and a
-    running count answer both lookups. ``salts`` deals the annotations of each book to so many streams, each with its copy of the maps.
+    running count answer both lookups. ``popular`` (book_id, streams) deals the annotations of its books to so many streams, each with its
+    copy of their maps; ``salts`` is the number of streams of all other books.
     """
-    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+    if popular is not None:
+        dealt = lambda df: df.join(popular.select("book_id", F.col("streams").alias("_streams")), "book_id", "left")
+        streams = F.coalesce("_streams", F.lit(salts))
+    else:
+        dealt, streams = (lambda df: df), F.lit(salts)
+    salt = F.pmod(F.xxhash64(key), streams).cast("int")
     blank = {"kind": F.lit(0), "ordinal": F.lit(0).cast("bigint"), "label": F.lit(None).cast("string"), "_id": F.lit(None).cast(annotations.schema[key].dataType), "side": F.lit(None).cast("string"), "located": F.lit(None).cast("boolean")}
     row = lambda df, **own: df.select("book_id", "salt", *(own.get(c, blank.get(c)).alias(c) for c in ("pos", "kind", "ordinal", "label", "_id", "side", "located")))
-    every = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    every = lambda df: dealt(df).withColumn("salt", F.explode(F.sequence(F.lit(0), streams - 1)))
     parts = []
     if page_map is not None:
         parts.append(row(every(page_map), pos=F.col("char_offset").cast("bigint"), ordinal=F.col("ordinal").cast("bigint"), label=F.col("label")))
@@ -113,7 +134,7 @@ def assign_places(annotations: DataFrame, page_map: DataFrame | None, location_m
         parts.append(row(every(location_map), pos=F.col("char_offset").cast("bigint"), kind=F.lit(1), ordinal=F.col("location").cast("bigint")))
         if sparse:
             parts.append(row(every(location_map.select("book_id").distinct()), pos=F.lit(-(2**63)), located=F.lit(True)))
-    probes = annotations.withColumn("salt", salt)
+    probes = dealt(annotations).withColumn("salt", salt)
     for side in ("start", "end"):
         parts.append(row(probes.filter(f"char_{side} is not null"), pos=F.col(f"char_{side}").cast("bigint"), kind=F.lit(2), _id=F.col(key), side=F.lit(side)))
     along = Window.partitionBy("book_id", "salt").orderBy("pos", "kind", "ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators.enrich import assign_places, pair_books, resolve_text, with_book
+from marginalia.operators.enrich import assign_places, pair_books, popular_books, resolve_text, with_book
 from marginalia.schema import conform
 from marginalia.sources.corpus import scan_corpus
 from marginalia.sources.sidecar import list_files
 from marginalia.sources.storage import saved
 
+#: A list of up to so many popular books is broadcast.
+POPULAR_ROWS = 100_000
+
 
 def annotate(annotations: DataFrame, files: DataFrame, chunks: DataFrame, page_map: DataFrame, location_map: DataFrame, override: str | None = None, text: bool = True, pages: bool = True) -> DataFrame:
     """``annotations`` with text, pages and locations from the book that is paired with their sidecar folder.
@@ -18,15 +21,18 @@ def annotate(annotations: DataFrame, files: DataFrame, chunks: DataFrame, page_m
     ``files`` (path) holds the book files, the book tables name them as book_id. Everything in a sidecar folder counts, so
     locations of clippings text there are taken for offsets too. Annotations without a paired book, and whatever a book has no
     table for, stay as they are. ``override`` is the book of all groups (of all annotations where there is no sidecar folder).
+
+    The paired annotations of each book are counted first, so that pages and locations of popular books are looked up in several streams.
     """
     folders = annotations.filter("sidecar_dir is not null").select(F.col("sidecar_dir").alias("dir")).distinct()
     rows = with_book(annotations, pair_books(folders, files), override)
     offsets = {"book_id": F.col("book_file"), "char_start": F.col("location_start"), "char_end": F.col("location_end")}
     paired = rows.filter("book_file is not null").withColumns(offsets | {"place": F.struct("source_file", "file_ord", "kind_ord", "rec_ord")})
+    popular = saved(popular_books(paired), "popular") if pages else None
     if text:
         paired = resolve_text(paired, chunks, "place")
     if pages:
-        paired = assign_places(paired, page_map, location_map, "place", sparse=True)
+        paired = assign_places(paired, page_map, location_map, "place", sparse=True, popular=F.broadcast(popular) if popular.count() <= POPULAR_ROWS else popular)
     return conform(paired).unionByName(conform(rows.filter("book_file is null")))
 
 

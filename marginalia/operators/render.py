@@ -95,22 +95,34 @@ def text_runs(annotations: DataFrame) -> DataFrame:
     """Shown annotations with run (1, 2, ... along the export order, a new one whenever the title changes), run_author and opens_run.
 
     The order runs over all books, so the rows are sorted once, by ranges of equal size, and written. Changes are found
-    within the ranges; only one row per range (its first and last title and its number of changes) is put in a global order.
+    within the ranges, and each range hands on three things: its first and last title, its number of changes, and the author with whom
+    its last run opened. A scan over these, one row per range, gives each range the run and the author that it goes on with;
+    a run of many ranges is never brought together.
     """
     rows = saved(annotations.filter(shown()).orderBy(*order_keys()).withColumn("_range", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_range").orderBy(*order_keys())
     until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = F.row_number().over(inside) == 1
     rows = rows.withColumns({"_first": first, "_new": F.when(first, F.lit(False)).otherwise(~F.col("book_title").eqNullSafe(F.lag("book_title").over(inside)))})
-    rows = rows.withColumn("_n", F.sum(F.col("_new").cast("bigint")).over(until))
-    ranges = rows.groupBy("_range").agg(F.min_by("book_title", order_key()).alias("head"), F.max_by("book_title", order_key()).alias("tail"), F.max("_n").alias("n"))
+    opened = F.when(F.col("_first") | F.col("_new"), F.struct("author"))  # a struct, as the author may be null
+    rows = rows.withColumns({"_n": F.sum(F.col("_new").cast("bigint")).over(until), "_opened": F.last(opened, ignorenulls=True).over(until)})
+    ranges = rows.groupBy("_range").agg(
+        F.min_by("book_title", order_key()).alias("head"),
+        F.max_by("book_title", order_key()).alias("tail"),
+        F.max("_n").alias("n"),
+        F.min_by("_opened", order_key()).alias("head_author"),
+        F.max_by("_opened", order_key()).alias("tail_author"),
+    )
     whole = Window.partitionBy(F.lit(0)).orderBy("_range")
     opens = F.lag(F.lit(1)).over(whole).isNull() | ~F.col("head").eqNullSafe(F.lag("tail").over(whole))
     ranges = ranges.withColumn("_opens", opens)
-    ranges = ranges.withColumn("_base", F.sum(F.col("_opens").cast("bigint") + F.col("n")).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).select("_range", "_opens", "_base")
-    runs = rows.join(F.broadcast(ranges), "_range").withColumns({"run": F.col("_base") + F.col("_n"), "opens_run": F.col("_new") | (F.col("_first") & F.col("_opens"))})  # a row per range
-    authors = runs.groupBy("run").agg(F.min_by("author", order_key()).alias("run_author"))
-    return runs.drop("_range", "_first", "_new", "_n", "_opens", "_base").join(authors, "run")
+    base = F.sum(F.col("_opens").cast("bigint") + F.col("n")).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    handed_on = F.last(F.when(F.col("_opens") | (F.col("n") > 0), F.col("tail_author")), ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("_range", "_opens", base.alias("_base"), F.when(F.col("_opens"), F.col("head_author")).otherwise(handed_on).alias("_goes_on"))
+    author = F.when(F.col("_n") == 0, F.col("_goes_on")).otherwise(F.col("_opened"))
+    runs = rows.join(F.broadcast(ranges), "_range")  # a row per range
+    runs = runs.withColumns({"run": F.col("_base") + F.col("_n"), "opens_run": F.col("_new") | (F.col("_first") & F.col("_opens")), "run_author": author["author"]})
+    return runs.drop("_range", "_first", "_new", "_opened", "_n", "_opens", "_base", "_goes_on")
 
 
 def text_block() -> Column:

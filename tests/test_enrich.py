@@ -84,6 +84,26 @@ class TestPlaces:
         once = by_id(enrich.assign_places(rows, pages, places), "page", "location_start", "location_end")
         assert by_id(enrich.assign_places(rows.repartition(7), pages, places, salts=5), "page", "location_start", "location_end") == once
 
+    def test_a_popular_book_is_dealt_to_streams(self, spark):
+        """Half of all rows in one book: counted, dealt to as many streams as they need, with the same result."""
+        rows = spark.range(4000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 90 + 100).alias("book_id"), (F.col("id") * 37 % 1000).alias("char_start"), F.when(F.col("id") % 3 == 0, F.col("id") * 37 % 1000 + 40).alias("char_end"), F.lit(None).cast("int").alias("page"))
+        books = rows.select("book_id").distinct()
+        pages = books.select("book_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("ordinal")).select("book_id", "ordinal", F.col("ordinal").cast("string").alias("label"), (F.col("ordinal") * 100).alias("char_offset"))
+        places = books.select("book_id", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("location")).select("book_id", "location", (F.col("location") * 20).alias("char_offset"))
+        popular = enrich.popular_books(rows, per_stream=200)
+        assert [tuple(r) for r in popular.collect()] == [(7, 14)]
+        columns = ("page", "location_start", "location_end")
+        once = by_id(enrich.assign_places(rows, pages, places, sparse=True), *columns)
+        dealt = enrich.assign_places(rows, pages, places, sparse=True, popular=popular)
+        assert by_id(dealt, *columns) == once
+        streams = rows.join(popular, "book_id").groupBy(F.pmod(F.xxhash64("event_id"), "streams")).count().collect()
+        assert len(streams) == 14 and max(r["count"] for r in streams) < 220
+
+    def test_long_spans_are_cut_at_their_own_books(self, spark):
+        chunks = spark.createDataFrame([(1, 0, 0, 3, "abc"), (1, 1, 10, 3, "xyz"), (2, 0, 0, 2, "no")], "book_id bigint, ordinal int, pid bigint, length bigint, text string")
+        rows = annotations(spark, (1, 1, 2**60, ""), (2, 1, 2, "")).withColumn("book_id", F.lit(1).cast("bigint"))
+        assert by_id(enrich.resolve_text(rows, chunks), "content") == {1: "bc xyz", 2: "b"}
+
 
 class TestPairing:
     def test_best_suffix_and_missing_books(self, spark):
@@ -143,6 +163,32 @@ class TestRenders:
         got = render.text_runs(export(spark, *rows)).orderBy("rec_ord").select("run", "opens_run").collect()
         assert [tuple(r) for r in got] == [(1, True), (2, True), (3, True), (3, False)]
 
+    @pytest.mark.parametrize("titles", [1, 2, 40])
+    def test_runs_over_many_ranges(self, spark, titles):
+        """Runs longer than a range, and ranges of many runs, against a walk over all rows; authors may be null."""
+        import random
+
+        r = random.Random(titles)
+        rows, title = [], "T"
+        for i in range(900):
+            if r.random() < 0.02 * titles:
+                title = f"T{r.randrange(titles)}"
+            rows.append((title, r.choice(["X", "Y", "", None]), r.choice(["note", "note", "last_position"]), None, None, None, f"2026-01-{i // 40 + 1:02d} 10:00:00", ""))
+        want, run, last = {}, 0, None
+        for i, x in enumerate(rows):
+            if x[2] == "last_position":
+                continue
+            opens = last is None or x[0] != last
+            if opens:
+                run, author = run + 1, x[1]
+            want[i], last = (run, opens, author), x[0]
+        got = {x.rec_ord: (x.run, x.opens_run, x.run_author) for x in render.text_runs(export(spark, *rows).repartition(5)).collect()}
+        assert got == want
+
+    def test_runs_are_not_brought_together(self, spark):
+        plan = render.text_runs(export(spark, *ROWS))._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(run" not in plan and "hashpartitioning(_range" in plan
+
 
 class TestSinks:
     def test_json_leaves_absent_fields_out(self, spark, tmp_path):
