@@ -41,6 +41,7 @@ def annotate_corpus(spark: SparkSession, path: str, chunks: DataFrame, page_map:
 
     Decoded annotations are written to the shared folder, so that files are decoded once, however often the rows are used.
     """
-    annotations, indexes, failed = scan_corpus(spark, path)
+    listed = saved(list_files(spark, path), "listed")
+    annotations, indexes, failed = scan_corpus(spark, path, listed)
     annotations = saved(annotations, "scanned")
-    return annotate(annotations, list_files(spark, path), chunks, page_map, location_map, override, text, pages), indexes, failed
+    return annotate(annotations, listed.select("path"), chunks, page_map, location_map, override, text, pages), indexes, failed

@@ -114,13 +114,15 @@ def annotations_of_records(found: DataFrame) -> DataFrame:
     return annotations_of(of("yjr")).unionByName(last_positions_of(of("yjf"))).unionByName(typed_annotations(of("mbp")))
 
 
-def scan_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_corpus(spark: SparkSession, path: str, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(annotations, page indexes, quarantine) of all files below ``path``; files that can't be read or decoded are in the quarantine.
 
     Each file's content is read once: binary files are cut into records, and texts into entries, which are written to the shared
     folder by outcome. What was listed and didn't arrive, or not to its end, is unreadable: nothing of it is returned, and the scan goes on.
+    ``listed`` (path, length): the files below ``path``, where they have been listed already.
     """
-    binary, texts = list_files(spark, path, BINARY), list_files(spark, path, TEXT).filter(route(F.col("path")) == "clippings")
+    kind, listed = route(F.col("path")), saved(list_files(spark, path), "listed") if listed is None else listed
+    binary, texts = listed.filter(kind.isin(*FORMATS)), listed.filter(kind == "clippings")
     records = saved(cut_files(read_files(spark, path, BINARY).filter(F.length("content") >= 0)), "records", "outcome")
     entries = saved(read_entries(spark, path, TEXT).filter(route(F.col("source_file")) == "clippings"), "entries")
     unread = saved(unread_files(texts, entries), "unread")
