@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.order import order_key, order_keys
+from marginalia.operators.order import PLACE, RANGE_BITS, key_of, keys_of, order_key, order_keys
 from marginalia.schema import EXPORT_COLUMNS
 from marginalia.sources.storage import saved
 
@@ -41,6 +41,11 @@ def manifest(annotations: DataFrame, indexes: DataFrame) -> DataFrame:
     return total.join(pages, "one").select("total_clippings", "page_indexes", F.current_timestamp().alias("exported_at"))
 
 
+def manifest_row(spark: SparkSession, total: int, indexes: int) -> DataFrame:
+    """The same from counts that are known."""
+    return spark.range(1).select(F.lit(total).cast("bigint").alias("total_clippings"), F.lit(indexes).cast("bigint").alias("page_indexes"), F.current_timestamp().alias("exported_at"))
+
+
 def _given(c: str) -> Column:
     """True for a number that is neither null nor 0, and for a text that is neither null nor empty."""
     return F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0") == F.lit(False)
@@ -85,8 +90,9 @@ def markdown_rows(annotations: DataFrame) -> DataFrame:
 
     Every block ends with a blank line once it is a line of a text file. No book is put together.
     """
-    heads = saved(annotations.groupBy("book_title").agg(F.min(order_key()).alias("first_seen"), F.min_by("author", order_key()).alias("author")), "headings")
-    lines = annotations.filter(shown()).select(F.col("book_title").alias("_title"), order_key().alias("at"), markdown_lines().alias("block"))
+    key = key_of(annotations)
+    heads = saved(annotations.groupBy("book_title").agg(F.min(key).alias("first_seen"), F.min_by("author", key).alias("author")), "headings")
+    lines = annotations.filter(shown()).select(F.col("book_title").alias("_title"), key.alias("at"), markdown_lines().alias("block"))
     placed = lines.join(heads, F.col("_title").eqNullSafe(F.col("book_title"))).select("first_seen", "book_title", "at", "block")
     return heads.select("first_seen", "book_title", F.lit(None).cast(placed.schema["at"].dataType).alias("at"), _heading().alias("block")).unionByName(placed)
 
@@ -99,19 +105,23 @@ def text_runs(annotations: DataFrame) -> DataFrame:
     its last run opened. A scan over these, one row per range, gives each range the run and the author that it goes on with;
     a run of many ranges is never brought together.
     """
-    rows = saved(annotations.filter(shown()).orderBy(*order_keys()).withColumn("_range", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy("_range").orderBy(*order_keys())
+    keys, key = keys_of(annotations), key_of(annotations)
+    if PLACE in annotations.columns:  # sorted and stored already
+        rows = annotations.filter(shown()).withColumn("_range", F.shiftright(PLACE, RANGE_BITS))
+    else:
+        rows = saved(annotations.filter(shown()).orderBy(*order_keys()).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range").orderBy(*keys)
     until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = F.row_number().over(inside) == 1
     rows = rows.withColumns({"_first": first, "_new": F.when(first, F.lit(False)).otherwise(~F.col("book_title").eqNullSafe(F.lag("book_title").over(inside)))})
     opened = F.when(F.col("_first") | F.col("_new"), F.struct("author"))  # a struct, as the author may be null
     rows = rows.withColumns({"_n": F.sum(F.col("_new").cast("bigint")).over(until), "_opened": F.last(opened, ignorenulls=True).over(until)})
     ranges = rows.groupBy("_range").agg(
-        F.min_by("book_title", order_key()).alias("head"),
-        F.max_by("book_title", order_key()).alias("tail"),
+        F.min_by("book_title", key).alias("head"),
+        F.max_by("book_title", key).alias("tail"),
         F.max("_n").alias("n"),
-        F.min_by("_opened", order_key()).alias("head_author"),
-        F.max_by("_opened", order_key()).alias("tail_author"),
+        F.min_by("_opened", key).alias("head_author"),
+        F.max_by("_opened", key).alias("tail_author"),
     )
     whole = Window.partitionBy(F.lit(0)).orderBy("_range")
     opens = F.lag(F.lit(1)).over(whole).isNull() | ~F.col("head").eqNullSafe(F.lag("tail").over(whole))
@@ -140,4 +150,4 @@ def text_block() -> Column:
 
 def render_text(annotations: DataFrame) -> DataFrame:
     """(order key, run, block): the text export, one block per annotation in export order; each block ends with a blank line."""
-    return text_runs(annotations).select(order_key().alias("at"), "run", text_block().alias("block"))
+    return text_runs(annotations).select(key_of(annotations).alias("at"), "run", text_block().alias("block"))

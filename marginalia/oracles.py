@@ -238,3 +238,20 @@ ORACLES["json_sink"] = ORACLES["json_pruned"]
 ORACLES["csv_sink"] = f"SELECT * REPLACE (nullif(author, '') AS author, nullif(content, '') AS content) FROM ({ORACLES['csv_rows']})"
 ORACLES["markdown_sink"] = _lines(ORACLES["markdown_docs"], "document")
 ORACLES["text_sink"] = _lines(ORACLES["text_blocks"], "block")
+
+
+def _numbered(query: str, column: str, order: str) -> str:
+    """(line_no, line): the lines of the texts of a query, counted along ``order``."""
+    return f"SELECT row_number() OVER (ORDER BY {order}, i) AS line_no, line FROM (SELECT *, unnest(string_split({column}, chr(10))) AS line, unnest(range(len(string_split({column}, chr(10))))) AS i FROM ({query}))"
+
+
+_JSON_ROWS = ORACLES["json_pruned"].partition("\nSELECT ")[2].replace(" AS json FROM", f" AS json, {_ORDER.replace('event_id', 'event_id AS e4').replace('source_file', 'source_file AS e2').replace('kind_ord', 'kind_ord AS e3').replace(chr(39) * 2 + ')', chr(39) * 2 + ') AS e1')} FROM")
+_MARKDOWN = ORACLES["markdown_docs"].partition("\nSELECT ")[2].replace(" FROM placed GROUP BY", f", min(({_ORDER})) AS first_seen FROM placed GROUP BY").removesuffix(" ")
+ORACLES["all_sinks"] = over(
+    "run_rows",
+    "pages",
+    select=f"""SELECT 'json' AS sink, * FROM ({_numbered("SELECT " + _JSON_ROWS, "json", "e1, e2, e3, e4")})
+    UNION ALL SELECT 'markdown', * FROM ({_numbered("SELECT " + _MARKDOWN, "document", "first_seen")})
+    UNION ALL SELECT 'text', * FROM ({_numbered(f"SELECT k, {_BLOCK} AS block FROM run_rows", "block", "k")})
+    UNION ALL SELECT 'manifest', 1, concat_ws(' ', (SELECT count(*) FROM ann), (SELECT count(DISTINCT book_id) FROM pages WHERE book_id % 11 <> 5), (SELECT count(*) FROM ann), (SELECT count(*) FROM ann WHERE {_NO_POSITION}))""",
+)

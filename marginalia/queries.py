@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia import sinks
@@ -248,6 +250,26 @@ def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines_of(spark, path)
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line): the lines of a folder's part files, counted from 1 along the files' names. A part file is a row for the time being."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("lines"))
+    files = files.select("file", F.slice("lines", 1, F.size("lines") - 1).alias("lines"))  # the last line break ends the last line
+    before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", F.size("lines").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row per file
+    return files.join(F.broadcast(starts), "file").select("start", F.posexplode("lines").alias("i", "line")).select((F.col("start") + F.col("i") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def all_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all exports but CSV in the order of their files, from one sort, and what was counted while they were written."""
+    path = new_path(spark, "all")
+    seen = sinks.write_all(_export(spark, sf_dir), _indexes(spark, sf_dir), path)
+    kept = {"json": "json/annotations", "markdown": "markdown", "text": "text"}
+    parts = [_numbered_lines(spark, f"{path}/{folder}").select(F.lit(name).alias("sink"), "line_no", "line") for name, folder in kept.items()]
+    counts = spark.read.schema("total_clippings bigint, page_indexes bigint").json(f"{path}/json/manifest")
+    parts.append(counts.select(F.lit("manifest").alias("sink"), F.lit(1).cast("bigint").alias("line_no"), F.concat_ws(" ", "total_clippings", "page_indexes", F.lit(seen["total"]), F.lit(seen["shown"])).alias("line")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -292,6 +314,7 @@ QUERIES = {
         csv_sink,
         markdown_sink,
         text_sink,
+        all_sinks,
     )
 }
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from marginalia.operators.order import order_annotations, order_keys
-from marginalia.operators.render import csv_rows, manifest, markdown_rows, pruned, render_text
+from marginalia.operators.order import order_annotations, order_keys, stored_export
+from marginalia.operators.render import csv_rows, manifest_row, markdown_rows, pruned, render_text
 
 
 def write_json(annotations: DataFrame, indexes: DataFrame, path: str) -> None:
-    """annotations/ (pruned, in order), page_indexes/ (whole) and manifest/ as JSON lines."""
-    pruned(order_annotations(annotations)).write.json(f"{path}/annotations")
-    indexes.write.json(f"{path}/page_indexes")
-    manifest(annotations, indexes).write.json(f"{path}/manifest")
+    """annotations/ (pruned, in order), page_indexes/ (whole) and manifest/ as JSON lines.
+
+    The manifest's counts are observed while the rows are written: they are of these rows, and nothing is computed again.
+    """
+    written, indexed = Observation(), Observation()
+    pruned(order_annotations(annotations)).observe(written, F.count("*").alias("n")).write.json(f"{path}/annotations")
+    indexes.observe(indexed, F.count("*").alias("n")).write.json(f"{path}/page_indexes")
+    manifest_row(annotations.sparkSession, written.get["n"], indexed.get["n"]).write.json(f"{path}/manifest")
 
 
 def write_csv(annotations: DataFrame, path: str) -> None:
@@ -34,3 +38,13 @@ def write_text(annotations: DataFrame, path: str) -> None:
 def write_annotations(annotations: DataFrame, path: str) -> None:
     """Parquet by kind, each file in export order, for further queries."""
     annotations.repartitionByRange(*order_keys()).sortWithinPartitions(*order_keys()).write.partitionBy("clip_type").parquet(path)
+
+
+def write_all(annotations: DataFrame, indexes: DataFrame, path: str) -> dict[str, int]:
+    """json/, csv/, markdown/ and text/ of the same rows: computed, sorted and stored once; returns what was observed on the way."""
+    rows, seen = stored_export(annotations)
+    write_json(rows, indexes, f"{path}/json")
+    write_csv(rows, f"{path}/csv")
+    write_markdown(rows, f"{path}/markdown")
+    write_text(rows, f"{path}/text")
+    return seen

@@ -237,6 +237,27 @@ class TestSinks:
         sinks.write_annotations(export(spark, *ROWS), f"{tmp_path}/table")
         assert spark.read.parquet(f"{tmp_path}/table").count() == 6
 
+    def test_all_exports_from_one_sort(self, spark, tmp_path):
+        """The files of all sinks are as those written one by one, and the counts are of the rows written."""
+        rows = export(spark, *(r for i in range(40) for r in ROWS)).repartition(6)
+        indexes = spark.createDataFrame([("", "g", 0, [1], "f")], "asin string, content_guid string, page_count bigint, page_offsets array<bigint>, source_file string")
+        seen = sinks.write_all(rows, indexes, f"{tmp_path}/all")
+        assert (seen["total"], seen["shown"], seen["books"]) == (240, 200, 3)
+        sinks.write_json(rows, indexes, f"{tmp_path}/one/json")
+        sinks.write_csv(rows, f"{tmp_path}/one/csv")
+        sinks.write_markdown(rows, f"{tmp_path}/one/markdown")
+        sinks.write_text(rows, f"{tmp_path}/one/text")
+        for name in ("json/annotations", "json/page_indexes", "csv", "markdown", "text"):
+            whole = lambda top: [x for f in sorted((tmp_path / top / name).glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("book_title,")]  # noqa: E731, B023
+            assert whole("all") == whole("one"), name
+        (manifest,) = [json.loads(x) for f in (tmp_path / "all" / "json" / "manifest").glob("part-*") for x in f.read_text().splitlines()]
+        assert (manifest["total_clippings"], manifest["page_indexes"]) == (240, 1)
+
+    def test_an_export_of_no_rows(self, spark, tmp_path):
+        rows = export(spark, *ROWS).limit(0)
+        indexes = spark.createDataFrame([], "asin string, content_guid string, page_count bigint, page_offsets array<bigint>, source_file string")
+        assert sinks.write_all(rows, indexes, f"{tmp_path}/all")["total"] == 0
+
 
 class TestStreams:
     def test_new_files_are_decoded(self, spark, tmp_path):
