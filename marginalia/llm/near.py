@@ -134,14 +134,16 @@ def classes(docs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
         counts = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
         main = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("main"))
         left = labelled.join(small(scratch.saved(main, "main"), BROADCAST_ROWS), "key").join(small(about.drop("text_hash"), BROADCAST_NODES), "node")
-        left = scratch.saved(left, "open")
-        columns = ("node", "root", "n", *measure.sketch)
+        # A node has as many keys as it emits. Two sets meet in the first of the keys that they share, so a pair is made once.
+        lists = scratch.saved(met.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys")), "lists")
+        left = scratch.saved(left.join(small(lists, BROADCAST_NODES // 4), "node"), "open")
+        columns = ("node", "root", "n", "keys", *measure.sketch)
         a, b = (left.select("key", "main", *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
         # Of each list, the sets outside its most frequent component are compared with all others.
         rest = (
             a.filter("root_a <> main")
             .join(b.drop("main"), "key")
-            .filter(f"(root_b = main or node_a < node_b) and root_a <> root_b and {measure.may_link}")
+            .filter(f"(root_b = main or node_a < node_b) and root_a <> root_b and {measure.may_link} and key = array_min(array_intersect(keys_a, keys_b))")
             .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
             .distinct()
         )
