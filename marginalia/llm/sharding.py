@@ -16,21 +16,27 @@ from marginalia.llm.common import saved
 
 #: Bits of a position that name its cell.
 CELL_BITS = 16
+#: A quarter of the cells, so that a free one is soon drawn.
+MOST_SHARDS = 1 << (CELL_BITS - 2)
 
 
 def ring(spark, shards: int, vnodes: int) -> DataFrame:
     """(cell, arc, home): the arc of each cell and the shard at the arc's end.
 
-    Size: 2**CELL_BITS rows, whatever the input. Of two virtual nodes in one cell the
-    smaller shard's stays, so adding shards only adds places.
+    Size: 2**CELL_BITS rows, whatever the input. Of two virtual nodes in one cell the smaller shard's stays, so adding
+    shards only adds places. A shard all of whose places were taken draws further ones until every shard has an arc.
     """
-    places = (
-        spark.range(shards * vnodes)
-        .select((F.col("id") % shards).cast("int").alias("home"), F.floor(F.col("id") / shards).alias("v"))
-        .select("home", F.shiftrightunsigned(F.xxhash64(F.lit("place"), "home", "v"), 64 - CELL_BITS).cast("int").alias("cell"))
-        .groupBy("cell")
-        .agg(F.min("home").alias("home"))
-    )
+    if not 0 < shards <= MOST_SHARDS:
+        raise ValueError(f"from 1 to {MOST_SHARDS} shards")
+    drawn = spark.range(shards * vnodes).select((F.col("id") % shards).cast("int").alias("home"), F.floor(F.col("id") / shards).alias("v"))
+    every = spark.range(shards).select(F.col("id").cast("int").alias("home"))
+    while True:
+        cell = F.shiftrightunsigned(F.xxhash64(F.lit("place"), "home", "v"), 64 - CELL_BITS).cast("int")
+        places = drawn.select("home", cell.alias("cell")).groupBy("cell").agg(F.min("home").alias("home"))
+        without = every.join(places.select("home").distinct(), "home", "left_anti")
+        if without.isEmpty():
+            break
+        drawn, vnodes = drawn.unionByName(saved(without, "without").select("home", F.lit(vnodes).cast("bigint").alias("v"))), vnodes + 1
     ahead = Window.partitionBy(F.lit(0)).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(F.lit(0))
     place = F.when(F.col("home").isNotNull(), F.struct(F.col("cell").alias("arc"), "home"))
