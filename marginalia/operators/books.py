@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+def along_book() -> WindowSpec:
+    return Window.partitionBy("book_id").orderBy("pid", "ordinal")
+
+
 def chunk_gaps(chunks: DataFrame) -> DataFrame:
     """``chunks`` (book_id, ordinal, pid, length, text) that have text, with gap (missing characters before), start and end.
 
     gap looks at the previous chunk's end only; start and end are places in the assembled text, where later text is
     never cut for an overlap but moves on.
     """
-    order = Window.partitionBy("book_id").orderBy("pid", "ordinal")
+    order = along_book()
     before = F.coalesce(F.lag(F.col("pid") + F.col("length")).over(order), F.lit(0))
     until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         chunks.filter("text is not null and text <> ''")
+        .withColumn("_n", F.length("text"))  # below the windows, so that they carry texts only where these are asked for
         .withColumn("gap", F.greatest(F.lit(0), F.col("pid") - before).cast("bigint"))
-        .withColumn("end", F.sum(F.col("gap") + F.length("text")).over(until))
-        .withColumn("start", F.col("end") - F.length("text"))
+        .withColumn("end", F.sum(F.col("gap") + F.col("_n")).over(until))
+        .withColumn("start", F.col("end") - F.col("_n"))
+        .drop("_n")
     )
 
 
+def numbered_chunks(chunks: DataFrame) -> DataFrame:
+    """``chunk_gaps`` with n: the chunk's number in its book, from 1 without gaps. (pid, ordinal) is a chunk's own in its book."""
+    return chunk_gaps(chunks).withColumn("n", F.row_number().over(along_book()))
+
+
 def assemble_text(chunks: DataFrame) -> DataFrame:
     """(book_id, text): chunks in order, gaps filled with spaces. One book per row: for books that fit in a row."""
     piece = F.struct("start", "ordinal", F.concat(F.repeat(F.lit(" "), F.col("gap").cast("int")), "text").alias("piece"))

@@ -6,6 +6,7 @@ the steps are free of order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,15 +14,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.paths import parent, stem, suffix
 from marginalia.functions.text import collapse
-from marginalia.operators.books import chunk_gaps
+from marginalia.operators.books import numbered_chunks
 
 #: Book files that pair with a sidecar folder, best first (fixed values).
 BOOK_SUFFIXES = (".kfx", ".azw3", ".mobi", ".epub", ".azw", ".prc")
-#: Characters in a bin of the interval join.
-BIN = 256
-#: Spans of more characters are cut at their book's end before they are dealt to bins.
-LONG_SPAN = 1 << 20
-#: Starts and ends of a book in one stream of the page and location lookups; books with more are dealt to several.
+#: Starts and ends of a book in one stream of the lookups of chunks, pages and locations; books with more are dealt to several.
 PER_STREAM = 100_000
 
 
@@ -68,30 +65,60 @@ def resolve_text_simple(annotations: DataFrame, books: DataFrame) -> DataFrame:
     return joined.withColumn("content", filled(collapse(cut))).drop("_text")
 
 
-def resolve_text(annotations: DataFrame, chunks: DataFrame, key: str = "event_id", width: int = BIN) -> DataFrame:
+def _dealing(popular: DataFrame | None, salts: int) -> tuple[Callable[[DataFrame, str], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """Two ways to give rows (book_id) a salt, the stream of their book: to one stream by the hash of a key, or to all of them.
+
+    ``popular`` (book_id, streams) says how many streams its books have; all others have ``salts``.
+    """
+    if popular is not None:
+        known = lambda df: df.join(popular.select("book_id", F.col("streams").alias("_streams")), "book_id", "left")
+        streams = F.coalesce("_streams", F.lit(salts))
+    else:
+        known, streams = (lambda df: df), F.lit(salts)
+    one = lambda df, key: known(df).withColumn("salt", F.pmod(F.xxhash64(key), streams).cast("int"))
+    every = lambda df: known(df).withColumn("salt", F.explode(F.sequence(F.lit(0), streams - 1)))
+    return one, every
+
+
+def touched_chunks(spans: DataFrame, numbered: DataFrame, salts: int = 1, popular: DataFrame | None = None) -> DataFrame:
+    """``spans`` (_key, book_id, _s, _e) with n, one row for each chunk of ``numbered`` that a span touches.
+
+    Chunks and the gaps before them cover a book without overlap, so a span touches those from the one that holds its first
+    character to the one that holds its last. Both are looked up as numbers, by a running last value along one stream of chunk
+    starts and span ends per book; no text is in it. An end beyond the book is in its last chunk. ``popular`` and ``salts``
+    deal spans to streams as in ``assign_places``; popular books' chunk starts are copied, their texts are not.
+    """
+    one, every = _dealing(popular, salts)
+    columns = ("book_id", "salt", "pos", "side", "n", "to", "_key", "_s", "_e")
+    key = spans.schema["_key"].dataType
+    none = {"side": "int", "n": "int", "to": "bigint", "_s": "bigint", "_e": "bigint"}
+    row = lambda df, **own: df.select(*(own.get(c, F.lit(None).cast(none.get(c, key)) if c in none or c == "_key" else F.col(c)).alias(c) for c in columns))
+    starts = row(every(numbered), pos=(F.col("start") - F.col("gap")).cast("bigint"), n=F.col("n"), to=F.col("end").cast("bigint"))
+    given = {c: F.col(c) for c in ("_key", "_s", "_e", "side")}
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_s").alias("pos")), F.struct(F.lit(1).alias("side"), (F.col("_e") - 1).alias("pos")))).alias("at")
+    probes = one(spans, "_key").select("book_id", "salt", "_key", "_s", "_e", sides).select("*", "at.side", "at.pos")
+    along = Window.partitionBy("book_id", "salt").orderBy("pos", F.asc_nulls_first("side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = starts.unionByName(row(probes, **given)).withColumns({c: F.last(c, ignorenulls=True).over(along) for c in ("n", "to")}).filter("side is not null")
+    first = F.when(F.col("side") == 0, F.coalesce(F.when(F.col("to") > F.col("pos"), F.col("n")).otherwise(F.col("n") + 1), F.lit(1)))
+    reach = found.groupBy("_key", "book_id", "_s", "_e").agg(F.max(first).alias("_first"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("_last"))
+    return reach.filter("_first <= _last").select("_key", "book_id", "_s", "_e", F.explode(F.sequence("_first", "_last")).alias("n"))
+
+
+def resolve_text(annotations: DataFrame, chunks: DataFrame, key: str = "event_id", salts: int = 1, popular: DataFrame | None = None) -> DataFrame:
     """As ``resolve_text_simple``, from chunks and without ever assembling a book.
 
-    An interval join: spans and chunks meet by (book, bin of ``width`` characters), so only the chunks that a span touches
-    are moved, and a popular book is dealt over its bins. ``key`` identifies an annotation. Spans may end anywhere
-    beyond their book.
+    An interval join by numbers: ``touched_chunks`` finds the chunks of each span, which then meet by (book, number), so only
+    the chunks that a span touches are moved, once for each, and a popular book is dealt over its chunks. ``key`` identifies
+    an annotation. Spans may end anywhere beyond their book.
     """
-    spans = annotations.filter(needs_text() & (_end() > F.col("char_start"))).select(F.col(key).alias("_key"), "book_id", F.col("char_start").alias("_s"), _end().alias("_e"))
-    long = spans.filter(F.col("_e") - F.col("_s") > LONG_SPAN)
-    # Only the books of long spans are measured, by numbers: their texts stay where they are.
-    sizes = chunks.select("book_id", (F.col("pid") + F.col("length")).alias("_stop"), F.length("text").alias("_n")).join(long.select("book_id").distinct(), "book_id", "left_semi")
-    bound = sizes.groupBy("book_id").agg((F.coalesce(F.max("_stop"), F.lit(0)) + F.coalesce(F.sum("_n"), F.lit(0))).alias("_bound"))
-    long = long.join(bound, "book_id").withColumn("_e", F.least("_e", "_bound")).drop("_bound").filter("_e > _s")
-    spans = spans.filter(F.col("_e") - F.col("_s") <= LONG_SPAN).unionByName(long)
-    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor((hi - 1) / width))).alias("_bin")
-    at = chunk_gaps(chunks).select("book_id", "ordinal", "gap", "text", (F.col("start") - F.col("gap")).alias("_from"), F.col("start").alias("_at"), F.col("end").alias("_to"))
-    left = spans.select("*", bins(F.col("_s"), F.col("_e")))
-    right = at.filter("_to > _from").select("*", bins(F.col("_from"), F.col("_to")))
-    first_bin = F.greatest(F.floor(F.col("_s") / width), F.floor(F.col("_from") / width))
-    met = left.join(right, ["book_id", "_bin"]).filter((F.col("_s") < F.col("_to")) & (F.col("_from") < F.col("_e")) & (F.col("_bin") == first_bin))
+    spans = annotations.filter(needs_text() & (_end() > F.col("char_start")) & F.col("book_id").isNotNull()).select(F.col(key).alias("_key"), "book_id", F.col("char_start").cast("bigint").alias("_s"), _end().cast("bigint").alias("_e"))
+    numbered = numbered_chunks(chunks)
+    at = numbered.select("book_id", "n", "gap", "text", F.col("start").alias("_at"), F.col("end").alias("_to"))
+    met = touched_chunks(spans, numbered, salts, popular).join(at, ["book_id", "n"])
     lead = F.when((F.col("_s") < F.col("_at")) & (F.col("gap") > 0), F.lit(" ")).otherwise("")
     lo, hi = F.greatest("_s", "_at") - F.col("_at"), F.least("_e", "_to") - F.col("_at")
     piece = F.concat(lead, F.substring("text", (lo + 1).cast("int"), F.greatest(F.lit(0), hi - lo).cast("int")))
-    snippets = met.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "ordinal", piece.alias("p")))), lambda x: x["p"]), "").alias("_snippet"))
+    snippets = met.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", piece.alias("p")))), lambda x: x["p"]), "").alias("_snippet"))
     joined = annotations.join(snippets, annotations[key] == snippets["_key"], "left")
     return joined.withColumn("content", F.when(needs_text(), filled(collapse(F.col("_snippet")))).otherwise(F.col("content"))).select(*annotations.columns)
 
@@ -118,15 +145,9 @@ def assign_places(annotations: DataFrame, page_map: DataFrame | None, location_m
     running count answer both lookups. ``popular`` (book_id, streams) deals the annotations of its books to so many streams, each with its
     copy of their maps; ``salts`` is the number of streams of all other books.
     """
-    if popular is not None:
-        dealt = lambda df: df.join(popular.select("book_id", F.col("streams").alias("_streams")), "book_id", "left")
-        streams = F.coalesce("_streams", F.lit(salts))
-    else:
-        dealt, streams = (lambda df: df), F.lit(salts)
-    salt = F.pmod(F.xxhash64(key), streams).cast("int")
+    one, every = _dealing(popular, salts)
     blank = {"kind": F.lit(0), "ordinal": F.lit(0).cast("bigint"), "label": F.lit(None).cast("string"), "_id": F.lit(None).cast(annotations.schema[key].dataType), "side": F.lit(None).cast("string"), "located": F.lit(None).cast("boolean")}
     row = lambda df, **own: df.select("book_id", "salt", *(own.get(c, blank.get(c)).alias(c) for c in ("pos", "kind", "ordinal", "label", "_id", "side", "located")))
-    every = lambda df: dealt(df).withColumn("salt", F.explode(F.sequence(F.lit(0), streams - 1)))
     parts = []
     if page_map is not None:
         parts.append(row(every(page_map), pos=F.col("char_offset").cast("bigint"), ordinal=F.col("ordinal").cast("bigint"), label=F.col("label")))
@@ -134,7 +155,7 @@ def assign_places(annotations: DataFrame, page_map: DataFrame | None, location_m
         parts.append(row(every(location_map), pos=F.col("char_offset").cast("bigint"), kind=F.lit(1), ordinal=F.col("location").cast("bigint")))
         if sparse:
             parts.append(row(every(location_map.select("book_id").distinct()), pos=F.lit(-(2**63)), located=F.lit(True)))
-    probes = dealt(annotations).withColumn("salt", salt)
+    probes = one(annotations, key)
     for side in ("start", "end"):
         parts.append(row(probes.filter(f"char_{side} is not null"), pos=F.col(f"char_{side}").cast("bigint"), kind=F.lit(2), _id=F.col(key), side=F.lit(side)))
     along = Window.partitionBy("book_id", "salt").orderBy("pos", "kind", "ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -165,6 +186,6 @@ def assign_places(annotations: DataFrame, page_map: DataFrame | None, location_m
 
 def enrich(annotations: DataFrame, chunks: DataFrame, page_map: DataFrame, location_map: DataFrame, key: str = "event_id", text: bool = True, pages: bool = True, salts: int = 1) -> DataFrame:
     """Text, pages and locations; without ``pages`` neither pages nor locations are looked up."""
-    out = resolve_text(annotations, chunks, key) if text else annotations
+    out = resolve_text(annotations, chunks, key, salts) if text else annotations
     return assign_places(out, page_map if pages else None, location_map if pages else None, key, salts)
 

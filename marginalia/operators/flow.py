@@ -22,17 +22,19 @@ def annotate(annotations: DataFrame, files: DataFrame, chunks: DataFrame, page_m
     locations of clippings text there are taken for offsets too. Annotations without a paired book, and whatever a book has no
     table for, stay as they are. ``override`` is the book of all groups (of all annotations where there is no sidecar folder).
 
-    The paired annotations of each book are counted first, so that pages and locations of popular books are looked up in several streams.
+    The paired annotations of each book are counted first, so that chunks, pages and locations of popular books are looked up in several streams.
     """
     folders = annotations.filter("sidecar_dir is not null").select(F.col("sidecar_dir").alias("dir")).distinct()
     rows = with_book(annotations, pair_books(folders, files), override)
     offsets = {"book_id": F.col("book_file"), "char_start": F.col("location_start"), "char_end": F.col("location_end")}
     paired = rows.filter("book_file is not null").withColumns(offsets | {"place": F.struct("source_file", "file_ord", "kind_ord", "rec_ord")})
-    popular = saved(popular_books(paired), "popular") if pages else None
+    popular = saved(popular_books(paired), "popular")
+    if popular.count() <= POPULAR_ROWS:
+        popular = F.broadcast(popular)
     if text:
-        paired = resolve_text(paired, chunks, "place")
+        paired = resolve_text(paired, chunks, "place", popular=popular)
     if pages:
-        paired = assign_places(paired, page_map, location_map, "place", sparse=True, popular=F.broadcast(popular) if popular.count() <= POPULAR_ROWS else popular)
+        paired = assign_places(paired, page_map, location_map, "place", sparse=True, popular=popular)
     return conform(paired).unionByName(conform(rows.filter("book_file is null")))
 
 

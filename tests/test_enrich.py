@@ -35,10 +35,10 @@ class TestText:
         text = spark.createDataFrame([(1, TEXT)], "book_id bigint, text string")
         assert by_id(enrich.resolve_text_simple(annotations(spark, *self.CASES), text), "content") == self.WANT
 
-    @pytest.mark.parametrize("width", [3, 256])
-    def test_chunk_form(self, spark, width):
+    @pytest.mark.parametrize("salts", [1, 3])
+    def test_chunk_form(self, spark, salts):
         chunks = spark.createDataFrame([(1, 0, 0, 7, TEXT[:7]), (1, 1, 7, 12, TEXT[7:])], "book_id bigint, ordinal int, pid bigint, length bigint, text string")
-        assert by_id(enrich.resolve_text(annotations(spark, *self.CASES), chunks, width=width), "content") == self.WANT
+        assert by_id(enrich.resolve_text(annotations(spark, *self.CASES), chunks, salts=salts), "content") == self.WANT
 
     def test_chunks_with_gaps_overlaps_and_wrong_lengths(self, spark):
         rows = [(1, 0, 2, 3, "abc"), (1, 1, 4, 9, "DE"), (1, 2, 20, 2, "😀z"), (1, 3, 21, 1, ""), (1, 4, 25, 1, "end")]
@@ -47,8 +47,28 @@ class TestText:
         assert assembled == "  abcDE" + " " * 7 + "😀z" + " " * 3 + "end"
         spans = [(100 * a + b, a, b, "") for a in range(len(assembled) + 2) for b in range(a + 1, len(assembled) + 4)]
         simple = by_id(enrich.resolve_text_simple(annotations(spark, *spans), books.assemble_text(chunks)), "content")
-        assert by_id(enrich.resolve_text(annotations(spark, *spans), chunks, width=4), "content") == simple
+        assert by_id(enrich.resolve_text(annotations(spark, *spans), chunks, salts=4), "content") == simple
 
+    def test_a_span_meets_only_the_chunks_that_it_touches(self, spark):
+        """Rows of the join are counted: one for each pair of span and chunk (with its gap) that share a character, however long the span."""
+        rows = [(1, k, 10 * k + (k > 3), 10, "x" * 10) for k in range(8) if k != 5] + [(2, 0, 4, 1, "y")]
+        chunks = spark.createDataFrame(rows, "book_id bigint, ordinal int, pid bigint, length bigint, text string")
+        numbered = books.numbered_chunks(chunks)
+        spans = [(100 * a + b, book, a, b) for book in (1, 2, 3) for a in range(0, 90, 7) for b in (a + 1, a + 10, a + 35, 2**50 + a)]
+        places = [(r.book_id, r.n, r.start - r.gap, r.end) for r in numbered.collect()]
+        want = sorted((*s, n) for s in spans for book, n, lo, hi in places if book == s[1] and s[2] < hi and lo < s[3])
+        frame = spark.createDataFrame(spans, "_key bigint, book_id bigint, _s bigint, _e bigint")
+        popular = spark.createDataFrame([(1, 3)], "book_id bigint, streams int")
+        for how in ({}, {"salts": 2}, {"popular": popular}):
+            assert sorted(tuple(r) for r in enrich.touched_chunks(frame, numbered, **how).collect()) == want
+
+    def test_texts_stay_out_of_the_lookup(self, spark):
+        """The stream that finds chunks holds numbers only: a text is measured before anything is shuffled and goes no further."""
+        chunks = spark.createDataFrame([(1, 0, 0, 3, "abc")], "book_id bigint, ordinal int, pid bigint, length bigint, text string")
+        frame = spark.createDataFrame([(1, 1, 0, 9)], "_key bigint, book_id bigint, _s bigint, _e bigint")
+        plan = enrich.touched_chunks(frame, books.numbered_chunks(chunks))._jdf.queryExecution().optimizedPlan().toString()
+        holding = [line for line in plan.splitlines() if "text#" in line]
+        assert holding and all("length(text#" in line or "Filter" in line or "LogicalRDD" in line for line in holding)
 
     def test_an_end_far_beyond_the_book(self, spark):
         far = annotations(spark, (1, 9, 10**15, ""), (2, 10**15, 10**15 + 9, ""), (3, 0, 2**62, "[x]"))
