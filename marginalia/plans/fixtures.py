@@ -147,6 +147,18 @@ def sidecar_files(rows: DataFrame) -> DataFrame:
     return _joined(rows.filter("clip_type <> 'last_position'").select("book_id", "event_id", record.alias("record")), _path("a.yjr"))
 
 
+def nested_files(rows: DataFrame) -> DataFrame:
+    """(path, content): yjr files of the notes in ``rows``; each note's payload is a highlight's whole record between two words."""
+
+    def record(kind: str, *values: Column) -> Column:
+        return F.concat(F.unhex(F.lit("FE")), _be(F.lit(20 + len(kind)), 3), _bytes(F.lit(f"annotation.personal.{kind}")), *map(_value, values), F.unhex(F.lit("FF")))
+
+    at = lambda n: _bytes(F.concat(F.lit("AT4:"), (F.col("char_start") + n).cast("string")))
+    payload = F.concat(_bytes(F.lit("see ")), record("highlight", at(1), at(9)), _bytes(F.lit(" end")))
+    outer = record("note", at(0), at(0), _bytes(F.lit("\x00\x01\x02\x03\x04")), payload)
+    return _joined(rows.filter("clip_type = 'note'").select("book_id", "event_id", outer.alias("record")), _path("n.yjr"))
+
+
 def position_files(rows: DataFrame) -> DataFrame:
     """(path, content): yjf files of the last positions in ``rows``."""
     place = _bytes(F.concat(F.lit("AT4:"), F.col("char_start").cast("string")))

@@ -82,6 +82,12 @@ def sidecar_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*DECODED, "source_file")
 
 
+def sidecar_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes whose payloads hold whole records: both are found, and each is read to its own end."""
+    found = sidecar.decode_annotations(fixtures.nested_files(fixtures.annotations(spark, sf_dir)))
+    return found.select("clip_type", "location_start", "location_end", F.substring("content", 1, 4).alias("opening"), F.length("content").alias("n_chars"), "source_file")
+
+
 def last_position_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sidecar.decode_last_positions(fixtures.position_files(fixtures.annotations(spark, sf_dir))).select(*DECODED, "source_file")
 
@@ -286,6 +292,7 @@ QUERIES = {
         metadata_parse,
         entry_lines,
         sidecar_decode,
+        sidecar_nested,
         last_position_decode,
         typed_record_decode,
         page_index_decode,

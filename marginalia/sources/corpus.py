@@ -96,16 +96,16 @@ OUTCOMES = ("annotations", "page_indexes", "nothing", "failures")
 
 
 def cut_files(files: DataFrame) -> DataFrame:
-    """(path, format, reason, rec_ord, key, body, outcome) of binary ``files`` (path, content): one row for each record, one for a file without any.
+    """(path, format, reason, rec_ord, key, body, strings, time, outcome) of binary ``files`` (path, content): one row for each record, one for a file without any.
 
-    Every format is cut in the same pass over the contents; records are decoded from the rows.
+    Every format is cut in the same pass over the contents, and the values of sidecar records are read there, as one may lie inside another; all else is decoded from the rows.
     """
     kind, reason = route(F.col("path")), _reason()
-    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("rec_ord"), F.lit("apnx").alias("key"), F.col("content").alias("body")))
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("rec_ord"), F.lit("apnx").alias("key"), F.col("content").alias("body"), F.lit(None).cast("array<binary>").alias("strings"), F.lit(None).cast("binary").alias("time")))
     cut = F.when(reason.isNotNull(), F.array().cast(SEGMENTS)).when(kind == "yjr", segments(list(ANNOTATION_KEYS))).when(kind == "yjf", segments([POSITION_KEY])).when(kind == "mbp", typed_segments()).when(kind == "apnx", whole)
     rows = files.select("path", kind.alias("format"), reason.alias("reason"), F.explode_outer(cut).alias("r"))
     outcome = F.when(F.col("reason").isNotNull(), "failures").when(F.col("r").isNull(), "nothing").when(F.col("format") == "apnx", "page_indexes").otherwise("annotations")
-    return rows.select("path", "format", "reason", "r.rec_ord", "r.key", "r.body", outcome.alias("outcome"))
+    return rows.select("path", "format", "reason", "r.rec_ord", "r.key", "r.body", "r.strings", "r.time", outcome.alias("outcome"))
 
 
 def annotations_of_records(found: DataFrame) -> DataFrame:

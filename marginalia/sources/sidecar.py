@@ -18,55 +18,73 @@ LONGEST = 65536
 MARKER = 5
 
 
-def _prefix(key: str) -> str:
-    """The Latin-1 view of a record's first bytes: FE, the key's length in three bytes, the key."""
-    n = len(key)
-    return chr(0xFE) + chr(n >> 16) + chr(n >> 8 & 0xFF) + chr(n & 0xFF) + key
+def _prefix(key: str) -> bytes:
+    """A record's first bytes: FE, the key's length in three bytes, the key."""
+    return b"\xfe" + len(key).to_bytes(3, "big") + key.encode()
 
 
-def _quoted(s: str) -> str:
-    return "".join(c if c.isalnum() else f"\\x{ord(c):02x}" for c in s)
+def _pattern(prefix: bytes) -> str:
+    """A regular expression for ``prefix`` in the Latin-1 view, as it stands in a SQL literal."""
+    return "".join(chr(c) if chr(c).isalnum() and c < 128 else f"\\\\x{c:02x}" for c in prefix)
 
 
-#: What a binary file is cut into, whatever its format: the record's place, what it is, its bytes.
-SEGMENTS = "array<struct<rec_ord:bigint,key:string,body:binary>>"
+#: What a binary file is cut into, whatever its format: the record's place, what it is, its bytes; of sidecar records, the values instead of bytes.
+SEGMENTS = "array<struct<rec_ord:bigint,key:string,body:binary,strings:array<binary>,time:binary>>"
 
 
 def segments(keys: list[str]) -> Column:
-    """What follows each of ``keys`` in ``content``, up to the next of them, as SEGMENTS."""
-    ahead = "(?s)(?=" + "|".join(_quoted(_prefix(k)) for k in keys) + ")"
-    parts = F.split(F.decode("content", "ISO-8859-1"), ahead)
-    which = lambda part: F.coalesce(*(F.when(F.startswith(part, F.lit(_prefix(k))), F.lit(k)) for k in keys))
-    found = F.filter(F.transform(parts, lambda p, i: F.struct(i.cast("bigint").alias("rec_ord"), which(p).alias("key"), p.alias("part"))), lambda r: r["key"].isNotNull())
-    return F.transform(found, lambda r: F.struct(r["rec_ord"].alias("rec_ord"), r["key"].alias("key"), F.encode(F.substr(r["part"], F.length(r["key"]) + 5), "ISO-8859-1").alias("body")))
+    """The records of ``keys`` in ``content``, wherever one begins, as SEGMENTS: with their byte strings and first time.
+
+    A record begins at every place where its first bytes stand, also inside another's payload, and each is read to its own end.
+    The content is cut at these places once; a record whose last value goes on beyond its piece (so one that holds other
+    records) is read again with as many of the next pieces as that value needs, until it ends.
+    """
+    ahead = "(?s)(?=" + "|".join(_pattern(_prefix(k)) for k in keys) + ")"
+    key = "case " + " ".join(f"when startswith(p, decode(X'{_prefix(k).hex()}', 'ISO-8859-1')) then '{k}'" for k in keys) + " end"
+    found = f"filter(transform(ps, (p, i) -> named_struct('rec_ord', cast(i as bigint), 'key', {key}, 'part', p)), r -> r.key is not null)"
+    own = _values("encode(substring(r.part, length(r.key) + 5), 'ISO-8859-1')")
+    before = "aggregate(slice(ps, 1, cast(r.rec_ord as int)), length(r.key) + 5, (a, p) -> a + length(p))"  # the place of the values, from 1
+    again = _values("substring(content, at, t.n + length(p))")
+    later = f"""aggregate(slice(ps, cast(r.rec_ord + 2 as int), size(ps)), named_struct('n', length(r.part) - length(r.key) - 4, 'v', v),
+        (t, p) -> case when t.v.needs = 0 or t.v.needs > t.n + length(p) then named_struct('n', t.n + length(p), 'v', t.v)
+            else named_struct('n', t.n + length(p), 'v', {again}) end,
+        t -> t.v)"""
+    more = f"case when v.needs = 0 then v else {bound(before, 'at', later)} end"
+    read = f"named_struct('rec_ord', r.rec_ord, 'key', r.key, 'body', cast(null as binary), 'v', {bound(own, 'v', more)})"
+    flat = "named_struct('rec_ord', r.rec_ord, 'key', r.key, 'body', r.body, 'strings', r.v.strings, 'time', r.v.time)"
+    return F.expr(bound(f"split(decode(content, 'ISO-8859-1'), '{ahead}')", "ps", f"transform(transform({found}, r -> {read}), r -> {flat})"))
 
 
 def records(files: DataFrame, keys: list[str]) -> DataFrame:
-    """(path, rec_ord, key, body) of ``files`` (path, content)."""
+    """(path, rec_ord, key, body, strings, time) of ``files`` (path, content)."""
     return files.select("path", F.inline(segments(keys)))
 
 
-def _values() -> Column:
-    """(strings, time) of ``body``: its byte strings and its first time, folded value by value until the record ends."""
+def _values(body: str) -> str:
+    """SQL of (strings, time, needs) of the bytes ``body``: byte strings and first time, folded value by value until the record ends.
+
+    needs is 0 for a record that ends within the bytes, else how many bytes there must be for its last value to end.
+    """
     n = uint("b", "s.at + 1", 3)
-    state = "named_struct('at', {at}, 'done', {done}, 'strings', {strings}, 'time', {time})"
-    go = lambda at, strings="s.strings", time="s.time": state.format(at=at, done="false", strings=strings, time=time)
-    stop = state.format(at="s.at", done="true", strings="s.strings", time="s.time")
+    state = "named_struct('at', {at}, 'done', {done}, 'strings', {strings}, 'time', {time}, 'needs', {needs})"
+    go = lambda at, strings="s.strings", time="s.time": state.format(at=at, done="false", strings=strings, time=time, needs="0")
+    stop = lambda needs="0": state.format(at="s.at", done="true", strings="s.strings", time="s.time", needs=f"cast({needs} as int)")
     tag = "hex(substring(b, s.at, 1))"
     step = f"""case
         when s.done or s.at > length(b) then s
-        when {tag} in ('FE', 'FF') then {stop}
-        when {tag} = '01' then case when s.at + 4 > length(b) then {stop} else {go("s.at + 5")} end
-        when {tag} = '02' then case when s.at + 8 > length(b) then {stop} else {go("s.at + 9", time="coalesce(s.time, substring(b, s.at + 1, 8))")} end
+        when {tag} in ('FE', 'FF') then {stop()}
+        when {tag} = '01' then case when s.at + 4 > length(b) then {stop("s.at + 4")} else {go("s.at + 5")} end
+        when {tag} = '02' then case when s.at + 8 > length(b) then {stop("s.at + 8")} else {go("s.at + 9", time="coalesce(s.time, substring(b, s.at + 1, 8))")} end
         when {tag} = '03' then case
-            when s.at + 3 > length(b) then {stop}
-            when {n} > {LONGEST} or s.at + 3 + {n} > length(b) then {stop}
+            when s.at + 3 > length(b) then {stop("s.at + 3")}
+            when {n} > {LONGEST} then {stop()}
+            when s.at + 3 + {n} > length(b) then {stop(f"s.at + 3 + {n}")}
             else {go(f"cast(s.at + 4 + {n} as int)", strings=f"concat(s.strings, array(substring(b, s.at + 4, cast({n} as int))))")} end
         when {tag} = '07' then {go("s.at + 2")}
         else {go("s.at + 1")} end"""
-    start = state.format(at="1", done="false", strings="cast(array() as array<binary>)", time="cast(null as binary)")
-    fold = f"aggregate(sequence(1, greatest(length(b), 1)), {start}, (s, i) -> {step})"
-    return F.expr(bound("body", "b", fold))
+    start = state.format(at="1", done="false", strings="cast(array() as array<binary>)", time="cast(null as binary)", needs="0")
+    last = "s -> named_struct('strings', s.strings, 'time', s.time, 'needs', case when s.done then s.needs when s.at > length(b) + 1 then s.at - 1 else 0 end)"
+    return bound(body, "b", f"aggregate(sequence(1, greatest(length(b), 1)), {start}, (s, i) -> {step}, {last})")
 
 
 def _position(text: Column) -> Column:
@@ -93,10 +111,8 @@ def annotations_of(found: DataFrame) -> DataFrame:
     content = F.when((n >= 4) & ~marked, third).otherwise(content)
     color = F.when(~note, F.coalesce(payload, F.lit(""))).otherwise("")
     start, end = _position(utf8(F.get("strings", F.lit(0)))), _position(utf8(F.get("strings", F.lit(1))))
-    date = _time("v.time")
     return conform(
-        found.select("path", "key", "rec_ord", _values().alias("v"))
-        .select("path", "rec_ord", kinds[F.col("key")].alias("clip_type"), order[F.col("key")].alias("kind_ord"), F.col("v.strings").alias("strings"), date.alias("added_date"))
+        found.select("path", "rec_ord", kinds[F.col("key")].alias("clip_type"), order[F.col("key")].alias("kind_ord"), "strings", _time("time").alias("added_date"))
         .filter(n >= 2)
         .withColumns({"start": start, "end": end, "text": content, "color": color})
         .select(
@@ -125,10 +141,9 @@ def decode_annotations(files: DataFrame) -> DataFrame:
 def last_positions_of(found: DataFrame) -> DataFrame:
     """Last reading positions of the ``records`` of position files: the first valid UTF-8 string that ends in a colon and digits."""
     ends_in_number = lambda b: F.is_valid_utf8(b.cast("string")) & b.cast("string").rlike(r":[0-9]+\n?\z")
-    position = F.get(F.filter("v.strings", ends_in_number), F.lit(0)).cast("string")
+    position = F.get(F.filter("strings", ends_in_number), F.lit(0)).cast("string")
     return conform(
-        found.select("path", "rec_ord", _values().alias("v"))
-        .select("path", "rec_ord", position.alias("position"), _time("v.time").alias("added_date"))
+        found.select("path", "rec_ord", position.alias("position"), _time("time").alias("added_date"))
         .filter("position is not null")
         .select(
             stem(F.col("path")).alias("book_title"),

@@ -46,7 +46,7 @@ def _string(at: int) -> str:
 
 def segments() -> Column:
     """The records in ``content``, as the sidecar's SEGMENTS: their types as keys, their payloads as bodies."""
-    return F.transform(F.expr(_places()), lambda r, i: F.struct(i.cast("bigint").alias("rec_ord"), r["kind"].cast("string").alias("key"), r["payload"].alias("body")))
+    return F.transform(F.expr(_places()), lambda r, i: F.struct(i.cast("bigint").alias("rec_ord"), r["kind"].cast("string").alias("key"), r["payload"].alias("body"), F.lit(None).cast("array<binary>").alias("strings"), F.lit(None).cast("binary").alias("time")))
 
 
 def annotations_of(found: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 
@@ -107,6 +108,57 @@ class TestSidecar:
         (r,) = decode(spark, sidecar.decode_annotations, self.highlight(text("a:1"), text("a:2"), self.marker, text("cþÿ")))
         assert r.content == "[cþÿ]"
 
+    def test_records_inside_payloads(self, spark):
+        """Both the outer record and the inner ones are found, each read to its own end."""
+        p, q = text("a:1"), text("a:2")
+        inner = keyed("annotation.personal.bookmark", text("i:7"), text("i:7"))
+        deep = self.highlight(p, q, self.marker, text(b"x" + self.highlight(text("j:3"), text("j:4"), self.marker, text(inner)) + inner), key="annotation.personal.note")
+        rows = decode(spark, sidecar.decode_annotations, deep + inner)
+        assert [(r.clip_type, r.location_start, r.location_end, len(r.content)) for r in rows] == [
+            ("highlight", 3, 4, len(inner) + 2),
+            ("bookmark", 7, None, 0),
+            ("bookmark", 7, None, 0),
+            ("bookmark", 7, None, 0),
+            ("note", 1, 2, 1 + len(self.highlight(text("j:3"), text("j:4"), self.marker, text(inner))) + len(inner)),
+        ]
+
+    def test_random_bytes_equal_a_walk_from_every_place(self, spark):
+        """Files glued from records, cut values, prefixes and single bytes, against a plain reader that starts at every place of a key."""
+        keys = [k.encode() for k in sidecar.ANNOTATION_KEYS]
+        heads = [b"\xfe" + be(len(k), 3) + k for k in keys]
+
+        def walk(data, at):
+            strings, time = [], None
+            while at < len(data) and data[at] not in (0xFE, 0xFF):
+                tag, at = data[at], at + 1
+                if tag == 3:
+                    size = int.from_bytes(data[at : at + 3], "big")
+                    if at + 3 > len(data) or size > 65536 or at + 3 + size > len(data):
+                        break
+                    strings.append(data[at + 3 : at + 3 + size])
+                    at += 3 + size
+                elif tag in (1, 2):
+                    width = 4 * tag
+                    if at + width > len(data):
+                        break
+                    time = data[at : at + width] if tag == 2 and time is None else time
+                    at += width
+                elif tag == 7:
+                    at += 1
+            return strings, time
+
+        rng = random.Random(5)
+        pieces = [lambda: rng.choice(heads), lambda: text(rng.randbytes(rng.randrange(4))), lambda: b"\x03" + be(rng.choice([1, 7, 40, 90, 65537]), 3), lambda: rng.choice([b"\x01", b"\x02", b"\x07", b"\xff", b"\x03\0", b"\x00"]), lambda: rng.randbytes(3)]
+        files = [b"".join(rng.choice(pieces)() for _ in range(rng.randrange(40))) for _ in range(150)]
+        frame = spark.createDataFrame([(str(i), bytearray(f)) for i, f in enumerate(files)], "path string, content binary")
+        got = sorted((int(r.path), r.rec_ord, r.key, [bytes(x) for x in r.strings], r.time and bytes(r.time)) for r in sidecar.records(frame, list(sidecar.ANNOTATION_KEYS)).collect())
+        want = []
+        for i, data in enumerate(files):
+            places = sorted((m, h) for h in heads for m in range(len(data)) if data.startswith(h, m))
+            want += [(i, h[4:].decode(), *walk(data, m + len(h))) for m, h in places]
+        assert [(i, key, strings, time) for i, _, key, strings, time in got] == want
+        assert len(want) > 500
+
     def test_last_position(self, spark):
         data = keyed("lpr", b"\x01\0\0\0\2", text(b"\xc3\x28:7"), text("no"), text("AT:77"), b"\x02" + be(1700000000000, 8)) + keyed("lpr", text("none"))
         (r,) = decode(spark, sidecar.decode_last_positions, data)
