@@ -28,6 +28,7 @@ TABLES = {
         FROM (SELECT book_id, unnest(range(greatest(CAST(ceil(length(text) / 50) AS BIGINT), 1))) AS k FROM books)""",
     "gaps": """SELECT *, sum(gap + length(text)) OVER (PARTITION BY book_id ORDER BY pid, ordinal) AS stop FROM (
         SELECT book_id, ordinal, pid, text, greatest(0, pid - lag(pid + length, 1, 0) OVER (PARTITION BY book_id ORDER BY pid, ordinal)) AS gap FROM chunks WHERE text <> '')""",
+    "written": """SELECT book_id, CASE WHEN book_id % 4 >= 2 THEN chr(65279) ELSE '' END || text || CASE WHEN book_id % 4 = 2 THEN chr(10) ELSE '' END AS text FROM books WHERE text <> ''""",
     "assembled": """SELECT book_id, string_agg(repeat(' ', gap) || text, '' ORDER BY pid, ordinal) AS text FROM gaps GROUP BY book_id""",
     "paths": """SELECT unnest(
         ['/library/' || coalesce(author, 'none') || '/Book ' || book_id || '.sdr/a.yjr']
@@ -44,6 +45,8 @@ TABLES = {
         THEN substr(b.text, char_start + 1, greatest(0, coalesce(nullif(char_end, 0), char_start) - char_start)) END, '\\s+', ' ', 'g')) AS cut FROM placed a JOIN books b USING (book_id)""",
     "cut": """SELECT a.*, trim(regexp_replace(CASE WHEN (a.content = '' OR a.content[1] = '[') AND char_start < length(b.text)
         THEN substr(b.text, char_start + 1, greatest(0, coalesce(nullif(char_end, 0), char_start) - char_start)) END, '\\s+', ' ', 'g')) AS cut FROM placed a LEFT JOIN assembled b USING (book_id)""",
+    "cut_written": """SELECT a.*, trim(regexp_replace(CASE WHEN (a.content = '' OR a.content[1] = '[') AND char_start < length(b.text)
+        THEN substr(b.text, char_start + 1, greatest(0, coalesce(nullif(char_end, 0), char_start) - char_start)) END, '\\s+', ' ', 'g')) AS cut FROM placed a LEFT JOIN written b USING (book_id)""",
     "filled": """SELECT * REPLACE (CASE WHEN coalesce(cut, '') <> '' THEN CASE WHEN content = '' THEN cut ELSE content || ' ' || cut END ELSE content END AS content), content AS was FROM cut""",
     "shown": """SELECT *, row_number() OVER (ORDER BY coalesce(added_date, ''), source_file, kind_ord, event_id) AS k FROM placed WHERE clip_type <> 'last_position'""",
     "runs": """SELECT *, sum(CASE WHEN opens_run THEN 1 ELSE 0 END) OVER (ORDER BY k) AS run FROM (SELECT *, coalesce(book_title <> lag(book_title) OVER (ORDER BY k), true) AS opens_run FROM shown)""",
@@ -54,6 +57,7 @@ NEEDS = {
     "chunks": ["books"],
     "pages": ["books"],
     "locations": ["books"],
+    "written": ["books"],
     "gaps": ["chunks"],
     "assembled": ["gaps"],
     "paths": ["books"],
@@ -61,6 +65,7 @@ NEEDS = {
     "placed": ["paged", "locations"],
     "cut_simple": ["placed"],
     "cut": ["placed", "assembled"],
+    "cut_written": ["placed", "written"],
     "filled": ["cut"],
     "shown": ["placed"],
     "runs": ["shown"],
@@ -105,6 +110,12 @@ ORACLES = {
     "resolved_annotations": over("filled", select="SELECT event_id, book_title, author, clip_type, page, location_start, location_end, added_date, content FROM filled"),
     "span_text_simple": over("cut_simple", select="SELECT event_id, CASE WHEN coalesce(cut, '') <> '' THEN CASE WHEN content = '' THEN cut ELSE content || ' ' || cut END ELSE content END AS content FROM cut_simple"),
     "span_text_chunks": over("filled", select="SELECT event_id, content FROM filled"),
+    "plain_text_chunks": over(
+        "written",
+        select="""SELECT book_id, k, k * 300 AS pid, length(substr(text, k * 300 + 1, 300)) AS length, substr(text, k * 300 + 1, 300) AS text
+        FROM (SELECT *, unnest(range(CAST(ceil(length(text) / 300) AS BIGINT))) AS k FROM written)""",
+    ),
+    "span_text_files": over("cut_written", select="SELECT event_id, CASE WHEN coalesce(cut, '') <> '' THEN CASE WHEN content = '' THEN cut ELSE content || ' ' || cut END ELSE content END AS content FROM cut_written"),
     "assembled_text": over("assembled", select="SELECT book_id, text FROM assembled"),
     "chunk_gaps": over("gaps", select='SELECT book_id, ordinal, gap, CAST(stop - length(text) AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end" FROM gaps'),
     "page_asof": over("paged", select="SELECT event_id, page FROM paged"),

@@ -227,6 +227,14 @@ def book_files(rows: DataFrame) -> DataFrame:
     return rows.select("book_id").distinct().filter("book_id % 3 <> 0").select("book_id", path.alias("path"), F.lit(b"\x00").alias("content"))
 
 
+def text_files(books: DataFrame) -> DataFrame:
+    """(path, content): the texts of ``books`` (book_id, text) as files; of every four, two end their lines otherwise and two have a byte order mark."""
+    ends = F.when(F.col("book_id") % 4 == 1, F.replace("text", F.lit("\n"), F.lit("\r\n"))).when(F.col("book_id") % 4 == 2, F.concat(F.replace("text", F.lit("\n"), F.lit("\r")), F.lit("\r"))).otherwise(F.col("text"))
+    mark = F.when(F.col("book_id") % 4 >= 2, F.lit("\ufeff")).otherwise("")
+    path = F.concat(F.lit("/library/Book "), F.col("book_id").cast("string"), F.lit(".txt"))
+    return books.filter("text <> ''").select(path.alias("path"), _bytes(F.concat(mark, ends)).alias("content"))
+
+
 def wrong_sums(files: DataFrame) -> DataFrame:
     """(path, content): checksum files that make some of ``files`` (path) unreadable, of every format but mbp."""
     number = F.regexp_extract("path", r"(?:Book|clippings) (\d+)", 1).cast("bigint")

@@ -13,7 +13,7 @@ from marginalia.operators import books, enrich, flow, metrics, order, render
 from marginalia.oracles import ORACLES
 from marginalia.plans import fixtures
 from marginalia.schema import EXPORT_COLUMNS
-from marginalia.sources import clippings, corpus, page_index, sidecar, typed
+from marginalia.sources import clippings, corpus, page_index, plain_text, sidecar, typed
 from marginalia.sources.sidecar import list_files
 from marginalia.sources.storage import new_path, qualified
 
@@ -43,6 +43,25 @@ def chunk_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.chunk_gaps(fixtures.chunks(spark, sf_dir)).select("book_id", "ordinal", "gap", "start", "end")
 
 
+def _text_books(spark: SparkSession, books_table: DataFrame, size: int) -> DataFrame:
+    """The chunks of books that were written as text files, with their numbers as book_id."""
+    root = new_path(spark, "texts")
+    fixtures.write_files(fixtures.text_files(books_table), qualified(spark, root))
+    found, _ = plain_text.read_books(spark, root, size=size)
+    return found.withColumn("book_id", F.regexp_extract("book_id", r"Book (\d+)\.txt\z", 1).cast("bigint"))
+
+
+def plain_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books written as text files with line ends and byte order marks of all kinds, read in splits as chunks of 300 characters."""
+    return _text_books(spark, fixtures.books(spark, sf_dir), 300).withColumnRenamed("ordinal", "k")
+
+
+def span_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of spans from books that are text files."""
+    books_table = fixtures.books(spark, sf_dir)
+    return enrich.resolve_text(fixtures.annotations(spark, sf_dir), _text_books(spark, books_table, plain_text.SIZE)).select("event_id", "content")
+
+
 def page_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.assign_places(fixtures.annotations(spark, sf_dir), fixtures.page_map(spark, sf_dir), None).select("event_id", "page")
 
@@ -282,6 +301,8 @@ QUERIES = {
         resolved_annotations,
         span_text_simple,
         span_text_chunks,
+        plain_text_chunks,
+        span_text_files,
         assembled_text,
         chunk_gaps,
         page_asof,

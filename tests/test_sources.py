@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from marginalia.sources import clippings, corpus, page_index, sidecar, typed
+from marginalia.sources import clippings, corpus, page_index, plain_text, sidecar, typed
 
 
 def be(n, size):
@@ -240,6 +240,57 @@ class TestPageIndex:
         assert self.rows(spark, b"1234567") == []
 
 
+class TestPlainText:
+    #: Line ends of all kinds, byte order marks, bad bytes, characters outside the first plane, one long line, nothing.
+    FILES = {
+        "a": "one\ntwo\r\nthree\rfour\r\r\n\n\nend".encode(),
+        "b": b"\xef\xbb\xbf" + "first\nlast\n".encode(),
+        "c": b"\xef\xbb\xbf" + "first\nlast".encode(),
+        "d": b"bad \xff\xe2\x82\n\xf0\x9f\x98 and \xf0\x9f\x98\x80",
+        "e": ("😀x" * 900 + "\n" + "line\n" * 300 + "z" * 777).encode(),
+        "f": b"\n\n\n",
+        "g": b"ends in\r",
+        "h": b"x",
+        "i": b"",
+        "j, 100% + é": "name with signs\r\n".encode(),
+    }
+
+    @pytest.mark.parametrize(("split", "size"), [(7, 5), (64, 1), (1 << 20, 1000)])
+    def test_chunks_equal_slices_of_the_whole_text(self, spark, tmp_path, split, size):
+        """Whatever splits the files are read in: the text is what Python reads, cut at the multiples of the size."""
+        want = []
+        for name, data in self.FILES.items():
+            path = tmp_path / f"{name}.txt"
+            path.write_bytes(data)
+            text = path.read_text(encoding="utf-8", errors="replace")
+            want += [(str(path), k, k * size, len(text[k * size : (k + 1) * size]), text[k * size : (k + 1) * size]) for k in range(-(-len(text) // size))]
+        kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        try:
+            chunks, unread = plain_text.read_books(spark, str(tmp_path), size=size)
+            n_splits = plain_text.split_starts(plain_text.read_lines(spark, str(tmp_path))).groupBy("book_id").count().agg({"count": "max"}).first()[0]
+            assert sorted(tuple(r) for r in chunks.collect()) == sorted(want)
+            assert unread.count() == 0
+            assert (n_splits > 20) == (split < 100)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+
+    def test_a_file_that_cannot_be_read_to_its_end_is_left_out(self, spark, tmp_path):
+        (tmp_path / "good.txt").write_bytes(b"fine\n")
+        (tmp_path / "bad.txt").write_bytes(b"line of a text\n" * 2000)
+        (tmp_path / ".bad.txt.crc").write_bytes(b"crc\x00" + be(512, 4) + be(0, 4))
+        chunks, unread = plain_text.read_books(spark, str(tmp_path))
+        assert [r.text for r in chunks.collect()] == ["fine\n"]
+        assert [r.path for r in unread.collect()] == [str(tmp_path / "bad.txt")]
+
+    def test_a_folder_without_texts(self, spark, tmp_path):
+        (tmp_path / "a.kfx").write_bytes(b"x")
+        chunks, unread = plain_text.read_books(spark, str(tmp_path))
+        assert chunks.collect() == [] and unread.collect() == []
+
+
 class TestCorpus:
     @pytest.mark.parametrize(
         ("path", "kind"),
