@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.paths import suffix
 from marginalia.operators.enrich import assign_places, pair_books, popular_books, resolve_text, with_book
 from marginalia.schema import conform
-from marginalia.sources.corpus import scan_corpus
+from marginalia.sources.corpus import failed_files, route, scan_corpus
+from marginalia.sources.plain_text import read_books
 from marginalia.sources.sidecar import list_files
 from marginalia.sources.storage import saved
 
@@ -15,12 +17,12 @@ from marginalia.sources.storage import saved
 POPULAR_ROWS = 100_000
 
 
-def annotate(annotations: DataFrame, files: DataFrame, chunks: DataFrame, page_map: DataFrame, location_map: DataFrame, override: str | None = None, text: bool = True, pages: bool = True) -> DataFrame:
+def annotate(annotations: DataFrame, files: DataFrame, chunks: DataFrame | None, page_map: DataFrame | None, location_map: DataFrame | None, override: str | None = None, text: bool = True, pages: bool = True) -> DataFrame:
     """``annotations`` with text, pages and locations from the book that is paired with their sidecar folder.
 
     ``files`` (path) holds the book files, the book tables name them as book_id. Everything in a sidecar folder counts, so
     locations of clippings text there are taken for offsets too. Annotations without a paired book, and whatever a book has no
-    table for, stay as they are. ``override`` is the book of all groups (of all annotations where there is no sidecar folder).
+    table for, stay as they are. Without ``text`` no ``chunks`` are needed, without ``pages`` no maps. ``override`` is the book of all groups (of all annotations where there is no sidecar folder).
 
     The paired annotations of each book are counted first, so that chunks, pages and locations of popular books are looked up in several streams.
     """
@@ -38,12 +40,27 @@ def annotate(annotations: DataFrame, files: DataFrame, chunks: DataFrame, page_m
     return conform(paired).unionByName(conform(rows.filter("book_file is null")))
 
 
-def annotate_corpus(spark: SparkSession, path: str, chunks: DataFrame, page_map: DataFrame, location_map: DataFrame, override: str | None = None, text: bool = True, pages: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def text_chunks(spark: SparkSession, path: str, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks, unread) of the books below ``path`` that have a text file beside them, of the same folder and stem; they are named by the book file.
+
+    ``listed`` (path, length) holds all files. Clippings texts are no books, and texts without a book file beside them belong to none.
+    """
+    texts = listed.filter((F.lower(suffix(F.col("path"))) == ".txt") & route(F.col("path")).isNull())
+    found, unread = read_books(spark, path, listed=texts)
+    pairs = pair_books(texts.select(F.col("path").alias("dir")), listed.select("path")).filter("book_file is not null")
+    return found.join(pairs, found["book_id"] == pairs["dir"]).select(F.col("book_file").alias("book_id"), "ordinal", "pid", "length", "text"), unread
+
+
+def annotate_corpus(spark: SparkSession, path: str, chunks: DataFrame | None, page_map: DataFrame | None, location_map: DataFrame | None, override: str | None = None, text: bool = True, pages: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(annotations, page indexes, quarantine) of all files below ``path``, with the annotations of ``annotate``.
 
+    Without ``chunks``, books are read from the text files beside them (``text_chunks``); those that can't be read are in the quarantine.
     Decoded annotations are written to the shared folder, so that files are decoded once, however often the rows are used.
     """
     listed = saved(list_files(spark, path), "listed")
     annotations, indexes, failed = scan_corpus(spark, path, listed)
     annotations = saved(annotations, "scanned")
+    if chunks is None and text:
+        chunks, unread = text_chunks(spark, path, listed)
+        chunks, failed = saved(chunks, "chunks"), failed.unionByName(failed_files(unread))
     return annotate(annotations, listed.select("path"), chunks, page_map, location_map, override, text, pages), indexes, failed

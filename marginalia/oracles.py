@@ -231,6 +231,12 @@ ORACLES = {
         CASE WHEN book_id % 10 = 0 AND book_id % 3 <> 0 AND coalesce(cut, '') <> '' THEN content ELSE was || ' line ' || event_id END,
         CASE WHEN book_id % 10 = 0 THEN book_title || '.sdr/My Clippings.txt' ELSE 'clippings ' || book_id || '.txt' END FROM filled WHERE clip_type = 'highlight' AND book_id % 10 < 2""",
     ),
+    "corpus_text_books": over(
+        "cut_written",
+        select=f"""SELECT book_title, clip_type, char_start AS location_start, nullif(char_end, char_start) AS location_end, added_date,
+        CASE WHEN book_id % 3 <> 0 AND book_id % 17 <> 7 AND coalesce(cut, '') <> '' THEN CASE WHEN content = '' THEN cut ELSE content || ' ' || cut END ELSE content END AS content, book_title || '.sdr/a.yjr' AS source_file
+        FROM cut_written WHERE {_NO_POSITION} UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'unreadable', 'Book ' || book_id || '.txt' FROM written WHERE book_id % 17 = 7""",
+    ),
     "corpus_outcomes": over(
         "ann",
         "pages",

@@ -235,11 +235,20 @@ def text_files(books: DataFrame) -> DataFrame:
     return books.filter("text <> ''").select(path.alias("path"), _bytes(F.concat(mark, ends)).alias("content"))
 
 
+def _wrong(files: DataFrame, hit: Column) -> DataFrame:
+    """(path, content): checksum files that make those of ``files`` (path) that are ``hit`` unreadable."""
+    return files.filter(hit).select(F.regexp_replace("path", r"/([^/]*)\z", "/.$1.crc").alias("path"), F.concat(_bytes(F.lit("crc\x00")), _be(F.lit(512), 4), _be(F.lit(0), 4)).alias("content"))
+
+
 def wrong_sums(files: DataFrame) -> DataFrame:
     """(path, content): checksum files that make some of ``files`` (path) unreadable, of every format but mbp."""
     number = F.regexp_extract("path", r"(?:Book|clippings) (\d+)", 1).cast("bigint")
-    hit = (F.endswith("path", F.lit(".yjr")) & (number % 19 == 4)) | (F.endswith("path", F.lit(".yjf")) & (number % 23 == 5)) | (F.endswith("path", F.lit(".apnx")) & (number % 29 == 3)) | (F.endswith("path", F.lit(".txt")) & (number % 30).isin(10, 21))
-    return files.filter(hit).select(F.regexp_replace("path", r"/([^/]*)\z", "/.$1.crc").alias("path"), F.concat(_bytes(F.lit("crc\x00")), _be(F.lit(512), 4), _be(F.lit(0), 4)).alias("content"))
+    return _wrong(files, (F.endswith("path", F.lit(".yjr")) & (number % 19 == 4)) | (F.endswith("path", F.lit(".yjf")) & (number % 23 == 5)) | (F.endswith("path", F.lit(".apnx")) & (number % 29 == 3)) | (F.endswith("path", F.lit(".txt")) & (number % 30).isin(10, 21)))
+
+
+def wrong_text_sums(files: DataFrame) -> DataFrame:
+    """(path, content): checksum files that make the books' texts among ``files`` (path) unreadable whose number leaves 7 of 17."""
+    return _wrong(files, F.regexp_extract("path", r"Book (\d+)", 1).cast("bigint") % 17 == 7)
 
 
 def write_files(files: DataFrame, root: str) -> None:

@@ -209,6 +209,18 @@ def corpus_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*EXPORT_COLUMNS).withColumn("source_file", F.substring_index("source_file", "/library/", -1))
 
 
+def corpus_text_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of sidecars, book files and their texts, some of them unreadable: annotated from nothing but the tree, with the quarantine as further rows."""
+    rows, root = fixtures.annotations(spark, sf_dir), new_path(spark, "corpus")
+    texts = fixtures.text_files(fixtures.books(spark, sf_dir))
+    for files in (fixtures.sidecar_files(rows), fixtures.book_files(rows), texts, fixtures.wrong_text_sums(texts)):
+        fixtures.write_files(files, qualified(spark, root))
+    found, _, failed = flow.annotate_corpus(spark, root, None, None, None, pages=False)
+    columns = ("book_title", "clip_type", "location_start", "location_end", "added_date", "content")
+    refused = failed.select(*(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in columns[:-1]), F.col("reason").alias("content"), "source_file")
+    return found.select(*columns, "source_file").unionByName(refused).withColumn("source_file", F.substring_index("source_file", "/library/", -1))
+
+
 def corpus_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of every file of a tree in all formats, some of them unreadable: one scan, by file."""
     fixtures.configure(spark)
@@ -337,6 +349,7 @@ QUERIES = {
         text_blocks,
         export_manifest,
         corpus_flow,
+        corpus_text_books,
         corpus_outcomes,
         json_sink,
         csv_sink,

@@ -76,10 +76,11 @@ def quarantine(files: DataFrame) -> DataFrame:
 
 def unreadable(listed: DataFrame, read: DataFrame) -> DataFrame:
     """(source_file, format, reason) of the files in ``listed`` (path) that are not in ``read`` (path)."""
-    return _failed(listed.select("path").join(read.select("path"), "path", "left_anti"))
+    return failed_files(listed.select("path").join(read.select("path"), "path", "left_anti"))
 
 
-def _failed(files: DataFrame) -> DataFrame:
+def failed_files(files: DataFrame) -> DataFrame:
+    """(source_file, format, reason) of ``files`` (path) that could not be read."""
     return files.select(F.col("path").alias("source_file"), route(F.col("path")).alias("format"), F.lit("unreadable").alias("reason"))
 
 
@@ -130,4 +131,4 @@ def scan_corpus(spark: SparkSession, path: str, listed: DataFrame | None = None)
     annotations = with_titles(annotations_of_records(records).unionByName(text), binary)
     indexes = decode_page_indexes(records.filter("outcome = 'page_indexes'").select("path", F.col("body").alias("content")))
     failed = records.filter("outcome = 'failures'").select(F.col("path").alias("source_file"), "format", "reason")
-    return annotations, indexes, failed.unionByName(unreadable(binary, records.select("path").distinct())).unionByName(_failed(unread))
+    return annotations, indexes, failed.unionByName(unreadable(binary, records.select("path").distinct())).unionByName(failed_files(unread))
