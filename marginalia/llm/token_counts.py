@@ -49,6 +49,13 @@ def _plain_byte_bpe(spec: dict) -> bool:
     )
 
 
+def _ids_follow_merges(model: dict) -> bool:
+    """True if merging by the smallest id is merging in the order of the merges: ids rise along them, and every longer token is made by one."""
+    vocab = model["vocab"]
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model.get("merges", [])]
+    return all(a < b for a, b in zip([-1, *made], made, strict=False)) and sum(len(token) > 1 for token in vocab) == len(made)
+
+
 #: Runs of so many blanks go to the library: the faster one gives up on them.
 LONG_RUN = 100_000
 _BLANKS = re.compile(rf"\s{{{LONG_RUN}}}")
@@ -76,9 +83,12 @@ def counter(content: bytes, name: str):
 
     if not _plain_byte_bpe(spec):
         return exact
+    special = [t["content"] for t in spec.get("added_tokens", [])]
+    if not _ids_follow_merges(spec["model"] | {"vocab": {t: i for t, i in spec["model"]["vocab"].items() if t not in special}}):
+        return exact
     import tiktoken  # the same merges by rank, several times as fast
 
-    of, special = _byte_of_character(), [t["content"] for t in spec.get("added_tokens", [])]
+    of = _byte_of_character()
     ranks = {bytes(of[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("ranks", pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
