@@ -150,6 +150,13 @@ ORACLES = {
         CAST(58 + length(CAST(char_start + 1 AS VARCHAR)) + length(CAST(char_start + 9 AS VARCHAR)) AS INTEGER) AS n_chars, '/library/' || book_title || '.sdr/n.yjr' AS source_file FROM ann WHERE clip_type = 'note'
         UNION ALL SELECT 'highlight', char_start + 1, char_start + 9, '', 0, '/library/' || book_title || '.sdr/n.yjr' FROM ann WHERE clip_type = 'note'""",
     ),
+    "sidecar_splits_decode": over(
+        "ann",
+        select="""SELECT 'note' AS clip_type, char_start AS location_start, CAST(NULL AS BIGINT) AS location_end,
+        CAST(58 + length(CAST(char_start + 1 AS VARCHAR)) + length(CAST(char_start + 9 AS VARCHAR)) AS INTEGER) AS n_chars, CAST(NULL AS VARCHAR) AS added_date, book_title || '.sdr/n.yjr' AS source_file FROM ann WHERE clip_type = 'note'
+        UNION ALL SELECT 'highlight', char_start + 1, char_start + 9, 0, NULL, book_title || '.sdr/n.yjr' FROM ann WHERE clip_type = 'note'
+        UNION ALL SELECT clip_type, char_start, NULL, 0, added_date, book_title || '.sdr/a.yjf' FROM ann WHERE clip_type = 'last_position'""",
+    ),
     "last_position_decode": over(
         "ann", select="SELECT 'a' AS book_title, clip_type, char_start AS location_start, CAST(NULL AS BIGINT) AS location_end, added_date, '' AS content, '/library/' || book_title || '.sdr/a.yjf' AS source_file FROM ann WHERE clip_type = 'last_position'"
     ),

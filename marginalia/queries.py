@@ -13,7 +13,7 @@ from marginalia.operators import books, enrich, flow, metrics, order, render
 from marginalia.oracles import ORACLES
 from marginalia.plans import fixtures
 from marginalia.schema import EXPORT_COLUMNS
-from marginalia.sources import clippings, corpus, page_index, plain_text, sidecar, typed
+from marginalia.sources import clippings, corpus, page_index, plain_text, sidecar, sidecar_splits, typed
 from marginalia.sources.sidecar import list_files
 from marginalia.sources.storage import new_path, qualified
 
@@ -107,6 +107,15 @@ def sidecar_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("clip_type", "location_start", "location_end", F.substring("content", 1, 4).alias("opening"), F.length("content").alias("n_chars"), "source_file")
 
 
+def sidecar_splits_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested notes and the last positions, written as files and read in splits: records that hold others go over several pieces."""
+    rows, root = fixtures.annotations(spark, sf_dir), new_path(spark, "sidecars")
+    for files in (fixtures.nested_files(rows), fixtures.position_files(rows)):
+        fixtures.write_files(files, qualified(spark, root))
+    found = sidecar_splits.read_split_annotations(spark, root).unionByName(sidecar_splits.read_split_positions(spark, root))
+    return found.select("clip_type", "location_start", "location_end", F.length("content").alias("n_chars"), "added_date", F.substring_index("source_file", "/library/", -1).alias("source_file"))
+
+
 def last_position_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sidecar.decode_last_positions(fixtures.position_files(fixtures.annotations(spark, sf_dir))).select(*DECODED, "source_file")
 
@@ -326,6 +335,7 @@ QUERIES = {
         entry_lines,
         sidecar_decode,
         sidecar_nested,
+        sidecar_splits_decode,
         last_position_decode,
         typed_record_decode,
         page_index_decode,

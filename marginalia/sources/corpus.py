@@ -20,6 +20,7 @@ from marginalia.sources.sidecar import (
     read_files,
     segments,
 )
+from marginalia.sources.sidecar_splits import placed, read_pieces, split_records
 from marginalia.sources.storage import saved
 from marginalia.sources.typed import annotations_of as typed_annotations
 from marginalia.sources.typed import decode_records, is_container
@@ -90,7 +91,10 @@ def decode_all(files: DataFrame) -> DataFrame:
     return decode_annotations(of("yjr")).unionByName(decode_last_positions(of("yjf"))).unionByName(decode_records(of("mbp")))
 
 
-BINARY = "*.{[yY][jJ][rR],[yY][jJ][fF],[mM][bB][pP],[aA][pP][nN][xX]}"
+SIDECARS = "*.{[yY][jJ][rR],[yY][jJ][fF]}"
+TABLES = "*.{[mM][bB][pP],[aA][pP][nN][xX]}"
+#: Sidecar files of more bytes are read in splits instead of rows; the records are the same.
+LONG = 1 << 26
 TEXT = "*.[tT][xX][tT]"
 #: What becomes of a binary file: its records belong to annotations or to page indexes, or it has none, or it can't be decoded.
 OUTCOMES = ("annotations", "page_indexes", "nothing", "failures")
@@ -109,22 +113,38 @@ def cut_files(files: DataFrame) -> DataFrame:
     return rows.select("path", "format", "reason", "r.rec_ord", "r.key", "r.body", "r.strings", "r.time", outcome.alias("outcome"))
 
 
+def cut_long_files(spark: SparkSession, path: str, longer: int) -> DataFrame:
+    """The rows of ``cut_files`` of the sidecar files of more than ``longer`` bytes, which are read in splits; files not read to their end have none."""
+    pieces, _ = placed(saved(read_pieces(spark, path, SIDECARS, longer), "pieces"))
+    kind = route(F.col("path"))
+    found = [split_records(pieces.filter(kind == k), keys).withColumn("format", F.lit(k)) for k, keys in (("yjr", list(ANNOTATION_KEYS)), ("yjf", [POSITION_KEY]))]
+    records = found[0].unionByName(found[1])
+    files = pieces.select("path").distinct().select("path", route(F.col("path")).alias("format")).join(records.drop("format"), "path", "left")
+    outcome = F.when(F.col("key").isNull(), "nothing").otherwise("annotations")
+    return files.select("path", "format", F.lit(None).cast("string").alias("reason"), "rec_ord", "key", "body", "strings", "time", outcome.alias("outcome"))
+
+
 def annotations_of_records(found: DataFrame) -> DataFrame:
     """The annotations of all formats in the rows of ``cut_files``."""
     of = lambda kind: found.filter((F.col("outcome") == "annotations") & (F.col("format") == kind))
     return annotations_of(of("yjr")).unionByName(last_positions_of(of("yjf"))).unionByName(typed_annotations(of("mbp")))
 
 
-def scan_corpus(spark: SparkSession, path: str, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_corpus(spark: SparkSession, path: str, listed: DataFrame | None = None, long: int = LONG) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(annotations, page indexes, quarantine) of all files below ``path``; files that can't be read or decoded are in the quarantine.
 
     Each file's content is read once: binary files are cut into records, and texts into entries, which are written to the shared
     folder by outcome. What was listed and didn't arrive, or not to its end, is unreadable: nothing of it is returned, and the scan goes on.
-    ``listed`` (path, length): the files below ``path``, where they have been listed already.
+    ``listed`` (path, length): the files below ``path``, where they have been listed already. Sidecar files of more than ``long`` bytes
+    are read in splits, others are one row each.
     """
     kind, listed = route(F.col("path")), saved(list_files(spark, path), "listed") if listed is None else listed
     binary, texts = listed.filter(kind.isin(*FORMATS)), listed.filter(kind == "clippings")
-    records = saved(cut_files(read_files(spark, path, BINARY).filter(F.length("content") >= 0)), "records", "outcome")
+    contents = read_files(spark, path, SIDECARS, long).unionByName(read_files(spark, path, TABLES))
+    cut = cut_files(contents.filter(F.length("content") >= 0))
+    if not listed.filter(kind.isin("yjr", "yjf") & (F.col("length") > long)).isEmpty():
+        cut = cut.unionByName(cut_long_files(spark, path, long))
+    records = saved(cut, "records", "outcome")
     entries = saved(read_entries(spark, path, TEXT).filter(route(F.col("source_file")) == "clippings"), "entries")
     unread = saved(unread_files(texts, entries), "unread")
     text = parse_entries(entries.join(unread, entries["source_file"] == unread["path"], "left_anti"))

@@ -42,9 +42,9 @@ def segments(keys: list[str]) -> Column:
     ahead = "(?s)(?=" + "|".join(_pattern(_prefix(k)) for k in keys) + ")"
     key = "case " + " ".join(f"when startswith(p, decode(X'{_prefix(k).hex()}', 'ISO-8859-1')) then '{k}'" for k in keys) + " end"
     found = f"filter(transform(ps, (p, i) -> named_struct('rec_ord', cast(i as bigint), 'key', {key}, 'part', p)), r -> r.key is not null)"
-    own = _values("encode(substring(r.part, length(r.key) + 5), 'ISO-8859-1')")
+    own = values_of("encode(substring(r.part, length(r.key) + 5), 'ISO-8859-1')")
     before = "aggregate(slice(ps, 1, cast(r.rec_ord as int)), length(r.key) + 5, (a, p) -> a + length(p))"  # the place of the values, from 1
-    again = _values("substring(content, at, t.n + length(p))")
+    again = values_of("substring(content, at, t.n + length(p))")
     later = f"""aggregate(slice(ps, cast(r.rec_ord + 2 as int), size(ps)), named_struct('n', length(r.part) - length(r.key) - 4, 'v', v),
         (t, p) -> case when t.v.needs = 0 or t.v.needs > t.n + length(p) then named_struct('n', t.n + length(p), 'v', t.v)
             else named_struct('n', t.n + length(p), 'v', {again}) end,
@@ -60,7 +60,7 @@ def records(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.select("path", F.inline(segments(keys)))
 
 
-def _values(body: str) -> str:
+def values_of(body: str) -> str:
     """SQL of (strings, time, needs) of the bytes ``body``: byte strings and first time, folded value by value until the record ends.
 
     needs is 0 for a record that ends within the bytes, else how many bytes there must be for its last value to end.
@@ -167,10 +167,11 @@ def decode_last_positions(files: DataFrame) -> DataFrame:
     return last_positions_of(records(files, [POSITION_KEY]))
 
 
-def read_files(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
-    """(path, content) of the files below ``path`` whose names match; unreadable files are left out."""
+def read_files(spark: SparkSession, path: str | list[str], glob: str, longest: int | None = None) -> DataFrame:
+    """(path, content) of the files below ``path`` whose names match, of up to ``longest`` bytes; unreadable files are left out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    return reader.load(path).select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), "content")
+    found = reader.load(path) if longest is None else reader.load(path).filter(F.col("length") <= longest)
+    return found.select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), "content")
 
 
 def list_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:

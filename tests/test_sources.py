@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from marginalia.sources import clippings, corpus, page_index, plain_text, sidecar, typed
+from marginalia.sources import clippings, corpus, page_index, plain_text, sidecar, sidecar_splits, typed
 
 
 def be(n, size):
@@ -159,6 +159,68 @@ class TestSidecar:
         assert [(i, key, strings, time) for i, _, key, strings, time in got] == want
         assert len(want) > 500
 
+    @staticmethod
+    def glued(seed, n, size):
+        """Files glued from records, cut values, prefixes, marks and single bytes."""
+        heads = [b"\xfe" + be(len(k), 3) + k.encode() for k in sidecar.ANNOTATION_KEYS]
+        rng = random.Random(seed)
+        pieces = [
+            lambda: rng.choice(heads),
+            lambda: text(rng.randbytes(rng.randrange(4))),
+            lambda: b"\x03" + be(rng.choice([1, 7, 40, 90, 400, 5000, 65537]), 3),
+            lambda: rng.choice([b"\x01", b"\x02", b"\x07", b"\xff", b"\x03\0", b"\x00", b"\xfe", b"\xfe\0", b"\xfe\0\0", heads[0][3:]]),
+            lambda: rng.randbytes(3),
+        ]
+        return [b"".join(rng.choice(pieces)() for _ in range(rng.randrange(size))) for _ in range(n)]
+
+    @pytest.mark.parametrize("split", [5, 61, 1 << 20])
+    def test_records_of_splits_equal_those_of_whole_files(self, spark, tmp_path, split):
+        """Whatever splits the files are read in, marks across their edges, at both ends of a file and inside values included."""
+        files = [*self.glued(7, 40, 60), b"", b"\xfe\0\0", b"x", b"\xef\xbb\xbf" + self.glued(8, 1, 60)[0], self.glued(9, 1, 2)[0] + b"".join(self.glued(10, 20, 60))]
+        note = b"\xfe" + be(24, 3) + b"annotation.personal.note"
+        files += [note + b"\x03" + be(3, 3) + b"\xfe\0\0", note + b"\x03" + be(4, 3) + b"\xfe\0\0", b"\xef\xbb\xbf" + note + b"\x03" + be(99, 3) + b"\xfe\0\0", note[3:] + note + text(note * 300) * 3]
+        for i, data in enumerate(files):
+            (tmp_path / f"{i}.yjr").write_bytes(data)
+        keys = list(sidecar.ANNOTATION_KEYS)
+        row = lambda r: (r.path, r.key, [bytes(x) for x in r.strings], r.time and bytes(r.time))
+        kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        try:
+            cut = sidecar_splits.saved(sidecar_splits.read_pieces(spark, str(tmp_path), "*.yjr"), "pieces")
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+        pieces, unread = sidecar_splits.placed(cut)
+        got = [row(r) for r in sidecar_splits.split_records(pieces, keys).orderBy("path", "rec_ord").collect()]
+        want = [row(r) for r in sidecar.records(sidecar.read_files(spark, str(tmp_path), "*.yjr"), keys).orderBy("path", "rec_ord").collect()]
+        assert got == want and len(want) > 300
+        assert unread.count() == 0
+        assert (cut.select("path", "split").distinct().count() > 60) == (split < 100)
+
+    def test_one_long_file_is_read_by_several_tasks(self, spark, tmp_path):
+        """Many records in one file: as many as there are, in order, from several splits, through the scan too."""
+        (tmp_path / "a.yjr").write_bytes(b"".join(keyed("annotation.personal.note", text(f"a:{i}"), text(f"a:{i}"), text(b"12345"), text(f"n {i}" * 20)) for i in range(9000)))
+        (tmp_path / "b.yjf").write_bytes(b"-" * 300_000 + keyed("lpr", text("a:77")))
+        (tmp_path / "c.yjf").write_bytes(b"-" * 300_000)
+        (tmp_path / "d.yjr").write_bytes(keyed("annotation.personal.bookmark", text("a:5"), text("a:5")))
+        (tmp_path / "bad.yjr").write_bytes(b"x" * 400_000)
+        (tmp_path / ".bad.yjr.crc").write_bytes(b"crc\x00" + be(512, 4) + be(0, 4) * 800)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        try:
+            found, _, failed = corpus.scan_corpus(spark, str(tmp_path), long=200_000)
+            rows = found.orderBy("source_file", "kind_ord", "rec_ord").collect()
+            assert sidecar_splits.read_pieces(spark, str(tmp_path), "a.yjr").select("split").distinct().count() > 10
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r.location_start for r in rows] == [*range(9000), 77, 5]
+        assert rows[8999].content == "n 8999" * 20
+        assert [tuple(r) for r in failed.collect()] == [(str(tmp_path / "bad.yjr"), "yjr", "unreadable")]
+
+    def test_no_long_files(self, spark, tmp_path):
+        (tmp_path / "a.txt").write_bytes(b"x")
+        assert sidecar_splits.read_split_annotations(spark, str(tmp_path)).collect() == []
+
     def test_last_position(self, spark):
         data = keyed("lpr", b"\x01\0\0\0\2", text(b"\xc3\x28:7"), text("no"), text("AT:77"), b"\x02" + be(1700000000000, 8)) + keyed("lpr", text("none"))
         (r,) = decode(spark, sidecar.decode_last_positions, data)
