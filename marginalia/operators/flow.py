@@ -10,7 +10,7 @@ from marginalia.operators.enrich import assign_places, pair_books, popular_books
 from marginalia.schema import conform
 from marginalia.sources.corpus import failed_files, route, scan_corpus
 from marginalia.sources.plain_text import read_books
-from marginalia.sources.sidecar import list_files
+from marginalia.sources.files import list_files
 from marginalia.sources.storage import saved
 
 #: A list of up to so many popular books is broadcast.

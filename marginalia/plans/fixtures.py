@@ -258,9 +258,13 @@ def write_files(files: DataFrame, root: str) -> None:
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(root)
+        made = None
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                store.create_dir(f"{folder}{path.as_py()}".rpartition("/")[0], recursive=True)
+                into = f"{folder}{path.as_py()}".rpartition("/")[0]
+                if into != made:
+                    store.create_dir(into, recursive=True)
+                    made = into
                 with store.open_output_stream(f"{folder}{path.as_py()}", compression=None) as out:
                     out.write(content.as_py())
             yield batch.select(["path"])

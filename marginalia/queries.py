@@ -14,7 +14,7 @@ from marginalia.oracles import ORACLES
 from marginalia.plans import fixtures
 from marginalia.schema import EXPORT_COLUMNS
 from marginalia.sources import clippings, corpus, page_index, plain_text, sidecar, sidecar_splits, typed
-from marginalia.sources.sidecar import list_files
+from marginalia.sources import files as files_of
 from marginalia.sources.storage import new_path, qualified
 
 #: An annotation's columns as the decoding queries return them.
@@ -112,7 +112,8 @@ def sidecar_splits_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, root = fixtures.annotations(spark, sf_dir), new_path(spark, "sidecars")
     for files in (fixtures.nested_files(rows), fixtures.position_files(rows)):
         fixtures.write_files(files, qualified(spark, root))
-    found = sidecar_splits.read_split_annotations(spark, root).unionByName(sidecar_splits.read_split_positions(spark, root))
+    tree = files_of.tree(spark, root)
+    found = sidecar_splits.read_split_annotations(spark, root, tree).unionByName(sidecar_splits.read_split_positions(spark, root, tree))
     return found.select("clip_type", "location_start", "location_end", F.length("content").alias("n_chars"), "added_date", F.substring_index("source_file", "/library/", -1).alias("source_file"))
 
 
@@ -210,7 +211,7 @@ def corpus_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     for each in files:
         fixtures.write_files(each, qualified(spark, root))
     spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
-    where = list_files(spark, root).withColumn("name", F.substring_index("path", "/library/", -1))
+    where = files_of.list_files(spark, root).withColumn("name", F.substring_index("path", "/library/", -1))
     named = books.select("book_id", F.substring_index("path", "/library/", -1).alias("name")).join(where, "name").select("book_id", F.col("path").alias("book_file"))
     keyed = lambda df, only: df.filter(only).join(named, "book_id").withColumn("book_id", F.col("book_file")).drop("book_file")
     tables = keyed(fixtures.chunks(spark, sf_dir), "true"), keyed(fixtures.page_map(spark, sf_dir), "book_id % 3 = 1"), keyed(fixtures.location_map(spark, sf_dir), "book_id % 3 = 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.paths import ancestors, name, sidecar_dir, stem, suffix
 from marginalia.sources.clippings import parse_entries, read_entries, unread_files
+from marginalia.sources.files import list_files, read_files
 from marginalia.sources.page_index import SHORTEST, decode_page_indexes
 from marginalia.sources.sidecar import (
     ANNOTATION_KEYS,
@@ -16,8 +17,6 @@ from marginalia.sources.sidecar import (
     decode_annotations,
     decode_last_positions,
     last_positions_of,
-    list_files,
-    read_files,
     segments,
 )
 from marginalia.sources.sidecar_splits import placed, read_pieces, split_records

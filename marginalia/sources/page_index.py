@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.binary import bound, uint_le
 from marginalia.functions.text import utf8
-from marginalia.sources.sidecar import read_files
+from marginalia.sources.files import read_files
 
 #: Fixed values of the format: the shortest file, the bytes searched for the opening brace, the bound under which the first word is a count.
 SHORTEST, SEARCHED, COUNT_BOUND = 8, 256, 100_000

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.paths import from_uri, local_path
-from marginalia.sources.sidecar import list_files
+from marginalia.sources.files import list_files
 
 TEXT = "*.[tT][xX][tT]"
 #: Characters of a chunk.

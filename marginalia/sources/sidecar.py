@@ -9,6 +9,7 @@ from marginalia.functions.binary import bound, epoch_ms, uint
 from marginalia.functions.paths import sidecar_dir, stem
 from marginalia.functions.text import parsed_time, strip, utf8
 from marginalia.schema import conform
+from marginalia.sources.files import read_files
 
 #: Fixed values of the format: the keys with their kinds and order, the key of the last position,
 #: the longest byte string, the length of the marker between position and payload.
@@ -167,19 +168,6 @@ def decode_last_positions(files: DataFrame) -> DataFrame:
     return last_positions_of(records(files, [POSITION_KEY]))
 
 
-def read_files(spark: SparkSession, path: str | list[str], glob: str, longest: int | None = None) -> DataFrame:
-    """(path, content) of the files below ``path`` whose names match, of up to ``longest`` bytes; unreadable files are left out."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    found = reader.load(path) if longest is None else reader.load(path).filter(F.col("length") <= longest)
-    return found.select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), "content")
-
-
-def list_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(path, length) of the files below ``path`` that are not empty; none of them is opened."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), "length")
-
-
 def read_sidecar_annotations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return decode_annotations(read_files(spark, path, "*.[yY][jJ][rR]"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.paths import from_uri, local_path
+from marginalia.sources.files import cut, named, short, tree
 from marginalia.sources.sidecar import ANNOTATION_KEYS, POSITION_KEY, annotations_of, last_positions_of, values_of
 from marginalia.sources.storage import saved
 
@@ -13,27 +14,39 @@ from marginalia.sources.storage import saved
 MARK = b"\xfe\x00\x00"
 #: Pieces and the records that need them meet by their place in so many bytes of a file.
 BIN = 65536
+#: A list of up to so many splits is broadcast to their pieces.
+BROADCAST_SPLITS = 100_000
 #: What names a split.
 SPLIT = ["path", "split"]
 
 
-def read_pieces(spark: SparkSession, path: str | list[str], glob: str, longer: int = -1) -> DataFrame:
+def read_pieces(spark: SparkSession, path: str | list[str], glob: str, longer: int = -1, files: DataFrame | None = None) -> DataFrame:
     """(path, file_bytes, split, within, piece) of the files of more than ``longer`` bytes: what stands between two MARKs, or a MARK and an end.
 
     split is the place of a split in its file, within the piece's place in its split, each piece taken with a MARK behind it. A piece has to fit
     in a row, a file need not. A reader that begins inside a file begins after the first MARK there, and the one before it reads up to it.
+    Files that are shorter than a split are read as rows and cut there. ``files``: the ``tree`` of ``path`` and ``glob``, where it has been listed already.
     """
+    files, most = tree(spark, path, glob) if files is None else files, short(spark)
+    pieces = cut(files.filter(F.col("file_size") > longer).filter(F.col("file_size") <= most), MARK).select("path", F.col("length").alias("file_bytes"), F.lit(0).cast("bigint").alias("split"), "i", "piece")
+    longest = max(longer, most)
+    if not files.filter(F.col("file_size") > longest).select("path").isEmpty():
+        pieces = pieces.unionByName(_split_pieces(spark, path, glob, longest))
+    before = Window.partitionBy(*SPLIT).orderBy("i")
+    return pieces.withColumn("within", (F.sum(_taken()).over(before) - _taken()).cast("bigint")).drop("i")
+
+
+def _split_pieces(spark: SparkSession, path: str | list[str], glob: str, longer: int) -> DataFrame:
+    """(path, file_bytes, split, i, piece) of the files of more than ``longer`` bytes, from their splits."""
     reader = spark.read.option("lineSep", MARK.decode("ISO-8859-1")).option("encoding", "ISO-8859-1").option("recursiveFileLookup", True)
     rows = reader.option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(path).filter(F.col("_metadata.file_size") > longer)
-    pieces = rows.select(
+    return rows.select(
         local_path(from_uri(F.col("_metadata.file_path"))).alias("path"),
         F.col("_metadata.file_size").alias("file_bytes"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("i"),
         F.col("value").cast("binary").alias("piece"),
     )
-    before = Window.partitionBy(*SPLIT).orderBy("i")
-    return pieces.withColumn("within", (F.sum(_taken()).over(before) - _taken()).cast("bigint")).drop("i")
 
 
 def _taken() -> Column:
@@ -51,7 +64,11 @@ def placed(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = F.sum("n").over(book)
     splits = sums.select(*SPLIT, (F.sum("n").over(book.orderBy("split")) - F.col("n")).alias("base"), (F.col("file_bytes") - total).alias("over"), F.least("file_bytes", total).alias("end"))
     whole = F.col("over").between(-len(MARK), len(MARK))
-    known = pieces.join(splits.filter(whole).drop("over"), SPLIT)
+    splits = saved(splits, "splits")
+    # Never the other way round: the pieces are decoded where they are read.
+    of_whole = splits.filter(whole).drop("over")
+    of_whole = F.broadcast(of_whole) if splits.count() <= BROADCAST_SPLITS else of_whole.hint("shuffle_hash")
+    known = pieces.join(of_whole, SPLIT)
     return known.select("path", "end", (F.col("base") + F.col("within")).alias("at"), "piece"), splits.filter(~whole).select("path").distinct()
 
 
@@ -108,13 +125,16 @@ def _extended(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     return rows.join(joined, ["path", "at"], "left").select(*own, "rest", F.when(F.col("wanted") == left, whole).otherwise(part).alias("part"))
 
 
-def read_split_annotations(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Annotations of yjr files of any length; files not read to their end give none."""
-    pieces, _ = placed(saved(read_pieces(spark, path, "*.[yY][jJ][rR]"), "pieces"))
+YJR, YJF = "*.[yY][jJ][rR]", "*.[yY][jJ][fF]"
+
+
+def read_split_annotations(spark: SparkSession, path: str | list[str], files: DataFrame | None = None) -> DataFrame:
+    """Annotations of yjr files of any length; files not read to their end give none. ``files``: the ``tree`` of ``path``, where it has been listed already."""
+    pieces, _ = placed(saved(read_pieces(spark, path, YJR, files=None if files is None else files.filter(named(YJR))), "pieces"))
     return annotations_of(split_records(pieces, list(ANNOTATION_KEYS)))
 
 
-def read_split_positions(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Last reading positions of yjf files of any length; files not read to their end give none."""
-    pieces, _ = placed(saved(read_pieces(spark, path, "*.[yY][jJ][fF]"), "pieces"))
+def read_split_positions(spark: SparkSession, path: str | list[str], files: DataFrame | None = None) -> DataFrame:
+    """Last reading positions of yjf files of any length; files not read to their end give none. ``files`` as in ``read_split_annotations``."""
+    pieces, _ = placed(saved(read_pieces(spark, path, YJF, files=None if files is None else files.filter(named(YJF))), "pieces"))
     return last_positions_of(split_records(pieces, [POSITION_KEY]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.binary import bound, uint
 from marginalia.functions.paths import sidecar_dir, stem
 from marginalia.schema import conform
-from marginalia.sources.sidecar import read_files
+from marginalia.sources.files import read_files
 
 #: Fixed values of the format: record types with their kinds and least payloads, and the magic of a container that isn't decoded.
 KINDS = {1: ("last_position", 4), 2: ("bookmark", 4), 3: ("highlight", 8), 4: ("note", 8)}
