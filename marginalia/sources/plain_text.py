@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.paths import from_uri, local_path
-from marginalia.sources.files import list_files
+from marginalia.sources.files import listed as listed_files
+from marginalia.sources.files import short, tree
 
 TEXT = "*.[tT][xX][tT]"
 #: Characters of a chunk.
@@ -17,15 +18,15 @@ MARK = 3
 SPLIT = ["book_id", "split"]
 
 
-def read_lines(spark: SparkSession, path: str | list[str], glob: str = TEXT) -> DataFrame:
-    """(book_id, split, rec_ord, n_bytes, returned, line) of text files: book_id is the path, split the place of the split in its file.
+def read_lines(spark: SparkSession, path: str | list[str], glob: str = TEXT, longer: int = -1) -> DataFrame:
+    """(book_id, split, rec_ord, n_bytes, returned, line) of text files of more than ``longer`` bytes: book_id is the path, split the place of the split in its file.
 
     rec_ord grows within a split, n_bytes counts a line's bytes with its line feed. A line's last character is its line break,
     a carriage return alone or before a line feed is one too, and bytes that aren't UTF-8 become U+FFFD. The last line of a
     file has a line break here, whether it ends in one or not; returned says that a carriage return stood before it.
     """
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    rows = reader.text(path).select(
+    rows = reader.text(path).filter(F.col("_metadata.file_size") > longer).select(
         local_path(from_uri(F.col("_metadata.file_path"))).alias("book_id"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("rec_ord"),
@@ -53,19 +54,46 @@ def _pieces(size: int) -> Column:
     return F.when(F.length("line") <= room, F.array("line")).otherwise(F.concat(F.array(F.substr("line", F.lit(1), room)), rest))
 
 
-def read_books(spark: SparkSession, path: str | list[str], glob: str = TEXT, size: int = SIZE, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def read_books(spark: SparkSession, path: str | list[str], glob: str = TEXT, size: int = SIZE, listed: DataFrame | None = None, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, unread) of the text files below ``path``, each a book: chunks (book_id, ordinal, pid, length, text) of ``size`` characters, the last one of what is left.
 
+    Files that are shorter than a split are rows and are cut there (``short_books``), longer ones are read in splits (``long_books``);
+    the chunks are the same.
+
+    Files read to less than their end are in unread (path), and none of their chunks is returned; so is a file of a byte order mark
+    alone. Empty files are books without chunks. ``listed`` (path, length): the files, where they have been listed already, and
+    ``files`` the ``tree`` of them.
+    """
+    files, most = tree(spark, path, glob) if files is None else files, short(spark)
+    listed = listed_files(files) if listed is None else listed
+    chunks, unread = short_books(files.filter(F.col("file_size") <= most), size, listed.filter(F.col("length") <= most))
+    longer = listed.filter(F.col("length") > most)
+    if longer.isEmpty():
+        return chunks, unread
+    more, more_unread = long_books(spark, path, glob, size, longer, most)
+    return chunks.unionByName(more), unread.unionByName(more_unread)
+
+
+def short_books(files: DataFrame, size: int, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``read_books``, of ``files`` (path, content) that are rows; nothing is shuffled but the paths of those that could be read."""
+    mark = F.lit("\ufeff".encode())
+    text = F.translate(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    whole = files.filter((F.length("content") > 0) & (F.col("content") != mark))
+    cut = whole.select(F.col("path").alias("book_id"), F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("i", "text"))
+    chunks = cut.select("book_id", F.col("i").cast("bigint").alias("ordinal"), (F.col("i").cast("bigint") * size).alias("pid"), F.length("text").cast("bigint").alias("length"), "text")
+    return chunks, listed.filter("length > 0").join(whole.select("path"), "path", "left_anti").select("path")
+
+
+def long_books(spark: SparkSession, path: str | list[str], glob: str, size: int, listed: DataFrame, longer: int = -1) -> tuple[DataFrame, DataFrame]:
+    """As ``read_books``, of the files of more than ``longer`` bytes, all of which are in ``listed`` (path, length).
+
     A file is read in splits by several tasks. Lines are measured first, a prefix sum over a book's splits says how many characters
     stand before each, and a running sum within a split where each line begins; then lines are cut at the multiples of ``size`` and
     the pieces of a chunk put together. No book is ever a row or a task, and a hot one is dealt over its splits and chunks. A line has
     to fit in a row.
-
-    Files read to less than their end are in unread (path), and none of their chunks is returned; so is a file of a byte order mark
-    alone. Empty files are books without chunks. ``listed`` (path, length): the files, where they have been listed already.
     """
-    lines = read_lines(spark, path, glob)
-    listed = (list_files(spark, path, glob) if listed is None else listed).select(F.col("path").alias("book_id"), F.col("length").alias("file_bytes"))
+    lines = read_lines(spark, path, glob, longer)
+    listed = listed.select(F.col("path").alias("book_id"), F.col("length").alias("file_bytes"))
     # What a file has beyond its lines: -1 where the last line has no line feed, 3 more where there is a byte order mark.
     over = F.col("file_bytes") - F.col("n_bytes")
     splits = split_starts(lines).join(listed, "book_id").select(*SPLIT, "base", "total", over.alias("over"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from marginalia.sources import files, sidecar_splits
+from marginalia.sources import files, plain_text, sidecar_splits
 
 ODD = {
     "plain": b"a\nb\n",
@@ -63,3 +63,20 @@ def test_pieces_of_short_files_equal_those_of_splits(spark, odd):
     want = sidecar_splits._split_pieces(spark, odd, "*.txt", -1)
     assert values(got, "path", "file_bytes", "split", "piece") == values(want, "path", "file_bytes", "split", "piece")
     assert len({(r.path, r.within) for r in got.collect()}) == got.count()
+
+
+@pytest.mark.parametrize("size", [1, 3, 1024])
+def test_chunks_of_short_books_equal_those_of_splits_and_shuffle_no_text(spark, odd, size):
+    chunks, unread = plain_text.read_books(spark, odd, size=size)
+    want, want_unread = plain_text.long_books(spark, odd, plain_text.TEXT, size, files.list_files(spark, odd))
+    columns = ("book_id", "ordinal", "pid", "length", "text")
+    assert values(chunks, *columns) == values(want, *columns)
+    assert values(unread, "path") == values(want_unread, "path") == []
+    assert "Exchange" not in chunks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_book_that_is_a_byte_order_mark_alone_is_unread(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbf")
+    chunks, unread = plain_text.read_books(spark, str(tmp_path))
+    assert chunks.count() == 0
+    assert values(unread, "path") == [(f"{tmp_path}/a.txt",)]
