@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from marginalia.functions.paths import suffix
 from marginalia.operators.enrich import assign_places, pair_books, popular_books, resolve_text, with_book
 from marginalia.schema import conform
-from marginalia.sources.corpus import failed_files, route, scan_corpus
+from marginalia.sources.corpus import failed_files, file_route, route, scan_corpus
+from marginalia.sources.files import listed as listed_files
+from marginalia.sources.files import tree
 from marginalia.sources.plain_text import read_books
-from marginalia.sources.files import list_files
 from marginalia.sources.storage import saved
 
 #: A list of up to so many popular books is broadcast.
@@ -40,13 +41,14 @@ def annotate(annotations: DataFrame, files: DataFrame, chunks: DataFrame | None,
     return conform(paired).unionByName(conform(rows.filter("book_file is null")))
 
 
-def text_chunks(spark: SparkSession, path: str, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def text_chunks(spark: SparkSession, path: str, listed: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chunks, unread) of the books below ``path`` that have a text file beside them, of the same folder and stem; they are named by the book file.
 
-    ``listed`` (path, length) holds all files. Clippings texts are no books, and texts without a book file beside them belong to none.
+    ``listed`` (path, length) and the ``tree`` ``files`` hold all files. Clippings texts are no books, and texts without a book file beside them belong to none.
     """
     texts = listed.filter((F.lower(suffix(F.col("path"))) == ".txt") & route(F.col("path")).isNull())
-    found, unread = read_books(spark, path, listed=texts)
+    of_texts = files.filter((F.lower(suffix(F.col("file_name"))) == ".txt") & file_route().isNull())
+    found, unread = read_books(spark, path, listed=texts, files=of_texts)
     pairs = pair_books(texts.select(F.col("path").alias("dir")), listed.select("path")).filter("book_file is not null")
     return found.join(pairs, found["book_id"] == pairs["dir"]).select(F.col("book_file").alias("book_id"), "ordinal", "pid", "length", "text"), unread
 
@@ -57,10 +59,11 @@ def annotate_corpus(spark: SparkSession, path: str, chunks: DataFrame | None, pa
     Without ``chunks``, books are read from the text files beside them (``text_chunks``); those that can't be read are in the quarantine.
     Decoded annotations are written to the shared folder, so that files are decoded once, however often the rows are used.
     """
-    listed = saved(list_files(spark, path), "listed")
-    annotations, indexes, failed = scan_corpus(spark, path, listed)
+    files = tree(spark, path)
+    listed = saved(listed_files(files), "listed")
+    annotations, indexes, failed = scan_corpus(spark, path, listed, files=files)
     annotations = saved(annotations, "scanned")
     if chunks is None and text:
-        chunks, unread = text_chunks(spark, path, listed)
+        chunks, unread = text_chunks(spark, path, listed, files)
         chunks, failed = saved(chunks, "chunks"), failed.unionByName(failed_files(unread))
     return annotate(annotations, listed.select("path"), chunks, page_map, location_map, override, text, pages), indexes, failed

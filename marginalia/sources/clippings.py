@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.paths import from_uri, local_path, sidecar_dir
 from marginalia.functions.text import LINE_BREAK, SPACE, absent_if_empty, is_blank, parsed_time, rstrip, strip
 from marginalia.schema import conform
+from marginalia.sources.files import cut, short, tree
 
 #: Fixed values of the format: the separator, and the kinds that follow "- Your".
 SEPARATOR = "=========="
@@ -108,19 +109,29 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def read_entries(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(value, source_file, file_ord, rec_ord, n_bytes) of text files or folders; a file is read in splits, never as a whole.
+def read_entries(spark: SparkSession, path: str | list[str], glob: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """(value, source_file, file_ord, rec_ord, n_bytes) of text files or folders; files that are shorter than a split are rows and are cut there, longer ones are read in splits.
 
     file_ord is the path and the place of the split in its file, rec_ord grows within a split, n_bytes is the entry's size with its separator.
-    A file that can't be read, or not to its end, gives what comes before; ``unread_files`` finds it.
+    A file that can't be read, or not to its end, gives what comes before, if anything; ``unread_files`` finds it.
+    ``files``: the ``tree`` of them, where it has been listed already.
     """
+    files, most = tree(spark, path, glob) if files is None else files, short(spark)
+    rows = cut(files.filter(F.col("file_size") <= most), SEPARATOR.encode()).select(F.col("piece").cast("string").alias("value"), F.col("path").alias("source_file"), F.lit(0).cast("bigint").alias("split"), F.col("i").alias("rec_ord"))
+    if not files.filter(F.col("file_size") > most).select("path").isEmpty():
+        rows = rows.unionByName(_split_entries(spark, path, glob, most))
+    place = F.lpad(F.col("split").cast("string"), 16, "0")
+    size = (F.octet_length("value") + len(SEPARATOR)).cast("bigint")
+    return rows.select("value", "source_file", F.concat_ws("#", "source_file", place).alias("file_ord"), "rec_ord", size.alias("n_bytes"))
+
+
+def _split_entries(spark: SparkSession, path: str | list[str], glob: str | None, longer: int) -> DataFrame:
+    """(value, source_file, split, rec_ord) of the files of more than ``longer`` bytes, from their splits."""
     reader = spark.read.option("lineSep", SEPARATOR).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    place = F.lpad(F.col("_metadata.file_block_start").cast("string"), 16, "0")
-    source = local_path(from_uri(F.col("_metadata.file_path")))
-    size = (F.octet_length("value") + len(SEPARATOR)).cast("bigint")
-    return reader.text(path).select("value", source.alias("source_file"), F.concat_ws("#", source, place).alias("file_ord"), F.monotonically_increasing_id().alias("rec_ord"), size.alias("n_bytes"))
+    rows = reader.text(path).filter(F.col("_metadata.file_size") > longer)
+    return rows.select("value", local_path(from_uri(F.col("_metadata.file_path"))).alias("source_file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("rec_ord"))
 
 
 #: Bytes of a byte order mark, which the reader takes off; no entry is as short.

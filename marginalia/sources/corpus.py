@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.paths import ancestors, name, sidecar_dir, stem, suffix
 from marginalia.sources.clippings import parse_entries, read_entries, unread_files
-from marginalia.sources.files import list_files, read_files
+from marginalia.sources.files import listed as listed_files
+from marginalia.sources.files import read, tree
 from marginalia.sources.page_index import SHORTEST, decode_page_indexes
 from marginalia.sources.sidecar import (
     ANNOTATION_KEYS,
@@ -38,6 +39,11 @@ def route(path: Column) -> Column:
     return found
 
 
+def file_route() -> Column:
+    """``route`` of the files of a ``tree``, by the name that is known before a file is opened."""
+    return route(F.col("file_name"))
+
+
 def sidecar_title(folder: Column) -> Column:
     """A sidecar folder's name without .sdr in lower case; a suffix in other cases stays."""
     return F.regexp_replace(name(folder), r"\.sdr\z", "")
@@ -91,7 +97,6 @@ def decode_all(files: DataFrame) -> DataFrame:
 
 
 SIDECARS = "*.{[yY][jJ][rR],[yY][jJ][fF]}"
-TABLES = "*.{[mM][bB][pP],[aA][pP][nN][xX]}"
 #: Sidecar files of more bytes are read in splits instead of rows; the records are the same.
 LONG = 1 << 26
 TEXT = "*.[tT][xX][tT]"
@@ -112,9 +117,9 @@ def cut_files(files: DataFrame) -> DataFrame:
     return rows.select("path", "format", "reason", "r.rec_ord", "r.key", "r.body", "r.strings", "r.time", outcome.alias("outcome"))
 
 
-def cut_long_files(spark: SparkSession, path: str, longer: int) -> DataFrame:
+def cut_long_files(spark: SparkSession, path: str, longer: int, files: DataFrame | None = None) -> DataFrame:
     """The rows of ``cut_files`` of the sidecar files of more than ``longer`` bytes, which are read in splits; files not read to their end have none."""
-    pieces, _ = placed(saved(read_pieces(spark, path, SIDECARS, longer), "pieces"))
+    pieces, _ = placed(saved(read_pieces(spark, path, SIDECARS, longer, files), "pieces"))
     kind = route(F.col("path"))
     found = [split_records(pieces.filter(kind == k), keys).withColumn("format", F.lit(k)) for k, keys in (("yjr", list(ANNOTATION_KEYS)), ("yjf", [POSITION_KEY]))]
     records = found[0].unionByName(found[1])
@@ -129,22 +134,25 @@ def annotations_of_records(found: DataFrame) -> DataFrame:
     return annotations_of(of("yjr")).unionByName(last_positions_of(of("yjf"))).unionByName(typed_annotations(of("mbp")))
 
 
-def scan_corpus(spark: SparkSession, path: str, listed: DataFrame | None = None, long: int = LONG) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_corpus(spark: SparkSession, path: str, listed: DataFrame | None = None, long: int = LONG, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(annotations, page indexes, quarantine) of all files below ``path``; files that can't be read or decoded are in the quarantine.
 
     Each file's content is read once: binary files are cut into records, and texts into entries, which are written to the shared
     folder by outcome. What was listed and didn't arrive, or not to its end, is unreadable: nothing of it is returned, and the scan goes on.
-    ``listed`` (path, length): the files below ``path``, where they have been listed already. Sidecar files of more than ``long`` bytes
+    ``listed`` (path, length): the files below ``path``, where they have been listed already, and ``files`` the ``tree`` of them. Sidecar files of more than ``long`` bytes
     are read in splits, others are one row each.
     """
-    kind, listed = route(F.col("path")), saved(list_files(spark, path), "listed") if listed is None else listed
+    files = tree(spark, path) if files is None else files
+    kind, listed = route(F.col("path")), saved(listed_files(files), "listed") if listed is None else listed
     binary, texts = listed.filter(kind.isin(*FORMATS)), listed.filter(kind == "clippings")
-    contents = read_files(spark, path, SIDECARS, long).unionByName(read_files(spark, path, TABLES))
-    cut = cut_files(contents.filter(F.length("content") >= 0))
+    sidecars = files.filter(file_route().isin("yjr", "yjf"))
+    contents = files.filter(file_route().isin("mbp", "apnx") | file_route().isin("yjr", "yjf") & (F.col("file_size") <= long))
+    cut = cut_files(read(contents).select("path", "content"))
     if not listed.filter(kind.isin("yjr", "yjf") & (F.col("length") > long)).isEmpty():
-        cut = cut.unionByName(cut_long_files(spark, path, long))
+        cut = cut.unionByName(cut_long_files(spark, path, long, sidecars))
     records = saved(cut, "records", "outcome")
-    entries = saved(read_entries(spark, path, TEXT).filter(route(F.col("source_file")) == "clippings"), "entries")
+    clippings = files.filter(file_route() == "clippings")
+    entries = saved(read_entries(spark, path, TEXT, clippings).filter(route(F.col("source_file")) == "clippings"), "entries")
     unread = saved(unread_files(texts, entries), "unread")
     text = parse_entries(entries.join(unread, entries["source_file"] == unread["path"], "left_anti"))
     annotations = with_titles(annotations_of_records(records).unionByName(text), binary)

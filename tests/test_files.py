@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from marginalia.sources import files, plain_text, sidecar_splits
+from marginalia.sources import clippings, files, plain_text, sidecar_splits
 
 ODD = {
     "plain": b"a\nb\n",
@@ -65,6 +65,12 @@ def test_pieces_of_short_files_equal_those_of_splits(spark, odd):
     assert len({(r.path, r.within) for r in got.collect()}) == got.count()
 
 
+def test_entries_of_short_files_equal_those_of_splits(spark, odd):
+    got = clippings.read_entries(spark, odd)
+    want = clippings._split_entries(spark, odd, None, -1)
+    assert values(got.selectExpr("cast(value as binary) v", "source_file"), "source_file", "v") == values(want.selectExpr("cast(value as binary) v", "source_file"), "source_file", "v")
+
+
 @pytest.mark.parametrize("size", [1, 3, 1024])
 def test_chunks_of_short_books_equal_those_of_splits_and_shuffle_no_text(spark, odd, size):
     chunks, unread = plain_text.read_books(spark, odd, size=size)
