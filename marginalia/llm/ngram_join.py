@@ -9,10 +9,14 @@ puts shingles of few documents first, so that a passage of many documents makes
 nearly the whole text consists of such passages. The boundary between small and large is the last
 size at which enumeration costs less than the lists.
 
-Sets that share a key are candidates. Each list is first scanned for two pivots only, and every set is compared
+Every set posts a key once, with its size and the number of members from that key on in the order. The first key that two linked sets share
+leaves both as many members as the link needs in common, so pairs of other sizes or with fewer members left are not brought
+together in that list, and lists of two sets that are such a pair are dropped when keys are counted.
+
+Sets that share a key are candidates. Each list of more than SHORT sets is first scanned for two pivots only, and every set is compared
 with the nearest pivot it met that is not of its own component; components of those links are contracted, and this is
 repeated with other pivots. Then the pairs
-of each list that stand in different components are verified, so that a group of n near copies costs about
+of each list, short ones too, that stand in different components are verified, so that a group of n near copies costs about
 n comparisons and no link between components is lost. Before two sets are brought together, the
 parities of their members in 512 cells are compared, and for large sets in twice as many cells as they have members: these
 differ in at most as many cells as the sets
@@ -29,8 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import grams
-from marginalia.llm.common import fresh, saved, ship, small
-from marginalia.llm.graph import components
+from marginalia.llm.common import Scratch, fresh, saved, ship, small
+from marginalia.llm.graph import star_components
+from marginalia.llm.near import named
 
 #: A table of up to so many rows of at most 24 bytes is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 250_000
@@ -43,6 +48,8 @@ SKETCH_COLUMNS = [f"p{i}" for i in range(SKETCH)]
 NARROW = 512
 #: How often lists are scanned with two pivots before the rest is compared.
 ROUNDS = 3
+#: Lists of up to so many sets have no pivots: all of their pairs are made.
+SHORT = 4
 #: What scanning a list costs for each set in it, in keys of a small set.
 SCAN = 4
 #: The order of shingles tells apart documents' counts under 16, under 64, under 256, ... by a table of 2**CELL_BITS cells.
@@ -87,18 +94,24 @@ class Plan:
         return sum(comb(s, j) for j in self.removals(s, 2 * s))
 
     def keys(self, members: np.ndarray, levels: np.ndarray) -> np.ndarray:
-        """The keys of a sorted set of 64-bit shingle hashes; ``levels`` is the table of ``frequency_levels``."""
-        s, found = len(members), []
+        """The keys of a sorted set of 64-bit shingle hashes, its rarest shingles first and in order; ``levels`` is the table of ``frequency_levels``."""
+        s, found, subsets = len(members), [], []
+        if self.largest(s) > self.boundary:
+            level = levels[members >> np.uint64(64 - CELL_BITS)]
+            found.append(members[np.argsort(level, kind="stable")[: self.first(s)]])
         if s <= self.boundary:
             mixed = grams.mix(members)
             total = mixed.sum(dtype=np.uint64)
             for j in self.removals(s, self.boundary):
                 left = np.array([total]) - _sums(mixed, j)
-                found.append(grams.mix(left * np.uint64(3) + np.uint64(s - j)))
-        if self.largest(s) > self.boundary:
-            level = levels[members >> np.uint64(64 - CELL_BITS)]
-            found.append(members[np.argsort(level, kind="stable")[: self.first(s)]])
-        return np.unique(np.concatenate(found))
+                subsets.append(grams.mix(left * np.uint64(3) + np.uint64(s - j)))
+            found.append(np.unique(np.concatenate(subsets)))
+        return np.concatenate(found)
+
+    def left(self) -> str:
+        """SQL on n and ``at``, a key's place in ``keys``: the members from that key on in the order, all of them for subsets."""
+        listed = f"n - ({self.percent} * n + 99) div 100 + 1"
+        return f"if(100 * n div {self.percent} > {self.boundary} and at < {listed}, n - at, n)"
 
 
 def _sums(values: np.ndarray, j: int) -> np.ndarray:
@@ -199,15 +212,15 @@ def _sets_of(n: int):
     return run
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets link. Only texts of sets in ``pairs`` are read again, one for each set."""
     large = nodes.filter(F.col("n") > NARROW)
     wide_a, wide_b = (large.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"w_{x}")) for x in "ab")
-    pairs = saved(pairs.join(wide_a, "a", "left").join(wide_b, "b", "left").filter(_may_link_by_wide(percent)).select("a", "b"), "near")
+    pairs = scratch.saved(pairs.join(wide_a, "a", "left").join(wide_b, "b", "left").filter(_may_link_by_wide(percent)).select("a", "b"), "near")
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    hashes = saved(nodes.join(ids, "node").select("text_hash").distinct(), "texts")
+    hashes = scratch.saved(nodes.select("node", "text_hash").join(small(ids, BROADCAST_ROWS), "node").select("text_hash").distinct(), "texts")
     chosen = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(small(hashes, BROADCAST_ROWS), "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    sets = saved(chosen.select("text").mapInArrow(_sets_of(n), "node bigint, members array<bigint>").dropDuplicates(["node"]), "sets")
+    sets = scratch.saved(chosen.select("text").mapInArrow(_sets_of(n), "node bigint, members array<bigint>"), "members")
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
     both = F.size(F.array_intersect("ma", "mb"))
@@ -231,9 +244,19 @@ def _may_link(percent: int) -> str:
     return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {_DISTANCE} <= {_differ(percent)}"
 
 
+def _overlap(percent: int, both: str) -> str:
+    """SQL for the least intersection of linked sets that have ``both`` members together."""
+    return f"(({percent} * ({both}) + {99 + percent}) div {100 + percent})"
+
+
+def _may_meet(percent: int) -> str:
+    """SQL condition on n_a, n_b, left_a and left_b that linked sets fulfil in the first key that they share."""
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and least(left_a, left_b) >= {_overlap(percent, 'n_a + n_b')}"
+
+
 def _differ(percent: int) -> str:
     """SQL for the most members that linked sets of n_a and n_b members have in one of them only."""
-    return f"(n_a + n_b - 2 * (({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}))"
+    return f"(n_a + n_b - 2 * {_overlap(percent, 'n_a + n_b')})"
 
 
 def _may_link_by_wide(percent: int) -> str:
@@ -247,75 +270,101 @@ def _side(nodes: DataFrame, x: str) -> DataFrame:
     return small(nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *SKETCH_COLUMNS))), BROADCAST_NODES)
 
 
-def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(edges between sets: a, b; components: node, root) of the sets in ``keyed``.
+def met_keys(keyed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(key, node, n, left, c) of the sets in ``keyed`` for keys that several sets have; ``left``: the set's members from that key on; ``c``: how many sets.
+
+    Lists of two sets that don't link if this is the first key that they share are left out.
+    """
+    distinct = scratch.saved(keyed.filter("n > 0").select("node", "n", "keys").dropDuplicates(["node"]), "distinct")
+    posted = distinct.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", F.expr(Plan(percent).left()).alias("left"))
+    counts = posted.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("both"), F.min("n").alias("least"), F.min("left").alias("left"))
+    pair = f"100 * least >= {percent} * (both - least) and left >= {_overlap(percent, 'both')}"
+    shared = scratch.saved(counts.filter(f"c > 2 or c = 2 and {pair}").select("key", "c"), "shared")
+    return scratch.saved(posted.join(small(shared, BROADCAST_ROWS), "key"), "met")
+
+
+def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int, scratch: Scratch, every: bool = False) -> DataFrame:
+    """(node, root) of the sets in ``keyed`` that link with others, equal roots in a component.
 
-    The edges are those that join the components, or with ``every`` (then without components) all pairs of
-    different sets that link, once each with a < b.
+    With ``every`` instead all pairs (a, b) of different sets that link, once each with a < b.
     """
-    posted = keyed.filter("n > 0").select(F.explode("keys").alias("key"), "node")
-    shared = saved(posted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "shared")
-    met = saved(posted.join(small(shared, BROADCAST_ROWS), "key").distinct(), "met")
+    met = met_keys(keyed, percent, scratch)
     about = ["node", "n", *SKETCH_COLUMNS]
-    nodes = saved(keyed.select(*about, "wide", "text_hash").join(small(saved(met.select("node").distinct(), "wanted"), BROADCAST_ROWS), "node").groupBy(*about).agg(F.first("wide").alias("wide"), F.min("text_hash").alias("text_hash")), "nodes")
+    wanted = scratch.saved(met.select("node").distinct(), "wanted")
+    nodes = scratch.saved(keyed.select(*about, "wide", "text_hash").join(small(wanted, BROADCAST_ROWS), "node").groupBy(*about).agg(F.first("wide").alias("wide"), F.min("text_hash").alias("text_hash")), "nodes")
+    sketches = nodes.select("node", *SKETCH_COLUMNS)
+    may_link = f"{_may_meet(percent)} and {_may_link(percent)}"
     if every:
-        sized = saved(met.join(small(nodes.select(*about), BROADCAST_NODES), "node"), "open")
-        a, b = (sized.select("key", *(F.col(c).alias(f"{c}_{x}") for c in about)) for x in "ab")
-        pairs = a.join(b, "key").filter(f"node_a < node_b and {_may_link(percent)}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        return saved(_verify(saved(pairs, "pairs"), docs, nodes, n, percent), "edges"), None
+        sized = scratch.saved(met.join(small(sketches, BROADCAST_NODES), "node"), "open")
+        a, b = (sized.select("key", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "left"))) for x in "ab")
+        pairs = a.join(b, "key").filter(f"node_a < node_b and {may_link}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        return saved(_verify(scratch.saved(pairs, "pairs"), docs, nodes, n, percent, scratch), "links")
 
-    labelled, tried, edges = met.withColumn("root", F.col("node")), None, None
+    lists, close = met.filter(f"c > {SHORT}").drop("c"), scratch.saved(_pairs_of_short_lists(met, nodes, percent), "close")
+    labelled, tried, edges, roots = lists.withColumn("root", F.col("node")), None, None, None
     for k in range(ROUNDS):
-        pairs = saved(_pairs_with_pivots(labelled, nodes, percent, k), "tried")
+        pairs = scratch.saved(_pairs_with_pivots(labelled, nodes, percent, k, scratch), "tried")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        linked = saved(_verify(pairs, docs, nodes, n, percent), "links")
+        linked = scratch.saved(_verify(pairs, docs, nodes, n, percent, scratch), "links")
         edges = linked if edges is None else edges.unionByName(linked)
-        labelled = saved(met.join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "labelled")
+        if linked.isEmpty():
+            break
+        roots = star_components(edges, "roots")
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")
+        labelled = scratch.saved(lists.join(small(roots, BROADCAST_ROWS), "node", "left").select(*lists.columns, F.coalesce("root", "node").alias("root")), "labelled")
 
     sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = saved(sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("main")), "main")
-    left = saved(labelled.join(small(main, BROADCAST_ROWS), "key").join(small(nodes.select(*about), BROADCAST_NODES), "node"), "open")
-    a, b = (left.select("key", "main", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "root"))) for x in "ab")
+    main = scratch.saved(sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("main")), "main")
+    left = scratch.saved(labelled.join(small(main, BROADCAST_ROWS), "key").join(small(sketches, BROADCAST_NODES), "node"), "open")
+    a, b = (left.select("key", "main", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "left", "root"))) for x in "ab")
     # Of each list, the sets outside its most frequent component are compared with all others.
     rest = (
         a.filter("root_a <> main")
         .join(b.drop("main"), "key")
-        .filter(f"(root_b = main or node_a < node_b) and root_a <> root_b and {_may_link(percent)}")
+        .filter(f"(root_b = main or node_a < node_b) and root_a <> root_b and {may_link}")
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        .distinct()
     )
-    rest = saved(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    edges = edges.unionByName(saved(_verify(rest, docs, nodes, n, percent), "more-links"))
-    return edges, components(edges)
+    if roots is not None:
+        of_a, of_b = (small(roots, BROADCAST_ROWS).select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        close = close.join(of_a, "a", "left").join(of_b, "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    rest = scratch.saved(rest.unionByName(close).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    return star_components(edges.unionByName(scratch.saved(_verify(rest, docs, nodes, n, percent, scratch), "more-links")))
+
+
+def _pairs_of_short_lists(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: the pairs of lists of up to SHORT sets that may link."""
+    short = met.filter(f"c <= {SHORT}")
+    a, b = (short.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "left"))) for x in "ab")
+    pairs = a.join(b, "key").filter(f"node_a < node_b and {_may_meet(percent)}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").filter(_may_link(percent)).select("a", "b")
 
 
-def _pairs_with_pivots(labelled: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
-    """(a, b): of every set in ``labelled`` (key, node, root) the nearest pivot of its lists, if that is of another component and may link.
+def _pairs_with_pivots(labelled: DataFrame, nodes: DataFrame, percent: int, k: int, scratch: Scratch) -> DataFrame:
+    """(a, b): of every set in ``labelled`` (key, node, n, left, root) the nearest pivot of its lists, if that is of another component and may link.
 
     The pivots of a list are the two ends of an order that differs with ``k``.
     """
-    at = F.struct(F.xxhash64("node", F.lit(k)).alias("at"), "node", "root")
+    at = F.struct(F.xxhash64("node", F.lit(k)).alias("at"), "node", "n", "left", "root")
     pivots = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(at).alias("first"), F.max(at).alias("last")).filter("lo <> hi")
-    pivots = saved(pivots.select("key", F.array("first", "last").alias("pivots")), "pivots")
-    met = labelled.join(small(pivots, BROADCAST_ROWS // 4), "key").select(F.col("node").alias("a"), "root", F.explode("pivots").alias("p")).filter("root <> p.root").select("a", F.col("p.node").alias("b")).distinct()
+    pivots = scratch.saved(pivots.select("key", F.array("first", "last").alias("pivots")), "pivots")
+    pivot = [F.col(f"p.{c}").alias(f"{c}_b") for c in ("node", "n", "left", "root")]
+    posts = labelled.join(small(pivots, BROADCAST_ROWS // 4), "key").select(*(F.col(c).alias(f"{c}_a") for c in ("node", "n", "left", "root")), F.explode("pivots").alias("p"))
+    met = posts.select("*", *pivot).filter(f"root_a <> root_b and {_may_meet(percent)}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     near = met.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").filter(_may_link(percent)).select("a", "b", F.expr(_DISTANCE).alias("d"))
     best = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best"))
     return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5, percent: int = 80) -> DataFrame:
-    """(row, text_hash, n, first) of every row: ``first`` is the (last, doc_id, text_hash) of its class's smallest row."""
+    """(row, text_hash, n, first) of every row: ``first`` is the (last, doc_id, text_hash) of its class's smallest row.
+
+    Everything but the result is deleted.
+    """
     ship(docs.sparkSession)
     with_id = tuple(dict.fromkeys((*carry, "doc_id")))
-    keyed = saved(ngram_sets(docs, with_id, n, percent), "sets")
-    _, parts = links(docs, keyed, n, percent)
-    own = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("doc_id"), "text_hash")
-    least = keyed.filter("n > 0").groupBy("node").agg(F.min(own).alias("first"))
-    named = least.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = saved(named.groupBy("root").agg(F.min("first").alias("f")), "firsts")
-    classes = saved(named.join(firsts, "root").select("node", F.col("f").alias("first")), "classes")
-    row = F.struct(*(F.col("row")[c].alias(c) for c in carry)).alias("row")
-    return keyed.select("row", "text_hash", "n", "node").join(classes, "node", "left").select(row, "text_hash", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(own).alias("first"))
+    with Scratch(docs.sparkSession, "ngram-join") as scratch:
+        keyed = scratch.saved(ngram_sets(docs, with_id, n, percent), "sets")
+        return saved(named(keyed, links(docs, keyed, n, percent, scratch), carry), "judged")
 
 
 def ngram_join(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int = 5, percent: int = 80) -> DataFrame:
@@ -339,13 +388,15 @@ def ngram_links(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), n: int =
     Every pair of different sets that link is verified; rows of equal sets are counted by the size of their class, not paired.
     """
     ship(docs.sparkSession)
-    keyed = saved(ngram_sets(docs, carry, n, percent), "sets")
-    edges, _ = links(docs, keyed, n, percent, every=True)
-    sizes = saved(keyed.filter("n > 0").groupBy("node").agg(F.count("*").alias("c")), "sizes")
-    ends = edges.select(F.col("a").alias("own"), F.col("b").alias("node")).unionByName(edges.select(F.col("b").alias("own"), F.col("a").alias("node")))
-    others = ends.join(sizes, "node").groupBy(F.col("own").alias("node")).agg(F.sum("c").alias("others"))
-    counts = saved(sizes.join(others, "node", "left").select("node", (F.col("c") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counts")
-    return keyed.select("row", "n", "node").join(counts, "node", "left").select("row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
+    with Scratch(docs.sparkSession, "ngram-links") as scratch:
+        keyed = scratch.saved(ngram_sets(docs, carry, n, percent), "sets")
+        edges = links(docs, keyed, n, percent, scratch, every=True)
+        sizes = scratch.saved(keyed.filter("n > 0").groupBy("node").agg(F.count("*").alias("c")), "sizes")
+        ends = edges.select(F.col("a").alias("own"), F.col("b").alias("node")).unionByName(edges.select(F.col("b").alias("own"), F.col("a").alias("node")))
+        others = ends.join(sizes, "node").groupBy(F.col("own").alias("node")).agg(F.sum("c").alias("others"))
+        counts = scratch.saved(sizes.join(others, "node", "left").select("node", (F.col("c") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counts")
+        linked = F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links")
+        return saved(keyed.select("row", "n", "node").join(counts, "node", "left").select("row", F.col("n").alias("n_shingles"), linked), "linked")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -354,7 +405,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Texts without words (null ones too) all stay; null ids come last; of rows that repeat id and text, the first in the
     order of their other columns stays; columns may have any names; an empty table gives an empty result.
     """
-    judged = saved(near_duplicates(docs, ("doc_id",), n, percent).select("row.doc_id", "text_hash", "n", "first"), "judged")
+    judged = near_duplicates(docs, ("doc_id",), n, percent).select("row.doc_id", "text_hash", "n", "first")
     chosen = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
     own_id, own_text, rank = fresh(docs, "own_id", "own_text", "rank")
     key = [F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_text)]

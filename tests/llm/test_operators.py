@@ -15,11 +15,11 @@ import zstandard
 from pyspark.sql import functions as F
 
 from marginalia.llm import grams, toxicity as toxicity_module, warc
-from marginalia.llm.common import new_path, words as word_column
+from marginalia.llm.common import Scratch, new_path, words as word_column
 from marginalia.llm.decontaminate import decontaminate, leaks
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources, source_targets
-from marginalia.llm.ngram_join import CELL_BITS, Plan, ngram_join, ngram_links, one_of_each
+from marginalia.llm.ngram_join import CELL_BITS, Plan, met_keys, ngram_join, ngram_links, ngram_sets, one_of_each
 from marginalia.llm.quality import CUTOFF, FALSE_REJECTIONS, quality_rules, reject_outliers
 from marginalia.llm.sharding import ring_shards
 from marginalia.llm.substring_dedup import substring_dedup
@@ -397,6 +397,38 @@ class TestNgramJoin:
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
                     assert len(np.intersect1d(plan.keys(a, levels), plan.keys(b, levels))), (percent, len(a), len(b))
 
+    def test_lists_of_two_sets_that_can_not_link_are_dropped(self, spark):
+        """Of three pairs that share a shingle among their rarest, only the pair that links is kept."""
+        prose = lambda k, n: [f"{k}w{i}" for i in range(n)]
+        linked = [prose("a", 100), ["x", *prose("a", 100)[1:]]]
+        texts = linked + [prose("b", 100), prose("b", 3) + prose("c", 30)] + [["p", *prose("d", 100)], prose("d", 40) + prose("e", 60)]
+        frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+        with Scratch(spark, "test") as scratch:
+            keyed = scratch.saved(ngram_sets(frame, ("doc_id",), 3, 90), "sets")
+            met = met_keys(keyed, 90, scratch).join(keyed.select("node", "row.doc_id"), "node")
+            both = met.groupBy("key").agg(F.collect_set("doc_id").alias("ids"), F.min("left").alias("left"), F.sum("n").alias("n")).collect()
+        assert any(set(r.ids) == {0, 1} for r in both) and not any(2 in r.ids or 3 in r.ids for r in both)
+        assert all(190 * r.left >= 90 * r.n for r in both)
+        assert ngram_join(frame, n=3, percent=90).filter("component_id <> row.doc_id").count() == 1
+
+    def test_first_shared_key_leaves_what_a_link_needs(self):
+        r = np.random.default_rng(8)
+        levels = r.integers(0, 9, 1 << CELL_BITS, dtype=np.uint8)
+        met = 0
+        for percent in (80, 90):
+            plan = Plan(percent)
+            for _ in range(1500):
+                s = int(r.integers(1, 150))
+                a = np.unique(r.integers(0, 2**63, s, dtype=np.uint64))
+                b = np.unique(np.concatenate((a[r.integers(0, s // 8 + 2) :], r.integers(0, 2**63, r.integers(0, s // 8 + 2), dtype=np.uint64))))
+                both = len(np.intersect1d(a, b))
+                if len(b) and 100 * both >= percent * (len(a) + len(b) - both) and max(len(a), len(b)) > plan.boundary:
+                    x, y = (list(plan.keys(m, levels)[: plan.first(len(m))]) for m in (a, b))
+                    first = next(k for k in x if k in y)
+                    assert min(len(a) - x.index(first), len(b) - y.index(first)) >= plan.overlap(len(a), len(b))
+                    met += 1
+        assert met > 500
+
     def test_lists_of_a_large_group_of_near_copies(self, spark):
         """Near copies that share a frequent passage, some linked only through others, beside texts that only share the passage."""
         r = random.Random(15)
