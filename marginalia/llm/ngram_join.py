@@ -50,6 +50,8 @@ NARROW = 512
 ROUNDS = 3
 #: Lists of up to so many sets have no pivots: all of their pairs are made.
 SHORT = 4
+#: Of so many keys before each, sets that meet in a list are looked up for one that both have; a pair with such a key was made in its list.
+EARLIER = 4
 #: What scanning a list costs for each set in it, in keys of a small set.
 SCAN = 4
 #: The order of shingles tells apart documents' counts under 16, under 64, under 256, ... by a table of 2**CELL_BITS cells.
@@ -294,10 +296,11 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int, scratch: Scra
     nodes = scratch.saved(keyed.select(*about, "wide", "text_hash").join(small(wanted, BROADCAST_ROWS), "node").groupBy(*about).agg(F.first("wide").alias("wide"), F.min("text_hash").alias("text_hash")), "nodes")
     sketches = nodes.select("node", *SKETCH_COLUMNS)
     may_link = f"{_may_meet(percent)} and {_may_link(percent)}"
+    met_here = "not arrays_overlap(earlier_a, earlier_b)"
     if every:
-        sized = scratch.saved(met.join(small(sketches, BROADCAST_NODES), "node"), "open")
-        a, b = (sized.select("key", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "left"))) for x in "ab")
-        pairs = a.join(b, "key").filter(f"node_a < node_b and {may_link}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        sized = scratch.saved(with_earlier_keys(met).join(small(sketches, BROADCAST_NODES), "node"), "open")
+        a, b = (sized.select("key", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "left", "earlier"))) for x in "ab")
+        pairs = a.join(b, "key").filter(f"node_a < node_b and {met_here} and {may_link}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
         return saved(_verify(scratch.saved(pairs, "pairs"), docs, nodes, n, percent, scratch), "links")
 
     lists, close = met.filter(f"c > {SHORT}").drop("c"), scratch.saved(_pairs_of_short_lists(met, nodes, percent), "close")
@@ -315,22 +318,34 @@ def links(docs: DataFrame, keyed: DataFrame, n: int, percent: int, scratch: Scra
 
     sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = scratch.saved(sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("main")), "main")
-    left = scratch.saved(labelled.join(small(main, BROADCAST_ROWS), "key").join(small(sketches, BROADCAST_NODES), "node"), "open")
-    a, b = (left.select("key", "main", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "left", "root"))) for x in "ab")
+    left = with_earlier_keys(labelled.join(small(main, BROADCAST_ROWS), "key"))
+    left = scratch.saved(left.join(small(sketches, BROADCAST_NODES), "node"), "open")
+    a, b = (left.select("key", "main", *(F.col(c).alias(f"{c}_{x}") for c in (*about, "left", "root", "earlier"))) for x in "ab")
     # Of each list, the sets outside its most frequent component are compared with all others.
     rest = (
         a.filter("root_a <> main")
         .join(b.drop("main"), "key")
-        .filter(f"(root_b = main or node_a < node_b) and root_a <> root_b and {may_link}")
+        .filter(f"(root_b = main or node_a < node_b) and root_a <> root_b and {met_here} and {may_link}")
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
     )
     if roots is not None:
         of_a, of_b = (small(roots, BROADCAST_ROWS).select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
         close = close.join(of_a, "a", "left").join(of_b, "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    rest = scratch.saved(rest.unionByName(close).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    apart = scratch.saved(rest.unionByName(close).distinct(), "apart")  # else Spark looks up what was tried before pairs are distinct
+    rest = scratch.saved(apart.join(tried, ["a", "b"], "left_anti"), "rest")
     return star_components(edges.unionByName(scratch.saved(_verify(rest, docs, nodes, n, percent, scratch), "more-links")))
 
 
+def with_earlier_keys(met: DataFrame) -> DataFrame:
+    """``met`` (key, node, left and others) with ``earlier``: up to EARLIER keys that come before the row's among those of its set, by members left, then key.
+
+    Two sets that meet in a list and have one of these keys in common meet in that key's list too, with as many members left or more. So they need
+    no pair here: the one made, or left out for a still earlier key, is there, and the first key of all that both have always makes it.
+    """
+    before = Window.partitionBy("node").orderBy(F.desc("left"), "key").rowsBetween(-EARLIER, -1)
+    return met.withColumn("earlier", F.collect_list("key").over(before))
+
+
 def _pairs_of_short_lists(met: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: the pairs of lists of up to SHORT sets that may link."""
     short = met.filter(f"c <= {SHORT}")

@@ -19,7 +19,7 @@ from marginalia.llm.common import Scratch, new_path, words as word_column
 from marginalia.llm.decontaminate import decontaminate, leaks
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources, source_targets
-from marginalia.llm.ngram_join import CELL_BITS, Plan, met_keys, ngram_join, ngram_links, ngram_sets, one_of_each
+from marginalia.llm.ngram_join import CELL_BITS, Plan, met_keys, ngram_join, ngram_links, ngram_sets, one_of_each, with_earlier_keys
 from marginalia.llm.quality import CUTOFF, FALSE_REJECTIONS, quality_rules, reject_outliers
 from marginalia.llm.sharding import ring_shards
 from marginalia.llm.substring_dedup import substring_dedup
@@ -446,6 +446,19 @@ class TestNgramJoin:
             got = ngram_join(frame, n=n, percent=percent).select("row.doc_id", "n_shingles", "component_id").collect()
             assert ordered(map(tuple, got)) == ordered(corpus.components(rows, n, percent))
 
+    def test_pairs_of_many_shared_keys_are_made_about_once(self, spark):
+        """Texts that share a long passage and don't link meet in many lists; nearly all of these leave a pair to an earlier one."""
+        prose = lambda k, n: [f"{k}w{i}" for i in range(n)]
+        texts = [" ".join(prose("p", 300) + prose(f"a{i}-", 80 + i)) for i in range(24)]
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        with Scratch(spark, "test") as scratch:
+            keyed = scratch.saved(ngram_sets(frame, ("doc_id",), 5, 80), "sets")
+            met = scratch.saved(with_earlier_keys(met_keys(keyed, 80, scratch)), "earlier")
+            a, b = (met.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "earlier"))) for x in "ab")
+            every = a.join(b, "key").filter("node_a < node_b")
+            pairs, made = every.select("node_a", "node_b").distinct().count(), every.filter("not arrays_overlap(earlier_a, earlier_b)")
+            assert made.select("node_a", "node_b").distinct().count() == pairs and made.count() <= 2 * pairs and every.count() >= 5 * pairs
+
     def test_columns_of_any_name_stay(self, docs):
         more = docs.withColumns({"_d": F.lit(1), "own_id": F.lit(2), "own_text": F.lit(3), "rank": F.lit(4), "text_hash": F.lit(5)})
         left = one_of_each(more)
