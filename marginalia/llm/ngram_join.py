@@ -60,6 +60,8 @@ STEPS = [16 * 4**i for i in range(8)]
 #: Documents are counted for the shingles in the lowest part of the hash range, COUNTED times as large as the part of a set that
 #: is looked up. Others come after those of fewer than 1,024 documents; only texts made of frequent passages get to them.
 COUNTED, UNCOUNTED_STEP = 2.5, 3
+#: A table of key bits has MARKS bits for each key that sets share, 2**MOST_MARKS at most (16 MB): it tells most other keys apart before keys are joined.
+MARKS, MOST_MARKS = 16, 27
 #: Bits of a shingle's hash that are counted; shingles that agree in them share a place in the order.
 COUNT_BITS = 40
 
@@ -272,16 +274,49 @@ def _side(nodes: DataFrame, x: str) -> DataFrame:
     return small(nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *SKETCH_COLUMNS))), BROADCAST_NODES)
 
 
+def _marks(keys: DataFrame) -> np.ndarray:
+    """A table of bits by the last bits of a key, set for each of ``keys`` (key) and by chance for few others. It decides the cost, not the result."""
+    size = min(MOST_MARKS, max(10, int(MARKS * keys.count()).bit_length()))
+    at = F.col("key").bitwiseAND((1 << size) - 1)
+    bit = F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits")
+    found = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(bit).toArrow()  # 2**(MOST_MARKS - 6) rows at most
+    marks = np.zeros(1 << (size - 6), np.uint64)
+    marks[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return marks
+
+
+def _posted(shared):
+    """A row for each key of a set that is marked, with its place among the set's keys."""
+
+    def run(batches):
+        marks = shared.value
+        last = np.uint64(64 * len(marks) - 1)
+        for batch in batches:
+            lists = batch.column("keys")
+            keys, counts = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.value_lengths()).astype(np.int64)
+            cell = keys & last
+            chosen = np.flatnonzero(marks[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1))
+            of = np.repeat(np.arange(len(counts)), counts)[chosen]
+            at = chosen - (np.cumsum(counts) - counts)[of]
+            rows = pa.array(of)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[chosen].view(np.int64)), batch.column("node").take(rows), batch.column("n").take(rows), pa.array(at)], names=["key", "node", "n", "at"])
+
+    return run
+
+
 def met_keys(keyed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(key, node, n, left, c) of the sets in ``keyed`` for keys that several sets have; ``left``: the set's members from that key on; ``c``: how many sets.
 
     Lists of two sets that don't link if this is the first key that they share are left out.
     """
     distinct = scratch.saved(keyed.filter("n > 0").select("node", "n", "keys").dropDuplicates(["node"]), "distinct")
-    posted = distinct.select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", F.expr(Plan(percent).left()).alias("left"))
-    counts = posted.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("both"), F.min("n").alias("least"), F.min("left").alias("left"))
+    left = F.expr(Plan(percent).left()).alias("left")
+    counts = distinct.select("n", F.posexplode("keys").alias("at", "key")).select("key", "n", left)
+    counts = counts.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("both"), F.min("n").alias("least"), F.min("left").alias("left"))
     pair = f"100 * least >= {percent} * (both - least) and left >= {_overlap(percent, 'both')}"
     shared = scratch.saved(counts.filter(f"c > 2 or c = 2 and {pair}").select("key", "c"), "shared")
+    marks = distinct.sparkSession.sparkContext.broadcast(_marks(shared.select("key")))
+    posted = distinct.select("node", "n", "keys").mapInArrow(_posted(marks), "key bigint, node bigint, n bigint, at bigint").select("key", "node", "n", left)
     return scratch.saved(posted.join(small(shared, BROADCAST_ROWS), "key"), "met")
 
 

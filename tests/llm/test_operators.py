@@ -19,7 +19,7 @@ from marginalia.llm.common import Scratch, new_path, words as word_column
 from marginalia.llm.decontaminate import decontaminate, leaks
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_sources, source_targets
-from marginalia.llm.ngram_join import CELL_BITS, Plan, met_keys, ngram_join, ngram_links, ngram_sets, one_of_each, with_earlier_keys
+from marginalia.llm.ngram_join import CELL_BITS, Plan, _marks, _posted, met_keys, ngram_join, ngram_links, ngram_sets, one_of_each, with_earlier_keys
 from marginalia.llm.quality import CUTOFF, FALSE_REJECTIONS, quality_rules, reject_outliers
 from marginalia.llm.sharding import ring_shards
 from marginalia.llm.substring_dedup import substring_dedup
@@ -459,6 +459,20 @@ class TestNgramJoin:
             pairs, made = every.select("node_a", "node_b").distinct().count(), every.filter("not arrays_overlap(earlier_a, earlier_b)")
             assert made.select("node_a", "node_b").distinct().count() == pairs and made.count() <= 2 * pairs and every.count() >= 5 * pairs
 
+    def test_few_keys_but_those_that_sets_share_are_posted(self, spark):
+        """Of the keys of 300 sets, those that two have are posted, at their places, and of 12,000 others one in eight at most."""
+        r = np.random.default_rng(16)
+        both = r.integers(-(2**63), 2**63, 200)
+        rows = [(i, 40 + i, [int(k) for k in (*r.integers(-(2**63), 2**63, i % 80), both[i % 200], *r.integers(-(2**63), 2**63, 3))]) for i in range(300)] + [(300, 0, [])]
+        sets = spark.createDataFrame(rows, "node bigint, n bigint, keys array<bigint>")
+        shared = spark.createDataFrame([(int(k),) for k in both[:100]], "key bigint")
+        marks = spark.sparkContext.broadcast(_marks(shared))
+        got = {tuple(x) for x in sets.mapInArrow(_posted(marks), "key bigint, node bigint, n bigint, at bigint").collect()}
+        every = {(k, i, n, at) for i, n, keys in rows for at, k in enumerate(keys)}
+        asked = {x for x in every if x[0] in set(both[:100].tolist())}
+        assert len(every) > 12_000 and len(asked) == 200 and asked <= got <= every and len(got - asked) < len(every) / 8
+        assert len(_marks(shared.limit(0))) == 16 and not _marks(shared.limit(0)).any()
+
     def test_columns_of_any_name_stay(self, docs):
         more = docs.withColumns({"_d": F.lit(1), "own_id": F.lit(2), "own_text": F.lit(3), "rank": F.lit(4), "text_hash": F.lit(5)})
         left = one_of_each(more)
