@@ -112,8 +112,8 @@ def sidecar_splits_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, root = fixtures.annotations(spark, sf_dir), new_path(spark, "sidecars")
     for files in (fixtures.nested_files(rows), fixtures.position_files(rows)):
         fixtures.write_files(files, qualified(spark, root))
-    tree = files_of.tree(spark, root)
-    found = sidecar_splits.read_split_annotations(spark, root, tree).unionByName(sidecar_splits.read_split_positions(spark, root, tree))
+    files = files_of.listing(spark, root)
+    found = sidecar_splits.read_split_annotations(spark, root, files).unionByName(sidecar_splits.read_split_positions(spark, root, files))
     return found.select("clip_type", "location_start", "location_end", F.length("content").alias("n_chars"), "added_date", F.substring_index("source_file", "/library/", -1).alias("source_file"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.paths import from_uri, local_path, sidecar_dir
 from marginalia.functions.text import LINE_BREAK, SPACE, absent_if_empty, is_blank, parsed_time, rstrip, strip
 from marginalia.schema import conform
-from marginalia.sources.files import cut, short, tree
+from marginalia.sources.files import by_name, contents, cut, listing, short
 
 #: Fixed values of the format: the separator, and the kinds that follow "- Your".
 SEPARATOR = "=========="
@@ -114,12 +114,13 @@ def read_entries(spark: SparkSession, path: str | list[str], glob: str | None =
 
     file_ord is the path and the place of the split in its file, rec_ord grows within a split, n_bytes is the entry's size with its separator.
     A file that can't be read, or not to its end, gives what comes before, if anything; ``unread_files`` finds it.
-    ``files``: the ``tree`` of them, where it has been listed already.
+    ``files``: the ``listing`` of them, where it has been listed already.
     """
-    files, most = tree(spark, path, glob) if files is None else files, short(spark)
-    rows = cut(files.filter(F.col("file_size") <= most), SEPARATOR.encode()).select(F.col("piece").cast("string").alias("value"), F.col("path").alias("source_file"), F.lit(0).cast("bigint").alias("split"), F.col("i").alias("rec_ord"))
-    if not files.filter(F.col("file_size") > most).select("path").isEmpty():
-        rows = rows.unionByName(_split_entries(spark, path, glob, most))
+    files, most = listing(spark, path, glob) if files is None else files, short(spark)
+    rows = cut(contents(files.filter(F.col("file_size") <= most)), SEPARATOR.encode()).select(F.col("piece").cast("string").alias("value"), F.col("path").alias("source_file"), F.lit(0).cast("bigint").alias("split"), F.col("i").alias("rec_ord"))
+    longer = files.filter(F.col("file_size") > most)
+    if not longer.select("path").isEmpty():
+        rows = rows.unionByName(_split_entries(spark, *by_name(longer, path, glob), most))
     place = F.lpad(F.col("split").cast("string"), 16, "0")
     size = (F.octet_length("value") + len(SEPARATOR)).cast("bigint")
     return rows.select("value", "source_file", F.concat_ws("#", "source_file", place).alias("file_ord"), "rec_ord", size.alias("n_bytes"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.paths import ancestors, name, sidecar_dir, stem, suffix
 from marginalia.sources.clippings import parse_entries, read_entries, unread_files
+from marginalia.sources.files import contents, listing
 from marginalia.sources.files import listed as listed_files
-from marginalia.sources.files import read, tree
 from marginalia.sources.page_index import SHORTEST, decode_page_indexes
 from marginalia.sources.sidecar import (
     ANNOTATION_KEYS,
@@ -30,6 +30,10 @@ from marginalia.sources.typed import segments as typed_segments
 FORMATS = {"yjr": ".yjr", "yjf": ".yjf", "mbp": ".mbp", "apnx": ".apnx"}
 
 
+#: What a sidecar folder's path ends in.
+SIDECAR = r"\.(?i:sdr)\z"
+
+
 def route(path: Column) -> Column:
     """The format of a file by its name in any case: clippings, yjr, yjf, mbp, apnx; null for others."""
     lowered, ext = F.lower(name(path)), F.lower(suffix(path))
@@ -40,7 +44,7 @@ def route(path: Column) -> Column:
 
 
 def file_route() -> Column:
-    """``route`` of the files of a ``tree``, by the name that is known before a file is opened."""
+    """``route`` of the files of a ``listing``, by the name that is known before a file is opened."""
     return route(F.col("file_name"))
 
 
@@ -56,7 +60,7 @@ def sidecar_folders(files: DataFrame) -> DataFrame:
 
 def titles(files: DataFrame) -> DataFrame:
     """(path, book_title) of ``files`` (path): by the deepest ancestor that is a sidecar folder with yjr or yjf files, else the stem."""
-    above = files.select("path", F.explode(ancestors(F.col("path"))).alias("a")).select("path", "a.dir", "a.depth")
+    above = files.select("path", F.explode(F.filter(ancestors(F.col("path")), lambda a: a["dir"].rlike(SIDECAR))).alias("a")).select("path", "a.dir", "a.depth")
     deepest = above.join(sidecar_folders(files), "dir").groupBy("path").agg(F.max_by("dir", "depth").alias("dir"))
     return files.select("path").join(deepest, "path", "left").select("path", F.coalesce(sidecar_title(F.col("dir")), stem(F.col("path"))).alias("book_title"))
 
@@ -139,15 +143,15 @@ def scan_corpus(spark: SparkSession, path: str, listed: DataFrame | None = None,
 
     Each file's content is read once: binary files are cut into records, and texts into entries, which are written to the shared
     folder by outcome. What was listed and didn't arrive, or not to its end, is unreadable: nothing of it is returned, and the scan goes on.
-    ``listed`` (path, length): the files below ``path``, where they have been listed already, and ``files`` the ``tree`` of them. Sidecar files of more than ``long`` bytes
+    ``listed`` (path, length): the files below ``path``, where they have been listed already, and ``files`` the ``listing`` of them. Sidecar files of more than ``long`` bytes
     are read in splits, others are one row each.
     """
-    files = tree(spark, path) if files is None else files
+    files = listing(spark, path) if files is None else files
     kind, listed = route(F.col("path")), saved(listed_files(files), "listed") if listed is None else listed
     binary, texts = listed.filter(kind.isin(*FORMATS)), listed.filter(kind == "clippings")
     sidecars = files.filter(file_route().isin("yjr", "yjf"))
-    contents = files.filter(file_route().isin("mbp", "apnx") | file_route().isin("yjr", "yjf") & (F.col("file_size") <= long))
-    cut = cut_files(read(contents).select("path", "content"))
+    whole = files.filter(file_route().isin("mbp", "apnx") | file_route().isin("yjr", "yjf") & (F.col("file_size") <= long))
+    cut = cut_files(contents(whole).select("path", "content"))
     if not listed.filter(kind.isin("yjr", "yjf") & (F.col("length") > long)).isEmpty():
         cut = cut.unionByName(cut_long_files(spark, path, long, sidecars))
     records = saved(cut, "records", "outcome")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.paths import from_uri, local_path
-from marginalia.sources.files import cut, named, short, tree
+from marginalia.sources.files import by_name, contents, cut, listing, named, short
 from marginalia.sources.sidecar import ANNOTATION_KEYS, POSITION_KEY, annotations_of, last_positions_of, values_of
 from marginalia.sources.storage import saved
 
@@ -25,13 +25,14 @@ def read_pieces(spark: SparkSession, path: str | list[str], glob: str, longer: i
 
     split is the place of a split in its file, within the piece's place in its split, each piece taken with a MARK behind it. A piece has to fit
     in a row, a file need not. A reader that begins inside a file begins after the first MARK there, and the one before it reads up to it.
-    Files that are shorter than a split are read as rows and cut there. ``files``: the ``tree`` of ``path`` and ``glob``, where it has been listed already.
+    Files that are shorter than a split are read as rows and cut there. ``files``: the ``listing`` of ``path`` and ``glob``, where it has been listed already.
     """
-    files, most = tree(spark, path, glob) if files is None else files, short(spark)
-    pieces = cut(files.filter(F.col("file_size") > longer).filter(F.col("file_size") <= most), MARK).select("path", F.col("length").alias("file_bytes"), F.lit(0).cast("bigint").alias("split"), "i", "piece")
+    files, most = listing(spark, path, glob) if files is None else files, short(spark)
+    pieces = cut(contents(files.filter(F.col("file_size") > longer).filter(F.col("file_size") <= most)), MARK).select("path", F.col("length").alias("file_bytes"), F.lit(0).cast("bigint").alias("split"), "i", "piece")
     longest = max(longer, most)
-    if not files.filter(F.col("file_size") > longest).select("path").isEmpty():
-        pieces = pieces.unionByName(_split_pieces(spark, path, glob, longest))
+    long = files.filter(F.col("file_size") > longest)
+    if not long.select("path").isEmpty():
+        pieces = pieces.unionByName(_split_pieces(spark, *by_name(long, path, glob), longest))
     before = Window.partitionBy(*SPLIT).orderBy("i")
     return pieces.withColumn("within", (F.sum(_taken()).over(before) - _taken()).cast("bigint")).drop("i")
 
@@ -129,7 +130,7 @@ YJR, YJF = "*.[yY][jJ][rR]", "*.[yY][jJ][fF]"
 
 
 def read_split_annotations(spark: SparkSession, path: str | list[str], files: DataFrame | None = None) -> DataFrame:
-    """Annotations of yjr files of any length; files not read to their end give none. ``files``: the ``tree`` of ``path``, where it has been listed already."""
+    """Annotations of yjr files of any length; files not read to their end give none. ``files``: the ``listing`` of ``path``, where it has been listed already."""
     pieces, _ = placed(saved(read_pieces(spark, path, YJR, files=None if files is None else files.filter(named(YJR))), "pieces"))
     return annotations_of(split_records(pieces, list(ANNOTATION_KEYS)))
 
