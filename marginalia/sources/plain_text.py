@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.paths import from_uri, local_path
+from marginalia.sources.files import by_name, contents, listing, short
 from marginalia.sources.files import listed as listed_files
-from marginalia.sources.files import short, tree
 
 TEXT = "*.[tT][xX][tT]"
 #: Characters of a chunk.
@@ -62,20 +62,21 @@ def read_books(spark: SparkSession, path: str | list[str], glob: str = TEXT, siz
 
     Files read to less than their end are in unread (path), and none of their chunks is returned; so is a file of a byte order mark
     alone. Empty files are books without chunks. ``listed`` (path, length): the files, where they have been listed already, and
-    ``files`` the ``tree`` of them.
+    ``files`` the ``listing`` of them.
     """
-    files, most = tree(spark, path, glob) if files is None else files, short(spark)
+    files, most = listing(spark, path, glob) if files is None else files, short(spark)
     listed = listed_files(files) if listed is None else listed
     chunks, unread = short_books(files.filter(F.col("file_size") <= most), size, listed.filter(F.col("length") <= most))
     longer = listed.filter(F.col("length") > most)
     if longer.isEmpty():
         return chunks, unread
-    more, more_unread = long_books(spark, path, glob, size, longer, most)
+    more, more_unread = long_books(spark, *by_name(files.filter(F.col("file_size") > most), path, glob), size, longer, most)
     return chunks.unionByName(more), unread.unionByName(more_unread)
 
 
 def short_books(files: DataFrame, size: int, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As ``read_books``, of ``files`` (path, content) that are rows; nothing is shuffled but the paths of those that could be read."""
+    """As ``read_books``, of ``files`` of a ``listing`` that are rows; nothing is shuffled but paths."""
+    files = contents(files)
     mark = F.lit("\ufeff".encode())
     text = F.translate(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
     whole = files.filter((F.length("content") > 0) & (F.col("content") != mark))

@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+from marginalia.operators import flow
 from marginalia.sources import clippings, corpus, files, plain_text, sidecar_splits
 
 ODD = {
@@ -172,3 +173,8 @@ def test_a_store_of_arrow(names, monkeypatch):
     assert found(f"else://host{names}/a b.txt") == {f"else://host{names}/a b.txt": 1}
     (got,) = files._reader(1 << 20)(batch(path=["p", "gone"], length=[1, 1], uri=[f"else://host{names}/a b.txt", f"else://host{names}/gone"]))
     assert got.to_pydict() == {"path": ["p"], "length": [1], "content": [b"x"]}
+
+
+def test_names_of_books_are_not_in_the_driver(spark, odd):
+    for df in plain_text.read_books(spark, odd):
+        assert "binaryFile" not in plan(df)
