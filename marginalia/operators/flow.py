@@ -10,7 +10,7 @@ from marginalia.operators.enrich import assign_places, pair_books, popular_books
 from marginalia.schema import conform
 from marginalia.sources.corpus import failed_files, file_route, route, scan_corpus
 from marginalia.sources.files import listed as listed_files
-from marginalia.sources.files import tree
+from marginalia.sources.files import listing
 from marginalia.sources.plain_text import read_books
 from marginalia.sources.storage import saved
 
@@ -44,13 +44,19 @@ def annotate(annotations: DataFrame, files: DataFrame, chunks: DataFrame | None,
 def text_chunks(spark: SparkSession, path: str, listed: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chunks, unread) of the books below ``path`` that have a text file beside them, of the same folder and stem; they are named by the book file.
 
-    ``listed`` (path, length) and the ``tree`` ``files`` hold all files. Clippings texts are no books, and texts without a book file beside them belong to none.
+    ``listed`` (path, length) and the ``listing`` ``files`` hold all files. Clippings texts are no books, and texts without a book file beside them belong to none;
+    they are read for whether they can be. Each text is read once: chunks are written to the shared folder, and what has none there is unread.
     """
     texts = listed.filter((F.lower(suffix(F.col("path"))) == ".txt") & route(F.col("path")).isNull())
     of_texts = files.filter((F.lower(suffix(F.col("file_name"))) == ".txt") & file_route().isNull())
-    found, unread = read_books(spark, path, listed=texts, files=of_texts)
-    pairs = pair_books(texts.select(F.col("path").alias("dir")), listed.select("path")).filter("book_file is not null")
-    return found.join(pairs, found["book_id"] == pairs["dir"]).select(F.col("book_file").alias("book_id"), "ordinal", "pid", "length", "text"), unread
+    pairs = saved(pair_books(texts.select(F.col("path").alias("dir")), listed.select("path")).filter("book_file is not null"), "pairs")
+    paired = pairs.select(F.col("dir").alias("path"))
+    of = lambda df, how: df.join(paired, "path", how)
+    found, _ = read_books(spark, path, listed=of(texts, "left_semi"), files=of(of_texts, "left_semi"))
+    chunks = saved(found.join(pairs, found["book_id"] == pairs["dir"]).select(F.col("book_file").alias("book_id"), "ordinal", "pid", "length", "text", "dir"), "chunks")
+    unread = of(texts, "left_semi").filter("length > 0").select("path").join(chunks.select(F.col("dir").alias("path")).distinct(), "path", "left_anti")
+    _, alone = read_books(spark, path, listed=of(texts, "left_anti"), files=of(of_texts, "left_anti"))
+    return chunks.drop("dir"), unread.unionByName(alone)
 
 
 def annotate_corpus(spark: SparkSession, path: str, chunks: DataFrame | None, page_map: DataFrame | None, location_map: DataFrame | None, override: str | None = None, text: bool = True, pages: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -59,11 +65,11 @@ def annotate_corpus(spark: SparkSession, path: str, chunks: DataFrame | None, pa
     Without ``chunks``, books are read from the text files beside them (``text_chunks``); those that can't be read are in the quarantine.
     Decoded annotations are written to the shared folder, so that files are decoded once, however often the rows are used.
     """
-    files = tree(spark, path)
+    files = listing(spark, path)
     listed = saved(listed_files(files), "listed")
     annotations, indexes, failed = scan_corpus(spark, path, listed, files=files)
     annotations = saved(annotations, "scanned")
     if chunks is None and text:
         chunks, unread = text_chunks(spark, path, listed, files)
-        chunks, failed = saved(chunks, "chunks"), failed.unionByName(failed_files(unread))
+        failed = failed.unionByName(failed_files(unread))
     return annotate(annotations, listed.select("path"), chunks, page_map, location_map, override, text, pages), indexes, failed

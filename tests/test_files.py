@@ -178,3 +178,19 @@ def test_a_store_of_arrow(names, monkeypatch):
 def test_names_of_books_are_not_in_the_driver(spark, odd):
     for df in plain_text.read_books(spark, odd):
         assert "binaryFile" not in plan(df)
+
+
+def test_texts_of_books_are_read_once(spark, tmp_path):
+    """Chunks are kept and what has none is unread: nothing is read again afterwards. Texts without a book are looked at too."""
+    for x in ("a.kfx", "b.azw3", "e.kfx"):
+        (tmp_path / x).write_bytes(b"x")
+    for x in "abcd":
+        (tmp_path / f"{x}.txt").write_bytes(f"text {x}".encode())
+    (tmp_path / "e.txt").write_bytes(b"\xef\xbb\xbf")
+    for x in "bd":
+        (tmp_path / f".{x}.txt.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x00\x00\x00\x00")
+    found = files.listing(spark, str(tmp_path))
+    chunks, unread = flow.text_chunks(spark, str(tmp_path), files.listed(found), found)
+    (tmp_path / "a.txt").write_bytes(b"other")
+    assert values(chunks, "book_id", "ordinal", "pid", "length", "text") == [(f"{tmp_path}/a.kfx", 0, 0, 6, "text a")]
+    assert values(unread, "path") == [(f"{tmp_path}/{x}.txt",) for x in "bde"]
