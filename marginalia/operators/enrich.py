@@ -109,10 +109,10 @@ def resolve_text(annotations: DataFrame, chunks: DataFrame, key: str = "event_id
 
     An interval join by numbers: ``touched_chunks`` finds the chunks of each span, which then meet by (book, number), so only
     the chunks that a span touches are moved, once for each, and a popular book is dealt over its chunks. ``key`` identifies
-    an annotation. Spans may end anywhere beyond their book.
+    an annotation. Spans may end anywhere beyond their book. Chunks with a column n are numbered already (``numbered_chunks``).
     """
     spans = annotations.filter(needs_text() & (_end() > F.col("char_start")) & F.col("book_id").isNotNull()).select(F.col(key).alias("_key"), "book_id", F.col("char_start").cast("bigint").alias("_s"), _end().cast("bigint").alias("_e"))
-    numbered = numbered_chunks(chunks)
+    numbered = chunks if "n" in chunks.columns else numbered_chunks(chunks)
     at = numbered.select("book_id", "n", "gap", "text", F.col("start").alias("_at"), F.col("end").alias("_to"))
     met = touched_chunks(spans, numbered, salts, popular).join(at, ["book_id", "n"])
     lead = F.when((F.col("_s") < F.col("_at")) & (F.col("gap") > 0), F.lit(" ")).otherwise("")

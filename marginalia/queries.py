@@ -59,7 +59,7 @@ def plain_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of spans from books that are text files."""
     books_table = fixtures.books(spark, sf_dir)
-    return enrich.resolve_text(fixtures.annotations(spark, sf_dir), _text_books(spark, books_table, plain_text.SIZE)).select("event_id", "content")
+    return enrich.resolve_text(fixtures.annotations(spark, sf_dir), plain_text.numbered(_text_books(spark, books_table, plain_text.SIZE))).select("event_id", "content")
 
 
 def page_asof(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,8 @@ def long_books(spark: SparkSession, path: str | list[str], glob: str, size: int,
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
     chunks = pieces.select("book_id", ordinal.alias("ordinal"), "at", "piece").groupBy("book_id", "ordinal").agg(text.alias("text"))
     return chunks.select("book_id", "ordinal", (F.col("ordinal") * size).alias("pid"), F.length("text").cast("bigint").alias("length"), "text"), unread
+
+
+def numbered(chunks: DataFrame) -> DataFrame:
+    """``chunks`` of ``read_books`` as ``operators.books.numbered_chunks`` gives them, without a window: they have no gaps, and each begins at its pid."""
+    return chunks.withColumns({"gap": F.lit(0).cast("bigint"), "end": F.col("pid") + F.col("length"), "start": F.col("pid"), "n": (F.col("ordinal") + 1).cast("int")})

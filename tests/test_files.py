@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from marginalia.operators import flow
+from marginalia.operators import books, flow
 from marginalia.sources import clippings, corpus, files, plain_text, sidecar_splits
 
 ODD = {
@@ -194,3 +194,13 @@ def test_texts_of_books_are_read_once(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"other")
     assert values(chunks, "book_id", "ordinal", "pid", "length", "text") == [(f"{tmp_path}/a.kfx", 0, 0, 6, "text a")]
     assert values(unread, "path") == [(f"{tmp_path}/{x}.txt",) for x in "bde"]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1024])
+def test_chunks_of_texts_are_numbered_without_a_window(spark, odd, size):
+    chunks, _ = plain_text.read_books(spark, odd, size=size)
+    got, want = plain_text.numbered(chunks), books.numbered_chunks(chunks)
+    assert dict(got.dtypes) == dict(want.dtypes)
+    columns = ("book_id", "ordinal", "n", "gap", "start", "end", "text")
+    assert values(got, *columns) == values(want, *columns)
+    assert "Window" not in plan(got)
